@@ -148,6 +148,19 @@ class HashEmbedder:
     def __init__(self, dim: int = 64):
         self.dim = dim
 
+    def counts_column(self, text: Column) -> Column:
+        """Raw bucket counts ``ARRAY<INT>`` of length ``dim``."""
+        dim = self.dim
+
+        @F.pandas_udf(T.ArrayType(T.IntegerType()))
+        def counts(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
+            for s in it:
+                yield pd.Series([None if b is None else
+                                 np.bincount(np.asarray(b, dtype=np.int64), minlength=dim).astype(np.int32)
+                                 for b in s])
+
+        return counts(hash_buckets(text, dim))
+
     def column(self, text: Column) -> Column:
         dim = self.dim
 

@@ -203,3 +203,266 @@ def q_collapse_ws(spark, sf):
 def q_head_sample(spark, sf):
     # a sample for estimates: the limit is the feature
     return posts(spark, sf).select("doc_id", "url").orderBy("doc_id").limit(20)
+
+
+# ------------------------------------------------------------ 3. ingest
+
+@register("merge_sites", f"""WITH {POSTS}
+SELECT doc_id, site, url, documentcategory FROM posts WHERE keyword = 'en'
+UNION ALL SELECT doc_id, site, url, NULL FROM posts WHERE keyword <> 'en'""")
+def q_merge_sites(spark, sf):
+    from murmura.operators.store import merge_sites
+    p = posts(spark, sf).select("doc_id", "site", "url", "documentcategory", "keyword")
+    a = p.where(F.col("keyword") == "en").drop("keyword")
+    b = p.where(F.col("keyword") != "en").drop("keyword", "documentcategory")  # one site lacks a column
+    c = p.where(F.lit(False)).drop("keyword")                                  # an empty site
+    return merge_sites([a, b, c])
+
+
+EXCLUDED_SITES = ["src1", "src2"]
+
+
+@register("exclude_sites", f"""WITH {POSTS}
+SELECT doc_id, site FROM posts WHERE site IS NULL OR site NOT IN ({', '.join(q(s) for s in EXCLUDED_SITES)})""")
+def q_exclude_sites(spark, sf):
+    from murmura.operators.filters import exclude_sites
+    return exclude_sites(posts(spark, sf), EXCLUDED_SITES).select("doc_id", "site")
+
+
+@register("run_row_counts", f"""WITH {POSTS}
+SELECT user_id, keyword, run_id, count(*) AS n_rows FROM posts GROUP BY user_id, keyword, run_id""")
+def q_run_row_counts(spark, sf):
+    """Land the runs as a partitioned table, scan it back, count per run."""
+    from murmura.operators.store import read_runs, run_row_counts, write_runs
+    from murmura.session import work_dir
+    path = work_dir(spark, "runs") + "/posts_merged"
+    write_runs(posts(spark, sf), path)
+    return run_row_counts(read_runs(spark, path))
+
+
+@register("latest_run", f"""WITH {POSTS},
+latest AS (SELECT user_id, keyword, max(run_id) AS run_id FROM posts GROUP BY user_id, keyword)
+SELECT p.user_id, p.keyword, p.run_id, count(*) AS n_rows
+FROM posts p SEMI JOIN latest l ON p.user_id = l.user_id AND p.keyword = l.keyword AND p.run_id = l.run_id
+GROUP BY p.user_id, p.keyword, p.run_id""")
+def q_latest_run(spark, sf):
+    from murmura.operators.store import retain_latest_run
+    kept = retain_latest_run(posts(spark, sf))
+    return kept.groupBy("user_id", "keyword", "run_id").agg(F.count(F.lit(1)).alias("n_rows"))
+
+
+@register("run_id_format", "SELECT event_id, strftime(ts, '%Y-%m-%dT%Hh%Mm%Ss') AS run_id FROM events")
+def q_run_id_format(spark, sf):
+    return table(spark, sf, "events").select("event_id", F.date_format("ts", K.RUN_ID_PATTERN).alias("run_id"))
+
+
+@register("csv_roundtrip", f"""WITH {POSTS}
+SELECT url, site, document, documenttype, views, boardcategory, documentcategory FROM posts""")
+def q_csv_roundtrip(spark, sf):
+    """Export post records as CSV (newlines, commas, quotes inside fields) and
+    read them back with the fixed schema."""
+    from murmura.session import work_dir
+    from murmura.sources.posts import export_csv, read_posts_csv
+    path = work_dir(spark, "csv") + "/A_site"
+    export_csv(posts(spark, sf).select(*POST_COLUMNS), path)
+    back = read_posts_csv(spark, path + "/*.csv")
+    return back.select("url", "site", "document", "documenttype", "views", "boardcategory", "documentcategory")
+
+
+@register("normalize_reviews", f"""
+SELECT doc_id, 'app/' || source AS url, 'google_play' AS site, line AS document,
+       CAST(NULL AS VARCHAR) AS documenttype,
+       CAST(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(i) AS VARCHAR) AS postdate,
+       CAST(i AS VARCHAR) AS likes, CAST(NULL AS VARCHAR) AS dislike, CAST(NULL AS VARCHAR) AS comment_cnt,
+       CAST(NULL AS VARCHAR) AS views, CAST(NULL AS VARCHAR) AS boardcategory,
+       CAST(NULL AS VARCHAR) AS documentcategory
+FROM (SELECT doc_id, source, unnest(generate_series(0, len(l) - 1)) AS i, unnest(l) AS line
+      FROM (SELECT doc_id, source, string_split(text, chr(10)) AS l FROM documents))""")
+def q_normalize_reviews(spark, sf):
+    """Each document is an app with its lines as a nested review list."""
+    from murmura.sources.reviews import normalize_reviews
+    d = table(spark, sf, "documents")
+    reviews = F.transform(F.split("text", "\n", -1), lambda x, i: F.struct(
+        x.alias("content"), i.cast("long").alias("thumbsUpCount"),
+        (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=i)).alias("at")))
+    apps = d.select("doc_id", F.concat(F.lit("app/"), F.col("source")).alias("app_url"), reviews.alias("reviews"))
+    return normalize_reviews(apps, keep=["doc_id", "app_url"], url=F.col("app_url"),
+                             site=F.lit("google_play")).drop("app_url")
+
+
+@register("prompt_column", f"""WITH {POSTS}
+SELECT doc_id, {s_render(K.RELEVANCE_PROMPT, keyword='keyword', text='document')} AS prompt FROM posts""")
+def q_prompt_column(spark, sf):
+    return posts(spark, sf).select("doc_id", TX.render(K.RELEVANCE_PROMPT, keyword="keyword", text="document").alias("prompt"))
+
+
+RELEVANCE_EXCLUDE = ["ouch", "sch"]
+RELEVANCE_YES = " Yes, relevant"
+
+
+def relevance_scorer():
+    from murmura.operators.scoring import RuleRelevance
+    return RuleRelevance(exclude=RELEVANCE_EXCLUDE, yes=RELEVANCE_YES, no="no")
+
+
+REL_LABEL_SQL = (f"CASE WHEN document IS NULL THEN NULL "
+                 f"WHEN coalesce(contains(lower(document), lower(keyword)), FALSE) "
+                 f"AND NOT {s_contains_any('lower(document)', RELEVANCE_EXCLUDE)} "
+                 f"THEN {q(RELEVANCE_YES)} ELSE 'no' END")
+IS_YES_SQL = f"coalesce(starts_with(lower({sstrip('relevance')}), 'yes'), FALSE)"
+SCORED = POSTS + f""",
+valid AS (SELECT * FROM posts WHERE {VALID}),
+scored AS (SELECT *, {REL_LABEL_SQL} AS relevance FROM valid)"""
+
+
+@register("relevance_filter", f"WITH {SCORED} SELECT doc_id, url, relevance FROM scored WHERE {IS_YES_SQL}")
+def q_relevance_filter(spark, sf):
+    from murmura.operators.filters import relevance_filter, valid_posts
+    from murmura.operators.scoring import score
+    s = score(valid_posts(posts(spark, sf)), relevance_scorer(), "document", "relevance", "keyword")
+    return relevance_filter(s).select("doc_id", "url", "relevance")
+
+
+@register("pass_rate", f"""WITH {SCORED}
+SELECT keyword, count(*) AS n, round(avg(CASE WHEN {IS_YES_SQL} THEN 1.0 ELSE 0.0 END), 6) AS pass_rate
+FROM scored GROUP BY keyword""")
+def q_pass_rate(spark, sf):
+    from murmura.operators.filters import is_yes, valid_posts
+    from murmura.operators.scoring import score
+    s = score(valid_posts(posts(spark, sf)), relevance_scorer(), "document", "relevance", "keyword")
+    return s.groupBy("keyword").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg(
+        F.coalesce(is_yes("relevance"), F.lit(False)).cast("double")), 6).alias("pass_rate"))
+
+
+INGEST_CATEGORIES = ["src1"]
+
+
+def stored_fixture(p: DataFrame) -> DataFrame:
+    """The store before this run: every fourth post, with some null urls."""
+    return (p.where(F.col("doc_id") % 4 == 0)
+            .withColumn("url", F.when(F.col("doc_id") % 50 == 0, F.lit(None).cast("string")).otherwise(F.col("url"))))
+
+
+def batch_fixture(p: DataFrame) -> DataFrame:
+    return p.withColumn("url", F.when(F.col("doc_id") % 50 == 0, F.lit(None).cast("string")).otherwise(F.col("url")))
+
+
+STORE_SQL = POSTS + """,
+stored AS (SELECT * REPLACE (CASE WHEN doc_id % 50 = 0 THEN NULL ELSE url END AS url) FROM posts WHERE doc_id % 4 = 0),
+batch AS (SELECT * REPLACE (CASE WHEN doc_id % 50 = 0 THEN NULL ELSE url END AS url) FROM posts)"""
+
+INGEST_SQL = STORE_SQL + f""",
+valid AS (SELECT * FROM batch WHERE {VALID}
+          AND NOT {s_contains_any("coalesce(boardcategory, '')", INGEST_CATEGORIES)}
+          AND NOT {s_contains_any("coalesce(documentcategory, '')", INGEST_CATEGORIES)}),
+scored AS (SELECT *, {REL_LABEL_SQL} AS relevance FROM valid),
+relevant AS (SELECT * FROM scored WHERE {IS_YES_SQL}),
+added AS (SELECT * FROM relevant r WHERE NOT EXISTS (
+    SELECT 1 FROM stored s WHERE s.user_id = r.user_id AND s.keyword = r.keyword
+      AND (s.url IS NULL OR s.url <> '') AND s.url IS NOT DISTINCT FROM r.url))"""
+
+
+def ingest_relevant(spark, sf):
+    from murmura.plans.ingest import filter_relevant
+    return filter_relevant(batch_fixture(posts(spark, sf)), relevance_scorer(), INGEST_CATEGORIES)
+
+
+@register("ingest_flow", f"WITH {INGEST_SQL} SELECT user_id, keyword, doc_id, url, site, views FROM added")
+def q_ingest_flow(spark, sf):
+    """valid -> category -> relevance -> anti join with the store."""
+    from murmura.operators.store import anti_by_url
+    new = anti_by_url(ingest_relevant(spark, sf), stored_fixture(posts(spark, sf)))
+    return new.select("user_id", "keyword", "doc_id", "url", "site", "views")
+
+
+@register("ingest_metrics", f"""WITH {INGEST_SQL}
+SELECT r.user_id, r.keyword, r.total_filtered, coalesce(a.added, 0) AS added
+FROM (SELECT user_id, keyword, count(*) AS total_filtered FROM relevant GROUP BY ALL) r
+LEFT JOIN (SELECT user_id, keyword, count(*) AS added FROM added GROUP BY ALL) a
+  ON r.user_id = a.user_id AND r.keyword = a.keyword""")
+def q_ingest_metrics(spark, sf):
+    from murmura.plans.ingest import ingest_metrics
+    return ingest_metrics(ingest_relevant(spark, sf), stored_fixture(posts(spark, sf)))
+
+
+# ------------------------------------------------------------- 4. store
+
+@register("to_document", f"WITH {POSTS} SELECT doc_id, document AS page_content, url, site, views FROM posts")
+def q_to_document(spark, sf):
+    from murmura.operators.filters import to_document
+    d = to_document(posts(spark, sf).select("doc_id", "url", "site", "views", "document"))
+    return d.select(F.col("metadata.doc_id").alias("doc_id"), "page_content", "metadata.url",
+                    "metadata.site", "metadata.views")
+
+
+@register("store_merge", f"""WITH {STORE_SQL},
+added AS (SELECT * FROM batch b WHERE {VALID} AND NOT EXISTS (
+    SELECT 1 FROM stored s WHERE s.user_id = b.user_id AND s.keyword = b.keyword
+      AND (s.url IS NULL OR s.url <> '') AND s.url IS NOT DISTINCT FROM b.url))
+SELECT user_id, keyword, doc_id, url FROM stored UNION ALL SELECT user_id, keyword, doc_id, url FROM added""")
+def q_store_merge(spark, sf):
+    """Write a store, append a batch (null urls on both sides), read it back."""
+    from murmura.operators.store import VectorStore
+    from murmura.session import work_dir
+    p = posts(spark, sf)
+    vs = VectorStore(spark, work_dir(spark, "store"))
+    vs.overwrite(stored_fixture(p))
+    vs.append_new(batch_fixture(p))
+    return vs.read().select("user_id", "keyword", "doc_id", "url")
+
+
+@register("store_overwrite", f"""WITH {POSTS}
+SELECT user_id, keyword, doc_id, 64 AS n_dims FROM posts WHERE document IS NOT NULL""")
+def q_store_overwrite(spark, sf):
+    """Replace stores twice (the second write must not duplicate rows)."""
+    from murmura.operators.store import VectorStore
+    from murmura.session import work_dir
+    p = posts(spark, sf)
+    vs = VectorStore(spark, work_dir(spark, "store"))
+    vs.overwrite(p)
+    vs.overwrite(p)
+    return vs.read().select("user_id", "keyword", "doc_id", F.size("embedding").alias("n_dims"))
+
+
+HISTORY_KEYWORD = F.element_at(F.array(*[F.lit(x) for x in ["en", "fr", "de", "es", "it"]]),
+                               (F.col("conv_id") % 5 + 1).cast("int"))
+HISTORY_KEYWORD_SQL = "['en', 'fr', 'de', 'es', 'it'][conv_id % 5 + 1]"
+
+
+@register("store_delete_status", f"""WITH {POSTS},
+s AS (SELECT DISTINCT user_id, keyword FROM posts WHERE keyword <> 'es'),
+h AS (SELECT DISTINCT 'u' || CAST(conv_id % 3 AS VARCHAR) AS user_id, {HISTORY_KEYWORD_SQL} AS keyword FROM conversations),
+r AS (SELECT * FROM s UNION SELECT * FROM h)
+SELECT r.user_id, r.keyword,
+       CASE WHEN s.user_id IS NOT NULL AND h.user_id IS NOT NULL THEN 'delete success'
+            ELSE 'abnormal delete request' END AS status
+FROM r LEFT JOIN s ON r.user_id = s.user_id AND r.keyword = s.keyword
+       LEFT JOIN h ON r.user_id = h.user_id AND r.keyword = h.keyword""")
+def q_store_delete_status(spark, sf):
+    from murmura.operators.store import delete_status
+    stores = posts(spark, sf).where(F.col("keyword") != "es").select("user_id", "keyword")
+    hist = table(spark, sf, "conversations").select(
+        F.concat(F.lit("u"), (F.col("conv_id") % 3).cast("string")).alias("user_id"), HISTORY_KEYWORD.alias("keyword"))
+    return delete_status(stores.unionByName(hist), stores, hist)
+
+
+@register("list_keywords", f"WITH {POSTS} SELECT DISTINCT user_id, keyword FROM posts")
+def q_list_keywords(spark, sf):
+    return posts(spark, sf).select("user_id", "keyword").distinct()
+
+
+EMBED_DIM = 64
+
+
+@register("hash_embed", f"""
+SELECT doc_id, bucket, count(*) AS cnt
+FROM (SELECT doc_id, CAST(('0x' || substr(md5(t), 1, 7))::BIGINT % {EMBED_DIM} AS INTEGER) AS bucket
+      FROM (SELECT doc_id, unnest({s_tokens('text')}) AS t FROM documents))
+GROUP BY doc_id, bucket""")
+def q_hash_embed(spark, sf):
+    """Hashed bag-of-words counts, long form (non-zero buckets)."""
+    from murmura.operators.scoring import HashEmbedder
+    d = table(spark, sf, "documents")
+    v = HashEmbedder(EMBED_DIM).counts_column(F.col("text"))
+    return (d.select("doc_id", F.posexplode(v).alias("bucket", "cnt"))
+            .where(F.col("cnt") > 0).select("doc_id", "bucket", F.col("cnt").cast("long").alias("cnt")))
