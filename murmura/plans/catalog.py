@@ -466,3 +466,114 @@ def q_hash_embed(spark, sf):
     v = HashEmbedder(EMBED_DIM).counts_column(F.col("text"))
     return (d.select("doc_id", F.posexplode(v).alias("bucket", "cnt"))
             .where(F.col("cnt") > 0).select("doc_id", "bucket", F.col("cnt").cast("long").alias("cnt")))
+
+
+# ----------------------------------------------------------- 5. vectors
+
+EMB_SQL = """e AS (SELECT vec_id, label, embedding::DOUBLE[] AS v FROM embeddings),
+ex AS (SELECT vec_id, label, unnest(generate_series(1, len(v))) AS i, unnest(v) AS x FROM e),
+cents AS (SELECT label, list(m ORDER BY i) AS c FROM (SELECT label, i, avg(x) AS m FROM ex GROUP BY label, i) GROUP BY label)"""
+
+
+def embeddings(spark, sf) -> DataFrame:
+    return table(spark, sf, "embeddings")
+
+
+def label_centroids(spark, sf) -> DataFrame:
+    from murmura.operators.vectors import centroids_by
+    return centroids_by(embeddings(spark, sf), "label")
+
+
+@register("l2_normalize", """
+SELECT vec_id, pos, round(CAST(CAST(x / nrm AS FLOAT) AS DOUBLE), 6) AS val
+FROM (SELECT vec_id, unnest(generate_series(0, len(v) - 1)) AS pos, unnest(v) AS x,
+             sqrt(list_sum(list_transform(v, lambda y: y * y))) AS nrm
+      FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings))""")
+def q_l2_normalize(spark, sf):
+    from murmura.operators.vectors import l2_normalize
+    e = embeddings(spark, sf)
+    return e.select("vec_id", F.posexplode(l2_normalize("embedding")).alias("pos", "x")).select(
+        "vec_id", "pos", F.round(F.col("x").cast("double"), 6).alias("val"))
+
+
+def _knn_sql(k: int) -> str:
+    return f"""WITH {EMB_SQL}
+SELECT qid, rank, vec_id, round(dist, 6) AS dist FROM (
+  SELECT c.label AS qid, e.vec_id, list_distance(e.v, c.c) AS dist,
+         row_number() OVER (PARTITION BY c.label ORDER BY list_distance(e.v, c.c), e.vec_id) AS rank
+  FROM e, cents c) WHERE rank <= {k}"""
+
+
+def _knn(spark, sf, k):
+    from murmura.operators.vectors import knn_topk
+    qs = label_centroids(spark, sf).select(F.col("label").alias("qid"), F.col("centroid").alias("embedding"))
+    r = knn_topk(embeddings(spark, sf), qs, k, doc_id="vec_id")
+    return r.select("qid", "rank", "vec_id", F.round("dist", 6).alias("dist"))
+
+
+@register("knn_topk", _knn_sql(4))
+def q_knn_topk(spark, sf):
+    """Exact 4 nearest vectors of each label centroid (the chat default k)."""
+    return _knn(spark, sf, 4)
+
+
+@register("knn_top30", _knn_sql(30))
+def q_knn_top30(spark, sf):
+    """Exact 30 nearest vectors of each label centroid (the report k)."""
+    return _knn(spark, sf, 30)
+
+
+@register("multi_query_topk", f"""WITH {EMB_SQL},
+vex AS (SELECT label, vec_id % 3 AS variant, i, avg(x) AS m FROM ex GROUP BY label, vec_id % 3, i),
+variants AS (SELECT label AS parent_qid, variant, list(m ORDER BY i) AS c FROM vex GROUP BY label, variant),
+hits AS (SELECT * FROM (
+  SELECT q.parent_qid, q.variant, e.vec_id, list_distance(e.v, q.c) AS dist,
+         row_number() OVER (PARTITION BY q.parent_qid, q.variant ORDER BY list_distance(e.v, q.c), e.vec_id) AS rank
+  FROM e, variants q) WHERE rank <= 4),
+firsts AS (SELECT parent_qid, vec_id, min((variant, rank)) AS m, arg_min(dist, (variant, rank)) AS dist
+           FROM hits GROUP BY parent_qid, vec_id)
+SELECT parent_qid, row_number() OVER (PARTITION BY parent_qid ORDER BY m.variant, m.rank, vec_id) AS ord,
+       vec_id, m.variant AS variant, m.rank AS rank, round(dist, 6) AS dist
+FROM (SELECT parent_qid, vec_id, struct_pack(variant := m[1], rank := m[2]) AS m, dist FROM firsts)""")
+def q_multi_query_topk(spark, sf):
+    """Three variants per question (label): union of their top-4, first seen."""
+    from murmura.operators.vectors import centroids_by, multi_query_topk
+    e = embeddings(spark, sf)
+    v = (centroids_by(e.withColumn("variant", F.col("vec_id") % 3)
+                      .withColumn("key", F.struct(F.col("label"), F.col("variant"))), "key")
+         .select(F.col("key.label").alias("parent_qid"), F.col("key.variant").alias("variant"),
+                 F.col("centroid").alias("embedding")))
+    r = multi_query_topk(e, v, 4, doc_id="vec_id")
+    return r.select("parent_qid", "ord", "vec_id", "variant", "rank", F.round("dist", 6).alias("dist"))
+
+
+@register("centroid_assign", f"""WITH {EMB_SQL}
+SELECT vec_id, label, round(dist, 6) AS dist FROM (
+  SELECT e.vec_id, c.label, list_distance(e.v, c.c) AS dist,
+         row_number() OVER (PARTITION BY e.vec_id ORDER BY list_distance(e.v, c.c), c.label) AS r
+  FROM e, cents c) WHERE r = 1""")
+def q_centroid_assign(spark, sf):
+    from murmura.operators.vectors import centroid_assign
+    e = embeddings(spark, sf)
+    r = centroid_assign(e, label_centroids(spark, sf))
+    return r.select("vec_id", "label", F.round("dist", 6).alias("dist"))
+
+
+@register("retrieve_context", f"""WITH {EMB_SQL},
+hits AS (SELECT * FROM (
+  SELECT c.label AS qid, e.vec_id,
+         row_number() OVER (PARTITION BY c.label ORDER BY list_distance(e.v, c.c), e.vec_id) AS rank
+  FROM e, cents c) WHERE rank <= 4),
+docs AS (SELECT h.qid, h.rank, {s_render(K.CHAT_DOCUMENT_TEMPLATE, page_content='d.text', postdate='NULL')} AS t
+         FROM hits h JOIN documents d ON d.doc_id = h.vec_id)
+SELECT c.label AS qid, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY rank), '') AS context
+FROM cents c LEFT JOIN docs ON docs.qid = c.label GROUP BY c.label""")
+def q_retrieve_context(spark, sf):
+    """Top-4 documents per question formatted and joined with blank lines;
+    a question without documents gets an empty context."""
+    from murmura.plans.retrieval import retrieve_context
+    qs = label_centroids(spark, sf).select(F.col("label").alias("qid"), F.col("centroid").alias("embedding"))
+    store = (embeddings(spark, sf).join(table(spark, sf, "documents"), F.col("vec_id") == F.col("doc_id"))
+             .select("doc_id", F.col("text").alias("document"), F.lit(None).cast("string").alias("postdate"),
+                     "embedding"))
+    return retrieve_context(qs, store, k=4)
