@@ -577,3 +577,126 @@ def q_retrieve_context(spark, sf):
              .select("doc_id", F.col("text").alias("document"), F.lit(None).cast("string").alias("postdate"),
                      "embedding"))
     return retrieve_context(qs, store, k=4)
+
+
+# ------------------------------------------------------------- 6. topics
+
+def clustered(spark, sf) -> DataFrame:
+    """Stored posts with a cluster id (the embeddings' label) per document."""
+    e = embeddings(spark, sf).select(F.col("vec_id").alias("doc_id"), F.col("label").alias("cluster"))
+    return posts(spark, sf).join(e, "doc_id")
+
+
+CLUSTERED_SQL = POSTS + """,
+clustered AS (SELECT p.*, e.label AS cluster FROM posts p JOIN embeddings e ON e.vec_id = p.doc_id)"""
+
+TERMS_SQL = f"""tf AS (SELECT user_id, keyword, cluster, t AS term, count(*) AS tf
+       FROM (SELECT user_id, keyword, cluster, unnest({s_tokens('document', 3)}) AS t FROM clustered) GROUP BY ALL),
+dfreq AS (SELECT user_id, keyword, term, count(*) AS df FROM tf GROUP BY ALL),
+nc AS (SELECT user_id, keyword, count(DISTINCT cluster) AS n_clusters FROM clustered GROUP BY ALL),
+sc AS (SELECT tf.user_id, tf.keyword, tf.cluster, tf.term, round(tf.tf * ln(nc.n_clusters / dfreq.df), 9) AS score
+       FROM tf JOIN dfreq USING (user_id, keyword, term) JOIN nc USING (user_id, keyword)),
+topt AS (SELECT *, row_number() OVER (PARTITION BY user_id, keyword, cluster ORDER BY score DESC, term) AS rn
+         FROM sc WHERE score > 0 QUALIFY rn <= 3),
+names AS (SELECT user_id, keyword, cluster, string_agg(term, ' ' ORDER BY rn) AS topic FROM topt GROUP BY ALL)"""
+
+TOPIC_TABLE_SQL = CLUSTERED_SQL + ",\n" + TERMS_SQL + f""",
+sizes AS (SELECT user_id, keyword, cluster, count(*) AS count, min(doc_id) AS min_pos FROM clustered GROUP BY ALL),
+sizes2 AS (SELECT *, round(100.0::DOUBLE * count / sum(count) OVER (PARTITION BY user_id, keyword), 1) AS pct FROM sizes),
+samples AS (SELECT user_id, keyword, cluster, list(content ORDER BY rn) AS samples
+            FROM (SELECT *, row_number() OVER (PARTITION BY user_id, keyword, cluster ORDER BY doc_id) AS rn
+                  FROM (SELECT user_id, keyword, cluster, doc_id, {sstrip('document')} AS content FROM clustered)
+                  WHERE content <> '' QUALIFY rn <= 3)
+            GROUP BY ALL),
+tt AS (SELECT s.*, coalesce(n.topic, 'topic ' || CAST(s.cluster AS VARCHAR)) AS topic, sm.samples
+       FROM sizes2 s JOIN samples sm USING (user_id, keyword, cluster) LEFT JOIN names n USING (user_id, keyword, cluster)),
+topics AS (SELECT *, row_number() OVER (PARTITION BY user_id, keyword ORDER BY count DESC, min_pos) AS rank
+           FROM tt WHERE NOT {s_contains_any('topic', K.TOPIC_DROP_MARKERS)} AND length(topic) <= {K.TOPIC_MAX_NAME_LEN})"""
+
+
+def topic_table_df(spark, sf) -> DataFrame:
+    from murmura.operators.topics import cluster_samples, cluster_sizes, topic_table, topic_terms
+    c = clustered(spark, sf)
+    return topic_table(cluster_sizes(c), cluster_samples(c), topic_terms(c))
+
+
+@register("topic_cluster")
+def q_topic_cluster(spark, sf):
+    """KMeans (k = min(10, n), seed 42) on normalised vectors; rows-only (ids
+    are implementation specific; invariants are unit-tested)."""
+    from murmura.operators.vectors import topic_cluster
+    return topic_cluster(embeddings(spark, sf), 10, id_col="vec_id")
+
+
+@register("topic_terms", f"WITH {CLUSTERED_SQL}, {TERMS_SQL} SELECT user_id, keyword, cluster, topic FROM names")
+def q_topic_terms(spark, sf):
+    from murmura.operators.topics import topic_terms
+    return topic_terms(clustered(spark, sf)).select("user_id", "keyword", "cluster", "topic")
+
+
+@register("topic_table", f"""WITH {TOPIC_TABLE_SQL}
+SELECT user_id, keyword, cluster, topic, count, pct, array_to_string(samples, ' | ') AS samples, rank FROM topics""")
+def q_topic_table(spark, sf):
+    t = topic_table_df(spark, sf)
+    return t.select("user_id", "keyword", "cluster", "topic", "count", "pct",
+                    F.array_join("samples", " | ").alias("samples"), "rank")
+
+
+TOPIC_TEXT_SQL = f"""topic_text AS (
+  SELECT user_id, keyword,
+         '[토픽 클러스터링 결과 - 상위 ' || CAST(count(*) AS VARCHAR) || '개 주제]' || chr(10) ||
+         string_agg({s_render(K.TOPIC_LINE, i='rank', topic='topic', count='count', pct='pct')}, chr(10) ORDER BY rank)
+         AS topic_text
+  FROM topics GROUP BY user_id, keyword)"""
+
+
+@register("topic_summary_text", f"WITH {TOPIC_TABLE_SQL}, {TOPIC_TEXT_SQL} SELECT * FROM topic_text")
+def q_topic_summary_text(spark, sf):
+    from murmura.operators.topics import topic_summary_text
+    return topic_summary_text(topic_table_df(spark, sf))
+
+
+def _lines_sql(label):
+    return (f"coalesce((SELECT string_agg('- ' || opinion, chr(10) ORDER BY rank) FROM tops t "
+            f"WHERE t.user_id = s.user_id AND t.keyword = s.keyword AND t.sentiment = {q(label)}), '')")
+
+
+SENTIMENT_TEXT_SQL = f"""sentiment_text AS (
+  SELECT user_id, keyword, chr(10) || {s_render(K.SENTIMENT_HEADER, total='total')} || chr(10) ||
+         {s_render(K.SENTIMENT_LINE, name=q(K.POSITIVE), n='pos', pct='pos_pct')} || chr(10) ||
+         {s_render(K.SENTIMENT_LINE, name=q(K.NEGATIVE), n='neg', pct='neg_pct')} || chr(10) ||
+         {s_render(K.SENTIMENT_LINE, name=q(K.NEUTRAL), n='neu', pct='neu_pct')} || chr(10) || chr(10) ||
+         {q(K.TOP_POS_HEADER)} || chr(10) || {_lines_sql(K.POSITIVE)} || chr(10) || chr(10) ||
+         {q(K.TOP_NEG_HEADER)} || chr(10) || {_lines_sql(K.NEGATIVE)} || chr(10) AS sentiment_text
+  FROM summary s)"""
+
+
+def sentiment_text_df(spark, sf) -> DataFrame:
+    from murmura.operators.sentiment import sentiment_summary, sentiment_text, top_opinions
+    lab = labeled(spark, sf)
+    return sentiment_text(sentiment_summary(lab), top_opinions(lab))
+
+
+@register("sentiment_summary_text",
+          f"WITH {LABELED}, {SENTIMENT_SUMMARY_SQL}, {TOP_SQL}, {SENTIMENT_TEXT_SQL} SELECT * FROM sentiment_text")
+def q_sentiment_summary_text(spark, sf):
+    return sentiment_text_df(spark, sf)
+
+
+LEX_POS, LEX_NEG = ["the", "of"], ["der", "la"]
+
+
+@register("lexicon_sentiment", f"""
+SELECT doc_id, pos_hits, neg_hits,
+       CASE WHEN text IS NULL THEN {q(K.NEUTRAL)} WHEN pos_hits > neg_hits THEN {q(K.POSITIVE)}
+            WHEN neg_hits > pos_hits THEN {q(K.NEGATIVE)} ELSE {q(K.NEUTRAL)} END AS label
+FROM (SELECT doc_id, text,
+             CAST(len(list_filter({s_tokens('text')}, lambda t: t IN ({', '.join(q(t) for t in LEX_POS)}))) AS INTEGER) AS pos_hits,
+             CAST(len(list_filter({s_tokens('text')}, lambda t: t IN ({', '.join(q(t) for t in LEX_NEG)}))) AS INTEGER) AS neg_hits
+      FROM documents)""")
+def q_lexicon_sentiment(spark, sf):
+    from murmura.operators.scoring import LexiconSentiment
+    sc = LexiconSentiment(LEX_POS, LEX_NEG)
+    pos, neg = sc.hits(F.col("text"))
+    return table(spark, sf, "documents").select(
+        "doc_id", pos.alias("pos_hits"), neg.alias("neg_hits"), sc.column(F.col("text")).alias("label"))
