@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from murmura.functions.text import clean_str, strip_tags, ustrip, _c
 
 R_HREF = r'<a\s[^>]*?href="([^"]*)"'
-R_ANCHOR_TEXT = r"(?s)<a\s[^>]*?href=\"[^\"]*\"[^>]*>(.*?)</a>"
+R_ANCHOR_TEXT = r'(?s)<a\s[^>]*?href="[^"]*"[^>]*>(.*?)</a>'
 R_ORIGIN = r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)"
 R_SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.-]*):"
 R_HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)"

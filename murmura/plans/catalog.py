@@ -700,3 +700,141 @@ def q_lexicon_sentiment(spark, sf):
     pos, neg = sc.hits(F.col("text"))
     return table(spark, sf, "documents").select(
         "doc_id", pos.alias("pos_hits"), neg.alias("neg_hits"), sc.column(F.col("text")).alias("label"))
+
+
+# -------------------------------------------------------------- 7. pages
+
+from murmura.functions import html as H  # noqa: E402
+from murmura.operators import extract as X  # noqa: E402
+
+NOBLOCK_SQL = ("regexp_replace(regexp_replace(html, '(?is)<script\\b.*?</script>', '', 'g'), "
+               "'(?is)<style\\b.*?</style>', '', 'g')")
+TAG_SQL = TX.R_TAG
+
+
+def _first_sql(x: str, pattern: str) -> str:
+    return f"nullif(regexp_extract({x}, {q(pattern)}, 1), '')"
+
+
+def _text_joined_sql(pattern: str, sep: str = " ") -> str:
+    inner = sstrip(f"regexp_replace(x, {q(TAG_SQL)}, '', 'g')")
+    return (f"array_to_string(list_filter(list_transform(regexp_extract_all({NOBLOCK_SQL}, {q(pattern)}, 1), "
+            f"lambda x: {inner}), lambda x: x <> ''), {q(sep)})")
+
+
+def _abs_sql(base: str, href: str) -> str:
+    return (f"CASE WHEN regexp_matches({href}, '^[a-zA-Z][a-zA-Z0-9+.-]*:') THEN {href} "
+            f"WHEN starts_with({href}, '//') THEN regexp_extract({base}, {q(H.R_SCHEME)}, 1) || ':' || {href} "
+            f"WHEN starts_with({href}, '/') THEN regexp_extract({base}, {q(H.R_ORIGIN)}, 1) || {href} "
+            f"WHEN {href} = '' THEN {base} "
+            f"ELSE regexp_extract({base}, {q(H.R_BASE_DIR)}, 1) || {href} END")
+
+
+def pages_df(spark, sf) -> DataFrame:
+    return table(spark, sf, "pages")
+
+
+@register("strip_tags", f"""SELECT page_id,
+  regexp_replace({NOBLOCK_SQL}, {q(TAG_SQL)}, '', 'g') AS text FROM pages""")
+def q_strip_tags(spark, sf):
+    return pages_df(spark, sf).select("page_id", TX.strip_tags("html").alias("text"))
+
+
+@register("page_text", f"SELECT page_id, {_text_joined_sql(X.P_PARAGRAPH)} AS text FROM pages")
+def q_page_text(spark, sf):
+    return X.page_text(pages_df(spark, sf))
+
+
+@register("page_text_parsed")
+def q_page_text_parsed(spark, sf):
+    """Tolerant parser path (mapInPandas over html.parser); rows-only."""
+    return X.parse_pages(pages_df(spark, sf))
+
+
+CLEAN_ITEM_SQL = sstrip(f"replace(replace(replace(regexp_replace(x, {q(TAG_SQL)}, '', 'g'), chr(10), ''), chr(9), ''), chr(160), ' ')")
+
+
+@register("page_text_list", f"""SELECT page_id, CAST(len(l) AS INTEGER) AS n_items, array_to_string(l, chr(10)) AS items
+FROM (SELECT page_id, list_transform(regexp_extract_all({NOBLOCK_SQL}, {q(X.P_LIST_ITEM)}, 1),
+                                     lambda x: {CLEAN_ITEM_SQL}) AS l FROM pages)""")
+def q_page_text_list(spark, sf):
+    return X.page_text_list(pages_df(spark, sf))
+
+
+TITLE_SQL = f"regexp_replace({_first_sql('html', X.P_TITLE)}, '(?s)<[^>]*>', '', 'g')"
+
+
+@register("page_fields", f"""SELECT page_id, {_first_sql('html', X.P_LANG)} AS lang, {TITLE_SQL} AS title,
+  coalesce(nullif({sstrip(f"regexp_replace({_first_sql('html', X.P_H1)}, '(?s)<[^>]*>', '', 'g')")}, ''), {TITLE_SQL}) AS headline,
+  {sstrip(f"regexp_replace(coalesce({_first_sql('html', '(?s)<div class=\"ad\">(.*?)</div>')}, '0'), {q(TAG_SQL)}, '', 'g')")} AS ad_text,
+  coalesce({_first_sql('html', '<em class=\"reply\">([0-9]+)</em>')}, {_first_sql('html', '<span class=\"reply\">([0-9]+)</span>')}, '0') AS comment_cnt
+FROM pages""")
+def q_page_fields(spark, sf):
+    return X.page_fields(pages_df(spark, sf))
+
+
+OUTLINKS_SQL = f"""outlinks AS (
+  SELECT page_id, pos, href, {_abs_sql('url', 'href')} AS abs_url
+  FROM (SELECT page_id, url, unnest(generate_series(0, len(l) - 1)) AS pos, unnest(l) AS href
+        FROM (SELECT page_id, url, regexp_extract_all(html, {q(H.R_HREF)}, 1) AS l FROM pages)))"""
+
+
+@register("outlinks", f"WITH {OUTLINKS_SQL} SELECT * FROM outlinks")
+def q_outlinks(spark, sf):
+    return X.outlinks(pages_df(spark, sf))
+
+
+@register("zip_links", f"""SELECT page_id, pos, href, label FROM (
+  SELECT page_id, unnest(generate_series(0, n - 1)) AS pos, unnest(a[1:n]) AS href,
+         unnest(list_transform(b[1:n], lambda x: {sstrip(f"regexp_replace(x, {q(TAG_SQL)}, '', 'g')")})) AS label
+  FROM (SELECT page_id, a, b, least(len(a), len(b)) AS n
+        FROM (SELECT page_id, regexp_extract_all(html, {q(H.R_HREF)}, 1) AS a,
+                     regexp_extract_all(html, {q(H.R_ANCHOR_TEXT)}, 1) AS b FROM pages)))""")
+def q_zip_links(spark, sf):
+    return X.zip_links(pages_df(spark, sf))
+
+
+RESULT_URL = "https://%s/search?page=%d"
+
+
+@register("result_pages", f"""SELECT host, n_pages, page_no, printf({q(RESULT_URL)}, host, page_no) AS url
+FROM (SELECT host, n_pages, unnest(generate_series(1, n_pages)) AS page_no
+      FROM (SELECT host, CAST(CAST(replace(hit_text, ',', '') AS BIGINT) // {K.RESULTS_PER_PAGE} + 1 AS INTEGER) AS n_pages
+            FROM (SELECT host, format('{{:,}}', count(*) * 100) AS hit_text
+                  FROM (SELECT regexp_extract(url, {q(H.R_HOST)}, 1) AS host FROM pages) GROUP BY host)))""")
+def q_result_pages(spark, sf):
+    """Hit counts per host (text with thousands separators) -> page urls."""
+    hits = (pages_df(spark, sf).groupBy(H.host_of("url").alias("host"))
+            .agg(F.format_string("%,d", F.count(F.lit(1)) * 100).alias("hit_text")))
+    return X.result_pages(hits, RESULT_URL).select("host", "n_pages", "page_no", "url")
+
+
+@register("frontier", f"""WITH {OUTLINKS_SQL}
+SELECT DISTINCT abs_url AS url FROM outlinks o
+WHERE abs_url IS NOT NULL AND NOT EXISTS (SELECT 1 FROM pages p WHERE p.url = o.abs_url)""")
+def q_frontier(spark, sf):
+    p = pages_df(spark, sf)
+    req = X.outlinks(p).select(F.col("abs_url").alias("url"))
+    return X.frontier(req, p.select("url"))
+
+
+@register("pages_to_posts", f"""SELECT page_id, url, regexp_extract(url, {q(H.R_HOST)}, 1) AS site,
+  {_text_joined_sql(X.P_PARAGRAPH)} AS document, CAST(NULL AS VARCHAR) AS documenttype,
+  CAST(NULL AS VARCHAR) AS postdate, CAST(NULL AS VARCHAR) AS likes, CAST(NULL AS VARCHAR) AS dislike,
+  coalesce({_first_sql('html', '<em class="reply">([0-9]+)</em>')}, '0') AS comment_cnt,
+  CAST(NULL AS VARCHAR) AS views, {TITLE_SQL} AS boardcategory, {_first_sql('html', X.P_LANG)} AS documentcategory
+FROM pages""")
+def q_pages_to_posts(spark, sf):
+    return X.pages_to_posts(pages_df(spark, sf), extractors={})
+
+
+@register("html_files_scan", "SELECT page_id, html FROM pages")
+def q_html_files_scan(spark, sf):
+    """Land pages as one file per page, then list and read them recursively."""
+    from murmura.session import work_dir
+    from murmura.sources.html_files import read_html_files
+    root = work_dir(spark, "html")
+    pages_df(spark, sf).select("page_id", "html").write.partitionBy("page_id").text(root)
+    f = read_html_files(spark, root, ext=".txt")
+    html = F.when(F.col("html").endswith("\n"), F.expr("substring(html, 1, char_length(html) - 1)")).otherwise(F.col("html"))
+    return f.select(F.regexp_extract("path", r"page_id=([0-9]+)", 1).cast("long").alias("page_id"), html.alias("html"))
