@@ -39,11 +39,11 @@ def messages(history: DataFrame, group_cols: Sequence[str] = ("conv_id",), order
 
 
 def pair_turns(history: DataFrame, group_cols: Sequence[str] = ("conv_id",), order_col: str = "turn",
-               drop_roles: Sequence[str] = ("system",), id_prefix=None,
-               block: int = DEFAULT_BLOCK) -> DataFrame:
+               drop_roles: Sequence[str] = ("system",), block: int = DEFAULT_BLOCK) -> DataFrame:
     """Messages 2i and 2i+1 -> (question, answer); an odd tail is dropped.
 
-    ``id_prefix`` (a Column) builds ``history_id = prefix || '_' || i``.
+    ``history_id`` joins the group values and the pair index with '_'
+    (``{user}_{keyword}_{i}`` for a store's history).
     Returns ``group, pair, history_id, question, answer``.
     """
     g = list(group_cols)
@@ -52,13 +52,10 @@ def pair_turns(history: DataFrame, group_cols: Sequence[str] = ("conv_id",), ord
     pairs = (m.groupBy(*g, "pair").agg(
         F.count(F.lit(1)).alias("_n"),
         F.max(F.when(par == 0, F.col("text"))).alias("question"),
-        F.max(F.when(par == 1, F.col("text"))).alias("answer"),
-        *( [F.first(id_prefix).alias("_prefix")] if id_prefix is not None else [] )))
+        F.max(F.when(par == 1, F.col("text"))).alias("answer")))
     pairs = pairs.where(F.col("_n") == 2).drop("_n")
-    if id_prefix is not None:
-        pairs = pairs.withColumn("history_id", F.concat(F.col("_prefix"), F.lit("_"), F.col("pair").cast("string"))).drop("_prefix")
-    else:
-        pairs = pairs.withColumn("history_id", F.concat_ws("_", *[F.col(c).cast("string") for c in g], F.col("pair").cast("string")))
+    pairs = pairs.withColumn("history_id", F.concat_ws("_", *[F.col(c).cast("string") for c in g],
+                                                       F.col("pair").cast("string")))
     return pairs.select(*g, "pair", "history_id", "question", "answer")
 
 

@@ -838,3 +838,63 @@ def q_html_files_scan(spark, sf):
     f = read_html_files(spark, root, ext=".txt")
     html = F.when(F.col("html").endswith("\n"), F.expr("substring(html, 1, char_length(html) - 1)")).otherwise(F.col("html"))
     return f.select(F.regexp_extract("path", r"page_id=([0-9]+)", 1).cast("long").alias("page_id"), html.alias("html"))
+
+
+# ------------------------------------------------------------ 8. history
+
+def conversations(spark, sf) -> DataFrame:
+    """Chat messages of (user, keyword) stores, one conversation each."""
+    return table(spark, sf, "conversations").select(
+        F.concat(F.lit("u"), (F.col("conv_id") % 3).cast("string")).alias("user_id"),
+        HISTORY_KEYWORD.alias("keyword"), "conv_id", "turn", "role", "text")
+
+
+HIST_KEYS = ["user_id", "keyword", "conv_id"]
+MSG_SQL = f"""m AS (
+  SELECT 'u' || CAST(conv_id % 3 AS VARCHAR) AS user_id, {HISTORY_KEYWORD_SQL} AS keyword, conv_id, turn, role, text,
+         row_number() OVER (PARTITION BY conv_id ORDER BY turn) - 1 AS pos
+  FROM conversations WHERE role IS NULL OR role <> 'system')"""
+
+
+@register("history_pairs", f"""WITH {MSG_SQL}
+SELECT user_id, keyword, conv_id, pair, user_id || '_' || keyword || '_' || CAST(conv_id AS VARCHAR) || '_' || CAST(pair AS VARCHAR) AS history_id,
+       question, answer
+FROM (SELECT user_id, keyword, conv_id, pos // 2 AS pair, count(*) AS n,
+             max(CASE WHEN pos % 2 = 0 THEN text END) AS question, max(CASE WHEN pos % 2 = 1 THEN text END) AS answer
+      FROM m GROUP BY ALL) WHERE n = 2""")
+def q_history_pairs(spark, sf):
+    from murmura.operators.history import pair_turns
+    return pair_turns(conversations(spark, sf), HIST_KEYS)
+
+
+@register("last_k_turns", f"""WITH {MSG_SQL}, n AS (SELECT conv_id, count(*) AS n_msgs FROM m GROUP BY ALL)
+SELECT user_id, keyword, conv_id, turn, role, text, pos FROM m JOIN n USING (conv_id)
+WHERE n_msgs // 2 <= 5 OR (pos < 2 * (n_msgs // 2) AND pos // 2 >= n_msgs // 2 - 5)""")
+def q_last_k_turns(spark, sf):
+    from murmura.operators.history import last_k_turns
+    return last_k_turns(conversations(spark, sf), 5, HIST_KEYS).select(*HIST_KEYS, "turn", "role", "text", "pos")
+
+
+@register("append_turn", """WITH last AS (
+  SELECT conv_id, max(turn) AS t, arg_max(role, turn) AS role, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id),
+ans AS (SELECT conv_id, t, text AS question, 'ack: ' || substr(text, 1, 20) AS answer FROM last WHERE role = 'user')
+SELECT conv_id, t + 1 AS turn, 'user' AS role, question AS text FROM ans
+UNION ALL SELECT conv_id, t + 2, 'assistant', answer FROM ans""")
+def q_append_turn(spark, sf):
+    """Conversations ending on a question get it answered; the pair is
+    appended after the last stored turn."""
+    from murmura.operators.history import append_turn
+    c = table(spark, sf, "conversations")
+    last = c.groupBy("conv_id").agg(F.max_by(F.struct("role", "text"), "turn").alias("m"))
+    answered = last.where(F.col("m.role") == "user").select(
+        "conv_id", F.col("m.text").alias("question"),
+        F.concat(F.lit("ack: "), F.substring("m.text", 1, 20)).alias("answer"))
+    return append_turn(c, answered)
+
+
+@register("conversation_json")
+def q_conversation_json(spark, sf):
+    """``{n, conversation:[{history_id, question, answer}]}`` per history;
+    rows-only (JSON spacing is engine specific)."""
+    from murmura.operators.history import conversation_json, pair_turns
+    return conversation_json(pair_turns(conversations(spark, sf), HIST_KEYS), HIST_KEYS)
