@@ -898,3 +898,219 @@ def q_conversation_json(spark, sf):
     rows-only (JSON spacing is engine specific)."""
     from murmura.operators.history import conversation_json, pair_turns
     return conversation_json(pair_turns(conversations(spark, sf), HIST_KEYS), HIST_KEYS)
+
+
+# ------------------------------------------------------------- 9. report
+
+def facts_df(spark, sf) -> DataFrame:
+    from murmura.operators.report import report_facts
+    from murmura.operators.sentiment import sentiment_summary, top_opinions
+    lab = labeled(spark, sf)
+    return report_facts(sentiment_summary(lab), topic_table_df(spark, sf), top_opinions(lab),
+                        ["user_id", "keyword"])
+
+
+FACTS_SQL = f"""facts AS (
+  SELECT s.*, {s_render('전체 {total}건 중 긍정 {pos}건({pos_pct}%), 부정 {neg}건({neg_pct}%), 중립 {neu}건({neu_pct}%)')} AS summary,
+         coalesce(t.topic_lines, '') AS topic_lines, coalesce(t.topic_pcts, []) AS topic_pcts,
+         coalesce(op.top_pos, []) AS top_pos, coalesce(op.top_neg, []) AS top_neg
+  FROM summary s
+  LEFT JOIN (SELECT user_id, keyword,
+                    string_agg({s_render('- {topic}: {count}건({pct}%)')}, chr(10) ORDER BY rank) AS topic_lines,
+                    list(pct ORDER BY rank) AS topic_pcts
+             FROM topics GROUP BY ALL) t USING (user_id, keyword)
+  LEFT JOIN (SELECT user_id, keyword,
+                    coalesce(list(opinion ORDER BY rank) FILTER (WHERE sentiment = {q(K.POSITIVE)}), []) AS top_pos,
+                    coalesce(list(opinion ORDER BY rank) FILTER (WHERE sentiment = {q(K.NEGATIVE)}), []) AS top_neg
+             FROM tops GROUP BY ALL) op USING (user_id, keyword))"""
+REPORT_BASE_SQL = (LABELED + ",\n" + SENTIMENT_SUMMARY_SQL + ",\n" + TOP_SQL + ",\n"
+                   + TOPIC_TABLE_SQL.replace(POSTS + ",", "", 1) + ",\n" + FACTS_SQL)
+
+
+@register("report_facts", f"""WITH {REPORT_BASE_SQL}
+SELECT user_id, keyword, total, pos, pos_pct, neg, neg_pct, neu, neu_pct, summary, topic_lines,
+       array_to_string(list_transform(topic_pcts, lambda p: CAST(p AS VARCHAR)), ',') AS topic_pcts,
+       array_to_string(top_pos, chr(10)) AS top_pos, array_to_string(top_neg, chr(10)) AS top_neg
+FROM facts""")
+def q_report_facts(spark, sf):
+    f = facts_df(spark, sf)
+    return f.select("user_id", "keyword", "total", "pos", "pos_pct", "neg", "neg_pct", "neu", "neu_pct",
+                    "summary", "topic_lines",
+                    F.array_join(F.transform("topic_pcts", lambda p: p.cast("string")), ",").alias("topic_pcts"),
+                    F.array_join("top_pos", "\n").alias("top_pos"), F.array_join("top_neg", "\n").alias("top_neg"))
+
+
+def store_vectors(spark, sf) -> DataFrame:
+    """Stored posts with their vectors (documents x embeddings)."""
+    e = embeddings(spark, sf).select(F.col("vec_id").alias("doc_id"), "embedding")
+    return posts(spark, sf).join(e, "doc_id")
+
+
+@register("report_context", f"""WITH {REPORT_BASE_SQL}, {SENTIMENT_TEXT_SQL}, {TOPIC_TEXT_SQL},
+sv AS (SELECT p.*, e.embedding::DOUBLE[] AS v FROM posts p JOIN embeddings e ON e.vec_id = p.doc_id),
+svx AS (SELECT user_id, keyword, unnest(generate_series(1, len(v))) AS i, unnest(v) AS x FROM sv),
+gc AS (SELECT user_id, keyword, list(m ORDER BY i) AS c
+       FROM (SELECT user_id, keyword, i, avg(x) AS m FROM svx GROUP BY ALL) GROUP BY ALL),
+hits AS (SELECT sv.*, row_number() OVER (PARTITION BY sv.user_id, sv.keyword
+                                         ORDER BY list_distance(sv.v, gc.c), sv.doc_id) AS rank
+         FROM sv JOIN gc USING (user_id, keyword) QUALIFY rank <= 30),
+docs AS (SELECT user_id, keyword,
+                string_agg({s_render(K.REPORT_DOCUMENT_TEMPLATE, page_content=s_truncate('document'))}, chr(10) ORDER BY rank) AS docs_text
+         FROM hits GROUP BY ALL)
+SELECT user_id, keyword,
+       coalesce(sentiment_text, '') || chr(10) || chr(10) || coalesce(topic_text, '') || chr(10) || chr(10) ||
+       {q(K.DETAIL_HEADER)} || chr(10) || coalesce(docs_text, '') AS context
+FROM sentiment_text FULL JOIN topic_text USING (user_id, keyword) FULL JOIN docs USING (user_id, keyword)""")
+def q_report_context(spark, sf):
+    """Per store: sentiment block + topic block + 30 documents nearest to the
+    store's mean vector (the report retrieval), formatted and cut at 1000."""
+    from murmura.operators.report import combine_documents, report_context
+    from murmura.operators.topics import topic_summary_text
+    from murmura.operators.vectors import centroids_by, knn_topk
+    keys = ["user_id", "keyword"]
+    sv = store_vectors(spark, sf)
+    qv = (centroids_by(sv.withColumn("g", F.struct(*keys)), "g")
+          .select(F.col("g").alias("qid"), F.col("g.user_id"), F.col("g.keyword"), F.col("centroid").alias("embedding")))
+    hits = knn_topk(sv, qv, 30, group_cols=keys)
+    docs = hits.select(F.col("qid.user_id").alias("user_id"), F.col("qid.keyword").alias("keyword"), "doc_id", "rank") \
+        .join(sv.drop("embedding"), keys + ["doc_id"])
+    return report_context(sentiment_text_df(spark, sf), topic_summary_text(topic_table_df(spark, sf)),
+                          combine_documents(docs, keys, "rank"), keys)
+
+
+def _pcts_sql(arr):
+    return f"array_to_string(list_transform({arr}, lambda p: CAST(p AS VARCHAR) || '%'), ' ')"
+
+
+DRAFT_SQL = (f"concat_ws(' ', substr(p.document, 1, 60), "
+             f"CASE WHEN p.doc_id % 2 = 0 THEN CAST(f.pos_pct AS VARCHAR) || '%' END, "
+             f"CASE WHEN p.doc_id % 3 = 0 THEN CAST(f.neg_pct AS VARCHAR) || '%' END, "
+             f"CASE WHEN p.doc_id % 5 <> 0 THEN CAST(f.neu_pct AS VARCHAR) || '%' END, "
+             f"CASE WHEN p.doc_id % 7 <> 0 THEN {_pcts_sql('f.topic_pcts')} END, "
+             f"CASE WHEN p.doc_id % 4 = 0 THEN substr(f.top_pos[1], 1, 30) END)")
+
+
+@register("report_check", f"""WITH {REPORT_BASE_SQL},
+d AS (SELECT p.doc_id, p.user_id, p.keyword, p.doc_id % 3 AS iteration, {DRAFT_SQL} AS draft, f.*
+      EXCLUDE (user_id, keyword) FROM posts p JOIN facts f USING (user_id, keyword)),
+c AS (SELECT doc_id, user_id, keyword, iteration, list_filter([
+        CASE WHEN NOT coalesce(contains(draft, CAST(pos_pct AS VARCHAR) || '%'), FALSE) THEN 'positive share' END,
+        CASE WHEN NOT coalesce(contains(draft, CAST(neg_pct AS VARCHAR) || '%'), FALSE) THEN 'negative share' END,
+        CASE WHEN NOT coalesce(contains(draft, CAST(neu_pct AS VARCHAR) || '%'), FALSE) THEN 'neutral share' END,
+        CASE WHEN NOT coalesce(list_bool_and(list_transform(topic_pcts, lambda x: contains(draft, CAST(x AS VARCHAR) || '%'))), TRUE) THEN 'topic ratios' END,
+        CASE WHEN NOT coalesce(list_bool_or(list_transform(top_pos || top_neg, lambda o: contains(draft, substr(o, 1, 30)))), FALSE) THEN 'quoted opinion' END
+      ], lambda x: x IS NOT NULL) AS missing FROM d)
+SELECT doc_id, user_id, keyword, array_to_string(missing, ', ') AS missing,
+       CASE WHEN len(missing) = 0 OR iteration >= {K.MAX_REPORT_ITERATIONS} THEN 'PASS'
+            ELSE 'RETRY: missing ' || array_to_string(missing, ', ') END AS status
+FROM c""")
+def q_report_check(spark, sf):
+    """Drafts assembled from posts and their store's facts, checked."""
+    from murmura.operators.report import report_check
+    f = facts_df(spark, sf)
+    p = posts(spark, sf)
+    pcts = F.array_join(F.transform("topic_pcts", lambda x: F.concat(x.cast("string"), F.lit("%"))), " ")
+    pid = F.col("doc_id")
+    draft = F.concat_ws(" ", F.substring("document", 1, 60),
+                        F.when(pid % 2 == 0, F.concat(F.col("pos_pct").cast("string"), F.lit("%"))),
+                        F.when(pid % 3 == 0, F.concat(F.col("neg_pct").cast("string"), F.lit("%"))),
+                        F.when(pid % 5 != 0, F.concat(F.col("neu_pct").cast("string"), F.lit("%"))),
+                        F.when(pid % 7 != 0, pcts),
+                        F.when(pid % 4 == 0, F.substring(F.element_at("top_pos", 1), 1, 30)))
+    d = p.select("doc_id", "user_id", "keyword", "document").join(f, ["user_id", "keyword"]) \
+        .withColumn("draft", draft).withColumn("iteration", pid % 3)
+    r = report_check(d)
+    return r.select("doc_id", "user_id", "keyword", F.array_join("missing", ", ").alias("missing"), "status")
+
+
+REPORT_TEXT = "* {title}\n# {site} 개요\n\n**{keyword}** {body}\n```mermaid\ngraph TD\nA{id}-->B\n```\n- {tail} *#\n"
+REPORT_FIELDS_SQL = dict(title="substr(document, 1, 20)", site="site", keyword="keyword",
+                         body="substr(document, 21, 60)", id="doc_id", tail="substr(document, 81, 30)")
+
+
+def report_texts(spark, sf) -> DataFrame:
+    p = posts(spark, sf)
+    return p.select("doc_id", TX.render(REPORT_TEXT, title=F.substring("document", 1, 20), site="site",
+                                        keyword="keyword", body=F.substring("document", 21, 60), id="doc_id",
+                                        tail=F.substring("document", 81, 30)).alias("report"))
+
+
+REPORT_TEXT_SQL = f"texts AS (SELECT doc_id, {s_render(REPORT_TEXT, **REPORT_FIELDS_SQL)} AS report FROM posts)"
+FENCES_SQL = ("array_to_string(list_transform(string_split(report, '```'), lambda x, i: CASE WHEN i % 2 = 1 THEN x "
+              "WHEN i < len(string_split(report, '```')) THEN replace(x, chr(10), ';') ELSE '```' || x END), '')")
+LINES_SQL = f"""lines AS (
+  SELECT doc_id, line_no,
+         CASE WHEN contains(raw, {q(K.DIAGRAM_MARKER)}) THEN 'diagram' WHEN substr(raw, 1, 1) = '*' THEN 'title'
+              WHEN substr(raw, 1, 1) = '#' THEN 'heading' ELSE 'body' END AS kind, raw
+  FROM (SELECT doc_id, unnest(generate_series(0, len(l) - 1)) AS line_no, unnest(l) AS raw
+        FROM (SELECT doc_id, string_split(regexp_replace({FENCES_SQL}, '\\*\\*(.+?)\\*\\*', '<b>\\1</b>', 'g'), chr(10)) AS l
+              FROM texts))
+  WHERE raw <> ''),
+typed AS (SELECT doc_id, line_no, kind, CASE kind WHEN 'title' THEN replace(raw, '*', '')
+                                             WHEN 'heading' THEN replace(raw, '#', '') ELSE raw END AS text FROM lines)"""
+
+
+@register("report_lines", f"WITH {POSTS}, {REPORT_TEXT_SQL}, {LINES_SQL} SELECT * FROM typed")
+def q_report_lines(spark, sf):
+    from murmura.operators.report import report_lines
+    return report_lines(report_texts(spark, sf), "report", ["doc_id"])
+
+
+@register("fenced_blocks", f"""WITH {POSTS}, {REPORT_TEXT_SQL}
+SELECT doc_id, pos, replace(block, chr(10), ';') AS block
+FROM (SELECT doc_id, unnest(generate_series(0, len(l) - 1)) AS pos, unnest(l) AS block
+      FROM (SELECT doc_id, regexp_extract_all(report, {q(TX.R_FENCE)}, 1) AS l FROM texts))""")
+def q_fenced_blocks(spark, sf):
+    from murmura.operators.report import fenced_blocks
+    return fenced_blocks(report_texts(spark, sf), "report", ["doc_id"])
+
+
+@register("diagram_urls", f"""WITH {POSTS}, {REPORT_TEXT_SQL}, {LINES_SQL}
+SELECT doc_id, line_no, {q(K.DIAGRAM_PNG_PREFIX)} || b64 AS png_url, {q(K.DIAGRAM_SVG_PREFIX)} || b64 AS svg_url
+FROM (SELECT doc_id, line_no, to_base64(encode(replace(text, {q(K.DIAGRAM_MARKER)}, ''))) AS b64
+      FROM typed WHERE kind = 'diagram')""")
+def q_diagram_urls(spark, sf):
+    from murmura.operators.report import diagram_urls, report_lines
+    return diagram_urls(report_lines(report_texts(spark, sf), "report", ["doc_id"]), ["doc_id"])
+
+
+TEMPLATE_DEFAULTS = {"system_default": "You judge relevance.", "prompt_default": "Answer yes or no.",
+                     "company_info_default": "company info: default", "product_info_default": "product info: default"}
+
+
+def templates(spark, sf) -> DataFrame:
+    """Template parameters per user as they were typed (short, empty, long)."""
+    d = table(spark, sf, "documents")
+    i = F.col("doc_id")
+    return d.select(
+        "doc_id", F.expr("substring(text, 1, CAST(doc_id % 10 AS INT))").alias("system"),
+        F.expr("substring(text, 1, CAST(doc_id * 7 % 12 AS INT))").alias("prompt"),
+        F.when(i % 3 == 0, F.lit("")).otherwise(F.substring("text", 1, 12)).alias("company_info"),
+        F.when(i % 2 == 0, F.lit("")).otherwise(F.substring("text", 13, 12)).alias("product_info"),
+        *[F.lit(v).alias(k) for k, v in TEMPLATE_DEFAULTS.items()])
+
+
+@register("template_defaults", f"""WITH t AS (
+  SELECT doc_id, substr(text, 1, CAST(doc_id % 10 AS INTEGER)) AS system,
+         substr(text, 1, CAST(doc_id * 7 % 12 AS INTEGER)) AS prompt,
+         CASE WHEN doc_id % 3 = 0 THEN '' ELSE substr(text, 1, 12) END AS company_info,
+         CASE WHEN doc_id % 2 = 0 THEN '' ELSE substr(text, 13, 12) END AS product_info,
+         {', '.join(f'{q(v)} AS {k}' for k, v in TEMPLATE_DEFAULTS.items())}
+  FROM documents),
+r AS (SELECT *, CASE WHEN length(system) < 6 THEN system_default ELSE system END AS sys_r,
+             CASE WHEN length(prompt) < 6 THEN prompt_default ELSE prompt END AS prompt_r,
+             CASE WHEN company_info = '' AND product_info = ''
+                  THEN chr(10) || chr(10) || company_info_default || chr(10) || chr(10) || product_info_default
+                  ELSE chr(10) || chr(10) || company_info || chr(10) || chr(10) || product_info END AS info
+      FROM t)
+SELECT doc_id,
+       '[INST]<<SYS>>' || chr(10) || info || chr(10) || sys_r || chr(10) || '<</SYS>>' || chr(10) || chr(10)
+         || '''User: {{user_input}}'' ' || prompt_r || '[/INST]' AS crawl_template,
+       CASE WHEN length(prompt) < 6 AND length(system) < 6 THEN prompt_default ELSE prompt END
+         || ': {{context}}' || chr(10) || 'Question: {{question}}' AS conversation_template,
+       prompt_r AS report_template, sys_r AS standalone_template
+FROM r""")
+def q_template_defaults(spark, sf):
+    from murmura.operators.report import template_defaults
+    return template_defaults(templates(spark, sf)).select(
+        "doc_id", "crawl_template", "conversation_template", "report_template", "standalone_template")
