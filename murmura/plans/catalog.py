@@ -424,8 +424,10 @@ def q_store_overwrite(spark, sf):
     return vs.read().select("user_id", "keyword", "doc_id", F.size("embedding").alias("n_dims"))
 
 
-HISTORY_KEYWORD = F.element_at(F.array(*[F.lit(x) for x in ["en", "fr", "de", "es", "it"]]),
-                               (F.col("conv_id") % 5 + 1).cast("int"))
+def history_keyword():
+    """Keyword of the store a conversation belongs to (built from conv_id)."""
+    return F.element_at(F.array(*[F.lit(x) for x in ["en", "fr", "de", "es", "it"]]),
+                        (F.col("conv_id") % 5 + 1).cast("int"))
 HISTORY_KEYWORD_SQL = "['en', 'fr', 'de', 'es', 'it'][conv_id % 5 + 1]"
 
 
@@ -442,7 +444,7 @@ def q_store_delete_status(spark, sf):
     from murmura.operators.store import delete_status
     stores = posts(spark, sf).where(F.col("keyword") != "es").select("user_id", "keyword")
     hist = table(spark, sf, "conversations").select(
-        F.concat(F.lit("u"), (F.col("conv_id") % 3).cast("string")).alias("user_id"), HISTORY_KEYWORD.alias("keyword"))
+        F.concat(F.lit("u"), (F.col("conv_id") % 3).cast("string")).alias("user_id"), history_keyword().alias("keyword"))
     return delete_status(stores.unionByName(hist), stores, hist)
 
 
@@ -846,7 +848,7 @@ def conversations(spark, sf) -> DataFrame:
     """Chat messages of (user, keyword) stores, one conversation each."""
     return table(spark, sf, "conversations").select(
         F.concat(F.lit("u"), (F.col("conv_id") % 3).cast("string")).alias("user_id"),
-        HISTORY_KEYWORD.alias("keyword"), "conv_id", "turn", "role", "text")
+        history_keyword().alias("keyword"), "conv_id", "turn", "role", "text")
 
 
 HIST_KEYS = ["user_id", "keyword", "conv_id"]
@@ -1114,3 +1116,44 @@ def q_template_defaults(spark, sf):
     from murmura.operators.report import template_defaults
     return template_defaults(templates(spark, sf)).select(
         "doc_id", "crawl_template", "conversation_template", "report_template", "standalone_template")
+
+
+# ---------------------------------------------------------- 10. streaming
+
+def _land_runs(df: DataFrame, landing: str) -> None:
+    """Land the posts as one folder of files per run (one write job)."""
+    df.write.mode("overwrite").partitionBy("run_id").parquet(landing)
+
+
+@register("stream_ingest", f"""WITH {SCORED}
+SELECT user_id, keyword, doc_id, url FROM scored
+WHERE {IS_YES_SQL} AND NOT {s_contains_any("coalesce(boardcategory, '')", INGEST_CATEGORIES)}
+  AND NOT {s_contains_any("coalesce(documentcategory, '')", INGEST_CATEGORIES)}""")
+def q_stream_ingest(spark, sf):
+    """Runs arrive as files; the stream merges them into empty stores; a
+    second start with the same checkpoint adds nothing."""
+    from murmura.operators.store import VectorStore
+    from murmura.session import work_dir
+    from murmura.streaming.ingest import stream_ingest
+    root = work_dir(spark, "stream")
+    p = posts(spark, sf)
+    _land_runs(p, f"{root}/landing")
+    for _ in range(2):
+        stream_ingest(spark, f"{root}/landing", root, relevance_scorer(), p.schema,
+                      categories=INGEST_CATEGORIES, files_per_trigger=1)
+    return VectorStore(spark, root).read().select("user_id", "keyword", "doc_id", "url")
+
+
+@register("stream_dedup", f"WITH {OUTLINKS_SQL} SELECT DISTINCT abs_url AS url FROM outlinks")
+def q_stream_dedup(spark, sf):
+    """Crawl requests (page links) stream in per page batch; each url once."""
+    from murmura.session import work_dir
+    from murmura.streaming.dedup import stream_dedup
+    root = work_dir(spark, "dedup")
+    links = X.outlinks(pages_df(spark, sf)).select("page_id", F.col("abs_url").alias("url"))
+    links.write.partitionBy("page_id").parquet(f"{root}/landing")
+    src = spark.readStream.schema(links.schema).option("maxFilesPerTrigger", 64).parquet(f"{root}/landing")
+    q = (stream_dedup(src).writeStream.format("parquet").option("path", f"{root}/out")
+         .option("checkpointLocation", f"{root}/_ckpt").trigger(availableNow=True).start())
+    q.awaitTermination()
+    return spark.read.parquet(f"{root}/out").select("url")
