@@ -562,10 +562,11 @@ def q_centroid_assign(spark, sf):
 
 
 @register("retrieve_context", f"""WITH {EMB_SQL},
+es AS (SELECT e.* FROM e WHERE EXISTS (SELECT 1 FROM documents d WHERE d.doc_id = e.vec_id)),
 hits AS (SELECT * FROM (
-  SELECT c.label AS qid, e.vec_id,
-         row_number() OVER (PARTITION BY c.label ORDER BY list_distance(e.v, c.c), e.vec_id) AS rank
-  FROM e, cents c) WHERE rank <= 4),
+  SELECT c.label AS qid, es.vec_id,
+         row_number() OVER (PARTITION BY c.label ORDER BY list_distance(es.v, c.c), es.vec_id) AS rank
+  FROM es, cents c) WHERE rank <= 4),
 docs AS (SELECT h.qid, h.rank, {s_render(K.CHAT_DOCUMENT_TEMPLATE, page_content='d.text', postdate='NULL')} AS t
          FROM hits h JOIN documents d ON d.doc_id = h.vec_id)
 SELECT c.label AS qid, coalesce(string_agg(t, chr(10) || chr(10) ORDER BY rank), '') AS context
@@ -1018,7 +1019,7 @@ def q_report_check(spark, sf):
                         F.when(pid % 3 == 0, F.concat(F.col("neg_pct").cast("string"), F.lit("%"))),
                         F.when(pid % 5 != 0, F.concat(F.col("neu_pct").cast("string"), F.lit("%"))),
                         F.when(pid % 7 != 0, pcts),
-                        F.when(pid % 4 == 0, F.substring(F.element_at("top_pos", 1), 1, 30)))
+                        F.when(pid % 4 == 0, F.substring(F.try_element_at("top_pos", F.lit(1)), 1, 30)))
     d = p.select("doc_id", "user_id", "keyword", "document").join(f, ["user_id", "keyword"]) \
         .withColumn("draft", draft).withColumn("iteration", pid % 3)
     r = report_check(d)
