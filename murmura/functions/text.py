@@ -25,13 +25,24 @@ def _c(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+# The characters str.isspace() accepts (fixed by the Unicode standard).
+PY_WHITESPACE = ("\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\xa0\u1680"
+                 "\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a"
+                 "\u2028\u2029\u202f\u205f\u3000")
+
+
 def ustrip(c) -> Column:
-    """``str.strip()``: trims Unicode whitespace (``trim`` only trims U+0020)."""
-    return F.regexp_replace(_c(c), R_STRIP, "")
+    """``str.strip()``: trims Unicode whitespace (``trim`` only trims U+0020).
+
+    ``btrim`` with the explicit character set touches only the two ends of
+    the string, unlike a regex replace which scans every character."""
+    return F.btrim(_c(c), F.lit(PY_WHITESPACE))
 
 
 def is_blank(c) -> Column:
-    return ustrip(c) == F.lit("")
+    """Nothing but whitespace (or empty): no non-space character is found.
+    The search stops at the first non-space, i.e. at once for real text."""
+    return ~_c(c).rlike(r"(?U)[^" + WS_CLASS[1:-1] + r"]")
 
 
 def strip_tags(c, drop_blocks: bool = True) -> Column:

@@ -153,7 +153,11 @@ class VectorStore:
         written.  The count comes from an observation of the write itself,
         so the anti join and the embedding run once."""
         from murmura.operators.filters import valid_posts
-        new = anti_by_url(valid_posts(df, text_col), self.read())
+        batch = valid_posts(df, text_col)
+        # only the stores this batch touches are read: a semi join on the
+        # partition columns lets dynamic partition pruning skip the others
+        touched = self.read().join(batch.select(*STORE_KEYS).distinct(), STORE_KEYS, "left_semi")
+        new = anti_by_url(batch, touched)
         obs = Observation("store_append")
         x = self._prepare(new, text_col).observe(obs, F.count(F.lit(1)).alias("rows"))
         x.write.mode("append").partitionBy(*STORE_KEYS).parquet(self.path)

@@ -43,21 +43,31 @@ def topic_terms(df: DataFrame, cluster_col: str = "cluster", text_col: str = "do
                 min_len: int = 3) -> DataFrame:
     """Name clusters by class TF-IDF: tf = term count in the cluster,
     idf = ln(#clusters / #clusters containing the term).  Top ``n_terms`` by
-    score (ties by term).  Returns ``group, cluster, terms, topic``."""
+    score (ties by term).  Returns ``group, cluster, terms, topic``.
+
+    Plan: tokens -> partial/final count per (group, cluster, term) (the only
+    pass over text; map-side combine) -> document frequency as a window over
+    (group, term), whose partitions hold at most one row per cluster -> join
+    the per-group cluster count (one row per group) -> top-n per cluster with
+    a partial WindowGroupLimit before its shuffle.
+    """
     g = list(group_cols)
+    if not g:
+        df = df.withColumn("_all", F.lit(0))
+        g = ["_all"]
     tf = (df.select(*g, cluster_col, F.explode(tokens(text_col, min_len)).alias("term"))
           .groupBy(*g, cluster_col, "term").agg(F.count(F.lit(1)).alias("tf")))
+    tf = tf.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy(*g, "term")))
     n_clusters = df.groupBy(*g).agg(F.count_distinct(cluster_col).alias("n_clusters"))
-    dfreq = tf.groupBy(*g, "term").agg(F.count(F.lit(1)).alias("df"))
-    sc = (tf.join(dfreq, g + ["term"]).join(n_clusters, g) if g else
-          tf.join(dfreq, "term").crossJoin(n_clusters))
-    sc = sc.withColumn("score", F.round(F.col("tf") * F.log(F.col("n_clusters") / F.col("df")), 9))
-    sc = sc.where(F.col("score") > 0)
+    sc = (tf.join(n_clusters, g)
+          .withColumn("score", F.round(F.col("tf") * F.log(F.col("n_clusters") / F.col("df")), 9))
+          .where(F.col("score") > 0))
     w = Window.partitionBy(*g, cluster_col).orderBy(F.desc("score"), F.col("term"))
     top = sc.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n_terms)
-    return top.groupBy(*g, cluster_col).agg(
+    out = top.groupBy(*g, cluster_col).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_rn", "term"))), lambda s: s["term"]).alias("terms")
     ).withColumn("topic", F.array_join("terms", " "))
+    return out.drop("_all") if "_all" in g else out
 
 
 def topic_table(sizes: DataFrame, samples: DataFrame, names: DataFrame,

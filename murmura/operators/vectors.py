@@ -12,6 +12,7 @@ is a window over those survivors.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -41,11 +42,20 @@ def vector_norm(c) -> Column:
 def _collect_bounded(df: DataFrame, max_rows: int, what: str):
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:
-        raise ValueError(f"{what}: more than {max_rows} rows; split the request "
-                         f"(see knn_topk_chunked) instead of broadcasting it")
+        raise ValueError(f"{what}: more than {max_rows} rows cannot be broadcast")
     return rows
 
 
+def _chunks(df: DataFrame, key: str, max_rows: int) -> list[DataFrame] | None:
+    """None when ``df`` fits one broadcast; else hash-bucket slices of it,
+    each (in expectation well) below ``max_rows``."""
+    if df.limit(max_rows + 1).count() <= max_rows:
+        return None
+    n = -(-df.count() // max_rows) * 2          # 2x headroom for hash imbalance
+    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(n))
+    return [df.where(bucket == b) for b in range(n)]
+
+
 def _stack(series: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     """Arrow list column -> (mask of non-null rows, float64 matrix)."""
     ok = series.notna().to_numpy()
@@ -74,6 +84,13 @@ def knn_topk(docs: DataFrame, queries: DataFrame, k: int, *,
     Returns ``qid, rank, doc_id, dist``.
     """
     group_cols = list(group_cols)
+    parts = _chunks(queries, qid, max_queries)
+    if parts is not None:
+        # beyond one broadcast: each query chunk is its own broadcast pass over
+        # the documents; results of disjoint query sets simply union
+        outs = [knn_topk(docs, part, k, doc_id=doc_id, doc_vec=doc_vec, qid=qid, query_vec=query_vec,
+                         group_cols=group_cols, max_queries=max_queries) for part in parts]
+        return reduce(lambda a, b: a.unionByName(b), outs)
     rows = _collect_bounded(queries.select(qid, *group_cols, query_vec), max_queries, "knn queries")
     by_group: dict[tuple, tuple[list, np.ndarray]] = {}
     for r in rows:
@@ -174,6 +191,14 @@ def centroid_assign(vectors: DataFrame, centroids: DataFrame, *, id_col: str = "
 
     Returns ``id_col, label, dist``.
     """
+    parts = _chunks(centroids, label, max_centroids)
+    if parts is not None:
+        # nearest within each centroid chunk, then the overall minimum per id
+        outs = [centroid_assign(vectors, part, id_col=id_col, vec=vec, label=label, centroid=centroid,
+                                max_centroids=max_centroids) for part in parts]
+        best = reduce(lambda a, b: a.unionByName(b), outs).groupBy(id_col).agg(
+            F.min(F.struct("dist", label)).alias("_m"))
+        return best.select(id_col, F.col("_m." + label).alias(label), F.col("_m.dist").alias("dist"))
     rows = _collect_bounded(centroids.select(label, centroid), max_centroids, "centroids")
     rows = [r for r in rows if r[centroid] is not None]
     labels = np.array([r[label] for r in rows])

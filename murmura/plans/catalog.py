@@ -31,8 +31,15 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
+# Row key of each driver table (used to spread under-partitioned scans).
+TABLE_KEYS = {"documents": "doc_id", "pages": "page_id", "embeddings": "vec_id",
+              "conversations": "conv_id", "labels": "doc_id"}
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    from murmura.session import spread
+    df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
+    return spread(df, TABLE_KEYS[name]) if name in TABLE_KEYS else df
 
 
 # ------------------------------------------------------------------ views

@@ -75,3 +75,20 @@ def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     """
     n = df.limit(max_rows + 1).count()
     return F.broadcast(df) if n <= max_rows else df
+
+
+def spread(df: DataFrame, key: str | None = None) -> DataFrame:
+    """Give CPU-heavy narrow stages (regex, hashing, Arrow UDFs) every core.
+
+    A small table stored as one row group scans as a single task; when the
+    scan yields fewer partitions than the cluster's default parallelism the
+    rows are hash-partitioned by ``key`` (deterministic, no sort, and a
+    partitioning later joins / windows on ``key`` can reuse).  A large input
+    already has at least that many splits, so on a cluster this is a no-op:
+    no extra shuffle of big data.
+    """
+    sc = df.sparkSession.sparkContext
+    target = sc.defaultParallelism
+    if df.rdd.getNumPartitions() >= target:
+        return df
+    return df.repartition(target, key) if key else df.repartition(target)

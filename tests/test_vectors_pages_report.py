@@ -110,3 +110,15 @@ def test_arrow_scorer_error_policies(spark):
     hard = ArrowScorer(flaky, on_error="raise")
     with pytest.raises(Exception):
         df.select(hard.column(F.col("t")).alias("s")).collect()
+
+
+def test_knn_and_assign_chunked_paths_agree(spark):
+    e = emb(spark)
+    qs = e.where(F.col("vec_id") < 40).select(F.col("vec_id").alias("qid"), "embedding")
+    one = sorted(knn_topk(e, qs, 3, doc_id="vec_id").collect())
+    many = sorted(knn_topk(e, qs, 3, doc_id="vec_id", max_queries=7).collect())
+    assert one == many
+    c = centroids_by(e, "label")
+    a = sorted(centroid_assign(e, c).collect())
+    b = sorted(centroid_assign(e, c, max_centroids=3).collect())
+    assert [(r.vec_id, r.label) for r in a] == [(r.vec_id, r.label) for r in b]
