@@ -45,6 +45,17 @@ SENTIMENT_PROMPT = (
     "'긍정', '부정', '중립' 중 하나로만 답하세요.\n\n{text}"
 )
 
+# Topic naming instruction; {keyword} and {sample} are filled per cluster,
+# the sample being "- " + the first 150 chars of each of the first 5 texts.
+TOPIC_NAME_PROMPT = (
+    "다음은 '{keyword}' 관련 커뮤니티 사용자 의견들입니다.\n"
+    "이 의견들의 공통 주제를 '{keyword}' 맥락에서 한국어로 5~10자 이내로 간결하게 표현하세요.\n"
+    "예: '요금제 불만', '고객센터 불편', '속도/품질 문제', '가격 경쟁력'\n"
+    "'{keyword}'와 무관한 의견들이면 '무관'으로만 답하세요.\n\n{sample}"
+)
+TOPIC_NAME_SAMPLES = 5
+TOPIC_NAME_SAMPLE_CHARS = 150
+
 # Report text blocks.
 SENTIMENT_HEADER = "[감성 분석 결과 - 전체 {total}개 문서]"
 SENTIMENT_LINE = "- {name}: {n}개 ({pct}%)"

@@ -120,10 +120,12 @@ class VectorStore:
         return f"{base}/user_id={user_id}/keyword={keyword}"
 
     def read(self, user_id: str | None = None, keyword: str | None = None) -> DataFrame:
+        """The stores (declared schema: no inference, and an emptied store
+        folder still reads as an empty table)."""
+        from murmura.schema import STORE_SCHEMA
         if not self._exists(self.path):
-            from murmura.schema import STORE_SCHEMA
             return self.spark.createDataFrame([], STORE_SCHEMA)
-        df = self.spark.read.parquet(self.path)
+        df = self.spark.read.schema(STORE_SCHEMA).parquet(self.path)
         if user_id is not None:
             df = df.where(F.col("user_id") == user_id)
         if keyword is not None:

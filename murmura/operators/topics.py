@@ -96,3 +96,25 @@ def topic_summary_text(table: DataFrame, group_cols: Sequence[str] = STORE_GROUP
                                  lambda s: s["line"]), "\n").alias("lines"))
     header = render(K.TOPIC_HEADER, n="n")
     return agg.select(*g, F.concat(header, F.lit("\n"), F.col("lines")).alias("topic_text"))
+
+
+def naming_prompts(df: DataFrame, cluster_col: str = "cluster", text_col: str = "document",
+                   id_col: str = "doc_id", group_cols: Sequence[str] = STORE_GROUP,
+                   keyword_col: str = "keyword") -> DataFrame:
+    """The model input that names a cluster: the first few contents of the
+    cluster, each cut to a short sample, inside the naming instruction.
+    One bounded row per cluster."""
+    g = list(group_cols)
+    s = cluster_samples(df, cluster_col, text_col, id_col, g, n=K.TOPIC_NAME_SAMPLES)
+    sample = F.array_join(F.transform("samples", lambda x: F.concat(
+        F.lit("- "), F.substring(x, 1, K.TOPIC_NAME_SAMPLE_CHARS))), "\n")
+    kw = F.col(keyword_col) if keyword_col in g else F.lit("")
+    return s.select(*g, cluster_col, render(K.TOPIC_NAME_PROMPT, keyword=kw, sample=sample).alias("prompt"))
+
+
+def model_topic_names(df: DataFrame, namer, cluster_col: str = "cluster", text_col: str = "document",
+                      id_col: str = "doc_id", group_cols: Sequence[str] = STORE_GROUP) -> DataFrame:
+    """Names from a pluggable model (an ``ArrowScorer`` over the prompts),
+    stripped; a drop-in replacement for ``topic_terms`` in ``topic_table``."""
+    p = naming_prompts(df, cluster_col, text_col, id_col, group_cols)
+    return p.select(*group_cols, cluster_col, ustrip(namer.column(F.col("prompt"))).alias("topic"))

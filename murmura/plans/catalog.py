@@ -1129,8 +1129,9 @@ def q_template_defaults(spark, sf):
 # ---------------------------------------------------------- 10. streaming
 
 def _land_runs(df: DataFrame, landing: str) -> None:
-    """Land the posts as one folder of files per run (one write job)."""
-    df.write.mode("overwrite").partitionBy("run_id").parquet(landing)
+    """Land the posts as one folder per run (one write job, one file per run
+    here, so each micro-batch below is one run)."""
+    df.repartition("run_id").write.mode("overwrite").partitionBy("run_id").parquet(landing)
 
 
 @register("stream_ingest", f"""WITH {SCORED}
@@ -1165,3 +1166,21 @@ def q_stream_dedup(spark, sf):
          .option("checkpointLocation", f"{root}/_ckpt").trigger(availableNow=True).start())
     q.awaitTermination()
     return spark.read.parquet(f"{root}/out").select("url")
+
+
+@register("ingest_run", f"""WITH {SCORED},
+relevant AS (SELECT * FROM scored WHERE {IS_YES_SQL}
+  AND NOT {s_contains_any("coalesce(boardcategory, '')", INGEST_CATEGORIES)}
+  AND NOT {s_contains_any("coalesce(documentcategory, '')", INGEST_CATEGORIES)})
+SELECT 1 AS attempt, 'ok' AS status, count(*) AS added, count(*) AS total_filtered FROM relevant
+UNION ALL SELECT 2, 'ok', 0, count(*) FROM relevant""")
+def q_ingest_run(spark, sf):
+    """The whole ingest of the merged runs, twice: the first run fills empty
+    stores, the re-run finds every relevant url stored and adds nothing."""
+    from murmura.plans.ingest import run_ingest
+    from murmura.session import work_dir
+    root = work_dir(spark, "ingest")
+    merged = posts(spark, sf)
+    res = [dict(attempt=i + 1, **run_ingest(spark, merged, root, relevance_scorer(), INGEST_CATEGORIES))
+           for i in range(2)]
+    return spark.createDataFrame(res, "attempt int, status string, added long, total_filtered long")

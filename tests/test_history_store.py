@@ -66,3 +66,18 @@ def test_delete_status(spark):
     h = spark.createDataFrame([("u", "a")], k)
     r = {(x.keyword): x.status for x in delete_status(s, s, h).collect()}
     assert r == {"a": "delete success", "b": "abnormal delete request"}
+
+
+def test_read_history_empty_and_delete(spark, tmp_path):
+    from murmura.sources.history import read_history
+    assert read_history(spark, str(tmp_path / "none")).count() == 0
+    vs = VectorStore(spark, str(tmp_path))
+    assert vs.delete("u", "k") == "abnormal delete request"
+    vs.append_new(post_rows(spark, [{"url": "a", "document": "hello"}]))
+    assert vs.delete("u", "k") == "abnormal delete request"     # no history yet
+    h = spark.createDataFrame([(1, 0, "user", "q")], "conv_id long, turn long, role string, text string")
+    (h.withColumn("user_id", F.lit("u")).withColumn("keyword", F.lit("k"))
+     .write.partitionBy("user_id", "keyword").parquet(vs.history_path))
+    assert read_history(spark, vs.history_path, "u", "k").count() == 1
+    assert vs.delete("u", "k") == "delete success"
+    assert vs.read().count() == 0

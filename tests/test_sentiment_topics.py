@@ -41,3 +41,14 @@ def test_topic_table_drops_and_denominator(spark):
                     group_cols=["g"]).collect()
     assert [(r.cluster, r["count"], r.pct, r.rank) for r in t] == [(0, 3, 50.0, 1)]
     assert t[0].samples == ["text 1", "text 2"]   # blank content skipped, count keeps it
+
+
+def test_model_topic_names_hook(spark):
+    import pandas as pd
+    from murmura.operators.scoring import ArrowScorer
+    from murmura.operators.topics import model_topic_names
+    rows = [(i, i % 2, "k", "u", ("x" * 200) if i == 0 else f"text {i}") for i in range(8)]
+    df = spark.createDataFrame(rows, "doc_id long, cluster int, keyword string, user_id string, document string")
+    namer = ArrowScorer(lambda prompts, _k: pd.Series([" name-%d " % p.count("- ") for p in prompts]))
+    got = {r.cluster: r.topic for r in model_topic_names(df, namer).collect()}
+    assert got == {0: "name-4", 1: "name-4"}
