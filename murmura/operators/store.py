@@ -62,12 +62,37 @@ def latest_run(df: DataFrame) -> DataFrame:
     return df.groupBy(*STORE_KEYS).agg(F.max("run_id").alias("run_id"))
 
 
-def retain_latest_run(df: DataFrame) -> DataFrame:
+def retain_latest_run(df: DataFrame, broadcast_max_rows: int = 200_000) -> DataFrame:
     """Keep only rows of the latest run of each (user, keyword).
 
-    The latest-run table has one row per store; AQE broadcasts it at run
-    time when its measured size allows, else it is a sort-merge semi join."""
-    return df.join(latest_run(df), RUN_KEYS, "left_semi")
+    The latest-run table has one row per store: it is broadcast when it
+    provably has at most ``broadcast_max_rows`` rows, else the semi join
+    shuffles (and AQE may still convert it at run time)."""
+    from murmura.session import sized_broadcast
+    return df.join(sized_broadcast(latest_run(df), broadcast_max_rows), RUN_KEYS, "left_semi")
+
+
+def drop_stale_runs(spark: SparkSession, path: str, stores: DataFrame) -> int:
+    """Delete every run folder but the latest of each given (user, keyword).
+
+    Retention is a metadata operation: run folders are listed and removed
+    on the (shared) file system, no data is rewritten.  ``stores`` holds the
+    pairs a job touched (a handful per run).  Returns folders removed."""
+    jvm = spark._jvm
+    conf = spark._jsc.hadoopConfiguration()
+    removed = 0
+    for r in stores.select(*STORE_KEYS).distinct().toLocalIterator():
+        base = jvm.org.apache.hadoop.fs.Path(f"{path}/user_id={r['user_id']}/keyword={r['keyword']}")
+        fs = base.getFileSystem(conf)
+        if not fs.exists(base):
+            continue
+        runs = sorted((st.getPath() for st in fs.listStatus(base)
+                       if st.isDirectory() and st.getPath().getName().startswith("run_id=")),
+                      key=lambda p: p.getName())
+        for p in runs[:-1]:
+            fs.delete(p, True)
+            removed += 1
+    return removed
 
 
 # ----------------------------------------------------------------- store

@@ -239,6 +239,11 @@ def topic_cluster(df: DataFrame, k: int = 10, *, vec: str = "embedding", seed: i
         return data.select(id_col, F.lit(None).cast("int").alias("cluster")).limit(0)
     if kk == 1:
         return data.select(id_col, F.lit(0).alias("cluster"))
-    model = KMeans(k=kk, seed=seed, maxIter=max_iter, featuresCol="features",
-                   predictionCol="cluster").fit(data)
+    from pyspark import StorageLevel
+    cached = data.persist(StorageLevel.MEMORY_AND_DISK)   # iterative: one read per fit
+    try:
+        model = KMeans(k=kk, seed=seed, maxIter=max_iter, featuresCol="features",
+                       predictionCol="cluster").fit(cached)
+    finally:
+        cached.unpersist()
     return model.transform(data).select(id_col, "cluster")

@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from murmura.functions.constants import EXCLUDE_CATEGORIES
 from murmura.operators.filters import exclude_categories, relevance_filter, valid_posts
 from murmura.operators.scoring import Scorer, score
-from murmura.operators.store import VectorStore, anti_by_url, retain_latest_run, write_runs
+from murmura.operators.store import VectorStore, anti_by_url, drop_stale_runs, write_runs
 from murmura.schema import STORE_KEYS
 
 
@@ -56,7 +56,5 @@ def run_ingest(spark: SparkSession, merged: DataFrame, root: str, scorer: Scorer
     total = persisted.count()
     store = VectorStore(spark, root, embedder)
     added = store.append_new(persisted.drop("run_id", "relevance"))
-    latest = retain_latest_run(spark.read.parquet(filtered_path))
-    latest_path = f"{root}/posts_latest"
-    latest.write.mode("overwrite").parquet(latest_path)
+    drop_stale_runs(spark, filtered_path, merged)
     return {"status": "ok", "added": added, "total_filtered": total}

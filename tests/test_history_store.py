@@ -81,3 +81,14 @@ def test_read_history_empty_and_delete(spark, tmp_path):
     assert read_history(spark, vs.history_path, "u", "k").count() == 1
     assert vs.delete("u", "k") == "delete success"
     assert vs.read().count() == 0
+
+
+def test_drop_stale_runs_keeps_latest(spark, tmp_path):
+    from murmura.operators.store import drop_stale_runs, read_runs, write_runs
+    rows = [("u", "k", f"2024-01-0{d}T00h00m00s", f"doc{d}") for d in (1, 2, 3)] + [("u", "j", "2024-01-01T00h00m00s", "x")]
+    df = spark.createDataFrame(rows, "user_id string, keyword string, run_id string, document string")
+    path = str(tmp_path / "runs")
+    write_runs(df, path)
+    assert drop_stale_runs(spark, path, df) == 2
+    left = sorted((r.keyword, r.run_id) for r in read_runs(spark, path).select("keyword", "run_id").collect())
+    assert left == [("j", "2024-01-01T00h00m00s"), ("k", "2024-01-03T00h00m00s")]
