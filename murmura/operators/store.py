@@ -40,6 +40,31 @@ def write_runs(df: DataFrame, path: str) -> None:
      .partitionBy(*RUN_KEYS).parquet(path))
 
 
+def land_run_csvs(spark: SparkSession, csv_glob: str, path: str, user_id: str, keyword: str,
+                  run_id: str, remove_sources: bool = False) -> int:
+    """Merge the per-site CSVs of one run into the run table (replacing an
+    earlier merge of that run) and optionally delete the CSVs afterwards.
+    The CSV read is not splittable (multiLine), so it is landed once here
+    and every later step reads Parquet.  Returns the rows written."""
+    from murmura.sources.posts import read_posts_csv
+    jvm = spark._jvm
+    pat = jvm.org.apache.hadoop.fs.Path(csv_glob)
+    fs = pat.getFileSystem(spark._jsc.hadoopConfiguration())
+    sources = list(fs.globStatus(pat) or [])
+    if not sources:                      # an empty run: nothing to merge
+        return 0
+    obs = Observation("land_run")
+    df = (read_posts_csv(spark, csv_glob)
+          .withColumn("user_id", F.lit(user_id)).withColumn("keyword", F.lit(keyword.replace(" ", "_")))
+          .withColumn("run_id", F.lit(run_id)).observe(obs, F.count(F.lit(1)).alias("rows")))
+    write_runs(df, path)
+    n = int(obs.get.get("rows", 0))
+    if remove_sources:
+        for st in sources:
+            fs.delete(st.getPath(), True)
+    return n
+
+
 def read_runs(spark: SparkSession, path: str, user_id: str | None = None,
               keyword: str | None = None) -> DataFrame:
     """Scan runs; the user / keyword predicates prune partitions."""

@@ -303,6 +303,15 @@ def q_prompt_column(spark, sf):
     return posts(spark, sf).select("doc_id", TX.render(K.RELEVANCE_PROMPT, keyword="keyword", text="document").alias("prompt"))
 
 
+@register("sentiment_prompt", f"""WITH {POSTS}
+SELECT doc_id, {s_render(K.SENTIMENT_PROMPT, keyword='keyword', text=sstrip("replace(replace(substr(document, 1, 300), chr(0), ''), chr(13), ' ')"))} AS prompt
+FROM posts""")
+def q_sentiment_prompt(spark, sf):
+    """The sentiment instruction for every stored post (batch-inference input)."""
+    return posts(spark, sf).select("doc_id", TX.render(
+        K.SENTIMENT_PROMPT, keyword="keyword", text=TX.prep_for_sentiment("document")).alias("prompt"))
+
+
 RELEVANCE_EXCLUDE = ["ouch", "sch"]
 RELEVANCE_YES = " Yes, relevant"
 

@@ -24,3 +24,31 @@ def retrieve_context(questions: DataFrame, store: DataFrame, k: int = 4,
         F.array_sort(F.collect_list(F.struct("rank", "t"))), lambda s: s["t"]), sep).alias("context"))
     return (questions.select("qid").join(ctx, "qid", "left")
             .select("qid", F.coalesce("context", F.lit("")).alias("context")))
+
+
+def answer_inputs(questions: DataFrame, variants: DataFrame, store: DataFrame, history: DataFrame,
+                  k: int = 4, last_k: int = 5, keys=("user_id", "keyword")) -> DataFrame:
+    """Everything an external model needs to answer a question of a store:
+    the context from the distinct union of the variants' top-k documents of
+    that store, and the last ``last_k`` question/answer turns.
+
+    ``questions(qid, user_id, keyword)``, ``variants(parent_qid, variant,
+    user_id, keyword, embedding)``, ``store(doc_id, user_id, keyword,
+    document, postdate, embedding)``, ``history(user_id, keyword, conv_id,
+    turn, role, text)``.  Returns ``qid, context, history``.
+    """
+    from murmura.operators.history import last_k_turns
+    from murmura.operators.vectors import multi_query_topk
+    g = list(keys)
+    hits = multi_query_topk(store, variants, k, group_cols=g)
+    docs = hits.join(store.drop("embedding", *g), "doc_id").select(
+        F.col("parent_qid").alias("qid"), "ord", render(CHAT_DOCUMENT_TEMPLATE, page_content="document").alias("t"))
+    ctx = docs.groupBy("qid").agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("ord", "t"))), lambda s: s["t"]), "\n\n").alias("context"))
+    turns = last_k_turns(history, last_k, g + ["conv_id"])
+    hist = turns.groupBy(*g).agg(F.array_join(F.transform(
+        F.array_sort(F.collect_list(F.struct("conv_id", "pos", "role", "text"))),
+        lambda s: F.concat(s["role"], F.lit(": "), s["text"])), "\n").alias("history"))
+    return (questions.join(ctx, "qid", "left").join(hist, g, "left")
+            .select("qid", *g, F.coalesce("context", F.lit("")).alias("context"),
+                    F.coalesce("history", F.lit("")).alias("history")))

@@ -92,3 +92,33 @@ def test_drop_stale_runs_keeps_latest(spark, tmp_path):
     assert drop_stale_runs(spark, path, df) == 2
     left = sorted((r.keyword, r.run_id) for r in read_runs(spark, path).select("keyword", "run_id").collect())
     assert left == [("j", "2024-01-01T00h00m00s"), ("k", "2024-01-03T00h00m00s")]
+
+
+def test_land_run_csvs_replaces_and_removes(spark, tmp_path):
+    from murmura.operators.store import land_run_csvs, read_runs
+    from murmura.sources.posts import export_csv
+    src = str(tmp_path / "csv")
+    export_csv(post_rows(spark, [{"url": "a", "document": "x,\n\"y\""}, {"url": "b", "document": "z"}])
+               .drop("user_id", "keyword"), src)
+    out = str(tmp_path / "merged")
+    assert land_run_csvs(spark, src + "/*.csv", out, "u", "my kw", "2024-01-01T00h00m00s", remove_sources=True) == 2
+    # sources are gone: a second landing is an empty run and keeps the merge
+    assert land_run_csvs(spark, src + "/*.csv", out, "u", "my kw", "2024-01-01T00h00m00s") == 0
+    back = read_runs(spark, out, "u", "my_kw")
+    assert sorted(r.document for r in back.collect()) == ['x,\n"y"', "z"]
+
+
+def test_answer_inputs(spark):
+    from murmura.plans.retrieval import answer_inputs
+    store = spark.createDataFrame(
+        [(1, "u", "k", "near", None, [1.0, 0.0]), (2, "u", "k", "far", None, [0.0, 1.0]),
+         (3, "v", "k", "other store", None, [1.0, 0.0])],
+        "doc_id long, user_id string, keyword string, document string, postdate string, embedding array<float>")
+    qs = spark.createDataFrame([("q1", "u", "k")], "qid string, user_id string, keyword string")
+    var = spark.createDataFrame([("q1", 0, "u", "k", [1.0, 0.1]), ("q1", 1, "u", "k", [0.1, 1.0])],
+                                "parent_qid string, variant int, user_id string, keyword string, embedding array<float>")
+    hist = spark.createDataFrame([("u", "k", 1, 0, "user", "hi"), ("u", "k", 1, 1, "assistant", "yo")],
+                                 "user_id string, keyword string, conv_id long, turn long, role string, text string")
+    r = answer_inputs(qs, var, store, hist, k=1).first()
+    assert r.context == "내용 : near, 날짜 : nan\n\n내용 : far, 날짜 : nan"
+    assert r.history == "user: hi\nassistant: yo"
