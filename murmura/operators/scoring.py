@@ -137,6 +137,18 @@ def bucket_counts(text, dim: int) -> Column:
                        lambda i: F.size(F.filter(b, lambda x: x == i)))
 
 
+def _bincount_rows(s: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Per-row bucket counts of a Series of int arrays, in one bincount over
+    (row * dim + bucket).  Returns (counts float64 [n, dim], non-null mask)."""
+    ok = s.notna().to_numpy()
+    arrs = [np.asarray(b, dtype=np.int64) if o else np.empty(0, dtype=np.int64) for b, o in zip(s, ok)]
+    lens = np.fromiter((len(a) for a in arrs), dtype=np.int64, count=len(arrs))
+    flat = np.concatenate(arrs) if arrs else np.empty(0, dtype=np.int64)
+    rows = np.repeat(np.arange(len(arrs), dtype=np.int64), lens)
+    m = np.bincount(rows * dim + flat, minlength=len(arrs) * dim).reshape(len(arrs), dim)
+    return m.astype(np.float64), ok
+
+
 class HashEmbedder:
     """Offline embedder: L2-normalised hashed bag of words.
 
@@ -155,9 +167,8 @@ class HashEmbedder:
         @F.pandas_udf(T.ArrayType(T.IntegerType()))
         def counts(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for s in it:
-                yield pd.Series([None if b is None else
-                                 np.bincount(np.asarray(b, dtype=np.int64), minlength=dim).astype(np.int32)
-                                 for b in s])
+                m, ok = _bincount_rows(s, dim)
+                yield pd.Series([row.astype(np.int32) if o else None for row, o in zip(m, ok)])
 
         return counts(hash_buckets(text, dim))
 
@@ -167,15 +178,10 @@ class HashEmbedder:
         @F.pandas_udf(T.ArrayType(T.FloatType()))
         def embed(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
             for s in it:
-                out = []
-                for b in s:
-                    if b is None:
-                        out.append(None)
-                        continue
-                    v = np.bincount(np.asarray(b, dtype=np.int64), minlength=dim).astype(np.float64)
-                    n = np.sqrt((v * v).sum())
-                    out.append((v / n if n > 0 else v).astype(np.float32))
-                yield pd.Series(out)
+                m, ok = _bincount_rows(s, dim)
+                norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+                v = np.where(norm > 0, m / np.where(norm > 0, norm, 1.0), m).astype(np.float32)
+                yield pd.Series([row if o else None for row, o in zip(v, ok)])
 
         return embed(hash_buckets(text, dim))
 

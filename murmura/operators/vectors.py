@@ -65,11 +65,35 @@ def _stack(series: pd.Series) -> tuple[np.ndarray, np.ndarray]:
     return ok, np.stack([np.asarray(v, dtype=np.float64) for v in vals.to_numpy()])
 
 
-def _merge_topk(best_d, best_i, d, i, k):
-    dd = np.concatenate([best_d, d])
-    ii = np.concatenate([best_i, i])
-    order = np.lexsort((ii, dd))[:k]
-    return dd[order], ii[order]
+def _exact_candidates(X: np.ndarray, Q: np.ndarray, k: int):
+    """Exact k nearest rows of X for every row of Q.
+
+    Squared distances come from one BLAS product (|x|^2 + |q|^2 - 2 x.q);
+    every row within a small slack of a query's k-th value is a candidate,
+    and candidates are re-measured with the direct formula sqrt(sum((x-q)^2)),
+    so the selection and the distances are exact, not approximate.
+    Returns (query index, row index, distance) arrays.
+    """
+    n = X.shape[0]
+    kk = min(k, n)
+    xx = np.einsum("ij,ij->i", X, X)
+    qq = np.einsum("ij,ij->i", Q, Q)
+    d2 = xx[:, None] + qq[None, :] - 2.0 * (X @ Q.T)            # (n, q)
+    kth = np.partition(d2, kk - 1, axis=0)[kk - 1] if kk < n else d2.max(axis=0)
+    slack = 1e-9 * (1.0 + np.abs(kth) + qq)
+    rows, cols = np.nonzero(d2 <= (kth + slack)[None, :])
+    dist = np.sqrt(((X[rows] - Q[cols]) ** 2).sum(axis=1))
+    return cols, rows, dist
+
+
+def _first_k(q: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int):
+    """Keep the k smallest (dist, id) per query value."""
+    order = np.lexsort((ids, d, q))
+    q, ids, d = q[order], ids[order], d[order]
+    start = np.r_[0, np.flatnonzero(q[1:] != q[:-1]) + 1]
+    rank = np.arange(len(q)) - np.repeat(start, np.diff(np.r_[start, len(q)]))
+    keep = rank < k
+    return q[keep], ids[keep], d[keep]
 
 
 def knn_topk(docs: DataFrame, queries: DataFrame, k: int, *,
@@ -100,17 +124,24 @@ def knn_topk(docs: DataFrame, queries: DataFrame, k: int, *,
         ids, vecs = by_group.setdefault(key, ([], []))
         ids.append(r[qid])
         vecs.append(np.asarray(r[query_vec], dtype=np.float64))
-    packed = {key: (ids, np.stack(vecs)) for key, (ids, vecs) in by_group.items()}
+    # queries numbered 0..n-1 across groups; a group maps to (first index, matrix)
+    keys_all, packed, start = [], {}, 0
+    for key, (ids, vecs) in by_group.items():
+        packed[key] = (start, np.stack(vecs))
+        keys_all.extend(ids)
+        start += len(ids)
     spark = docs.sparkSession
-    bc = spark.sparkContext.broadcast(packed)
+    bc = spark.sparkContext.broadcast((keys_all, packed))
     qid_type = queries.schema[qid].dataType
     id_type = docs.schema[doc_id].dataType
     out_schema = T.StructType([T.StructField(qid, qid_type), T.StructField(doc_id, id_type),
                                T.StructField("dist", T.DoubleType())])
 
     def kernel(batches):
-        groups = bc.value
-        best: dict = {}
+        keys, groups = bc.value
+        bq = np.empty(0, dtype=np.int64)       # running top-k per query:
+        bi = None                              # query index, doc id, distance
+        bd = np.empty(0)
         for pdf in batches:
             if group_cols:
                 parts = pdf.groupby(group_cols, sort=False, dropna=False).indices.items()
@@ -118,29 +149,22 @@ def knn_topk(docs: DataFrame, queries: DataFrame, k: int, *,
                 parts = [((), np.arange(len(pdf)))]
             for key, idx in parts:
                 key = key if isinstance(key, tuple) else (key,)
-                if group_cols and key not in groups:
-                    continue
-                qids, qmat = groups.get(tuple(key) if group_cols else (), (None, None))
-                if qids is None:
+                hit = groups.get(tuple(key) if group_cols else ())
+                if hit is None:
                     continue
+                first, qmat = hit
                 sub = pdf.iloc[idx]
                 ok, X = _stack(sub[doc_vec])
                 if X.shape[0] == 0:
                     continue
                 ids = sub[doc_id].to_numpy()[ok]
-                for j, q in enumerate(qmat):
-                    d = np.sqrt(((X - q) ** 2).sum(axis=1))
-                    cur = best.get(qids[j])
-                    if cur is None:
-                        cur = (np.empty(0), np.empty(0, dtype=ids.dtype))
-                    best[qids[j]] = _merge_topk(cur[0], cur[1], d, ids, k)
-        out_q, out_i, out_d = [], [], []
-        for q, (d, i) in best.items():
-            out_q.extend([q] * len(d))
-            out_i.extend(i.tolist())
-            out_d.extend(d.tolist())
-        if out_q:
-            yield pd.DataFrame({qid: out_q, doc_id: out_i, "dist": out_d})
+                qi, ri, d = _exact_candidates(X, qmat, k)
+                bi = ids[ri] if bi is None else np.concatenate([bi, ids[ri]])
+                bq = np.concatenate([bq, qi + first])
+                bd = np.concatenate([bd, d])
+                bq, bi, bd = _first_k(bq, bi, bd, k)   # bounded: <= k per query
+        if bi is not None and len(bq):
+            yield pd.DataFrame({qid: [keys[j] for j in bq], doc_id: bi, "dist": bd})
 
     survivors = docs.select(*group_cols, doc_id, doc_vec).mapInPandas(kernel, out_schema)
     w = Window.partitionBy(qid).orderBy(F.col("dist"), F.col(doc_id))
@@ -214,12 +238,14 @@ def centroid_assign(vectors: DataFrame, centroids: DataFrame, *, id_col: str = "
             ok, X = _stack(pdf[vec])
             if X.shape[0] == 0 or len(labs) == 0:
                 continue
-            D = np.stack([np.sqrt(((X - c) ** 2).sum(axis=1)) for c in C], axis=1)
-            # lexicographic (distance, label) minimum per row
-            order = np.lexsort((np.broadcast_to(labs, D.shape), D), axis=1)[:, 0]
-            rows_ = np.arange(D.shape[0])
-            yield pd.DataFrame({id_col: pdf[id_col].to_numpy()[ok], label: labs[order],
-                                "dist": D[rows_, order]})
+            # nearest centroid per row = the 1-nearest row of C for each row of X
+            ci, ri, d = _exact_candidates(C, X, 1)
+            # ties: smallest label (sort by row, distance, label)
+            lab_rank = np.argsort(np.argsort(labs, kind="stable"), kind="stable")
+            r, c, dd = _first_k(ci, lab_rank[ri], d, 1)
+            by_rank = np.empty_like(labs)
+            by_rank[lab_rank] = labs
+            yield pd.DataFrame({id_col: pdf[id_col].to_numpy()[ok][r], label: by_rank[c], "dist": dd})
 
     return vectors.select(id_col, vec).mapInPandas(kernel, out_schema)
 
