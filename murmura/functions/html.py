@@ -82,3 +82,8 @@ def absolute_url(base, href) -> Column:
 
 def host_of(url) -> Column:
     return F.regexp_extract(_c(url), R_HOST, 1)
+
+
+def get_clean(html, pattern: str) -> Column:
+    """First match, tags removed, cleaned like ``clean_str`` ('' when absent)."""
+    return clean_str(strip_tags(first_match(html, pattern), drop_blocks=False))

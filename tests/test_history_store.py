@@ -122,3 +122,25 @@ def test_answer_inputs(spark):
     r = answer_inputs(qs, var, store, hist, k=1).first()
     assert r.context == "내용 : near, 날짜 : nan\n\n내용 : far, 날짜 : nan"
     assert r.history == "user: hi\nassistant: yo"
+
+
+def test_stream_batch_replay_adds_nothing(spark, tmp_path):
+    from murmura.operators.scoring import RuleRelevance
+    from murmura.streaming.ingest import ingest_batch_fn
+    batch = post_rows(spark, [{"url": "a", "document": "k is great"}, {"url": "b", "document": "about k"},
+                              {"url": "c", "document": "nothing"}])
+    run = ingest_batch_fn(spark, str(tmp_path), RuleRelevance(), categories=[])
+    run(batch, 0)
+    run(batch, 0)          # the same micro-batch delivered again after a failure
+    assert VectorStore(spark, str(tmp_path)).read().count() == 2
+
+
+def test_hot_url_anti_join(spark):
+    # one url holds a third of the batch: every copy is new (none stored) or none is
+    rows = [{"url": "hot", "document": f"d{i}"} for i in range(30)] + \
+           [{"url": f"u{i}", "document": f"e{i}"} for i in range(60)]
+    batch = post_rows(spark, rows)
+    store = post_rows(spark, [{"url": "u1", "document": "x"}])
+    assert anti_by_url(batch, store).count() == 89
+    store2 = post_rows(spark, [{"url": "hot", "document": "x"}])
+    assert anti_by_url(batch, store2).count() == 60

@@ -122,3 +122,10 @@ def test_knn_and_assign_chunked_paths_agree(spark):
     a = sorted(centroid_assign(e, c).collect())
     b = sorted(centroid_assign(e, c, max_centroids=3).collect())
     assert [(r.vec_id, r.label) for r in a] == [(r.vec_id, r.label) for r in b]
+
+
+def test_get_clean(spark):
+    from murmura.functions.html import get_clean
+    df = spark.createDataFrame([("<div><span>\ta b\n</span></div>",), ("<p>x</p>",)], "html string")
+    got = [r.v for r in df.select(get_clean("html", r"(?s)<span>(.*?)</span>").alias("v")).collect()]
+    assert got == ["a b", ""]
