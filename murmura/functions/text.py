@@ -108,9 +108,10 @@ def render(template: str, missing: str | None = "nan", **cols) -> Column:
 
 
 def tokens(c, min_len: int = 1) -> Column:
-    """Lower-cased letter/digit runs (any script), empties removed."""
-    arr = F.split(F.lower(_c(c)), R_TOKEN_SPLIT, -1)
-    return F.filter(arr, lambda t: F.char_length(t) >= max(min_len, 1))
+    """Lower-cased maximal runs of letters/digits (any script) of at least
+    ``min_len`` characters: one regex scan, no intermediate split array."""
+    n = max(min_len, 1)
+    return F.regexp_extract_all(F.lower(_c(c)), F.lit(r"[\p{L}\p{N}]{" + str(n) + r",}"), F.lit(0))
 
 
 def contains_any(c, terms) -> Column:
