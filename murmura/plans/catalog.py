@@ -143,7 +143,7 @@ TOP_SQL = f"""tops AS (
 
 
 @register("top_opinions", f"""WITH {LABELED}, {TOP_SQL}
-SELECT user_id, keyword, sentiment, doc_id, views_n, opinion, rank FROM tops""")
+SELECT user_id, keyword, sentiment, doc_id, views_n, opinion, CAST(rank AS INTEGER) AS rank FROM tops""")
 def q_top_opinions(spark, sf):
     from murmura.operators.sentiment import top_opinions
     return top_opinions(labeled(spark, sf), "sentiment").select(
@@ -503,7 +503,7 @@ def label_centroids(spark, sf) -> DataFrame:
 
 
 @register("l2_normalize", """
-SELECT vec_id, pos, round(CAST(CAST(x / nrm AS FLOAT) AS DOUBLE), 6) AS val
+SELECT vec_id, CAST(pos AS INTEGER) AS pos, round(CAST(CAST(x / nrm AS FLOAT) AS DOUBLE), 6) AS val
 FROM (SELECT vec_id, unnest(generate_series(0, len(v) - 1)) AS pos, unnest(v) AS x,
              sqrt(list_sum(list_transform(v, lambda y: y * y))) AS nrm
       FROM (SELECT vec_id, embedding::DOUBLE[] AS v FROM embeddings))""")
@@ -516,7 +516,7 @@ def q_l2_normalize(spark, sf):
 
 def _knn_sql(k: int) -> str:
     return f"""WITH {EMB_SQL}
-SELECT qid, rank, vec_id, round(dist, 6) AS dist FROM (
+SELECT qid, CAST(rank AS INTEGER) AS rank, vec_id, round(dist, 6) AS dist FROM (
   SELECT c.label AS qid, e.vec_id, list_distance(e.v, c.c) AS dist,
          row_number() OVER (PARTITION BY c.label ORDER BY list_distance(e.v, c.c), e.vec_id) AS rank
   FROM e, cents c) WHERE rank <= {k}"""
@@ -550,8 +550,8 @@ hits AS (SELECT * FROM (
   FROM e, variants q) WHERE rank <= 4),
 firsts AS (SELECT parent_qid, vec_id, min((variant, rank)) AS m, arg_min(dist, (variant, rank)) AS dist
            FROM hits GROUP BY parent_qid, vec_id)
-SELECT parent_qid, row_number() OVER (PARTITION BY parent_qid ORDER BY m.variant, m.rank, vec_id) AS ord,
-       vec_id, m.variant AS variant, m.rank AS rank, round(dist, 6) AS dist
+SELECT parent_qid, CAST(row_number() OVER (PARTITION BY parent_qid ORDER BY m.variant, m.rank, vec_id) AS INTEGER) AS ord,
+       vec_id, m.variant AS variant, CAST(m.rank AS INTEGER) AS rank, round(dist, 6) AS dist
 FROM (SELECT parent_qid, vec_id, struct_pack(variant := m[1], rank := m[2]) AS m, dist FROM firsts)""")
 def q_multi_query_topk(spark, sf):
     """Three variants per question (label): union of their top-4, first seen."""
@@ -654,7 +654,8 @@ def q_topic_terms(spark, sf):
 
 
 @register("topic_table", f"""WITH {TOPIC_TABLE_SQL}
-SELECT user_id, keyword, cluster, topic, count, pct, array_to_string(samples, ' | ') AS samples, rank FROM topics""")
+SELECT user_id, keyword, cluster, topic, count, pct, array_to_string(samples, ' | ') AS samples,
+       CAST(rank AS INTEGER) AS rank FROM topics""")
 def q_topic_table(spark, sf):
     t = topic_table_df(spark, sf)
     return t.select("user_id", "keyword", "cluster", "topic", "count", "pct",
@@ -793,7 +794,7 @@ def q_page_fields(spark, sf):
 
 
 OUTLINKS_SQL = f"""outlinks AS (
-  SELECT page_id, pos, href, {_abs_sql('url', 'href')} AS abs_url
+  SELECT page_id, CAST(pos AS INTEGER) AS pos, href, {_abs_sql('url', 'href')} AS abs_url
   FROM (SELECT page_id, url, unnest(generate_series(0, len(l) - 1)) AS pos, unnest(l) AS href
         FROM (SELECT page_id, url, regexp_extract_all(html, {q(H.R_HREF)}, 1) AS l FROM pages)))"""
 
@@ -803,7 +804,7 @@ def q_outlinks(spark, sf):
     return X.outlinks(pages_df(spark, sf))
 
 
-@register("zip_links", f"""SELECT page_id, pos, href, label FROM (
+@register("zip_links", f"""SELECT page_id, CAST(pos AS INTEGER) AS pos, href, label FROM (
   SELECT page_id, unnest(generate_series(0, n - 1)) AS pos, unnest(a[1:n]) AS href,
          unnest(list_transform(b[1:n], lambda x: {sstrip(f"regexp_replace(x, {q(TAG_SQL)}, '', 'g')")})) AS label
   FROM (SELECT page_id, a, b, least(len(a), len(b)) AS n
@@ -816,7 +817,7 @@ def q_zip_links(spark, sf):
 RESULT_URL = "https://%s/search?page=%d"
 
 
-@register("result_pages", f"""SELECT host, n_pages, page_no, printf({q(RESULT_URL)}, host, page_no) AS url
+@register("result_pages", f"""SELECT host, n_pages, CAST(page_no AS INTEGER) AS page_no, printf({q(RESULT_URL)}, host, page_no) AS url
 FROM (SELECT host, n_pages, unnest(generate_series(1, n_pages)) AS page_no
       FROM (SELECT host, CAST(CAST(replace(hit_text, ',', '') AS BIGINT) // {K.RESULTS_PER_PAGE} + 1 AS INTEGER) AS n_pages
             FROM (SELECT host, format('{{:,}}', count(*) * 100) AS hit_text
@@ -1058,7 +1059,7 @@ REPORT_TEXT_SQL = f"texts AS (SELECT doc_id, {s_render(REPORT_TEXT, **REPORT_FIE
 FENCES_SQL = ("array_to_string(list_transform(string_split(report, '```'), lambda x, i: CASE WHEN i % 2 = 1 THEN x "
               "WHEN i < len(string_split(report, '```')) THEN replace(x, chr(10), ';') ELSE '```' || x END), '')")
 LINES_SQL = f"""lines AS (
-  SELECT doc_id, line_no,
+  SELECT doc_id, CAST(line_no AS INTEGER) AS line_no,
          CASE WHEN contains(raw, {q(K.DIAGRAM_MARKER)}) THEN 'diagram' WHEN substr(raw, 1, 1) = '*' THEN 'title'
               WHEN substr(raw, 1, 1) = '#' THEN 'heading' ELSE 'body' END AS kind, raw
   FROM (SELECT doc_id, unnest(generate_series(0, len(l) - 1)) AS line_no, unnest(l) AS raw
@@ -1076,7 +1077,7 @@ def q_report_lines(spark, sf):
 
 
 @register("fenced_blocks", f"""WITH {POSTS}, {REPORT_TEXT_SQL}
-SELECT doc_id, pos, replace(block, chr(10), ';') AS block
+SELECT doc_id, CAST(pos AS INTEGER) AS pos, replace(block, chr(10), ';') AS block
 FROM (SELECT doc_id, unnest(generate_series(0, len(l) - 1)) AS pos, unnest(l) AS block
       FROM (SELECT doc_id, regexp_extract_all(report, {q(TX.R_FENCE)}, 1) AS l FROM texts))""")
 def q_fenced_blocks(spark, sf):
