@@ -10,7 +10,6 @@ from pyspark.sql import functions as F
 # Python's str.strip() whitespace set: Unicode White_Space plus the
 # information separators U+001C..U+001F.
 WS_CLASS = r"[\s\x{1c}-\x{1f}]"
-R_STRIP = r"(?U)^" + WS_CLASS + r"+|" + WS_CLASS + r"+$"
 R_TAG = r"(?s)</?([^ >/]+).*?>"
 R_SCRIPT = r"(?is)<script\b.*?</script>"
 R_STYLE = r"(?is)<style\b.*?</style>"
@@ -18,7 +17,6 @@ R_CLEAN_DATE = r"(?U)" + WS_CLASS + r"*수정일" + WS_CLASS + r"*:" + WS_CLASS
 R_CLEAN_BOARD = r"(?U)^\d+" + WS_CLASS + r"*|" + WS_CLASS + r"{2,}"
 R_WS_RUN = r"(?U)" + WS_CLASS + r"+"
 R_FENCE = r"(?s)```(.*?)```"
-R_TOKEN_SPLIT = r"[^\p{L}\p{N}]+"
 
 
 def _c(c) -> Column:
@@ -140,5 +138,5 @@ __all__ = [
     "ustrip", "is_blank", "strip_tags", "clean_date", "clean_board", "collapse_ws",
     "clean_str", "prep_for_sentiment", "truncate_ellipsis", "render", "tokens",
     "contains_any", "safe_int", "base64_utf8",
-    "R_STRIP", "R_TAG", "R_SCRIPT", "R_STYLE", "R_FENCE", "R_TOKEN_SPLIT",
+    "R_TAG", "R_SCRIPT", "R_STYLE", "R_FENCE", "PY_WHITESPACE",
 ]

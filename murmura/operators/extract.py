@@ -12,8 +12,8 @@ from pyspark.sql import types as T
 
 from murmura.functions import constants as K
 from murmura.functions.html import (R_ANCHOR_TEXT, R_HREF, absolute_url, extract_all, extract_field,
-                                    first_match, host_of, leaf_pattern, strings_of, text_joined)
-from murmura.functions.text import _c, strip_tags, ustrip
+                                    first_match, host_of, strings_of, text_joined)
+from murmura.functions.text import strip_tags, ustrip
 from murmura.schema import POST_COLUMNS
 
 P_PARAGRAPH = r"(?s)<p>(.*?)</p>"

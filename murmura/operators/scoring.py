@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from murmura.functions.constants import NEGATIVE, NEUTRAL, POSITIVE
-from murmura.functions.text import _c, contains_any, tokens
+from murmura.functions.text import contains_any, tokens
 
 
 class Scorer:
@@ -130,13 +130,6 @@ def hash_buckets(text, dim: int) -> Column:
                                         F.lit(dim)).cast("int"))
 
 
-def bucket_counts(text, dim: int) -> Column:
-    """Dense term-count vector of length ``dim`` (pure JVM; O(tokens x dim))."""
-    b = hash_buckets(text, dim)
-    return F.transform(F.sequence(F.lit(0), F.lit(dim - 1)),
-                       lambda i: F.size(F.filter(b, lambda x: x == i)))
-
-
 def _bincount_rows(s: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
     """Per-row bucket counts of a Series of int arrays, in one bincount over
     (row * dim + bucket).  Returns (counts float64 [n, dim], non-null mask)."""

@@ -33,12 +33,6 @@ def l2_normalize(c) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: (x.cast("double") / norm).cast("float"))).otherwise(v)
 
 
-def vector_norm(c) -> Column:
-    v = _c(c)
-    return F.sqrt(F.aggregate(v, F.lit(0.0).cast("double"),
-                              lambda s, x: s + x.cast("double") * x.cast("double")))
-
-
 def _collect_bounded(df: DataFrame, max_rows: int, what: str):
     rows = df.limit(max_rows + 1).collect()
     if len(rows) > max_rows:

@@ -13,7 +13,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from murmura.functions.constants import EXCLUDE_CATEGORIES
 from murmura.operators.scoring import Scorer
