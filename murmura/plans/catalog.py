@@ -912,10 +912,20 @@ def q_append_turn(spark, sf):
     return append_turn(c, answered)
 
 
-@register("conversation_json")
+@register("conversation_json", f"""WITH {MSG_SQL},
+pairs AS (SELECT user_id, keyword, conv_id, pair,
+                 user_id || '_' || keyword || '_' || CAST(conv_id AS VARCHAR) || '_' || CAST(pair AS VARCHAR) AS history_id,
+                 question, answer
+          FROM (SELECT user_id, keyword, conv_id, pos // 2 AS pair, count(*) AS c,
+                       max(CASE WHEN pos % 2 = 0 THEN text END) AS question,
+                       max(CASE WHEN pos % 2 = 1 THEN text END) AS answer
+                FROM m GROUP BY ALL) WHERE c = 2)
+SELECT user_id, keyword, conv_id, count(*) AS n,
+       CAST(to_json(struct_pack(n := count(*), conversation := list(struct_pack(
+           history_id := history_id, question := question, answer := answer) ORDER BY pair))) AS VARCHAR) AS json
+FROM pairs GROUP BY user_id, keyword, conv_id""")
 def q_conversation_json(spark, sf):
-    """``{n, conversation:[{history_id, question, answer}]}`` per history;
-    rows-only (JSON spacing is engine specific)."""
+    """``{n, conversation:[{history_id, question, answer}]}`` per history."""
     from murmura.operators.history import conversation_json, pair_turns
     return conversation_json(pair_turns(conversations(spark, sf), HIST_KEYS), HIST_KEYS)
 
