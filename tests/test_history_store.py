@@ -144,3 +144,27 @@ def test_hot_url_anti_join(spark):
     assert anti_by_url(batch, store).count() == 89
     store2 = post_rows(spark, [{"url": "hot", "document": "x"}])
     assert anti_by_url(batch, store2).count() == 60
+
+
+def test_stream_dedup_with_watermark(spark, tmp_path):
+    from murmura.streaming.dedup import stream_dedup
+    land = str(tmp_path / "land")
+    rows = [("a", "2024-01-01 00:00:00"), ("a", "2024-01-01 00:05:00"), ("b", "2024-01-01 00:01:00")]
+    (spark.createDataFrame(rows, "url string, ts string").withColumn("ts", F.col("ts").cast("timestamp"))
+     .write.parquet(land))
+    src = spark.readStream.schema("url string, ts timestamp").parquet(land)
+    out = str(tmp_path / "out")
+    q = (stream_dedup(src, event_time="ts", delay="1 hour").writeStream.format("parquet")
+         .option("path", out).option("checkpointLocation", str(tmp_path / "ck"))
+         .trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert sorted(r.url for r in spark.read.parquet(out).collect()) == ["a", "b"]
+
+
+def test_sized_broadcast_bound(spark):
+    from murmura.session import sized_broadcast
+    df = spark.range(10)
+    small = sized_broadcast(df, 10)
+    big = sized_broadcast(df, 9)
+    assert "broadcast" in small._jdf.queryExecution().logical().toString().lower() or small is not df
+    assert big is df
