@@ -8,6 +8,7 @@ fixture columns (a user id, a stored subset, a null url) from every row.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -31,12 +32,16 @@ def register(name: str, sql: str | None = None):
     return deco
 
 
-# Row key of each driver table (used to spread under-partitioned scans).
+# Row key of the driver tables whose rows carry CPU-heavy work (text, html,
+# vectors, conversations); an under-partitioned scan of them is spread.
 TABLE_KEYS = {"documents": "doc_id", "pages": "page_id", "embeddings": "vec_id",
-              "conversations": "conv_id", "labels": "doc_id"}
+              "conversations": "conv_id"}
 
 
+@lru_cache(maxsize=128)
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A driver table (one DataFrame object per session and path: repeated
+    use in one plan shares the scan's plan node and its exchange)."""
     from murmura.session import spread
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     return spread(df, TABLE_KEYS[name]) if name in TABLE_KEYS else df
@@ -44,6 +49,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 # ------------------------------------------------------------------ views
 
+@lru_cache(maxsize=32)
 def posts(spark: SparkSession, sf_dir: str) -> DataFrame:
     """documents as post records of runs of (user, keyword) stores."""
     d = table(spark, sf_dir, "documents")
@@ -71,6 +77,7 @@ POSTS = """posts AS (
   FROM documents)"""
 
 
+@lru_cache(maxsize=32)
 def labeled(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Posts with a sentiment label taken from ``labels`` (toxic -> negative,
     quality -> positive, else neutral); unlabelled posts carry a label that
@@ -600,6 +607,7 @@ def q_retrieve_context(spark, sf):
 
 # ------------------------------------------------------------- 6. topics
 
+@lru_cache(maxsize=32)
 def clustered(spark, sf) -> DataFrame:
     """Stored posts with a cluster id (the embeddings' label) per document."""
     e = embeddings(spark, sf).select(F.col("vec_id").alias("doc_id"), F.col("label").alias("cluster"))
@@ -862,6 +870,7 @@ def q_html_files_scan(spark, sf):
 
 # ------------------------------------------------------------ 8. history
 
+@lru_cache(maxsize=32)
 def conversations(spark, sf) -> DataFrame:
     """Chat messages of (user, keyword) stores, one conversation each."""
     return table(spark, sf, "conversations").select(
@@ -970,6 +979,7 @@ def q_report_facts(spark, sf):
                     F.array_join("top_pos", "\n").alias("top_pos"), F.array_join("top_neg", "\n").alias("top_neg"))
 
 
+@lru_cache(maxsize=32)
 def store_vectors(spark, sf) -> DataFrame:
     """Stored posts with their vectors (documents x embeddings)."""
     e = embeddings(spark, sf).select(F.col("vec_id").alias("doc_id"), "embedding")
