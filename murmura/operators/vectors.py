@@ -33,18 +33,16 @@ def l2_normalize(c) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: (x.cast("double") / norm).cast("float"))).otherwise(v)
 
 
-def _collect_bounded(df: DataFrame, max_rows: int, what: str):
+def _collect_bounded(df: DataFrame, max_rows: int):
+    """The rows of ``df`` if there are at most ``max_rows`` of them, else None.
+    Never fetches more than ``max_rows + 1`` rows to the driver."""
     rows = df.limit(max_rows + 1).collect()
-    if len(rows) > max_rows:
-        raise ValueError(f"{what}: more than {max_rows} rows cannot be broadcast")
-    return rows
+    return rows if len(rows) <= max_rows else None
 
 
-def _chunks(df: DataFrame, key: str, max_rows: int) -> list[DataFrame] | None:
-    """None when ``df`` fits one broadcast; else hash-bucket slices of it,
-    each (in expectation well) below ``max_rows``."""
-    if df.limit(max_rows + 1).count() <= max_rows:
-        return None
+def _chunks(df: DataFrame, key: str, max_rows: int) -> list[DataFrame]:
+    """Hash-bucket slices of a side too large for one broadcast, each (in
+    expectation well) below ``max_rows``."""
     n = -(-df.count() // max_rows) * 2          # 2x headroom for hash imbalance
     bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(n))
     return [df.where(bucket == b) for b in range(n)]
@@ -74,7 +72,8 @@ def _exact_candidates(X: np.ndarray, Q: np.ndarray, k: int):
     qq = np.einsum("ij,ij->i", Q, Q)
     d2 = xx[:, None] + qq[None, :] - 2.0 * (X @ Q.T)            # (n, q)
     kth = np.partition(d2, kk - 1, axis=0)[kk - 1] if kk < n else d2.max(axis=0)
-    slack = 1e-9 * (1.0 + np.abs(kth) + qq)
+    # rounding error of the expansion is ~1e-16 of the magnitudes involved
+    slack = 1e-9 * (1.0 + np.abs(kth) + qq + xx.max())
     rows, cols = np.nonzero(d2 <= (kth + slack)[None, :])
     dist = np.sqrt(((X[rows] - Q[cols]) ** 2).sum(axis=1))
     return cols, rows, dist
@@ -102,14 +101,14 @@ def knn_topk(docs: DataFrame, queries: DataFrame, k: int, *,
     Returns ``qid, rank, doc_id, dist``.
     """
     group_cols = list(group_cols)
-    parts = _chunks(queries, qid, max_queries)
-    if parts is not None:
+    rows = _collect_bounded(queries.select(qid, *group_cols, query_vec), max_queries)
+    if rows is None:
         # beyond one broadcast: each query chunk is its own broadcast pass over
         # the documents; results of disjoint query sets simply union
         outs = [knn_topk(docs, part, k, doc_id=doc_id, doc_vec=doc_vec, qid=qid, query_vec=query_vec,
-                         group_cols=group_cols, max_queries=max_queries) for part in parts]
+                         group_cols=group_cols, max_queries=max_queries)
+                for part in _chunks(queries, qid, max_queries)]
         return reduce(lambda a, b: a.unionByName(b), outs)
-    rows = _collect_bounded(queries.select(qid, *group_cols, query_vec), max_queries, "knn queries")
     by_group: dict[tuple, tuple[list, np.ndarray]] = {}
     for r in rows:
         if r[query_vec] is None:
@@ -209,15 +208,14 @@ def centroid_assign(vectors: DataFrame, centroids: DataFrame, *, id_col: str = "
 
     Returns ``id_col, label, dist``.
     """
-    parts = _chunks(centroids, label, max_centroids)
-    if parts is not None:
+    rows = _collect_bounded(centroids.select(label, centroid), max_centroids)
+    if rows is None:
         # nearest within each centroid chunk, then the overall minimum per id
         outs = [centroid_assign(vectors, part, id_col=id_col, vec=vec, label=label, centroid=centroid,
-                                max_centroids=max_centroids) for part in parts]
+                                max_centroids=max_centroids) for part in _chunks(centroids, label, max_centroids)]
         best = reduce(lambda a, b: a.unionByName(b), outs).groupBy(id_col).agg(
             F.min(F.struct("dist", label)).alias("_m"))
         return best.select(id_col, F.col("_m." + label).alias(label), F.col("_m.dist").alias("dist"))
-    rows = _collect_bounded(centroids.select(label, centroid), max_centroids, "centroids")
     rows = [r for r in rows if r[centroid] is not None]
     labels = np.array([r[label] for r in rows])
     cmat = np.stack([np.asarray(r[centroid], dtype=np.float64) for r in rows]) if rows else np.zeros((0, 0))
