@@ -853,7 +853,7 @@ def q_frontier(spark, sf):
   CAST(NULL AS VARCHAR) AS views, {TITLE_SQL} AS boardcategory, {_first_sql('html', X.P_LANG)} AS documentcategory
 FROM pages""")
 def q_pages_to_posts(spark, sf):
-    return X.pages_to_posts(pages_df(spark, sf), extractors={})
+    return X.pages_to_posts(pages_df(spark, sf), extractors={})  # every host: the article extractor
 
 
 @register("html_files_scan", "SELECT page_id, html FROM pages")

@@ -129,3 +129,16 @@ def test_get_clean(spark):
     df = spark.createDataFrame([("<div><span>\ta b\n</span></div>",), ("<p>x</p>",)], "html string")
     got = [r.v for r in df.select(get_clean("html", r"(?s)<span>(.*?)</span>").alias("v")).collect()]
     assert got == ["a b", ""]
+
+
+def test_pages_to_posts_registry_single_pass(spark):
+    html = '<html lang="en"><head><title>T</title></head><body><p>para</p><b class="n">7</b></body></html>'
+    pages = spark.createDataFrame([(1, "http://a.example/x", html), (2, "http://b.example/y", html)],
+                                  "page_id long, url string, html string")
+    special = {"b.example": lambda h, u: {"url": u, "site": F.lit("B"),
+                                          "views": F.regexp_extract(h, r'<b class="n">(\d+)</b>', 1)}}
+    got = {r.page_id: r for r in X.pages_to_posts(pages, extractors=special).collect()}
+    assert (got[1].site, got[1].document, got[1].views) == ("a.example", "para", None)
+    assert (got[2].site, got[2].document, got[2].views) == ("B", None, "7")
+    plan = X.pages_to_posts(pages, extractors=special)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Union" not in plan
