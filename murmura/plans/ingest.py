@@ -12,7 +12,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from murmura.functions.constants import EXCLUDE_CATEGORIES
@@ -49,11 +49,12 @@ def run_ingest(spark: SparkSession, merged: DataFrame, root: str, scorer: Scorer
     Returns ``{'status', 'added', 'total_filtered'}``.
     """
     filtered_path = f"{root}/posts_filtered"
-    rel = filter_relevant(merged, scorer, categories)
-    write_runs(rel, filtered_path)
+    obs = Observation("relevant")
+    rel = filter_relevant(merged, scorer, categories).observe(obs, F.count(F.lit(1)).alias("rows"))
+    write_runs(rel, filtered_path)                      # the scorer runs once, here
+    total = int(obs.get.get("rows", 0))
     persisted = spark.read.parquet(filtered_path).join(
         merged.select(*STORE_KEYS, "run_id").distinct(), STORE_KEYS + ["run_id"], "left_semi")
-    total = persisted.count()
     store = VectorStore(spark, root, embedder)
     added = store.append_new(persisted.drop("run_id", "relevance"))
     drop_stale_runs(spark, filtered_path, merged)
