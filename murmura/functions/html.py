@@ -50,10 +50,25 @@ def extract_field(html, patterns, default=None) -> Column:
     return F.coalesce(*cands)
 
 
+# --- fixed values: character references decoded in extracted text, in the
+# order applied (the ampersand last, so "&amp;lt;" decodes once to "&lt;").
+ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
+            ("&nbsp;", "\u00a0"), ("&amp;", "&")]
+
+
+def unescape_entities(c) -> Column:
+    """Decode the common named character references of page text."""
+    x = _c(c)
+    for ent, ch in ENTITIES:
+        x = F.replace(x, F.lit(ent), F.lit(ch))
+    return x
+
+
 def text_nodes(html, pattern: str) -> Column:
-    """Inner text of every match: tags removed, stripped, blanks dropped."""
+    """Inner text of every match: tags removed, references decoded,
+    stripped, blanks dropped."""
     arr = extract_all(without_blocks(html), pattern)
-    arr = F.transform(arr, lambda x: ustrip(strip_tags(x, drop_blocks=False)))
+    arr = F.transform(arr, lambda x: ustrip(unescape_entities(strip_tags(x, drop_blocks=False))))
     return F.filter(arr, lambda x: x != F.lit(""))
 
 
@@ -64,7 +79,7 @@ def text_joined(html, pattern: str, sep: str = " ") -> Column:
 def strings_of(html, pattern: str) -> Column:
     """``string(.)`` of every match, cleaned (empties kept)."""
     arr = extract_all(without_blocks(html), pattern)
-    return F.transform(arr, lambda x: clean_str(strip_tags(x, drop_blocks=False)))
+    return F.transform(arr, lambda x: clean_str(unescape_entities(strip_tags(x, drop_blocks=False))))
 
 
 def absolute_url(base, href) -> Column:

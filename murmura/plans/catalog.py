@@ -744,8 +744,14 @@ def _first_sql(x: str, pattern: str) -> str:
     return f"nullif(regexp_extract({x}, {q(pattern)}, 1), '')"
 
 
+def _unescape_sql(x: str) -> str:
+    for ent, ch in H.ENTITIES:
+        x = f"replace({x}, {q(ent)}, {'chr(160)' if ch == chr(160) else q(ch)})"
+    return x
+
+
 def _text_joined_sql(pattern: str, sep: str = " ") -> str:
-    inner = sstrip(f"regexp_replace(x, {q(TAG_SQL)}, '', 'g')")
+    inner = sstrip(_unescape_sql(f"regexp_replace(x, {q(TAG_SQL)}, '', 'g')"))
     return (f"array_to_string(list_filter(list_transform(regexp_extract_all({NOBLOCK_SQL}, {q(pattern)}, 1), "
             f"lambda x: {inner}), lambda x: x <> ''), {q(sep)})")
 
@@ -779,7 +785,8 @@ def q_page_text_parsed(spark, sf):
     return X.parse_pages(pages_df(spark, sf))
 
 
-CLEAN_ITEM_SQL = sstrip(f"replace(replace(replace(regexp_replace(x, {q(TAG_SQL)}, '', 'g'), chr(10), ''), chr(9), ''), chr(160), ' ')")
+_ITEM_TEXT_SQL = _unescape_sql(f"regexp_replace(x, {q(TAG_SQL)}, '', 'g')")
+CLEAN_ITEM_SQL = sstrip(f"replace(replace(replace({_ITEM_TEXT_SQL}, chr(10), ''), chr(9), ''), chr(160), ' ')")
 
 
 @register("page_text_list", f"""SELECT page_id, CAST(len(l) AS INTEGER) AS n_items, array_to_string(l, chr(10)) AS items

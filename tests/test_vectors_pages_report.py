@@ -142,3 +142,9 @@ def test_pages_to_posts_registry_single_pass(spark):
     assert (got[2].site, got[2].document, got[2].views) == ("B", None, "7")
     plan = X.pages_to_posts(pages, extractors=special)._jdf.queryExecution().optimizedPlan().toString()
     assert "Union" not in plan
+
+
+def test_entities_decoded_once(spark):
+    from murmura.functions.html import unescape_entities
+    df = spark.createDataFrame([("a &amp;lt; b &lt; c&nbsp;&quot;d&quot; &#39;e&#39;",)], "t string")
+    assert df.select(unescape_entities("t").alias("u")).first().u == "a &lt; b < c \"d\" 'e'"
