@@ -147,4 +147,4 @@ def test_pages_to_posts_registry_single_pass(spark):
 def test_entities_decoded_once(spark):
     from murmura.functions.html import unescape_entities
     df = spark.createDataFrame([("a &amp;lt; b &lt; c&nbsp;&quot;d&quot; &#39;e&#39;",)], "t string")
-    assert df.select(unescape_entities("t").alias("u")).first().u == "a &lt; b < c \"d\" 'e'"
+    assert df.select(unescape_entities("t").alias("u")).first().u == "a &lt; b < c\u00a0\"d\" 'e'"
