@@ -284,7 +284,7 @@ def q_csv_roundtrip(spark, sf):
 
 
 @register("normalize_reviews", f"""
-SELECT doc_id, 'app/' || source AS url, 'google_play' AS site, line AS document,
+SELECT doc_id, 'app/' || source AS url, 'app_store' AS site, line AS document,
        CAST(NULL AS VARCHAR) AS documenttype,
        CAST(TIMESTAMP '2024-01-01 00:00:00' + to_minutes(i) AS VARCHAR) AS postdate,
        CAST(i AS VARCHAR) AS likes, CAST(NULL AS VARCHAR) AS dislike, CAST(NULL AS VARCHAR) AS comment_cnt,
@@ -301,7 +301,7 @@ def q_normalize_reviews(spark, sf):
         (F.lit("2024-01-01 00:00:00").cast("timestamp") + F.make_dt_interval(mins=i)).alias("at")))
     apps = d.select("doc_id", F.concat(F.lit("app/"), F.col("source")).alias("app_url"), reviews.alias("reviews"))
     return normalize_reviews(apps, keep=["doc_id", "app_url"], url=F.col("app_url"),
-                             site=F.lit("google_play")).drop("app_url")
+                             site=F.lit("app_store")).drop("app_url")
 
 
 @register("prompt_column", f"""WITH {POSTS}
