@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from murmura.functions.constants import EXCLUDE_CATEGORIES
 from murmura.operators.filters import exclude_categories, relevance_filter, valid_posts
 from murmura.operators.scoring import Scorer, score
-from murmura.operators.store import VectorStore, anti_by_url, drop_stale_runs, write_runs
+from murmura.operators.store import VectorStore, anti_by_url, drop_stale_runs, observed_rows, write_runs
 from murmura.schema import STORE_KEYS
 
 
@@ -52,7 +52,7 @@ def run_ingest(spark: SparkSession, merged: DataFrame, root: str, scorer: Scorer
     obs = Observation("relevant")
     rel = filter_relevant(merged, scorer, categories).observe(obs, F.count(F.lit(1)).alias("rows"))
     write_runs(rel, filtered_path)                      # the scorer runs once, here
-    total = int(obs.get.get("rows", 0))
+    total = observed_rows(obs)
     persisted = spark.read.parquet(filtered_path).join(
         merged.select(*STORE_KEYS, "run_id").distinct(), STORE_KEYS + ["run_id"], "left_semi")
     store = VectorStore(spark, root, embedder)
