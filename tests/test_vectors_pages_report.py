@@ -148,3 +148,28 @@ def test_entities_decoded_once(spark):
     from murmura.functions.html import unescape_entities
     df = spark.createDataFrame([("a &amp;lt; b &lt; c&nbsp;&quot;d&quot; &#39;e&#39;",)], "t string")
     assert df.select(unescape_entities("t").alias("u")).first().u == "a &lt; b < c\u00a0\"d\" 'e'"
+
+
+def test_fences_unclosed_and_multiple(spark):
+    from murmura.operators.report import convert_fences
+    df = spark.createDataFrame([("a```x\ny```b```c\nd```e```open\nz",)], "t string")
+    assert df.select(convert_fences("t").alias("c")).first().c == "ax;ybc;de```open\nz"
+
+
+def test_report_check_statuses(spark):
+    from murmura.operators.report import report_check
+    rows = [("긍정 10.0% 부정 20.0% 중립 70.0% 주제 50.0% quote: great product indeed", 0),
+            ("only 10.0%", 0), ("only 10.0%", 2)]
+    d = spark.createDataFrame(rows, "draft string, iteration int").select(
+        "*", F.lit(10.0).alias("pos_pct"), F.lit(20.0).alias("neg_pct"), F.lit(70.0).alias("neu_pct"),
+        F.array(F.lit(50.0)).alias("topic_pcts"), F.array(F.lit("great product indeed and more")).alias("top_pos"),
+        F.array().cast("array<string>").alias("top_neg"))
+    got = [r.status for r in report_check(d, quote_len=12).collect()]
+    assert got[0] == "PASS" and got[2] == "PASS"
+    assert got[1] == "RETRY: missing negative share, neutral share, topic ratios, quoted opinion"
+
+
+def test_zip_links_cut_at_shorter(spark):
+    html = '<a href="/1">one</a><a href="/2">two</a><a href="/3" >'
+    pages = spark.createDataFrame([(1, "http://h/", html)], "page_id long, url string, html string")
+    assert [(r.href, r.label) for r in X.zip_links(pages).orderBy("pos").collect()] == [("/1", "one"), ("/2", "two")]
