@@ -50,17 +50,19 @@ def extract_field(html, patterns, default=None) -> Column:
     return F.coalesce(*cands)
 
 
-# --- fixed values: character references decoded in extracted text, in the
-# order applied (the ampersand last, so "&amp;lt;" decodes once to "&lt;").
-ENTITIES = [("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&#39;", "'"), ("&apos;", "'"),
-            ("&nbsp;", "\u00a0"), ("&amp;", "&")]
+# --- fixed values: character references decoded in extracted text, as
+# (regex, character), in the order applied.  The HTML5 legacy names are also
+# recognised without their semicolon; the ampersand goes last so that
+# "&amp;lt;" decodes once, to "&lt;".
+ENTITIES = [("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;", "'"), ("&apos;", "'"),
+            ("&nbsp;?", "\u00a0"), ("&amp;?", "&")]
 
 
 def unescape_entities(c) -> Column:
     """Decode the common named character references of page text."""
     x = _c(c)
-    for ent, ch in ENTITIES:
-        x = F.replace(x, F.lit(ent), F.lit(ch))
+    for pattern, ch in ENTITIES:
+        x = F.regexp_replace(x, pattern, ch)
     return x
 
 
