@@ -64,12 +64,22 @@ def zip_links(pages: DataFrame) -> DataFrame:
 
 
 def result_pages(hits: DataFrame, url_template: str, per_page: int = K.RESULTS_PER_PAGE,
-                 key_cols=("host",), hit_col: str = "hit_text") -> DataFrame:
+                 key_cols=("host",), hit_col: str = "hit_text", chunk: int = 4096) -> DataFrame:
     """Hit count text (thousands separators allowed) -> n // per_page + 1
-    result pages -> one request url per page (``%d`` in the template)."""
+    result pages -> one request url per page (``%d`` in the template).
+
+    Pages are expanded in two steps: ranges of ``chunk`` pages are spread
+    over the shuffle partitions first, then each range is expanded, so one
+    host with a huge hit count is not expanded by a single task."""
     n = F.regexp_replace(F.col(hit_col), ",", "").cast("bigint")
     x = hits.select(*key_cols, (F.floor(n / per_page) + 1).cast("int").alias("n_pages"))
-    x = x.select(*key_cols, "n_pages", F.explode(F.sequence(F.lit(1), F.col("n_pages"))).alias("page_no"))
+    ranges = x.select(*key_cols, "n_pages",
+                      F.explode(F.sequence(F.lit(0), F.floor((F.col("n_pages") - 1) / chunk).cast("int"))).alias("_c"))
+    parts = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    ranges = ranges.repartition(parts, *key_cols, "_c")
+    lo = F.col("_c") * chunk + 1
+    hi = F.least((F.col("_c") + 1) * chunk, F.col("n_pages"))
+    x = ranges.select(*key_cols, "n_pages", F.explode(F.sequence(lo, hi)).alias("page_no"))
     return x.withColumn("url", F.format_string(url_template, *[F.col(c) for c in key_cols], F.col("page_no")))
 
 
