@@ -87,10 +87,12 @@ def spread(df: DataFrame, key: str | None = None) -> DataFrame:
     already has at least that many splits, so on a cluster this is a no-op:
     no extra shuffle of big data.
     """
-    sc = df.sparkSession.sparkContext
     if os.environ.get("MURMURA_NO_SPREAD"):
         return df
-    target = sc.defaultParallelism
-    if df.rdd.getNumPartitions() >= target:
+    try:
+        target = df.sparkSession.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() >= target:
+            return df
+    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave as is
         return df
     return df.repartition(target, key) if key else df.repartition(target)
