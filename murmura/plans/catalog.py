@@ -1231,3 +1231,47 @@ def q_ingest_run(spark, sf):
     res = [dict(attempt=i + 1, **run_ingest(spark, merged, root, relevance_scorer(), INGEST_CATEGORIES))
            for i in range(2)]
     return spark.createDataFrame(res, "attempt int, status string, added long, total_filtered long")
+
+
+# ------------------------------------------------------- answer lifecycle
+
+@register("answer_context", f"""WITH {POSTS},
+sv AS (SELECT p.doc_id, p.user_id, p.keyword, p.document, e.embedding::DOUBLE[] AS v
+       FROM posts p JOIN embeddings e ON e.vec_id = p.doc_id),
+svx AS (SELECT user_id, keyword, doc_id % 3 AS variant, unnest(generate_series(1, len(v))) AS i, unnest(v) AS x FROM sv),
+var AS (SELECT user_id, keyword, variant, user_id || '|' || keyword AS parent_qid, list(m ORDER BY i) AS c
+        FROM (SELECT user_id, keyword, variant, i, avg(x) AS m FROM svx GROUP BY ALL) GROUP BY ALL),
+hits AS (SELECT * FROM (
+  SELECT var.parent_qid, var.variant, sv.doc_id,
+         row_number() OVER (PARTITION BY var.parent_qid, var.variant ORDER BY list_distance(sv.v, var.c), sv.doc_id) AS rank
+  FROM sv JOIN var USING (user_id, keyword)) WHERE rank <= 4),
+firsts AS (SELECT parent_qid, doc_id, min((variant, rank)) AS m FROM hits GROUP BY ALL),
+ordered AS (SELECT parent_qid, doc_id,
+                   row_number() OVER (PARTITION BY parent_qid ORDER BY m[1], m[2], doc_id) AS ord FROM firsts),
+ctx AS (SELECT o.parent_qid AS qid,
+               string_agg({s_render(K.CHAT_DOCUMENT_TEMPLATE, page_content='d.document', postdate='NULL')},
+                          chr(10) || chr(10) ORDER BY ord) AS context
+        FROM ordered o JOIN sv d USING (doc_id) GROUP BY ALL),
+{MSG_SQL},
+n AS (SELECT conv_id, count(*) AS n_msgs FROM m GROUP BY ALL),
+turns AS (SELECT m.* FROM m JOIN n USING (conv_id)
+          WHERE n_msgs // 2 <= 5 OR (pos < 2 * (n_msgs // 2) AND pos // 2 >= n_msgs // 2 - 5)),
+hist AS (SELECT user_id, keyword, string_agg(role || ': ' || text, chr(10) ORDER BY conv_id, pos) AS history
+         FROM turns GROUP BY ALL),
+qs AS (SELECT DISTINCT parent_qid AS qid, user_id, keyword FROM var)
+SELECT qs.qid, qs.user_id, qs.keyword, coalesce(ctx.context, '') AS context, coalesce(hist.history, '') AS history
+FROM qs LEFT JOIN ctx USING (qid) LEFT JOIN hist USING (user_id, keyword)""")
+def q_answer_context(spark, sf):
+    """What an answer needs, per store question: the context from the
+    distinct union of three query variants' top-4 documents, and the last
+    five question/answer turns of the store's conversations."""
+    from murmura.operators.vectors import centroids_by
+    from murmura.plans.retrieval import answer_inputs
+    sv = store_vectors(spark, sf).select("doc_id", "user_id", "keyword", "document", "postdate", "embedding")
+    g = F.struct("user_id", "keyword", (F.col("doc_id") % 3).alias("variant"))
+    v = (centroids_by(sv.withColumn("g", g), "g")
+         .select(F.concat_ws("|", "g.user_id", "g.keyword").alias("parent_qid"), F.col("g.variant").alias("variant"),
+                 F.col("g.user_id").alias("user_id"), F.col("g.keyword").alias("keyword"),
+                 F.col("centroid").alias("embedding")))
+    qs = v.select(F.col("parent_qid").alias("qid"), "user_id", "keyword").distinct()
+    return answer_inputs(qs, v, sv, conversations(spark, sf), k=4, last_k=5)
