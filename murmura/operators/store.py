@@ -91,14 +91,14 @@ def latest_run(df: DataFrame) -> DataFrame:
     return df.groupBy(*STORE_KEYS).agg(F.max("run_id").alias("run_id"))
 
 
-def retain_latest_run(df: DataFrame, broadcast_max_rows: int = 200_000) -> DataFrame:
+def retain_latest_run(df: DataFrame) -> DataFrame:
     """Keep only rows of the latest run of each (user, keyword).
 
-    The latest-run table has one row per store: it is broadcast when it
-    provably has at most ``broadcast_max_rows`` rows, else the semi join
-    shuffles (and AQE may still convert it at run time)."""
-    from murmura.session import sized_broadcast
-    return df.join(sized_broadcast(latest_run(df), broadcast_max_rows), RUN_KEYS, "left_semi")
+    The latest-run table (one row per store) is an aggregate of ``df``
+    itself, so checking its size up front would compute it twice.  AQE
+    measures it when its stage completes and broadcasts it if it is small,
+    else the semi join stays a shuffle join; no size is assumed."""
+    return df.join(latest_run(df), RUN_KEYS, "left_semi")
 
 
 def drop_stale_runs(spark: SparkSession, path: str, stores: DataFrame) -> int:
