@@ -221,7 +221,9 @@ class VectorStore:
         A store that does not exist yet receives every valid row (the
         anti join against nothing keeps all).  Nothing new -> nothing is
         written.  The count comes from an observation of the write itself,
-        so the anti join and the embedding run once."""
+        so the anti join and the embedding run once.  ``df`` is read twice
+        (its store keys, its rows): pass a persisted batch (the scored
+        table), not a plan that calls a model."""
         from murmura.operators.filters import valid_posts
         batch = valid_posts(df, text_col)
         # only the stores this batch touches are read: a semi join on the

@@ -31,7 +31,8 @@ def filter_relevant(df: DataFrame, scorer: Scorer, categories: Sequence[str] = t
 
 
 def ingest_metrics(relevant: DataFrame, store: DataFrame) -> DataFrame:
-    """Per store: relevant rows of the run and rows new to the store."""
+    """Per store: relevant rows of the run and rows new to the store.
+    ``relevant`` feeds two aggregates; pass the persisted scored rows."""
     new = anti_by_url(relevant, store)
     tot = relevant.groupBy(*STORE_KEYS).agg(F.count(F.lit(1)).alias("total_filtered"))
     add = new.groupBy(*STORE_KEYS).agg(F.count(F.lit(1)).alias("added"))
