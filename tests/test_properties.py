@@ -39,3 +39,25 @@ def test_blank_matches_python(spark, values):
     got = run(spark, lambda c: TX.is_blank(c).cast("boolean"), values)
     assert got == [v.strip() == "" for v in values]
     assert run(spark, lambda c: F.char_length(c), values) == [len(v) for v in values]
+
+
+dates = st.lists(st.builds(lambda a, b, c: a + b + c, st.text(alphabet=alphabet, max_size=8),
+                           st.sampled_from(["수정일 : 2024-01-03 03:04:05", " 수정일:2024-01-03 03:04:05 ", ""]),
+                           st.text(alphabet=alphabet, max_size=8)), min_size=50, max_size=50)
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(values=dates)
+def test_clean_date_matches_python(spark, values):
+    exp = [re.sub(r"\s*수정일\s*:\s*\d{4}-\d{2}-\d{2} \d{2}:\d{2}:\d{2}", "", v).strip() for v in values]
+    assert run(spark, TX.clean_date, values) == exp
+
+
+@settings(max_examples=4, deadline=None, suppress_health_check=[HealthCheck.function_scoped_fixture])
+@given(values=st.lists(st.text(alphabet=st.sampled_from(WS + ["a", "\x00", "\r", "한"]), max_size=12),
+                       min_size=50, max_size=50))
+def test_prep_and_truncate_match_python(spark, values):
+    assert run(spark, lambda c: TX.prep_for_sentiment(c, 5), values) == \
+        [v[:5].replace("\x00", "").replace("\r", " ").strip() for v in values]
+    assert run(spark, lambda c: TX.truncate_ellipsis(c, 4), values) == \
+        [v[:4] + "..." if len(v) > 4 else v for v in values]
