@@ -11,14 +11,14 @@ from pyspark.sql import types as T
 
 from murmura.functions import constants as K
 from murmura.functions.html import (R_ANCHOR_TEXT, R_HREF, absolute_url, extract_all, extract_field,
-                                    first_match, host_of, strings_of, text_joined)
+                                    first_match, host_of, leaf_pattern, strings_of, text_joined)
 from murmura.functions.text import strip_tags, ustrip
 from murmura.schema import POST_COLUMNS
 
-P_PARAGRAPH = r"(?s)<p>(.*?)</p>"
-P_LIST_ITEM = r"(?s)<li>(.*?)</li>"
-P_TITLE = r"(?s)<title>(.*?)</title>"
-P_H1 = r"(?s)<h1>(.*?)</h1>"
+P_PARAGRAPH = leaf_pattern("p")
+P_LIST_ITEM = leaf_pattern("li")
+P_TITLE = leaf_pattern("title")
+P_H1 = leaf_pattern("h1")
 P_LANG = r'<html[^>]*\slang="([^"]*)"'
 
 

@@ -173,3 +173,11 @@ def test_zip_links_cut_at_shorter(spark):
     html = '<a href="/1">one</a><a href="/2">two</a><a href="/3" >'
     pages = spark.createDataFrame([(1, "http://h/", html)], "page_id long, url string, html string")
     assert [(r.href, r.label) for r in X.zip_links(pages).orderBy("pos").collect()] == [("/1", "one"), ("/2", "two")]
+
+
+def test_leaf_elements_with_attributes(spark):
+    html = '<title id="t">Tt</title><p class="a">one</p><pre>no</pre><p>two</p><li data-x="1">i</li>'
+    pages = spark.createDataFrame([(1, "http://h/", html)], "page_id long, url string, html string")
+    assert X.page_text(pages).first().text == "one two"
+    assert X.page_fields(pages).first().title == "Tt"
+    assert X.page_text_list(pages).first()["items"] == "i"
