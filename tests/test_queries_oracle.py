@@ -20,3 +20,12 @@ def test_entry_runs(spark):
 def test_query_matches_oracle(spark, name):
     res = compare(spark, SF_SMALL, [name], verbose=True)[name]
     assert res == "OK" or res.startswith("rows-only"), res
+
+
+def test_no_cross_join_in_any_plan(spark):
+    bad = []
+    for name, fn in E.queries().items():
+        plan = fn(spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+        if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
+            bad.append(name)
+    assert bad == []
