@@ -29,3 +29,9 @@ def test_no_cross_join_in_any_plan(spark):
         if "CartesianProduct" in plan or "BroadcastNestedLoopJoin" in plan:
             bad.append(name)
     assert bad == []
+
+
+@pytest.mark.parametrize("name", ["top_opinions", "knn_top30", "topic_table"])
+def test_top_n_is_limited_before_the_shuffle(spark, name):
+    plan = E.queries()[name](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
+    assert "WindowGroupLimit" in plan and "Partial" in plan
