@@ -99,3 +99,12 @@ def q_op10(spark, sf):
     d = token_counts(table(spark, sf, "documents").select("doc_id", "text"), vocabulary())
     return d.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), "n_tokens",
                     (F.col("n_tokens") > 4096).alias("over_limit"))
+
+
+@register("op2_zstd_toxicity")
+def q_op2(spark, sf):
+    from murmura.llm.toxicity import fit, score
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string")), F.lit(5)) == 0
+    d = table(spark, sf, "documents").select("doc_id", "text")
+    model = fit(d, table(spark, sf, "labels").where(~held_out).select("doc_id", "toxic"))
+    return score(d, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
