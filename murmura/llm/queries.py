@@ -108,3 +108,10 @@ def q_op2(spark, sf):
     d = table(spark, sf, "documents").select("doc_id", "text")
     model = fit(d, table(spark, sf, "labels").where(~held_out).select("doc_id", "toxic"))
     return score(d, model).select("doc_id", held_out.alias("held_out"), "score", "predicted")
+
+
+@register("op8_cgk_decontamination")
+def q_op8(spark, sf):
+    from murmura.llm.decontam import contamination
+    return contamination(table(spark, sf, "documents").select("doc_id", "text"),
+                         table(spark, sf, "benchmark").select("item_id", "text"))
