@@ -140,9 +140,9 @@ def shingle_sets(data: np.ndarray, offsets: np.ndarray, n: int = 5) -> list[np.n
 
 def set_fingerprint(s: np.ndarray) -> int:
     """Signed 64-bit fingerprint of a set given as sorted distinct hashes."""
-    h = mix(s).sum(dtype=np.uint64) + U(len(s))
-    x = (s * U(0xD6E8FEB86659FD93)) ^ (s >> U(32))
-    h = mix(np.array([h ^ mix(x).sum(dtype=np.uint64) * U(3)], np.uint64))
+    one = int(mix(s).sum(dtype=np.uint64)) + len(s)
+    two = int(mix((s * U(0xD6E8FEB86659FD93)) ^ (s >> U(32))).sum(dtype=np.uint64))
+    h = mix(np.array([(one ^ 3 * two) & 0xFFFFFFFFFFFFFFFF], np.uint64))
     return int(h.view(np.int64)[0])
 
 

@@ -115,3 +115,9 @@ def q_op8(spark, sf):
     from murmura.llm.decontam import contamination
     return contamination(table(spark, sf, "documents").select("doc_id", "text"),
                          table(spark, sf, "benchmark").select("item_id", "text"))
+
+
+@register("op3_ngram_jaccard_rtree")
+def q_op3(spark, sf):
+    from murmura.llm.ngram_join import jaccard_components
+    return jaccard_components(table(spark, sf, "documents").select("doc_id", "text"))
