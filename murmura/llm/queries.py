@@ -121,3 +121,10 @@ def q_op8(spark, sf):
 def q_op3(spark, sf):
     from murmura.llm.ngram_join import jaccard_components
     return jaccard_components(table(spark, sf, "documents").select("doc_id", "text"))
+
+
+@register("op5_suffix_dedup")
+def q_op5(spark, sf):
+    from murmura.llm.suffix_dedup import dedup_substrings
+    d = dedup_substrings(table(spark, sf, "documents").select("doc_id", "text"))
+    return d.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2(F.col("kept"), 256).alias("kept_sha256"))
