@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from murmura.llm import arrays as A
-from murmura.llm.tables import written
+from murmura.llm.tables import parts_of, written
 
 MIN_CHARS, MIN_DOCS = 20, 3
 SHARD_KEYS = 1 << 18
@@ -235,7 +235,7 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     hot_index = spark.sparkContext.broadcast(LineIndex.build(
         hot_h, np.array([r[1] for r in top], np.int64), np.array([r[2] for r in top], np.int64)).to_bytes())
     hot_keys = spark.sparkContext.broadcast(hot_h)
-    shards = max(1, -(-n_keys // shard_keys))
+    shards = max(parts_of(spark), -(-n_keys // shard_keys))   # probes load the shards too
     index = build_shards(lines.where(F.col("n") * HOT < F.lit(n_pairs)), shards)
     gone = (probe_shards(d, index, hot_keys, shards, min_chars)
             .groupBy("doc").agg(F.collect_set("h").alias("_gone")))
