@@ -1,24 +1,27 @@
 """Regex selectors over raw HTML columns (JVM built-ins).
 
 The built-in ``xpath*`` functions need well-formed XML, which real pages are
-not, so regular leaf elements are matched by pattern.  Irregular nesting goes
-through ``murmura.operators.extract.parse_pages`` (stdlib ``html.parser`` in
-``mapInPandas``).
+not, so regular leaf elements are matched by pattern.
 """
 
 from __future__ import annotations
 
+import html as _html
+
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from murmura.functions.text import clean_str, strip_tags, ustrip, _c
 
-R_HREF = r'<a\s[^>]*?href="([^"]*)"'
-R_ANCHOR_TEXT = r'(?s)<a\s[^>]*?href="[^"]*"[^>]*>(.*?)</a>'
+R_HREF = r"""(?i)<a\s[^>]*?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
+R_ANCHOR_TEXT = r"""(?is)<a\s[^>]*?href\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)[^>]*>(.*?)</a>"""
 R_ORIGIN = r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)"
 R_SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.-]*):"
 R_HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)"
-R_BASE_DIR = r"^([^?#]*/)"
 
 
 def leaf_pattern(tag: str, attrs: str = "") -> str:
@@ -50,28 +53,35 @@ def extract_field(html, patterns, default=None) -> Column:
     return F.coalesce(*cands)
 
 
-# --- fixed values: character references decoded in extracted text, as
-# (regex, character), in the order applied.  The HTML5 legacy names are also
-# recognised without their semicolon; the ampersand goes last so that
-# "&amp;lt;" decodes once, to "&lt;".
-ENTITIES = [("&lt;?", "<"), ("&gt;?", ">"), ("&quot;?", '"'), ("&#39;", "'"), ("&apos;", "'"),
-            ("&nbsp;?", "\u00a0"), ("&amp;?", "&")]
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def _decode(col: pa.Array) -> pa.Array:
+    """Decode the character references of the few strings that hold any."""
+    flat = col.flatten()
+    held = [x if x is None or "&" not in x else _html.unescape(x) for x in flat.to_pylist()]
+    return pa.ListArray.from_arrays(_offsets(col), pa.array(held, pa.string()), mask=col.is_null())
+
+
+def _offsets(col: pa.Array) -> pa.Array:
+    n = pc.fill_null(pc.list_value_length(col), 0).to_numpy(zero_copy_only=False)
+    return pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
+
+
+def unescape_all(arr) -> Column:
+    """Every string of an array with its character references decoded, named
+    and numeric, once ("&amp;lt;" gives "&lt;")."""
+    return _decode(_c(arr))
 
 
 def unescape_entities(c) -> Column:
-    """Decode the common named character references of page text."""
-    x = _c(c)
-    for pattern, ch in ENTITIES:
-        x = F.regexp_replace(x, pattern, ch)
-    return x
+    """The text with its character references decoded (null stays null)."""
+    return F.element_at(unescape_all(F.array(_c(c))), 1)
 
 
 def text_nodes(html, pattern: str) -> Column:
     """Inner text of every match: tags removed, references decoded,
     stripped, blanks dropped."""
-    arr = extract_all(without_blocks(html), pattern)
-    arr = F.transform(arr, lambda x: ustrip(unescape_entities(strip_tags(x, drop_blocks=False))))
-    return F.filter(arr, lambda x: x != F.lit(""))
+    arr = F.transform(extract_all(without_blocks(html), pattern), lambda x: strip_tags(x, drop_blocks=False))
+    return F.filter(F.transform(unescape_all(arr), ustrip), lambda x: x != F.lit(""))
 
 
 def text_joined(html, pattern: str, sep: str = " ") -> Column:
@@ -80,21 +90,47 @@ def text_joined(html, pattern: str, sep: str = " ") -> Column:
 
 def strings_of(html, pattern: str) -> Column:
     """``string(.)`` of every match, cleaned (empties kept)."""
-    arr = extract_all(without_blocks(html), pattern)
-    return F.transform(arr, lambda x: clean_str(unescape_entities(strip_tags(x, drop_blocks=False))))
+    arr = F.transform(extract_all(without_blocks(html), pattern), lambda x: strip_tags(x, drop_blocks=False))
+    return F.transform(unescape_all(arr), clean_str)
+
+
+def hrefs(html) -> Column:
+    """The target of every link, quotes dropped, references decoded, in order."""
+    raw = F.transform(extract_all(html, R_HREF), lambda x: F.regexp_replace(x, r"""^["']|["']$""", ""))
+    return F.transform(unescape_all(raw), ustrip)
+
+
+def _without_dots(path: Column) -> Column:
+    """A path without dot segments and without empty ones inside."""
+    seg = F.split(path, "/", -1)
+    n = F.size(seg)
+    inner = F.filter(F.slice(seg, F.lit(2), F.greatest(n - 1, F.lit(0))), lambda x, i: (x != "") | (i == n - 2))
+    kept = F.aggregate(inner, F.array().cast("array<string>"), lambda acc, x: F.when(
+        x == "..", F.slice(acc, F.lit(1), F.greatest(F.size(acc) - 1, F.lit(0)))).when(x == ".", acc)
+        .otherwise(F.concat(acc, F.array(x))))
+    last = F.element_at(seg, -1)
+    folder = F.when(last.isin(".", "..") & (F.size(kept) > 0), F.lit("/")).otherwise(F.lit(""))
+    return F.concat(F.lit("/"), F.array_join(kept, "/"), folder)
 
 
 def absolute_url(base, href) -> Column:
-    """Resolve ``href`` against the page url (absolute, //host, /path, relative)."""
+    """Resolve ``href`` against the page url: absolute, //host, /path, relative
+    with dot segments, ?query, #fragment and empty targets."""
     b, h = _c(base), _c(href)
     origin = F.regexp_extract(b, R_ORIGIN, 1)
     scheme = F.regexp_extract(b, R_SCHEME, 1)
-    base_dir = F.regexp_extract(b, R_BASE_DIR, 1)
+    page = F.regexp_replace(b, r"[?#].*$", "")
+    path = F.regexp_replace(page, R_ORIGIN, "")
+    folder = F.coalesce(F.nullif(F.regexp_extract(path, r"^(.*/)", 1), F.lit("")), F.lit("/"))
+    own = F.regexp_extract(h, r"^([^?#]*)", 1)
+    rest = F.regexp_extract(h, r"^[^?#]*([?#].*)?$", 1)
+    target = F.when(h.startswith("/"), own).otherwise(F.concat(folder, own))
     return (F.when(h.rlike(r"^[a-zA-Z][a-zA-Z0-9+.-]*:"), h)
             .when(h.startswith("//"), F.concat(scheme, F.lit(":"), h))
-            .when(h.startswith("/"), F.concat(origin, h))
             .when(h == F.lit(""), b)
-            .otherwise(F.concat(base_dir, h)))
+            .when(h.startswith("#"), F.concat(F.regexp_replace(b, r"#.*$", ""), h))
+            .when(h.startswith("?"), F.concat(page, h))
+            .otherwise(F.concat(origin, _without_dots(target), rest)))
 
 
 def host_of(url) -> Column:
@@ -102,5 +138,6 @@ def host_of(url) -> Column:
 
 
 def get_clean(html, pattern: str) -> Column:
-    """First match, tags removed, cleaned like ``clean_str`` ('' when absent)."""
-    return clean_str(strip_tags(first_match(html, pattern), drop_blocks=False))
+    """First match, tags removed, references decoded, cleaned like ``clean_str``
+    ('' when absent)."""
+    return clean_str(unescape_entities(strip_tags(first_match(html, pattern), drop_blocks=False)))

@@ -126,11 +126,10 @@ def contains_any(c, terms) -> Column:
 
 
 def safe_int(c) -> Column:
-    """Integer if the text is all ASCII digits, else 0 (null -> 0)."""
+    """Integer if the text is all ASCII digits (38 of them at most), else 0
+    (null -> 0).  Decimal, so a count above the BIGINT range still ranks."""
     x = _c(c)
-    return F.coalesce(
-        F.when(x.rlike(r"^[0-9]+$"), x.try_cast("bigint")),
-        F.lit(0).cast("bigint"))
+    return F.coalesce(F.when(x.rlike(r"^[0-9]+$"), x.try_cast("decimal(38,0)")), F.lit(0).cast("decimal(38,0)"))
 
 
 def base64_utf8(c) -> Column:

@@ -4,15 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable, Mapping
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from murmura.functions import constants as K
-from murmura.functions.html import (R_ANCHOR_TEXT, R_HREF, absolute_url, extract_all, extract_field,
-                                    first_match, host_of, leaf_pattern, strings_of, text_joined)
-from murmura.functions.text import strip_tags, ustrip
+from murmura.functions.html import (R_ANCHOR_TEXT, absolute_url, extract_all, extract_field, first_match, get_clean,
+                                    host_of, hrefs, leaf_pattern, strings_of, text_joined, unescape_all)
+from murmura.functions.text import clean_board, clean_date, collapse_ws, strip_tags, ustrip
 from murmura.schema import POST_COLUMNS
 
 P_PARAGRAPH = leaf_pattern("p")
@@ -49,14 +47,14 @@ def page_fields(pages: DataFrame) -> DataFrame:
 
 def outlinks(pages: DataFrame) -> DataFrame:
     """Every ``<a href>`` with its position and the absolute url."""
-    x = pages.select("page_id", "url", F.posexplode(extract_all("html", R_HREF)).alias("pos", "href"))
+    x = pages.select("page_id", "url", F.posexplode(hrefs("html")).alias("pos", "href"))
     return x.select("page_id", "pos", "href", absolute_url("url", "href").alias("abs_url"))
 
 
 def zip_links(pages: DataFrame) -> DataFrame:
     """Positional pairing of link targets and link texts, cut at the shorter."""
-    a = extract_all("html", R_HREF)
-    b = F.transform(extract_all("html", R_ANCHOR_TEXT), lambda x: ustrip(strip_tags(x, False)))
+    a = hrefs("html")
+    b = F.transform(unescape_all(F.transform(extract_all("html", R_ANCHOR_TEXT), lambda x: strip_tags(x, False))), ustrip)
     n = F.least(F.size(a), F.size(b))
     z = F.arrays_zip(F.slice(a, 1, n).alias("href"), F.slice(b, 1, n).alias("label"))
     return pages.select("page_id", F.posexplode(z).alias("pos", "z")).select(
@@ -71,10 +69,10 @@ def result_pages(hits: DataFrame, url_template: str, per_page: int = K.RESULTS_P
     Pages are expanded in two steps: ranges of ``chunk`` pages are spread
     over the shuffle partitions first, then each range is expanded, so one
     host with a huge hit count is not expanded by a single task."""
-    n = F.regexp_replace(F.col(hit_col), ",", "").cast("bigint")
-    x = hits.select(*key_cols, (F.floor(n / per_page) + 1).cast("int").alias("n_pages"))
+    n = F.regexp_replace(F.col(hit_col), "[^0-9]", "").try_cast("bigint")     # "1,050 hits" is 1050
+    x = hits.select(*key_cols, (F.floor(n / per_page) + 1).cast("bigint").alias("n_pages"))
     ranges = x.select(*key_cols, "n_pages",
-                      F.explode(F.sequence(F.lit(0), F.floor((F.col("n_pages") - 1) / chunk).cast("int"))).alias("_c"))
+                      F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n_pages") - 1) / chunk).cast("bigint"))).alias("_c"))
     parts = int(hits.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     ranges = ranges.repartition(parts, *key_cols, "_c")
     lo = F.col("_c") * chunk + 1
@@ -120,8 +118,65 @@ def generic_fields(html: Column, url: Column) -> dict[str, Column]:
     }
 
 
+def _inner(tag: str, attr: str) -> str:
+    """Pattern of the content of the first ``tag`` whose opening holds ``attr``."""
+    return f"(?s)<{tag}\\b[^>]*{attr}[^>]*>(.*?)</{tag}>"
+
+
+def _cls(name: str) -> str:
+    return f'class="{name}"'
+
+
+def clien_fields(html: Column, url: Column) -> dict[str, Column]:
+    """Posts of www.clien.net."""
+    article = first_match(html, r'(?s)<div\b[^>]*class="post_article"[^>]*>(.*?)</div>')
+    blank = lambda c: F.nullif(c, F.lit(""))
+    return {
+        "url": url, "site": F.lit("clien"), "document": blank(text_joined(article, P_PARAGRAPH, " ")),
+        "postdate": blank(clean_date(get_clean(first_match(html, _inner("div", _cls("post_author"))), _inner("span", "")))),
+        "likes": blank(get_clean(html, _inner("a", 'class="symph_count(?: disable)?"'))),
+        "comment_cnt": F.coalesce(blank(get_clean(first_match(html, _inner("a", _cls("post_reply"))), _inner("span", ""))), F.lit("0")),
+        "views": blank(get_clean(first_match(html, _inner("span", _cls("view_count"))), _inner("strong", ""))),
+        "boardcategory": blank(get_clean(first_match(html, _inner("div", _cls("board_name"))), _inner("a", ""))),
+        "documentcategory": blank(get_clean(html, _inner("span", _cls("post_category")))),
+    }
+
+
+def quasarzone_fields(html: Column, url: Column) -> dict[str, Column]:
+    """Posts of quasarzone.com; the date stands in one of two places."""
+    blank = lambda c: F.nullif(c, F.lit(""))
+    right = get_clean(first_match(html, _inner("p", _cls("right"))), _inner("span", ""))
+    plain = get_clean(first_match(html, _inner("span", _cls("date notranslate"))), _inner("em", ""))
+    return {
+        "url": url, "site": F.lit("quasarzone"),
+        "document": blank(get_clean(html, r"""(?s)<\w+\b[^>]*id=["']org_contents["'][^>]*>(.*?)</(?:div|textarea|td|section)>""")),
+        "postdate": F.coalesce(blank(right), blank(plain)),
+        "comment_cnt": blank(get_clean(html, _inner("em", _cls("reply")))),
+        "views": blank(get_clean(html, _inner("em", _cls("view")))),
+        "boardcategory": blank(clean_board(get_clean(first_match(html, _inner("div", _cls("l-title"))), _inner("h2", "")))),
+    }
+
+
+def meeco_fields(html: Column, url: Column) -> dict[str, Column]:
+    """Posts of meeco.kr: the second block of the article's first block."""
+    blank = lambda c: F.nullif(c, F.lit(""))
+    body = get_clean(html, r'(?s)id="bBd".*?<article\b[^>]*>.*?<div\b[^>]*>\s*<div\b[^>]*>.*?</div>\s*<div\b[^>]*>(.*?)</div>')
+    head = first_match(html, r'(?s)id="bBd".*?<article\b[^>]*>.*?<header\b[^>]*>.*?<ul\b[^>]*>(.*?)</ul>')
+    return {
+        "url": url, "site": F.lit("meeco"), "document": blank(ustrip(collapse_ws(body))),
+        "postdate": blank(get_clean(head, r"(?s)<li\b[^>]*>.*?</li>\s*<li\b[^>]*>.*?</li>\s*<li\b[^>]*>(.*?)</li>")),
+        "likes": blank(get_clean(first_match(html, _inner("div", _cls("atc-vote-bts"))), _inner("span", _cls("num")))),
+        "comment_cnt": blank(get_clean(html, _inner("span", _cls("ptCl num cmt-cnt-ori")))),
+        "views": blank(get_clean(first_match(html, _inner("ul", _cls("ldd-title-under"))), _inner("span", _cls("num")))),
+        "boardcategory": blank(get_clean(first_match(html, _inner("header", _cls("bBd-hd"))), _inner("a", ""))),
+        "documentcategory": blank(get_clean(first_match(html, _inner("span", _cls("atc-ctg"))), _inner("a", ""))),
+    }
+
+
 # site (host) -> field extractor ``(html, url) -> {post column: Column}``.
-EXTRACTORS: dict[str, Callable[[Column, Column], dict]] = {}
+EXTRACTORS: dict[str, Callable[[Column, Column], dict]] = {
+    "www.clien.net": clien_fields, "quasarzone.com": quasarzone_fields, "meeco.kr": meeco_fields,
+}
 
 
 def register_extractor(site: str, fn: Callable[[Column, Column], dict]) -> None:
@@ -150,59 +205,3 @@ def pages_to_posts(pages: DataFrame, extractors: Mapping[str, Callable] | None =
         expr = d if expr is None else expr.otherwise(d)
         cols.append(expr.cast("string").alias(c))
     return pages.select(*cols)
-
-
-# ------------------------------------------------ tolerant parser (Python)
-
-def _parse_frame(pdf: pd.DataFrame, container: str) -> pd.DataFrame:
-    from html.parser import HTMLParser
-
-    class _Text(HTMLParser):
-        def __init__(self):
-            super().__init__(convert_charrefs=True)
-            self.depth = 0
-            self.skip = 0
-            self.parts: list[str] = []
-
-        def handle_starttag(self, tag, attrs):
-            if tag in ("script", "style"):
-                self.skip += 1
-            elif tag == container:
-                self.depth += 1
-
-        def handle_endtag(self, tag):
-            if tag in ("script", "style"):
-                self.skip = max(0, self.skip - 1)
-            elif tag == container:
-                self.depth = max(0, self.depth - 1)
-
-        def handle_data(self, data):
-            if self.depth and not self.skip:
-                s = data.strip()
-                if s:
-                    self.parts.append(s)
-
-    out = []
-    for h in pdf["html"]:
-        if h is None:
-            out.append(None)
-            continue
-        p = _Text()
-        p.feed(h)
-        p.close()
-        out.append(" ".join(" ".join(p.parts).split()))
-    return pd.DataFrame({"page_id": pdf["page_id"].to_numpy(), "text": out})
-
-
-def parse_pages(pages: DataFrame, container: str = "article") -> DataFrame:
-    """Text nodes under ``container`` with a tolerant HTML parser (unclosed
-    tags, entities, comments), for pages regular expressions cannot handle.
-    Runs per Arrow batch in ``mapInPandas``; the page is the unit of work."""
-    schema = T.StructType([T.StructField("page_id", pages.schema["page_id"].dataType),
-                           T.StructField("text", T.StringType())])
-
-    def run(it):
-        for pdf in it:
-            yield _parse_frame(pdf, container)
-
-    return pages.select("page_id", "html").mapInPandas(run, schema)

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from murmura.session import null_safe
+
 DEFAULT_BLOCK = 1 << 16
 
 
@@ -26,9 +28,9 @@ def positions(df: DataFrame, group_cols: Sequence[str], order_col: str,
     counts = b.groupBy(*g, "_blk").agg(F.count(F.lit(1)).alias("_n"))
     wo = Window.partitionBy(*g).orderBy("_blk").rowsBetween(Window.unboundedPreceding, -1)
     offs = counts.withColumn("_off", F.coalesce(F.sum("_n").over(wo), F.lit(0))).drop("_n")
-    w = Window.partitionBy(*g, "_blk").orderBy(order_col)
-    return (b.withColumn("_rn", F.row_number().over(w))
-            .join(offs, g + ["_blk"])
+    ties = [c for c in ("role", "text") if c in df.columns]       # equal order values: by role and text
+    w = Window.partitionBy(*g, "_blk").orderBy(order_col, *ties)
+    return (null_safe(b.withColumn("_rn", F.row_number().over(w)), offs, g + ["_blk"])
             .withColumn(out, (F.col("_off") + F.col("_rn") - 1).cast("long"))
             .drop("_blk", "_rn", "_off"))
 
@@ -62,17 +64,23 @@ def pair_turns(history: DataFrame, group_cols: Sequence[str] = ("conv_id",), ord
 
 
 def last_k_turns(history: DataFrame, k: int = 5, group_cols: Sequence[str] = ("conv_id",),
-                 order_col: str = "turn", drop_roles: Sequence[str] = ("system",),
-                 block: int = DEFAULT_BLOCK) -> DataFrame:
+                 order_col: str | Sequence[str] = "turn", drop_roles: Sequence[str] = ("system",)) -> DataFrame:
     """Messages of the last ``k`` complete pairs; when there are at most ``k``
-    pairs, every message (an unanswered tail included) is kept."""
+    pairs, every message (an unanswered tail included) is kept.
+
+    Only the last 2k + 1 messages of a group can be kept, so each task ships at
+    most that many (a group limit before the shuffle); the count per group is
+    one partial aggregate.  Null keys are a group; ties go by role and text."""
     g = list(group_cols)
-    m = messages(history, g, order_col, drop_roles, block)
-    n = m.groupBy(*g).agg(F.count(F.lit(1)).alias("_n_msgs"))
-    m = m.join(n, g).withColumn("_n_pairs", F.floor(F.col("_n_msgs") / 2))
-    keep = (F.col("_n_pairs") <= k) | ((F.col("pos") < 2 * F.col("_n_pairs"))
-                                        & (F.floor(F.col("pos") / 2) >= F.col("_n_pairs") - k))
-    return m.where(keep).drop("_n_msgs", "_n_pairs")
+    order = [order_col] if isinstance(order_col, str) else list(order_col)
+    x = history.where(~F.col("role").isin(list(drop_roles)) | F.col("role").isNull()) if drop_roles else history
+    w = Window.partitionBy(*g).orderBy(*[F.col(c).desc() for c in (*order, "role", "text")])
+    last = x.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= 2 * k + 1)
+    m = null_safe(last, x.groupBy(*g).agg(F.count(F.lit(1)).alias("_n")), g)
+    pairs = F.floor(F.col("_n") / 2)
+    pos = (F.col("_n") - F.col("_rn")).cast("long")
+    keep = (pairs <= k) | ((pos < 2 * pairs) & (F.floor(pos / 2) >= pairs - k))
+    return m.withColumn("pos", pos).where(keep).drop("_rn", "_n")
 
 
 def append_turn(history: DataFrame, answered: DataFrame, group_cols: Sequence[str] = ("conv_id",),

@@ -61,19 +61,33 @@ def report_facts(summary: DataFrame, topics: DataFrame, tops: DataFrame,
 def report_check(drafts: DataFrame, draft_col: str = "draft", iteration_col: str = "iteration",
                  quote_len: int = 30, max_iterations: int = K.MAX_REPORT_ITERATIONS) -> DataFrame:
     """Deterministic critic over (facts ⨝ drafts): the draft must quote the
-    three sentiment percentages, every topic ratio and at least one real
+    three sentiment percentages, every topic ratio (numbers are compared whole, and
+    one that several facts share is wanted as often) and at least one real, non-empty
     opinion (its first ``quote_len`` chars).  PASS, or RETRY with the missing
     items; accepted anyway from ``max_iterations`` on."""
     d = F.col(draft_col)
 
+    # every percentage of the draft, as whole numbers: 5.0% is not in 45.0%
+    told = F.regexp_extract_all(d, F.lit(r"(?<![0-9.,])([0-9]+(?:\.[0-9]+)?)%"), F.lit(1))
+    topics = F.coalesce("topic_pcts", F.array().cast("array<double>"))
+    shares = F.array(*[F.col(c).cast("string") for c in ("pos_pct", "neg_pct", "neu_pct")])
+    want = F.concat(shares, F.transform(topics, lambda p: p.cast("string")))
+
+    def times(values, x):
+        return F.size(F.filter(values, lambda v: v == x))
+
+    # a number that several facts share must be quoted as often as they do
+    def quoted_as_often(x):
+        return F.coalesce((times(told, x) > 0) & (times(told, x) >= times(want, x)), F.lit(False))
+
     def has_pct(c):
-        return F.coalesce(d.contains(F.concat(c.cast("string"), F.lit("%"))), F.lit(False))
+        return quoted_as_often(c.cast("string"))
 
-    ops = F.concat(F.coalesce("top_pos", F.array().cast("array<string>")),
-                   F.coalesce("top_neg", F.array().cast("array<string>")))
+    ops = F.filter(F.concat(F.coalesce("top_pos", F.array().cast("array<string>")),
+                            F.coalesce("top_neg", F.array().cast("array<string>"))),
+                   lambda o: o.isNotNull() & (o != ""))
     quoted = F.exists(ops, lambda o: d.contains(F.substring(o, 1, quote_len)))
-    topics_ok = F.forall(F.coalesce("topic_pcts", F.array().cast("array<double>")),
-                         lambda p: d.contains(F.concat(p.cast("string"), F.lit("%"))))
+    topics_ok = F.forall(topics, lambda p: quoted_as_often(p.cast("string")))
     missing = F.array_compact(F.array(
         F.when(~has_pct(F.col("pos_pct")), F.lit("positive share")),
         F.when(~has_pct(F.col("neg_pct")), F.lit("negative share")),

@@ -75,38 +75,57 @@ class ArrowScorer(Scorer):
     client, a local classifier) as a vectorised UDF.
 
     ``on_error='raise'`` fails the job on the first failure (relevance: one
-    failure fails the run); ``on_error='default'`` retries the failing batch
-    row by row and answers ``default`` for rows that still fail (sentiment:
-    an error counts as neutral).  ``init`` runs once per task.
+    failure fails the run); ``on_error='default'`` retries a failing request
+    row by row and answers ``default`` for rows that still fail (sentiment: an
+    error counts as neutral).  ``init`` runs once per task; what it returns (a
+    client, a loaded model) is passed to ``fn`` as a third argument.
+
+    ``concurrency`` requests of ``request_rows`` rows run at once in a task (a
+    remote model); 1 sends each Arrow batch as one request.
     """
 
-    def __init__(self, fn: Callable[[pd.Series, pd.Series], pd.Series], *,
+    def __init__(self, fn: Callable[..., pd.Series], *,
                  on_error: str = "raise", default: str = NEUTRAL,
-                 init: Callable[[], object] | None = None):
-        assert on_error in ("raise", "default")
+                 init: Callable[[], object] | None = None, concurrency: int = 1, request_rows: int = 16):
+        assert on_error in ("raise", "default") and concurrency >= 1 and request_rows >= 1
         self.fn, self.on_error, self.default, self.init = fn, on_error, default, init
+        self.concurrency, self.request_rows = concurrency, request_rows
 
     def udf(self):
         fn, on_error, default, init = self.fn, self.on_error, self.default, self.init
+        concurrency, rows = self.concurrency, self.request_rows
 
         @F.pandas_udf(T.StringType())
         def score(it: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
-            if init is not None:
-                init()
-            for texts, kws in it:
+            from concurrent.futures import ThreadPoolExecutor
+            resource = () if init is None else (init(),)
+
+            def ask(texts, kws):
+                return pd.Series(fn(texts, kws, *resource)).to_list()
+
+            def answers(part):
+                texts, kws = part
                 try:
-                    out = pd.Series(fn(texts, kws), index=texts.index)
+                    return ask(texts, kws)
                 except Exception:
                     if on_error == "raise":
                         raise
-                    vals = []
-                    for t, k in zip(texts, kws):
-                        try:
-                            vals.append(fn(pd.Series([t]), pd.Series([k])).iloc[0])
-                        except Exception:
-                            vals.append(default)
-                    out = pd.Series(vals, index=texts.index)
-                yield out.astype(object).where(out.notna(), None)
+                out = []
+                for t, k in zip(texts, kws):
+                    try:
+                        out += ask(pd.Series([t]), pd.Series([k]))
+                    except Exception:
+                        out.append(default)
+                return out
+
+            with ThreadPoolExecutor(concurrency) as pool:
+                for texts, kws in it:
+                    step = len(texts) if concurrency == 1 else rows
+                    cuts = range(0, len(texts), max(1, step))
+                    parts = [(texts.iloc[i:i + step], kws.iloc[i:i + step]) for i in cuts]
+                    vals = [v for some in pool.map(answers, parts) for v in some]
+                    out = pd.Series(vals, index=texts.index, dtype=object)
+                    yield out.where(out.notna(), None)
 
         return score
 

@@ -15,11 +15,60 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from functools import reduce
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from murmura.schema import POST_COLUMNS, RUN_KEYS, STORE_KEYS
+from murmura.schema import POST_COLUMNS, POST_SCHEMA, RUN_KEYS, RUN_SCHEMA, STORE_KEYS
+
+NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"   # Spark's folder name for a null partition value
+
+# ------------------------------------------------------- partitioned folders
+
+
+def _fs(spark: SparkSession, path: str):
+    p = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
+
+
+def partition_folders(spark: SparkSession, base: str, **keys) -> list[tuple[dict, object]]:
+    """(values, folder) of the partitions below ``base`` whose leading columns
+    have the given values, in the order of ``keys``.  Folder names are compared
+    unescaped, so a key may hold any character.  Listings only: one call per
+    level, no data is read.  A value of ``...`` matches every folder."""
+    found = [({}, base)]
+    for col, want in keys.items():
+        nxt = []
+        for values, folder in found:
+            fs, p = _fs(spark, str(folder))
+            if not fs.exists(p):
+                continue
+            for st in fs.listStatus(p):
+                name = st.getPath().getName()
+                if not st.isDirectory() or not name.startswith(f"{col}="):
+                    continue
+                value = unquote(name.split("=", 1)[1])
+                value = None if value == NULL_FOLDER else value
+                if want is ... or value == want:
+                    nxt.append((values | {col: value}, st.getPath().toString()))
+        found = nxt
+    return found
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    fs, p = _fs(spark, folder)
+    fs.delete(p, True)
+
+
+def read_partitioned(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
+    """A partitioned table with declared types (no inference: the key ``007``
+    stays text); an empty table if the folder does not exist."""
+    fs, p = _fs(spark, path)
+    if not fs.exists(p):
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(path)
 
 # ------------------------------------------------------------------ runs
 
@@ -28,6 +77,8 @@ def merge_sites(frames: Sequence[DataFrame], dedup: bool = False) -> DataFrame:
     """Union all of the per-site tables of a run, columns aligned by name
     (a column missing from one site becomes null); no dedup by default."""
     frames = list(frames)
+    if not frames:                       # a run without any site: no posts
+        return SparkSession.active().createDataFrame([], POST_SCHEMA)
     out = reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), frames)
     if dedup:
         out = out.dropDuplicates(["site", "url"])
@@ -70,9 +121,10 @@ def land_run_csvs(spark: SparkSession, csv_glob: str, path: str, user_id: str, k
 
 
 def read_runs(spark: SparkSession, path: str, user_id: str | None = None,
-              keyword: str | None = None) -> DataFrame:
-    """Scan runs; the user / keyword predicates prune partitions."""
-    df = spark.read.parquet(path)
+              keyword: str | None = None, schema: StructType = RUN_SCHEMA) -> DataFrame:
+    """Scan runs; the user / keyword predicates prune partitions.  A missing
+    folder is a table without runs."""
+    df = read_partitioned(spark, path, schema)
     if user_id is not None:
         df = df.where(F.col("user_id") == user_id)
     if keyword is not None:
@@ -107,23 +159,23 @@ def drop_stale_runs(spark: SparkSession, path: str, stores: DataFrame) -> int:
     Retention is a metadata operation: run folders are listed and removed
     on the (shared) file system, no data is rewritten.  ``stores`` holds the
     pairs a job touched (a handful per run).  Returns folders removed."""
-    jvm = spark._jvm
-    conf = spark._jsc.hadoopConfiguration()
     removed = 0
     for r in stores.select(*STORE_KEYS).distinct().toLocalIterator():
-        base = jvm.org.apache.hadoop.fs.Path(f"{path}/user_id={r['user_id']}/keyword={r['keyword']}")
-        fs = base.getFileSystem(conf)
-        if not fs.exists(base):
-            continue
-        runs = sorted((st.getPath() for st in fs.listStatus(base)
-                       if st.isDirectory() and st.getPath().getName().startswith("run_id=")),
-                      key=lambda p: p.getName())
-        for p in runs[:-1]:
-            fs.delete(p, True)
+        runs = partition_folders(spark, path, user_id=r["user_id"], keyword=r["keyword"], run_id=...)
+        for _, folder in sorted(runs, key=lambda f: f[0]["run_id"] or "")[:-1]:
+            remove_folder(spark, folder)
             removed += 1
     return removed
 
 
+def clear_runs(spark: SparkSession, path: str, runs: DataFrame) -> None:
+    """Delete the folders of the (user, keyword, run) triples in ``runs``, so
+    that a run whose repetition yields nothing leaves no earlier rows."""
+    for r in runs.select(*RUN_KEYS).distinct().toLocalIterator():
+        for _, folder in partition_folders(spark, path, **{k: r[k] for k in RUN_KEYS}):
+            remove_folder(spark, folder)
+
+
 # ----------------------------------------------------------------- store
 
 
@@ -174,26 +226,11 @@ class VectorStore:
         self.history_path = f"{self.root}/history"
         self.embedder = embedder or HashEmbedder()
 
-    # -- file system helpers (driver-side metadata only)
-    def _fs(self, path: str):
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(path)
-        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
-
-    def _exists(self, path: str) -> bool:
-        fs, p = self._fs(path)
-        return fs.exists(p)
-
-    def partition_path(self, base: str, user_id: str, keyword: str) -> str:
-        return f"{base}/user_id={user_id}/keyword={keyword}"
-
     def read(self, user_id: str | None = None, keyword: str | None = None) -> DataFrame:
         """The stores (declared schema: no inference, and an emptied store
         folder still reads as an empty table)."""
         from murmura.schema import STORE_SCHEMA
-        if not self._exists(self.path):
-            return self.spark.createDataFrame([], STORE_SCHEMA)
-        df = self.spark.read.schema(STORE_SCHEMA).parquet(self.path)
+        df = read_partitioned(self.spark, self.path, STORE_SCHEMA)
         if user_id is not None:
             df = df.where(F.col("user_id") == user_id)
         if keyword is not None:
@@ -201,10 +238,20 @@ class VectorStore:
         return df
 
     def _prepare(self, df: DataFrame, text_col: str) -> DataFrame:
-        cols = [c for c in ["doc_id"] + POST_COLUMNS if c in df.columns]
+        """Rows to store, each with a vector and an id.  A row without ``doc_id``
+        gets one from its store, url and text and its number among equal rows,
+        so the same batch gets the same ids again."""
+        cols = [c for c in POST_COLUMNS if c in df.columns]
         x = df.where(F.col(text_col).isNotNull())
+        if "doc_id" not in x.columns:
+            x = x.withColumn("doc_id", F.lit(None).cast("bigint"))
+        same = F.xxhash64(*STORE_KEYS, *[c for c in ("url", text_col) if c in x.columns])
+        given, bare = x.where(F.col("doc_id").isNotNull()), x.where(F.col("doc_id").isNull())
+        nth = F.row_number().over(Window.partitionBy("_same").orderBy("_same"))
+        bare = (bare.withColumn("_same", same).withColumn("doc_id", F.xxhash64(F.col("_same"), nth)).drop("_same"))
+        x = given.unionByName(bare)
         x = x.withColumn("embedding", self.embedder.column(F.col(text_col)))
-        return x.select(*cols, "embedding", *STORE_KEYS)
+        return x.select("doc_id", *cols, "embedding", *STORE_KEYS)
 
     def overwrite(self, df: DataFrame, text_col: str = "document") -> int:
         """Replace the stores of the (user, keyword) pairs present in ``df``:
@@ -236,18 +283,20 @@ class VectorStore:
         return observed_rows(obs)
 
     def keywords(self) -> DataFrame:
-        """(user_id, keyword) pairs that have a store."""
-        return self.read().select(*STORE_KEYS).distinct()
+        """(user_id, keyword) pairs that have a store: a folder listing."""
+        found = partition_folders(self.spark, self.path, user_id=..., keyword=...)
+        rows = [(v["user_id"], v["keyword"]) for v, _ in found]
+        return self.spark.createDataFrame(rows, "user_id string, keyword string")
 
     def delete(self, user_id: str, keyword: str) -> str:
         """Remove store and history of one pair; both must exist."""
-        sp = self.partition_path(self.path, user_id, keyword)
-        hp = self.partition_path(self.history_path, user_id, keyword)
-        if not (self._exists(sp) and self._exists(hp)):
+        pair = dict(user_id=user_id, keyword=keyword)
+        store = partition_folders(self.spark, self.path, **pair)
+        history = partition_folders(self.spark, self.history_path, **pair)
+        if not (store and history):
             return "abnormal delete request"
-        for p in (sp, hp):
-            fs, jp = self._fs(p)
-            fs.delete(jp, True)
+        for _, folder in store + history:
+            remove_folder(self.spark, folder)
         return "delete success"
 
 

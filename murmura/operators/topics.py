@@ -40,10 +40,12 @@ def cluster_samples(df: DataFrame, cluster_col: str = "cluster", text_col: str =
 
 def topic_terms(df: DataFrame, cluster_col: str = "cluster", text_col: str = "document",
                 group_cols: Sequence[str] = STORE_GROUP, n_terms: int = 3,
-                min_len: int = 3) -> DataFrame:
+                max_len: int = K.TOPIC_MAX_NAME_LEN) -> DataFrame:
     """Name clusters by class TF-IDF: tf = term count in the cluster,
     idf = ln(#clusters / #clusters containing the term).  Top ``n_terms`` by
-    score (ties by term).  Returns ``group, cluster, terms, topic``.
+    score (ties by term).  Returns ``group, cluster, terms, topic``.  Every term
+    counts, however short; a name over ``max_len`` gives up its last terms, and
+    a single longer term is cut, so no topic is lost for its name.
 
     Plan: tokens -> partial/final count per (group, cluster, term) (the only
     pass over text; map-side combine) -> document frequency as a window over
@@ -55,7 +57,7 @@ def topic_terms(df: DataFrame, cluster_col: str = "cluster", text_col: str = "do
     if not g:
         df = df.withColumn("_all", F.lit(0))
         g = ["_all"]
-    tf = (df.select(*g, cluster_col, F.explode(tokens(text_col, min_len)).alias("term"))
+    tf = (df.select(*g, cluster_col, F.explode(tokens(text_col)).alias("term"))
           .groupBy(*g, cluster_col, "term").agg(F.count(F.lit(1)).alias("tf")))
     tf = tf.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy(*g, "term")))
     n_clusters = df.groupBy(*g).agg(F.count_distinct(cluster_col).alias("n_clusters"))
@@ -66,10 +68,18 @@ def topic_terms(df: DataFrame, cluster_col: str = "cluster", text_col: str = "do
     top = sc.withColumn("_rn", F.row_number().over(w)).where(F.col("_rn") <= n_terms)
     out = top.groupBy(*g, cluster_col).agg(
         F.transform(F.array_sort(F.collect_list(F.struct("_rn", "term"))), lambda s: s["term"]).alias("terms")
-    ).withColumn("topic", F.array_join("terms", " "))
+    ).withColumn("topic", fitting_name("terms", max_len))
     return out.drop("_all") if "_all" in g else out
 
 
+def fitting_name(terms, max_len: int):
+    """The longest run of leading terms, joined by spaces, of at most
+    ``max_len`` characters; at least the first term, cut."""
+    names = F.transform(terms, lambda t, i: F.array_join(F.slice(terms, F.lit(1), i + 1), " "))
+    fit = F.filter(names, lambda x: F.char_length(x) <= max_len)
+    return F.when(F.size(fit) > 0, F.element_at(fit, -1)).otherwise(F.substring(F.element_at(names, 1), 1, max_len))
+
+
 def topic_table(sizes: DataFrame, samples: DataFrame, names: DataFrame,
                 cluster_col: str = "cluster", group_cols: Sequence[str] = STORE_GROUP,
                 drop_markers: Sequence[str] = tuple(K.TOPIC_DROP_MARKERS),

@@ -33,50 +33,85 @@ def l2_normalize(c) -> Column:
     return F.when(norm > 0, F.transform(v, lambda x: (x.cast("double") / norm).cast("float"))).otherwise(v)
 
 
-def _collect_bounded(df: DataFrame, max_rows: int):
-    """The rows of ``df`` if there are at most ``max_rows`` of them, else None.
-    Never fetches more than ``max_rows + 1`` rows to the driver."""
-    rows = df.limit(max_rows + 1).collect()
-    return rows if len(rows) <= max_rows else None
-
-
-def _chunks(df: DataFrame, key: str, max_rows: int) -> list[DataFrame]:
-    """Hash-bucket slices of a side too large for one broadcast, each (in
-    expectation well) below ``max_rows``."""
-    n = -(-df.count() // max_rows) * 2          # 2x headroom for hash imbalance
-    bucket = F.pmod(F.xxhash64(F.col(key)), F.lit(n))
-    return [df.where(bucket == b) for b in range(n)]
-
-
-def _stack(series: pd.Series) -> tuple[np.ndarray, np.ndarray]:
-    """Arrow list column -> (mask of non-null rows, float64 matrix)."""
-    ok = series.notna().to_numpy()
-    vals = series[ok]
-    if len(vals) == 0:
-        return ok, np.zeros((0, 0))
-    return ok, np.stack([np.asarray(v, dtype=np.float64) for v in vals.to_numpy()])
-
-
-def _exact_candidates(X: np.ndarray, Q: np.ndarray, k: int):
+def _collect_bounded(df: DataFrame, vec: str, max_rows: int):
+    """The rows of ``df`` if there are at most ``max_rows`` and their vectors
+    take at most MAX_BYTES, else None.  Never fetches more than that."""
+    dim = df.where(F.col(vec).isNotNull()).select(F.size(vec).alias("n")).head()
+    most = min(max_rows, MAX_BYTES // (8 * max(1, dim["n"] if dim else 1)))
+    rows = df.limit(most + 1).collect()
+    return rows if len(rows) <= most else None
+
+
+def _chunks(df: DataFrame, keys: Sequence[str], vec: str, max_rows: int) -> list[list]:
+    """The distinct rows of a side too large for one broadcast, in runs that fit
+    one each.  Rows are dealt by a hash of key and vector, so a key that many
+    rows share is spread; a run that is still too long is halved as a list."""
+    d = df.dropDuplicates()
+    dim = d.where(F.col(vec).isNotNull()).select(F.size(vec).alias("n")).head()
+    most = max(1, min(max_rows, MAX_BYTES // (8 * max(1, dim["n"] if dim else 1))))
+    n = max(1, -(-d.count() // most) * 2)       # 2x headroom for hash imbalance
+    bucket = F.pmod(F.xxhash64(*keys, vec), F.lit(n))
+    for b in range(n):
+        rows = d.where(bucket == b).collect()
+        for i in range(0, len(rows), most):
+            yield rows[i:i + most]
+
+
+def _stack(series: pd.Series, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Arrow list column -> (mask of usable rows, float64 matrix).  A row that
+    is null, holds a null or a NaN or infinity, or is of another length than the
+    others cannot be measured and is left out, alone."""
+    ok = series.notna().to_numpy().copy()
+    out = []
+    for i in np.flatnonzero(ok):
+        v = np.asarray(series.iat[i], dtype=np.float64)
+        dim = len(v) if dim is None else dim
+        if len(v) == dim and np.isfinite(v).all():
+            out.append(v)
+        else:
+            ok[i] = False
+    return ok, (np.stack(out) if out else np.zeros((0, dim or 0)))
+
+
+TILE = 256                   # queries measured at once
+MAX_BYTES = 256 << 20        # vectors that one broadcast may hold
+
+
+def _exact_candidates(X: np.ndarray, Q: np.ndarray, k: int, ids: np.ndarray | None = None):
     """Exact k nearest rows of X for every row of Q.
 
-    Squared distances come from one BLAS product (|x|^2 + |q|^2 - 2 x.q);
-    every row within a small slack of a query's k-th value is a candidate,
-    and candidates are re-measured with the direct formula sqrt(sum((x-q)^2)),
-    so the selection and the distances are exact, not approximate.
+    Squared distances come from one BLAS product per tile of queries
+    (|x|^2 + |q|^2 - 2 x.q); rows within a small slack of a query's k-th value
+    are re-measured with the direct formula sqrt(sum((x-q)^2)), so the selection
+    and the distances are exact, not approximate.  Of rows at one distance only
+    the k smallest ids are kept, so equal vectors cost k rows, not all of them.
     Returns (query index, row index, distance) arrays.
     """
     n = X.shape[0]
     kk = min(k, n)
+    ids = np.arange(n) if ids is None else ids
+    by_id = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
     xx = np.einsum("ij,ij->i", X, X)
-    qq = np.einsum("ij,ij->i", Q, Q)
-    d2 = xx[:, None] + qq[None, :] - 2.0 * (X @ Q.T)            # (n, q)
-    kth = np.partition(d2, kk - 1, axis=0)[kk - 1] if kk < n else d2.max(axis=0)
-    # rounding error of the expansion is ~1e-16 of the magnitudes involved
-    slack = 1e-9 * (1.0 + np.abs(kth) + qq + xx.max())
-    rows, cols = np.nonzero(d2 <= (kth + slack)[None, :])
-    dist = np.sqrt(((X[rows] - Q[cols]) ** 2).sum(axis=1))
-    return cols, rows, dist
+    cols, rows, dist = [], [], []
+    for t in range(0, Q.shape[0], TILE):
+        q = Q[t:t + TILE]
+        qq = np.einsum("ij,ij->i", q, q)
+        d2 = xx[:, None] + qq[None, :] - 2.0 * (X @ q.T)            # (n, tile)
+        kth = np.partition(d2, kk - 1, axis=0)[kk - 1] if kk < n else d2.max(axis=0)
+        # rounding error of the expansion is ~1e-16 of the magnitudes involved
+        slack = 1e-9 * (1.0 + np.abs(kth) + qq + xx.max())
+        near = d2 <= (kth + slack)[None, :]
+        for j in range(q.shape[0]):
+            r = np.flatnonzero(near[:, j])
+            d = np.sqrt(((X[r] - q[j]) ** 2).sum(axis=1))
+            if len(r) > kk:
+                best = np.lexsort((by_id[r], d))[:kk]
+                r, d = r[best], d[best]
+            cols.append(np.full(len(r), t + j))
+            rows.append(r)
+            dist.append(d)
+    z = np.empty(0, np.int64)
+    return np.concatenate(cols or [z]), np.concatenate(rows or [z]), np.concatenate(dist or [z.astype(float)])
 
 
 def _first_k(q: np.ndarray, ids: np.ndarray, d: np.ndarray, k: int):
@@ -101,17 +136,34 @@ def knn_topk(docs: DataFrame, queries: DataFrame, k: int, *,
     Returns ``qid, rank, doc_id, dist``.
     """
     group_cols = list(group_cols)
-    rows = _collect_bounded(queries.select(qid, *group_cols, query_vec), max_queries)
-    if rows is None:
-        # beyond one broadcast: each query chunk is its own broadcast pass over
-        # the documents; results of disjoint query sets simply union
-        outs = [knn_topk(docs, part, k, doc_id=doc_id, doc_vec=doc_vec, qid=qid, query_vec=query_vec,
-                         group_cols=group_cols, max_queries=max_queries)
-                for part in _chunks(queries, qid, max_queries)]
-        return reduce(lambda a, b: a.unionByName(b), outs)
+    side = queries.select(qid, *group_cols, query_vec)
+    rows = _collect_bounded(side, query_vec, max_queries)
+    names = dict(doc_id=doc_id, doc_vec=doc_vec, qid=qid, query_vec=query_vec, group_cols=group_cols)
+    types = (queries.schema[qid].dataType, docs.schema[doc_id].dataType)
+    # beyond one broadcast: each run of queries is its own pass over the
+    # documents; the results are merged, a key in several runs included
+    parts = [rows] if rows is not None else _chunks(side, [qid, *group_cols], query_vec, max_queries)
+    found = [_survivors(docs, part, k, types, **names) for part in parts]
+    survivors = reduce(lambda a, b: a.unionByName(b), found)
+    # two merge levels: k rows of each salt, then k rows of the query
+    salt = F.pmod(F.xxhash64(doc_id), F.lit(SALTS))
+    order = [F.col("dist"), F.col(doc_id)]
+    some = (survivors.withColumn("_salt", salt)
+            .withColumn("_rn", F.row_number().over(Window.partitionBy(qid, "_salt").orderBy(*order)))
+            .where(F.col("_rn") <= k).drop("_rn", "_salt"))
+    return (some.withColumn("rank", F.row_number().over(Window.partitionBy(qid).orderBy(*order)))
+            .where(F.col("rank") <= k)
+            .select(qid, "rank", doc_id, "dist"))
+
+
+SALTS = 64                   # parts of a query's survivors that are merged apart first
+
+
+def _survivors(docs: DataFrame, rows: list, k: int, types, *, doc_id, doc_vec, qid, query_vec, group_cols) -> DataFrame:
+    """(qid, doc_id, dist): each task's k nearest documents of every query."""
     by_group: dict[tuple, tuple[list, np.ndarray]] = {}
     for r in rows:
-        if r[query_vec] is None:
+        if r[query_vec] is None or not all(x is not None and np.isfinite(x) for x in r[query_vec]):
             continue
         key = tuple(r[g] for g in group_cols)
         ids, vecs = by_group.setdefault(key, ([], []))
@@ -125,9 +177,7 @@ def knn_topk(docs: DataFrame, queries: DataFrame, k: int, *,
         start += len(ids)
     spark = docs.sparkSession
     bc = spark.sparkContext.broadcast((keys_all, packed))
-    qid_type = queries.schema[qid].dataType
-    id_type = docs.schema[doc_id].dataType
-    out_schema = T.StructType([T.StructField(qid, qid_type), T.StructField(doc_id, id_type),
+    out_schema = T.StructType([T.StructField(qid, types[0]), T.StructField(doc_id, types[1]),
                                T.StructField("dist", T.DoubleType())])
 
     def kernel(batches):
@@ -147,11 +197,11 @@ def knn_topk(docs: DataFrame, queries: DataFrame, k: int, *,
                     continue
                 first, qmat = hit
                 sub = pdf.iloc[idx]
-                ok, X = _stack(sub[doc_vec])
+                ok, X = _stack(sub[doc_vec], qmat.shape[1])
                 if X.shape[0] == 0:
                     continue
                 ids = sub[doc_id].to_numpy()[ok]
-                qi, ri, d = _exact_candidates(X, qmat, k)
+                qi, ri, d = _exact_candidates(X, qmat, k, ids)
                 bi = ids[ri] if bi is None else np.concatenate([bi, ids[ri]])
                 bq = np.concatenate([bq, qi + first])
                 bd = np.concatenate([bd, d])
@@ -159,11 +209,7 @@ def knn_topk(docs: DataFrame, queries: DataFrame, k: int, *,
         if bi is not None and len(bq):
             yield pd.DataFrame({qid: [keys[j] for j in bq], doc_id: bi, "dist": bd})
 
-    survivors = docs.select(*group_cols, doc_id, doc_vec).mapInPandas(kernel, out_schema)
-    w = Window.partitionBy(qid).orderBy(F.col("dist"), F.col(doc_id))
-    return (survivors.withColumn("rank", F.row_number().over(w))
-            .where(F.col("rank") <= k)
-            .select(qid, "rank", doc_id, "dist"))
+    return docs.select(*group_cols, doc_id, doc_vec).mapInPandas(kernel, out_schema)
 
 
 def multi_query_topk(docs: DataFrame, variants: DataFrame, k: int, *,
@@ -208,32 +254,37 @@ def centroid_assign(vectors: DataFrame, centroids: DataFrame, *, id_col: str = "
 
     Returns ``id_col, label, dist``.
     """
-    rows = _collect_bounded(centroids.select(label, centroid), max_centroids)
+    side = centroids.select(label, centroid)
+    rows = _collect_bounded(side, centroid, max_centroids)
     if rows is None:
-        # nearest within each centroid chunk, then the overall minimum per id
-        outs = [centroid_assign(vectors, part, id_col=id_col, vec=vec, label=label, centroid=centroid,
-                                max_centroids=max_centroids) for part in _chunks(centroids, label, max_centroids)]
+        # nearest within each run of centroids, then the overall minimum per id
+        outs = [_assign(vectors, part, centroids.schema[label].dataType, id_col, vec, label, centroid)
+                for part in _chunks(side, [label], centroid, max_centroids)]
         best = reduce(lambda a, b: a.unionByName(b), outs).groupBy(id_col).agg(
             F.min(F.struct("dist", label)).alias("_m"))
         return best.select(id_col, F.col("_m." + label).alias(label), F.col("_m.dist").alias("dist"))
+    return _assign(vectors, rows, centroids.schema[label].dataType, id_col, vec, label, centroid)
+
+
+def _assign(vectors: DataFrame, rows: list, label_type, id_col, vec, label, centroid) -> DataFrame:
     rows = [r for r in rows if r[centroid] is not None]
     labels = np.array([r[label] for r in rows])
     cmat = np.stack([np.asarray(r[centroid], dtype=np.float64) for r in rows]) if rows else np.zeros((0, 0))
     bc = vectors.sparkSession.sparkContext.broadcast((labels, cmat))
     out_schema = T.StructType([T.StructField(id_col, vectors.schema[id_col].dataType),
-                               T.StructField(label, centroids.schema[label].dataType),
+                               T.StructField(label, label_type),
                                T.StructField("dist", T.DoubleType())])
 
     def kernel(batches):
         labs, C = bc.value
         for pdf in batches:
-            ok, X = _stack(pdf[vec])
+            ok, X = _stack(pdf[vec], C.shape[1] or None)
             if X.shape[0] == 0 or len(labs) == 0:
                 continue
             # nearest centroid per row = the 1-nearest row of C for each row of X
-            ci, ri, d = _exact_candidates(C, X, 1)
             # ties: smallest label (sort by row, distance, label)
             lab_rank = np.argsort(np.argsort(labs, kind="stable"), kind="stable")
+            ci, ri, d = _exact_candidates(C, X, 1, lab_rank)
             r, c, dd = _first_k(ci, lab_rank[ri], d, 1)
             by_rank = np.empty_like(labs)
             by_rank[lab_rank] = labs
@@ -242,6 +293,30 @@ def centroid_assign(vectors: DataFrame, centroids: DataFrame, *, id_col: str = "
     return vectors.select(id_col, vec).mapInPandas(kernel, out_schema)
 
 
+def nearest_label(vec, centroids: DataFrame, label: str = "label", centroid: str = "centroid",
+                  max_centroids: int = 10_000) -> Column:
+    """The label of the nearest centroid as a column (ties: smallest label; null
+    for an unusable vector).  The centroids must fit one broadcast."""
+    rows = _collect_bounded(centroids.select(label, centroid), centroid, max_centroids)
+    if rows is None:
+        raise ValueError("too many centroids for a column; use centroid_assign")
+    rows = sorted((r for r in rows if r[centroid] is not None), key=lambda r: r[label])
+    labels = [r[label] for r in rows]
+    C = np.stack([np.asarray(r[centroid], dtype=np.float64) for r in rows]) if rows else np.zeros((0, 0))
+
+    @F.pandas_udf(centroids.schema[label].dataType)
+    def nearest(s: pd.Series) -> pd.Series:
+        out = pd.Series([None] * len(s), dtype=object)
+        ok, X = _stack(s, C.shape[1] or None)
+        if len(X) and labels:
+            q, r, _ = _exact_candidates(C, X, 1)
+            at = np.flatnonzero(ok)
+            for i, j in zip(q.tolist(), r.tolist()):
+                out.iat[int(at[i])] = labels[j]
+        return out
+    return nearest(_c(vec))
+
+
 def topic_cluster(df: DataFrame, k: int = 10, *, vec: str = "embedding", seed: int = 42,
                   id_col: str = "doc_id", max_iter: int = 20) -> DataFrame:
     """KMeans on L2-normalised vectors with k = min(k, rows).
@@ -265,3 +340,51 @@ def topic_cluster(df: DataFrame, k: int = 10, *, vec: str = "embedding", seed: i
     finally:
         cached.unpersist()
     return model.transform(data).select(id_col, "cluster")
+
+
+def cluster_stores(df: DataFrame, k: int = 10, *, vec: str = "embedding", id_col: str = "doc_id",
+                   group_cols: Sequence[str] = ("user_id", "keyword"), rounds: int = 8, seed: int = 42,
+                   with_centres: bool = False):
+    """Lloyd's k-means within every store, all stores in one job.
+
+    ``k = min(k, n)`` of each store.  The first centres are the vectors with the
+    lowest seeded hash.  A round joins each store's centres (one row a store)
+    to its documents, takes the nearest (ties: smallest cluster) and averages
+    vectors with a partial aggregate, so a store of any size is never gathered
+    in a task.  Vectors are L2-normalised; rows without a usable vector are left
+    out.  Returns ``group, id_col, cluster, dist``, with ``with_centres`` also the
+    centres ``group, cluster, c``.
+    """
+    from pyspark.ml.functions import array_to_vector, vector_to_array
+    from pyspark.ml.stat import Summarizer
+
+    from murmura.session import null_safe, work_dir
+    g = list(group_cols)
+    spark = df.sparkSession
+    path = work_dir(spark, "topics")
+
+    def keep(d, name):
+        d.write.parquet(f"{path}/{name}")
+        return spark.read.schema(d.schema).parquet(f"{path}/{name}")
+
+    usable = F.col(vec).isNotNull() & (F.size(vec) > 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x))
+    d = keep(df.where(usable).select(*g, id_col, F.transform(l2_normalize(vec), lambda x: x.cast("double")).alias("v")), "vectors")
+    w = Window.partitionBy(*g).orderBy(F.xxhash64(F.lit(seed), id_col), id_col)
+    centres = (d.withColumn("cluster", F.row_number().over(w) - 1).where(F.col("cluster") < k)
+               .select(*g, "cluster", F.col("v").alias("c")))
+
+    def assigned(centres):
+        per = centres.groupBy(*g).agg(F.array_sort(F.collect_list(F.struct("cluster", "c"))).alias("cs"))   # k rows
+        far = F.transform("cs", lambda s: F.struct(
+            F.aggregate(F.zip_with(F.col("v"), s["c"], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x).alias("d2"),
+            s["cluster"].alias("cluster")))
+        return null_safe(d, per, g).withColumn("m", F.array_min(far))
+
+    for r in range(rounds):
+        centres = keep(centres, f"centres-{r}")
+        mean = (assigned(centres).groupBy(*g, F.col("m.cluster").alias("cluster"))
+                .agg(Summarizer.mean(array_to_vector("v")).alias("c")))
+        centres = mean.select(*g, "cluster", vector_to_array("c").alias("c"))
+    centres = keep(centres, "centres")
+    out = assigned(centres).select(*g, id_col, F.col("m.cluster").alias("cluster"), F.sqrt("m.d2").alias("dist"))
+    return (out, centres) if with_centres else out

@@ -42,7 +42,7 @@ def s_truncate(x: str, n: int = 1000) -> str:
 
 
 def s_safe_int(x: str) -> str:
-    return f"coalesce(CASE WHEN regexp_full_match({x}, '[0-9]+') THEN TRY_CAST({x} AS BIGINT) END, 0)"
+    return f"coalesce(CASE WHEN regexp_full_match({x}, '[0-9]+') THEN TRY_CAST({x} AS DECIMAL(38,0)) END, 0)"
 
 
 def s_tokens(x: str, min_len: int = 1) -> str:

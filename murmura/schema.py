@@ -28,4 +28,9 @@ HISTORY_SCHEMA = StructType([
     StructField("turn", LongType(), True),
     StructField("role", StringType(), True),
     StructField("text", StringType(), True),
+    StructField("user_id", StringType(), True),
+    StructField("keyword", StringType(), True),
 ])
+
+# Run tables: the post record and its run.
+RUN_SCHEMA = StructType(list(POST_SCHEMA.fields) + [StructField(c, StringType(), True) for c in RUN_KEYS])

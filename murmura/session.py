@@ -3,40 +3,66 @@
 from __future__ import annotations
 
 import os
+import shlex
 import tempfile
 import uuid
 
+from pyspark import SparkConf, SparkContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+DEFAULTS = {
+    "spark.ui.enabled": "false",
+    "spark.ui.showConsoleProgress": "false",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.coalescePartitions.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+    "spark.sql.sources.partitionOverwriteMode": "dynamic",
+}
+
+
+def _given() -> set[str]:
+    """Settings that the deployment has made: those of a JVM that spark-submit
+    started, or of PYSPARK_SUBMIT_ARGS."""
+    if "PYSPARK_GATEWAY_PORT" in os.environ or SparkContext._gateway is not None:
+        return {k for k, _ in SparkConf().getAll()}
+    args = shlex.split(os.environ.get("PYSPARK_SUBMIT_ARGS", ""))
+    named = {"--master": "spark.master", "--driver-memory": "spark.driver.memory"}
+    out = {named[a] for a in args if a in named}
+    return out | {args[i + 1].split("=")[0] for i, a in enumerate(args[:-1]) if a == "--conf"}
+
+
 def get_spark(master: str | None = None, app: str = "murmura",
               shuffle_partitions: int | None = None,
               extra: dict | None = None) -> SparkSession:
-    """Build (or reuse) a session configured for this library.
+    """Build (or reuse) a session for this library.
 
-    On a cluster the master comes from spark-submit; locally it defaults to
-    ``local[8]``.  AQE stays on so shuffle partitions coalesce and skewed join
-    partitions are split at run time.
+    Only settings that nobody has made are set: a running session, the
+    arguments of spark-submit and PYSPARK_SUBMIT_ARGS come first.  Master,
+    driver memory and the number of shuffle partitions are chosen here only for
+    a local run without them; ``master``, ``shuffle_partitions`` and ``extra``
+    are the caller's own wish.
     """
-    cpus = os.environ.get("BENCH_CPUS", "8")
+    running = SparkSession.getActiveSession()
+    if running is not None:
+        for k, v in (extra or {}).items():
+            running.conf.set(k, v)
+        return running
+    given = _given()
+    conf = {k: v for k, v in DEFAULTS.items() if k not in given}
+    if master or "spark.master" not in given:
+        conf["spark.master"] = master or f"local[{os.environ.get('BENCH_CPUS', '*')}]"
+        if "spark.driver.memory" not in given:
+            conf["spark.driver.memory"] = os.environ.get("MURMURA_DRIVER_MEMORY", "16g")
+        if "spark.sql.shuffle.partitions" not in given and conf["spark.master"].startswith("local"):
+            conf["spark.sql.shuffle.partitions"] = "8"
+    if shuffle_partitions:
+        conf["spark.sql.shuffle.partitions"] = str(shuffle_partitions)
     builder = SparkSession.builder.appName(app)
-    if master or not os.environ.get("SPARK_MASTER_URL"):
-        builder = builder.master(master or f"local[{cpus}]")
-    conf = {
-        "spark.ui.enabled": "false",
-        "spark.ui.showConsoleProgress": "false",
-        "spark.sql.session.timeZone": "UTC",
-        "spark.sql.adaptive.enabled": "true",
-        "spark.sql.adaptive.coalescePartitions.enabled": "true",
-        "spark.sql.adaptive.skewJoin.enabled": "true",
-        "spark.sql.execution.arrow.pyspark.enabled": "true",
-        "spark.sql.shuffle.partitions": str(shuffle_partitions or 8),
-        "spark.driver.memory": os.environ.get("MURMURA_DRIVER_MEMORY", "16g"),
-        "spark.sql.sources.partitionOverwriteMode": "dynamic",
-    }
-    conf.update(extra or {})
-    for k, v in conf.items():
+    for k, v in (conf | (extra or {})).items():
         builder = builder.config(k, v)
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
@@ -46,13 +72,13 @@ def get_spark(master: str | None = None, app: str = "murmura",
 def checkpoint_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    On a cluster this is set by the deployment and must be a shared file
-    system.  Only when it is unset (tests, a laptop) do we create one.
+    On a cluster the deployment must set it, to a shared file system; without
+    it this raises.  Only a local run (tests, a laptop) gets a folder of its own.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
-    if not root:
-        root = spark.sparkContext.getCheckpointDir()
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         root = tempfile.mkdtemp(prefix="murmura-ckpt-")
         spark.conf.set("spark.checkpoint.dir", root)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -77,22 +103,11 @@ def sized_broadcast(df: DataFrame, max_rows: int) -> DataFrame:
     return F.broadcast(df) if n <= max_rows else df
 
 
-def spread(df: DataFrame, key: str | None = None) -> DataFrame:
-    """Give CPU-heavy narrow stages (regex, hashing, Arrow UDFs) every core.
-
-    A small table stored as one row group scans as a single task; when the
-    scan yields fewer partitions than the cluster's default parallelism the
-    rows are hash-partitioned by ``key`` (deterministic, no sort, and a
-    partitioning later joins / windows on ``key`` can reuse).  A large input
-    already has at least that many splits, so on a cluster this is a no-op:
-    no extra shuffle of big data.
-    """
-    if os.environ.get("MURMURA_NO_SPREAD"):
-        return df
-    try:
-        target = df.sparkSession.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() >= target:
-            return df
-    except Exception:  # noqa: BLE001 - no RDD view (e.g. a remote session): leave as is
-        return df
-    return df.repartition(target, key) if key else df.repartition(target)
+def null_safe(a: DataFrame, b: DataFrame, keys, how: str = "inner") -> DataFrame:
+    """Join on ``keys`` with null equal to null, the keys standing once."""
+    r = b.select(*[F.col(c).alias(f"_r_{c}") if c in keys else F.col(c) for c in b.columns])
+    cond = None
+    for k in keys:
+        one = a[k].eqNullSafe(r[f"_r_{k}"])
+        cond = one if cond is None else cond & one
+    return a.join(r, cond, how).drop(*[f"_r_{k}" for k in keys])
