@@ -150,15 +150,40 @@ def pack(a: np.ndarray) -> bytes:
     return np.ascontiguousarray(a).tobytes()
 
 
-def map_arrow(df, fn, schema: str):
-    """``mapInArrow`` over one-batch functions: fn(RecordBatch) -> RecordBatch iterator."""
+def planes(a: np.ndarray, width: int) -> bytes:
+    """The low ``width`` bytes of each 8-byte number, plane by plane (empty and
+    repetitive planes vanish under the shuffle's compression)."""
+    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+
+
+def unplanes(raw: bytes, width: int, kind=np.int64) -> np.ndarray:
+    p = np.frombuffer(raw, np.uint8).reshape(width, -1)
+    out = np.zeros((p.shape[1], 8), np.uint8)
+    out[:, :width] = p.T
+    return out.reshape(-1).view(kind)
+
+
+PIECE = 8 << 20                # text bytes that a task step works on at once
+
+
+def pieces(batch: pa.RecordBatch, text: str | None) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most PIECE bytes of its text column."""
+    if text is None:
+        yield batch
+        return
+    _, offs = text_buffer(batch[text])
+    for i, j in slabs(offs, PIECE):
+        yield batch.slice(i, j - i)
+
+
+def map_arrow(df, fn, schema: str, text: str | None = None):
+    """``mapInArrow`` over one-batch functions: fn(RecordBatch) -> RecordBatch
+    iterator.  With ``text`` the batches are cut so that memory follows PIECE,
+    not the number of rows that Spark puts into a batch."""
     def run(batches):
         for b in batches:
             if b.num_rows:
-                yield from fn(b)
+                for part in pieces(b, text):
+                    yield from fn(part)
+                pa.default_memory_pool().release_unused()
     return df.mapInArrow(run, schema)
-
-
-def offsets_to_list(values: pa.Array, lengths) -> pa.ListArray:
-    off = np.concatenate([[0], np.cumsum(lengths)]).astype(np.int32)
-    return pa.ListArray.from_arrays(pa.array(off, pa.int32()), values)

@@ -238,13 +238,13 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
     shards = max(parts_of(spark), -(-n_keys // shard_keys))   # probes load the shards too
     index = build_shards(lines.where(F.col("n") * HOT < F.lit(n_pairs)), shards)
     gone = (probe_shards(d, index, hot_keys, shards, min_chars)
-            .groupBy("doc").agg(F.collect_set("h").alias("_gone")))
+            .groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("h").alias("_gone")))
 
     names = [f for f in df.schema.fields if f.name not in ("n_lines", "n_dropped")]
     keep = [F.col(f"`{f.name}`") for f in names]
     at_text = [f.name for f in names].index(text_col)
     full = (df.select(*keep).withColumn("_id", F.coalesce(F.col(id_col).cast("bigint"), F.lit(A.NULL_ID)))
-            .join(gone, F.col("_id") == F.col("doc"), "left").drop("doc"))
+            .join(gone, F.col("_id") == F.col("_doc"), "left").drop("_doc"))
     schema = StructType(names[:at_text] + [StructField(text_col, StringType())] + names[at_text + 1:]
                         + [StructField("n_lines", LongType()), StructField("n_dropped", LongType())])
 
@@ -277,4 +277,4 @@ def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", m
         yield pa.RecordBatch.from_arrays(cols + [pa.array(n_lines, pa.int64()), pa.array(n_drop, pa.int64())],
                                          schema.names)
 
-    return A.map_arrow(full, clean, schema)
+    return A.map_arrow(full, clean, schema, text_col)

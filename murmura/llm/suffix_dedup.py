@@ -7,13 +7,15 @@ the input, never across documents.
 Only strings of ``length`` bytes are compared, and equal strings have the same
 minimiser (the least hash of their MER-byte substrings), so:
 
-1. Filter: each document's distinct minimisers go, packed, to their bucket;
-   those found in two documents or more come back.  Text whose minimisers are
-   found nowhere else cannot hold a repeat and goes no further.
-2. Slices: the remaining text is cut into runs of windows that share a
-   minimiser and sent, packed, to the minimiser's bucket.  Equal slices of a
-   batch are combined first (all but the smallest document are marked at once),
-   so a passage in a third of all documents sends one slice a batch.
+1. Filter: text is cut into slices, runs of windows that share a minimiser.
+   Packed (minimiser, slice hash, document) entries go to the minimiser's
+   bucket.  A slice that a smaller document has whole is marked there and then;
+   a minimiser found in one document only, or with one slice only, is done.
+   Equal slices of a batch are combined first, so a passage in a third of all
+   documents sends one entry a batch.
+2. Slices: where a minimiser has several slices, one document of each sends the
+   slice's bytes, packed, on the routes of the minimiser with half of the bytes
+   that a match needs before or after it (equal windows agree in one of them).
 3. In each bucket the distinct slices are one text, whose suffixes are sorted by
    the difference-cover algorithm (``suffix_array``): sort the sampled triples
    (positions 1 and 2 mod 3), recurse on their names, sort the rest by (byte,
@@ -43,8 +45,10 @@ from murmura.llm.tables import parts_of, written
 
 LENGTH = 50
 MER = 20
+LONGEST = 64                # windows in a slice
+CROWD = 64                  # slices of one minimiser in a task step that make it crowded
 U = np.uint64
-SLAB = 1 << 20
+SLAB = 1 << 16              # bytes hashed at once: the arrays stay in the cache
 
 
 # ----------------------------------------------- difference-cover suffix array
@@ -124,12 +128,18 @@ def marked_windows(text: np.ndarray, valid: np.ndarray, doc: np.ndarray, length:
 
 # ------------------------------------------------------------- minimiser runs
 
-def _window_hash(data: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every ``size``-byte substring."""
+def _window_hash(data: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Polynomial hash of every ``size``-byte substring (its high bits order
+    well), and the running sums it comes from."""
     n = len(data)
-    c = A._CODES[data] * A._POW[:n]
-    s = np.concatenate([np.zeros(1, np.uint64), np.cumsum(c, dtype=np.uint64)])
-    return A.mix((s[size:] - s[:-size]) * A._INV[:n - size + 1])
+    c = A._CODES[data]
+    c *= A._POW[:n]
+    s = np.empty(n + 1, np.uint64)
+    s[0] = 0
+    np.cumsum(c, out=s[1:])
+    h = s[size:] - s[:-size]
+    h *= A._INV[:n - size + 1]
+    return h, s
 
 
 def _sliding_min(h: np.ndarray, w: int) -> np.ndarray:
@@ -141,56 +151,66 @@ def _sliding_min(h: np.ndarray, w: int) -> np.ndarray:
 
 
 def runs_of(data: np.ndarray, offsets: np.ndarray, length: int, mer: int):
-    """(row, start, windows, key) of the runs of windows of each row that share a
-    minimiser; ``start`` counts from the row's first byte."""
-    rows, starts, counts, keys = [], [], [], []
+    """(row, start, windows, key, hash of the bytes) of the runs of windows of each
+    row that share a minimiser; ``start`` counts from the row's first byte."""
+    rows, starts, counts, keys, hashes = [], [], [], [], []
     for r0, r1 in A.slabs(offsets, SLAB):
         lo, hi = int(offsets[r0]), int(offsets[r1])
         at = lo
         while hi - at >= length:                       # a long row is read in overlapping pieces
-            end = min(hi, at + 2 * SLAB) if r1 - r0 == 1 else hi
-            part = data[at:end]
-            if len(part) < length:
-                break
-            low = _sliding_min(_window_hash(part, mer), length - mer + 1)
-            pos = np.arange(len(low)) + at
-            row = np.searchsorted(offsets, pos, "right") - 1
-            ok = pos + length <= offsets[row + 1]
-            pos, row, low = pos[ok], row[ok], low[ok]
-            if len(pos):
-                new = np.concatenate([[True], (low[1:] != low[:-1]) | (row[1:] != row[:-1])])
-                i = np.flatnonzero(new)
-                rows.append(row[i])
-                starts.append(pos[i] - offsets[row[i]])
-                counts.append(np.diff(np.concatenate([i, [len(pos)]])))
-                keys.append(low[i])
+            end = min(hi, at + 4 * SLAB) if r1 - r0 == 1 else hi
+            h, sums = _window_hash(data[at:end], mer)
+            low = _sliding_min(h, length - mer + 1)
+            first = np.empty(len(low), bool)
+            first[0] = True
+            np.not_equal(low[1:], low[:-1], out=first[1:])
+            inner = offsets[r0 + 1:r1] - at
+            first[inner[inner < len(low)]] = True
+            i = np.flatnonzero(first)
+            row = np.searchsorted(offsets, i + at, "right") - 1
+            stop = np.minimum(np.concatenate([i[1:], [len(low)]]), offsets[row + 1] - at - length + 1)
+            n = stop - i
+            ok = n > 0
+            row, i, n = row[ok], i[ok], n[ok]
+            if len(n) and n.max() > LONGEST:           # loops: equal cuts of a loop are equal slices
+                parts = -(-n // LONGEST)
+                nth = np.arange(int(parts.sum())) - np.repeat(np.cumsum(parts) - parts, parts)
+                row, i, n = (np.repeat(x, parts) for x in (row, i, n))
+                i, n = i + nth * LONGEST, np.minimum(n - nth * LONGEST, LONGEST)
+            size = n + length - 1
+            rows.append(row)
+            starts.append(i + at - offsets[row])
+            counts.append(n)
+            keys.append(low[i])
+            hashes.append(A.mix((sums[i + size] - sums[i]) * A._INV[i] + size.astype(np.uint64)))
             if end == hi:
                 break
             at = end - length + 1
     if not rows:
         z = np.empty(0, np.int64)
-        return z, z, z, np.empty(0, np.uint64)
-    return np.concatenate(rows), np.concatenate(starts), np.concatenate(counts), np.concatenate(keys)
-
-
-def _planes(a: np.ndarray, width: int) -> bytes:
-    """The low ``width`` bytes of each number, plane by plane (the empty planes
-    vanish under the shuffle's compression)."""
-    return np.ascontiguousarray(a.view(np.uint8).reshape(-1, 8)[:, :width].T).tobytes()
+        return z, z, z, z.view(np.uint64), z.view(np.uint64)
+    return tuple(map(np.concatenate, (rows, starts, counts, keys, hashes)))
 
 
-def _unplanes(raw: bytes, width: int, kind=np.int64) -> np.ndarray:
-    p = np.frombuffer(raw, np.uint8).reshape(width, -1)
-    out = np.zeros((p.shape[1], 8), np.uint8)
-    out[:, :width] = p.T
-    return out.reshape(-1).view(kind)
+SORTED = 8                                             # sorted texts that a bucket's slices are dealt to
+KEY, SLICE = 5, 6                                      # bytes compared of a minimiser (besides its bucket) and of a slice
 
 
-KEY = 6                                                # bytes of a minimiser that the filter compares
+def slices_of(data: np.ndarray, offsets: np.ndarray, length: int, mer: int, buckets: int):
+    """(row, start, windows, bucket, key, slice): the runs with their bucket, the
+    rest of the minimiser's hash and a hash of the run's bytes."""
+    row, start, count, low, same = runs_of(data, offsets, length, mer)
+    low = A.mix(low)
+    bucket = (low % U(buckets)).astype(np.int32)
+    key = (low // U(buckets)) & U(2 ** (8 * KEY) - 1)
+    return row, start, count, bucket, key, same >> U(8 * (8 - SLICE))
 
 
-def _short(keys: np.ndarray) -> np.ndarray:
-    return A.mix(keys) >> U(8 * (8 - KEY))
+def _ids(bucket, key, same, send) -> np.ndarray:
+    """What a document is told about a slice: its id, odd if the document is to
+    send the slice's bytes, even if a smaller document has the whole slice."""
+    h = A.mix(A.mix(bucket.astype(np.uint64) + U(1)) ^ key * U(0x9E3779B97F4A7C15) ^ A.mix(same))
+    return ((h & U(2 ** 64 - 2)) | U(1 if send else 0)).view(np.int64)
 
 
 def _split(bucket):
@@ -199,193 +219,238 @@ def _split(bucket):
     return [g for g in np.split(order, cut) if len(g)]
 
 
-def shared_keys(d: DataFrame, length: int, mer: int, buckets: int) -> DataFrame:
-    """(doc, key) for every minimiser that another document has too."""
+def replies_of(d: DataFrame, length: int, mer: int, buckets: int) -> DataFrame:
+    """(doc, id) for every slice that a smaller document has too, or whose
+    minimiser another document has with other bytes around it.
+
+    A crowded minimiser (a phrase shorter than a match that many documents
+    hold) would load its bucket: its entries are dealt by slice instead, and the
+    bucket only learns that it is crowded, so the slices of calmer tasks are
+    sent too."""
     def send(b):
         ids = A.id_array(b["_id"])
         data, offs = A.text_buffer(b["_text"])
-        row, _, _, key = runs_of(data, offs, length, mer)
-        doc, key = ids[row], _short(key)
-        order = np.lexsort((doc, key))
-        doc, key = doc[order], key[order]
-        if not len(doc):
+        row, _, _, bucket, key, same = slices_of(data, offs, length, mer, buckets)
+        if not len(row):
             return
-        new = np.concatenate([[True], (key[1:] != key[:-1]) | (doc[1:] != doc[:-1])])
-        doc, key = doc[new], key[new]
-        first = np.concatenate([[True], key[1:] != key[:-1]])
-        size = np.diff(np.concatenate([np.flatnonzero(first), [len(key)]]))
-        twice = np.repeat(size > 1, size)              # shared inside the batch: no need to ask
-        ask = first | ~twice
-        bucket = (key % U(buckets)).astype(np.int32)
-        rest = np.flatnonzero(ask)
-        rest = rest[np.argsort(doc[rest], kind="stable")]
-        groups = [rest[g] for g in _split(bucket[rest])]
-        known = np.flatnonzero(twice)
-        some = np.array_split(known, max(1, len(known) // 8192)) if len(known) else []
+        doc = ids[row]
+        known = _ids(bucket, key, same, False)
+        order = np.argsort(known, kind="stable")
+        doc, bucket, key, same, known = doc[order], bucket[order], key[order], same[order], known[order]
+        new = np.concatenate([[True], known[1:] != known[:-1]])
+        group = np.cumsum(new) - 1
+        least = np.minimum.reduceat(doc, np.flatnonzero(new))[group]
+        told = np.flatnonzero(doc > least)             # a smaller document of this step has the slice
+        ask = np.flatnonzero(doc == least)
+        ask = ask[np.concatenate([[True], np.diff(group[ask]) > 0])]
+        ask = ask[np.argsort(doc[ask], kind="stable")]
+        whole = A.mix(key ^ A.mix(bucket.astype(np.uint64) + U(1)))
+        names, of, n = np.unique(whole[ask], return_inverse=True, return_counts=True)
+        crowded = n[of] > CROWD
+        hot, ask = ask[crowded], ask[~crowded]
+        first = np.unique(whole[hot], return_index=True)[1]
+        packs = [(KIND_ASK, int(bucket[ask[g[0]]]), A.planes(key[ask[g]], KEY), A.planes(same[ask[g]], SLICE), A.planes(doc[ask[g]], 8))
+                 for g in _split(bucket[ask])]
+        packs += [(KIND_CROWDED, int(bucket[hot[g[0]]]), A.planes(key[hot[g]], KEY), b"", b"")
+                  for g in (first[x] for x in _split(bucket[hot[first]]))]
+        dealt = (A.mix(known[hot].view(np.uint64)) % U(buckets)).astype(np.int32)
+        packs += [(KIND_DEALT, int(dealt[g[0]]), A.planes(known[hot[g]], 8), b"", A.planes(doc[hot[g]], 8)) for g in _split(dealt)]
+        some = np.array_split(told, max(1, len(told) // 8192)) if len(told) else []
         even = np.random.default_rng(len(key)).integers(0, buckets, len(some)).tolist()
-        every = groups + some
+        packs += [(KIND_TOLD, e, A.planes(known[g], 8), b"", A.planes(doc[g], 8)) for g, e in zip(some, even)]
+        kinds, where, keys, slices, docs = zip(*packs)
         yield pa.RecordBatch.from_arrays(
-            [pa.array([int(bucket[g[0]]) for g in groups] + even, pa.int32()),
-             pa.array([False] * len(groups) + [True] * len(some)),
-             pa.array([_planes(key[g], KEY) for g in every], pa.binary()),
-             pa.array([_planes(doc[g], 8) for g in every], pa.binary()),
-             pa.array([np.packbits(twice[g]).tobytes() for g in every], pa.binary())],
-            ["bucket", "known", "keys", "docs", "twice"])
+            [pa.array(where, pa.int32()), pa.array(kinds, pa.int32()), pa.array(keys, pa.binary()),
+             pa.array(slices, pa.binary()), pa.array(docs, pa.binary())], ["bucket", "kind", "keys", "slices", "docs"])
 
     def answer(t: pa.Table) -> pa.Table:
-        known = t["known"].to_pylist()
-        keys = [_unplanes(x, KEY, np.uint64) for x in t["keys"].to_pylist()]
-        docs = [_unplanes(x, 8) for x in t["docs"].to_pylist()]
-        twice = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(k)).astype(bool)
-                 for x, k in zip(t["twice"].to_pylist(), keys)]
-        out_k, out_d = [k for k, w in zip(keys, known) if w], [d for d, w in zip(docs, known) if w]
-        ask = [i for i, w in enumerate(known) if not w]
+        bucket = t["bucket"][0].as_py()
+        rows = list(zip(*(t[c].to_pylist() for c in ("kind", "keys", "slices", "docs"))))
+        out_i, out_d = [], []
+        for _, k, _, d_ in (r for r in rows if r[0] == KIND_TOLD):
+            out_i.append(A.unplanes(k, 8))
+            out_d.append(A.unplanes(d_, 8))
+        dealt = [(A.unplanes(k, 8), A.unplanes(d_, 8)) for kind, k, _, d_ in rows if kind == KIND_DEALT]
+        if dealt:
+            i, d_ = (np.concatenate(x) for x in zip(*dealt))
+            order = np.lexsort((d_, i))
+            i, d_ = i[order], d_[order]
+            new = np.concatenate([[True], i[1:] != i[:-1]])
+            least = d_[new][np.cumsum(new) - 1]
+            out_i.append(np.where(d_ == least, i | 1, i))
+            out_d.append(d_)
+        ask = [(A.unplanes(k, KEY, np.uint64), A.unplanes(x, SLICE, np.uint64), A.unplanes(d_, 8)) for kind, k, x, d_ in rows if kind == KIND_ASK]
         if ask:
-            k, d, w = (np.concatenate([x[i] for i in ask]) for x in (keys, docs, twice))
+            k, s_, d_ = (np.concatenate(x) for x in zip(*ask))
+            crowd = np.unique(np.concatenate([np.empty(0, np.uint64)] + [A.unplanes(x, KEY, np.uint64) for kind, x, _, _ in rows if kind == KIND_CROWDED]))
             order = np.argsort(k, kind="stable")
-            k, d, w = k[order], d[order], w[order]
-            first = np.flatnonzero(np.concatenate([[True], k[1:] != k[:-1]]))
-            size = np.diff(np.concatenate([first, [len(k)]]))
-            many = (np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)) | np.maximum.reduceat(w, first)
-            go = np.repeat(many, size) & ~w            # the others know already
-            out_k.append(k[go])
-            out_d.append(d[go])
-        z = np.empty(0, np.int64)
-        return pa.table({"doc": np.concatenate(out_d or [z]), "key": np.concatenate(out_k or [z.view(np.uint64)]).view(np.int64)})
-
-    packed = A.map_arrow(d, send, "bucket int, known boolean, keys binary, docs binary, twice binary")
-    return packed.groupBy("bucket").applyInArrow(answer, "doc bigint, key bigint")
-
-
-def marks_of(d: DataFrame, keys: DataFrame, length: int, mer: int, buckets: int) -> DataFrame:
-    """(doc, tk, start, n): runs of n windows that start in a smaller document too."""
-    mine = keys.groupBy("doc").agg(F.collect_set("key").alias("_keys"))
-    some = d.join(mine, F.col("_id") == F.col("doc")).drop("doc")
-    schema = "bucket int, mark boolean, keys binary, docs binary, tks binary, starts binary, counts binary, texts binary"
+            same = k[order][1:] == k[order][:-1]
+            again = np.concatenate([same, [False]]) | np.concatenate([[False], same])
+            some = order[again | np.isin(k[order], crowd)]     # most minimisers stand alone
+            k, s_, d_ = k[some], s_[some], d_[some]
+            if len(k):
+                order = np.lexsort((d_, s_, k))
+                k, s_, d_ = k[order], s_[order], d_[order]
+                nk = np.concatenate([[True], k[1:] != k[:-1]])
+                ns = nk | np.concatenate([[True], s_[1:] != s_[:-1]])
+                kf, of_k = np.flatnonzero(nk), np.cumsum(nk) - 1
+                least = d_[ns][np.cumsum(ns) - 1]
+                mixed = ((np.minimum.reduceat(d_, kf) != np.maximum.reduceat(d_, kf))
+                         & (np.add.reduceat(ns.astype(np.int64), kf) > 1))[of_k] | np.isin(k, crowd)
+                where = np.full(len(k), bucket, np.int32)
+                for pick, odd in ((d_ > least, False), ((d_ == least) & mixed, True)):
+                    out_i.append(_ids(where[pick], k[pick], s_[pick], odd))
+                    out_d.append(d_[pick])
+        z = [np.empty(0, np.int64)]
+        return pa.table({"doc": np.concatenate(out_d or z), "id": np.concatenate(out_i or z)})
+
+    packed = A.map_arrow(d, send, "bucket int, kind int, keys binary, slices binary, docs binary", "_text")
+    return packed.groupBy("bucket").applyInArrow(answer, "doc bigint, id bigint")
+
+
+KIND_ASK, KIND_CROWDED, KIND_DEALT, KIND_TOLD = range(4)
+
+
+def _told(batch, bucket, key, same, row, send: bool) -> np.ndarray:
+    """Which slices of the batch's rows were told so."""
+    lists = batch["_told"]
+    at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
+    flat = flat[at[0]:at[-1]].view(np.uint64)
+    owner = np.repeat(np.arange(len(at) - 1), np.diff(at)).astype(np.uint64)
+    want = np.sort(A.mix(flat ^ A.mix(owner + U(1))))
+    have = A.mix(_ids(bucket, key, same, send).view(np.uint64) ^ A.mix(row.astype(np.uint64) + U(1)))
+    if not len(want):
+        return np.zeros(len(have), bool)
+    i = np.minimum(np.searchsorted(want, have), len(want) - 1)
+    return want[i] == have
+
+
+def sides(text: np.ndarray, put: np.ndarray, length: int, mer: int) -> tuple[np.ndarray, np.ndarray]:
+    """(slice, route) pairs of slices laid end to end (slice i is
+    ``put[i]:put[i + 1]``).  Equal windows hold the minimiser with the same bytes
+    around it, so they agree in half of the other bytes before it or after it:
+    a slice is routed by the minimiser with either half, at every place of it."""
+    half = (length - mer) // 2
+    size = np.diff(put)
+    run = np.concatenate([np.zeros(1, np.uint64), _prefix(text)])
+    h = run[mer:] - run[:-mer]
+    h *= _inverse(np.arange(len(h)))
+    owner = np.repeat(np.arange(len(size)), size)[:len(h)]
+    inside = np.arange(len(h)) + mer <= put[owner + 1]
+    h[~inside] = U(2 ** 64 - 1)
+    low = np.minimum.reduceat(h, put[:-1])
+    here = np.flatnonzero((h == low[owner]) & inside)
+    who, route = [], []
+    for shift in (0, -half):
+        a, w = here + shift, owner[here]
+        ok = (a >= put[w]) & (a + mer + half <= put[w + 1])
+        a, w = a[ok], w[ok]
+        if len(a):
+            who.append(w)
+            route.append(A.mix((run[a + mer + half] - run[a]) * _inverse(a) + U(1 if shift else 2)))
+    if not who:
+        return np.empty(0, np.int64), np.empty(0, np.uint64)
+    who, route = np.concatenate(who), np.concatenate(route)
+    order = np.lexsort((route, who))
+    who, route = who[order], route[order]
+    new = np.concatenate([[True], (who[1:] != who[:-1]) | (route[1:] != route[:-1])])
+    return who[new], route[new]
+
+
+def _laid(at: np.ndarray, size: np.ndarray, gap: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Source index of slices laid end to end (each followed by ``gap`` places), and their borders."""
+    put = np.concatenate([[0], np.cumsum(size + gap)])
+    return np.repeat(at - put[:-1], size + gap) + np.arange(int(put[-1])), put
+
+
+def marks_of(some: DataFrame, text_col: str, length: int, mer: int, buckets: int) -> DataFrame:
+    """(doc, tk, start, n): runs of n windows that start in a smaller document
+    too, from the slices that had to be sent."""
+    schema = "bucket int, routes binary, docs binary, tks binary, starts binary, counts binary, texts binary"
+    parts = buckets * SORTED
 
     def send(b):
         ids, tk = A.id_array(b["_id"]), b["_tk"].to_numpy()
-        data, offs = A.text_buffer(b["_text"])
-        row, start, count, key = runs_of(data, offs, length, mer)
-        lists = b["_keys"]
-        at, flat = lists.offsets.to_numpy(), lists.values.to_numpy().view(np.uint64)
-        # (row, key) pairs that were asked back
-        owner = np.repeat(np.arange(len(at) - 1), np.diff(at))
-        want = np.sort(A.mix(flat[at[0]:at[-1]]) + A.mix(owner.astype(np.uint64) + U(1)))
-        have = A.mix(_short(key)) + A.mix(row.astype(np.uint64) + U(1))
-        i = np.minimum(np.searchsorted(want, have), max(0, len(want) - 1))
-        ok = want[i] == have if len(want) else np.zeros(len(have), bool)
-        row, start, count, key = row[ok], start[ok], count[ok], key[ok]
+        data, offs = A.text_buffer(b[text_col].cast(pa.string()))
+        row, start, count, bucket, key, same = slices_of(data, offs, length, mer, buckets)
+        ok = _told(b, bucket, key, same, row, True)
+        row, start, count = row[ok], start[ok], count[ok]
         if not len(row):
             return
-        lo = offs[row] + start
-        size = count + length - 1
-        same = np.empty(len(row), np.uint64)           # hash of the slice's bytes
-        text_hash = np.concatenate([np.zeros(1, np.uint64), _prefix(data)])
-        same[:] = A.mix((text_hash[lo + size] - text_hash[lo]) * _inverse(lo) + size.astype(np.uint64))
-        doc = ids[row]
-        order = np.lexsort((doc, same))
-        first = np.concatenate([[True], same[order][1:] != same[order][:-1]])
-        least = doc[order][first][np.cumsum(first) - 1]
-        bigger = np.empty(len(row), bool)
-        bigger[order] = doc[order] > least
-        rest = np.flatnonzero(~bigger)
-        bucket = (key % U(buckets)).astype(np.int32)
-        groups = [rest[g] for g in _split(bucket[rest])]
-        done = np.flatnonzero(bigger)
-        parts = np.array_split(done, max(1, len(done) // 8192)) if len(done) else []
-        even = np.random.default_rng(len(row)).integers(0, buckets, len(parts)).tolist()
-        raw = data.tobytes()
-        every = groups + parts
-        for a in range(0, len(every), 64):
-            bs, gs = (([int(bucket[g[0]]) for g in groups] + even)[a:a + 64]), every[a:a + 64]
-            marked = [k + a >= len(groups) for k in range(len(gs))]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(bs, pa.int32()), pa.array(marked)]
-                + [pa.array([_planes(v[g], 8) for g in gs], pa.binary()) for v in (key, doc, tk[row], start, count)]
-                + [pa.array([b"" if m else b"".join(raw[x:x + y] for x, y in zip(lo[g].tolist(), size[g].tolist()))
-                             for g, m in zip(gs, marked)], pa.binary())],
-                ["bucket", "mark", "keys", "docs", "tks", "starts", "counts", "texts"])
+        lo, size = offs[row] + start, count + length - 1
+        src, put = _laid(lo, size)
+        who, route = sides(data[src], put, length, mer)
+        meta = [x[who] for x in (ids[row], tk[row], start, count)]
+        lo, size = lo[who], size[who]
+        raw, where = data.tobytes(), (route % U(parts)).astype(np.int32)
+        groups = _split(where)
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([int(where[g[0]]) for g in groups], pa.int32())]
+            + [pa.array([A.planes(v[g], 8) for g in groups], pa.binary()) for v in (route, *meta)]
+            + [pa.array([b"".join(raw[x:x + y] for x, y in zip(lo[g].tolist(), size[g].tolist())) for g in groups], pa.binary())],
+            ["bucket", "routes", "docs", "tks", "starts", "counts", "texts"])
 
     def sort(t: pa.Table) -> pa.Table:
-        mark = t["mark"].to_pylist()
-        cols = {c: [_unplanes(x, 8) for x in t[c].to_pylist()] for c in ("keys", "docs", "tks", "starts", "counts")}
-        out = {c: [x for x, m in zip(cols[c], mark) if m] for c in ("docs", "tks", "starts", "counts")}
-        ask = [i for i, m in enumerate(mark) if not m]
-        if ask:
-            key, doc, tk, start, count = (np.concatenate([cols[c][i] for i in ask]) for c in cols)
-            texts = t["texts"]
-            raw = b"".join(texts[i].as_py() for i in ask)
-            for name, got in zip(("docs", "tks", "starts", "counts"), _bucket_marks(raw, key, doc, tk, start, count, length)):
-                out[name].append(got)
-        z = [np.empty(0, np.int64)]
-        d_, k_, s_, n_ = (np.concatenate(out[c] or z) for c in ("docs", "tks", "starts", "counts"))
+        route, doc, tk, start, count = (np.concatenate([A.unplanes(x, 8) for x in t[c].to_pylist()])
+                                        for c in ("routes", "docs", "tks", "starts", "counts"))
+        raw = b"".join(x.as_py() for x in t["texts"])
+        d_, k_, s_, n_ = _bucket_marks(raw, route, doc, tk, start, count, length)
         return pa.table({"doc": d_, "tk": k_, "start": s_, "n": n_})
 
-    return (some.mapInArrow(lambda it: (x for b in it if b.num_rows for x in send(b)), schema)
+    return (A.map_arrow(some, send, schema, text_col)
             .groupBy("bucket").applyInArrow(sort, "doc bigint, tk bigint, start bigint, n bigint"))
 
 
 def _prefix(data: np.ndarray) -> np.ndarray:
     """Running polynomial hash of a batch (any length)."""
-    out, total = np.empty(len(data), np.uint64), U(0)
+    out, total = np.empty(len(data), np.uint64), np.zeros(1, np.uint64)
     for a in range(0, len(data), A.SLAB):
         part = data[a:a + A.SLAB]
-        c = A._CODES[part] * A._POW[:len(part)] * _power(a)
-        out[a:a + A.SLAB] = np.cumsum(c, dtype=np.uint64) + total
-        total = out[min(a + A.SLAB, len(data)) - 1]
+        c = A._CODES[part] * A._POW[:len(part)] * U(pow(A._BASE, a, 2 ** 64))
+        out[a:a + len(part)] = np.cumsum(c, dtype=np.uint64) + total
+        total = out[a + len(part) - 1:a + len(part)].copy()
     return out
 
 
-def _power(a: int) -> np.uint64:
-    return U(pow(A._BASE, int(a), 2 ** 64))
-
-
 def _inverse(at: np.ndarray) -> np.ndarray:
     """BASE ** -at."""
     big = np.array([pow(A._BASE, -int(k) * A.SLAB, 2 ** 64) for k in range(int(at.max()) // A.SLAB + 1)], np.uint64)
     return A._INV[at % A.SLAB] * big[at // A.SLAB]
 
 
-def _bucket_marks(raw: bytes, key, doc, tk, start, count, length: int):
-    """Marked runs (doc, tk, start, n) among the slices of one bucket."""
+def _bucket_marks(raw: bytes, route, doc, tk, start, count, length: int):
+    """Marked runs (doc, tk, start, n) among the slices of one bucket: the
+    slices on routes that several documents share are one text to sort."""
     size = count + length - 1
-    at = np.concatenate([[0], np.cumsum(size)])
+    at = np.concatenate([[0], np.cumsum(size)])[:-1]
+    order = np.argsort(route, kind="stable")
+    first = np.flatnonzero(np.concatenate([[True], route[order][1:] != route[order][:-1]]))
+    d = doc[order]
+    many = np.minimum.reduceat(d, first) != np.maximum.reduceat(d, first)
+    todo = order[np.repeat(many, np.diff(np.concatenate([first, [len(order)]])))]
+    if len(todo):                                      # a slice may come by several routes
+        o = todo[np.lexsort((start[todo], tk[todo], doc[todo]))]
+        new = np.concatenate([[True], (doc[o][1:] != doc[o][:-1]) | (tk[o][1:] != tk[o][:-1]) | (start[o][1:] != start[o][:-1])])
+        todo = np.sort(o[new])
+    z = np.empty(0, np.int64)
+    if not len(todo):
+        return z, z, z, z
     data = np.frombuffer(raw, np.uint8)
-    same = np.array([hash(raw[a:b]) for a, b in zip(at[:-1].tolist(), at[1:].tolist())], np.int64)
-    order = np.lexsort((doc, same))
-    first = np.concatenate([[True], same[order][1:] != same[order][:-1]])
-    least = doc[order][first][np.cumsum(first) - 1]
-    bigger = np.empty(len(doc), bool)
-    bigger[order] = doc[order] > least                 # a smaller document has the whole slice
-    out = [[doc[bigger]], [tk[bigger]], [start[bigger]], [count[bigger]]]
-    # of the rest, only minimisers with several different slices need sorting
-    rest = np.flatnonzero(~bigger)
-    o = rest[np.lexsort((same[rest], key[rest]))]
-    newkey = np.concatenate([[True], key[o][1:] != key[o][:-1]])
-    lo, hi = np.minimum.reduceat(same[o], np.flatnonzero(newkey)), np.maximum.reduceat(same[o], np.flatnonzero(newkey))
-    todo = np.sort(o[(lo != hi)[np.cumsum(newkey) - 1]])
-    if len(todo):
-        n = size[todo] + 1                             # each slice ends in a separator
-        put = np.concatenate([[0], np.cumsum(n)])
-        text = np.full(int(put[-1]), 1, np.int64)
-        src = np.repeat(at[todo] - put[:-1], n) + np.arange(int(put[-1]))
-        inside = np.ones(int(put[-1]), bool)
-        inside[put[1:] - 1] = False
-        text[inside] = data[src[inside]].astype(np.int64) + 2
-        which = np.repeat(np.arange(len(todo)), n)
-        offset = np.arange(int(put[-1])) - put[which]
-        valid = offset < count[todo][which]
-        hit = marked_windows(text, valid, doc[todo][which], length)
-        p = np.flatnonzero(hit)
-        if len(p):
-            new = np.concatenate([[True], (p[1:] != p[:-1] + 1) | (which[p[1:]] != which[p[:-1]])])
-            i = np.flatnonzero(new)
-            run = np.diff(np.concatenate([i, [len(p)]]))
-            w = todo[which[p[i]]]
-            for c, v in zip(out, (doc[w], tk[w], start[w] + offset[p[i]], run)):
-                c.append(v)
-    return [np.concatenate(c) for c in out]
+    src, put = _laid(at[todo], size[todo], 1)          # each slice ends in a separator
+    which = np.repeat(np.arange(len(todo)), size[todo] + 1)
+    inside = np.ones(len(src), bool)
+    inside[put[1:] - 1] = False
+    text = np.full(len(src), 1, np.int64)
+    text[inside] = data[src[inside]].astype(np.int64) + 2
+    offset = np.arange(len(src)) - put[which]
+    hit = marked_windows(text, offset < count[todo][which], doc[todo][which], length)
+    p = np.flatnonzero(hit)
+    if not len(p):
+        return z, z, z, z
+    new = np.concatenate([[True], (p[1:] != p[:-1] + 1) | (which[p[1:]] != which[p[:-1]])])
+    i = np.flatnonzero(new)
+    w = todo[which[p[i]]]
+    return doc[w], tk[w], start[w] + offset[p[i]], np.diff(np.concatenate([i, [len(p)]]))
 
 
 # --------------------------------------------------------------- the operator
@@ -396,43 +461,50 @@ def dedup_substrings(df: DataFrame, length: int = LENGTH, mer: int = MER, id_col
     ``n_spans`` (maximal removed runs)."""
     buckets = parts_of(df.sparkSession)
     added = ("kept", "n_bytes", "n_removed", "n_spans")
-    d = df.select(F.coalesce(F.col(id_col).cast("bigint"), F.lit(A.NULL_ID)).alias("_id"),
-                  F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    d = d.withColumn("_tk", F.xxhash64("_text"))
-    keys = written(shared_keys(d, length, mer, buckets), "suffix-keys")
-    marks = written(marks_of(d, keys, length, mer, buckets), "suffix-marks")
-    cuts = marks.groupBy(F.col("doc").alias("_doc"), F.col("tk").alias("_mtk")).agg(
-        F.collect_list(F.struct("start", "n")).alias("_cuts"))
     names = [f for f in df.schema.fields if f.name not in added]
-    full = (df.select(*[F.col(f"`{f.name}`") for f in names],
-                      F.coalesce(F.col(id_col).cast("bigint"), F.lit(A.NULL_ID)).alias("_id"),
-                      F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")))
-    full = (full.withColumn("_tk", F.xxhash64("_text"))
-            .join(cuts, (F.col("_id") == F.col("_doc")) & (F.col("_tk") == F.col("_mtk")), "left"))
+    at_id = F.coalesce(F.col(id_col).cast("bigint"), F.lit(A.NULL_ID)).alias("_id")
+    replies = written(replies_of(df.select(at_id, F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text")),
+                                 length, mer, buckets), "suffix-replies")
+    told = replies.groupBy(F.col("doc").alias("_doc")).agg(F.collect_set("id").alias("_told"))
+    # both joins below read one exchange of the texts by document
+    full = df.select(*[F.col(f"`{f.name}`") for f in names], at_id,
+                     F.xxhash64(F.col(text_col).cast("string")).alias("_tk"))
+    some = full.join(told, F.col("_id") == F.col("_doc"))
+    cuts = (marks_of(some, text_col, length, mer, buckets).groupBy(F.col("doc").alias("_cdoc"))
+            .agg(F.collect_list(F.struct("tk", "start", "n")).alias("_cuts")))
+    full = (full.join(told, F.col("_id") == F.col("_doc"), "left")
+            .join(cuts, F.col("_id") == F.col("_cdoc"), "left"))
     schema = StructType(names + [StructField("kept", BinaryType())]
                         + [StructField(c, LongType()) for c in added[1:]])
 
     def cut(b):
-        data, offs = A.text_buffer(b["_text"])
-        raw = data.tobytes()
+        data, offs = A.text_buffer(b[text_col].cast(pa.string()))
+        raw, tk = data.tobytes(), b["_tk"].to_numpy()
+        row, start, count, bucket, key, same = slices_of(data, offs, length, mer, buckets)
+        whole = _told(b, bucket, key, same, row, False) if len(row) else np.zeros(0, bool)
+        row, start, count = row[whole], start[whole], count[whole]
         lists = b["_cuts"]
         at, flat = lists.offsets.to_numpy(), lists.values
-        s_all, n_all = flat.field("start").to_numpy(), flat.field("n").to_numpy()
-        none = lists.is_null().to_pylist()
+        own = np.repeat(np.arange(b.num_rows), np.diff(at))
+        part = [flat.field(c).to_numpy()[at[0]:at[-1]] for c in ("tk", "start", "n")]
+        mine = part[0] == tk[own]
+        row = np.concatenate([row, own[mine]])
+        start, count = np.concatenate([start, part[1][mine]]), np.concatenate([count, part[2][mine]])
+        order = np.lexsort((start, row))
+        row, start, end = row[order], start[order], (start + count + length - 1)[order]
+        first = np.searchsorted(row, np.arange(b.num_rows + 1))
         kept, total, gone, spans = [], [], [], []
         for r in range(b.num_rows):
             text = raw[offs[r]:offs[r + 1]]
             total.append(len(text))
-            if none[r] or at[r] == at[r + 1]:
+            s, e = start[first[r]:first[r + 1]], end[first[r]:first[r + 1]]
+            if not len(s):
                 kept.append(text)
                 gone.append(0)
                 spans.append(0)
                 continue
-            s, e = s_all[at[r]:at[r + 1]], s_all[at[r]:at[r + 1]] + n_all[at[r]:at[r + 1]] + length - 1
-            o = np.argsort(s, kind="stable")
-            s, e = s[o], np.maximum.accumulate(e[o])
-            new = np.concatenate([[True], s[1:] > e[:-1]])
-            i = np.flatnonzero(new)
+            e = np.maximum.accumulate(e)
+            i = np.flatnonzero(np.concatenate([[True], s[1:] > e[:-1]]))
             lo, hi = s[i], e[np.concatenate([i[1:] - 1, [len(s) - 1]])]
             edges = [0] + [int(x) for pair in zip(lo, hi) for x in pair] + [len(text)]
             kept.append(b"".join(text[edges[k]:edges[k + 1]] for k in range(0, len(edges), 2)))
@@ -442,4 +514,4 @@ def dedup_substrings(df: DataFrame, length: int = LENGTH, mer: int = MER, id_col
             [b.column(f.name) for f in names] + [pa.array(kept, pa.binary())]
             + [pa.array(x, pa.int64()) for x in (total, gone, spans)], schema.names)
 
-    return A.map_arrow(full, cut, schema)
+    return A.map_arrow(full, cut, schema, text_col)
