@@ -32,6 +32,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from murmura.llm import arrays as A
+from murmura.llm.tables import written
 from murmura.llm.token_counts import encoded
 
 SYMBOLS = b"#*$%&|<>"
@@ -52,7 +53,7 @@ def base_counts(data: np.ndarray, offsets: np.ndarray, texts: list[str]) -> dict
     that occur twice or more in the row."""
     k = len(offsets) - 1
     out = {n: np.zeros(k, np.int64) for n in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")}
-    for i, j in A.slabs(offsets):
+    for i, j in A.slabs(offsets, 1 << 20):
         d, o = data[offsets[i]:offsets[j]], offsets[i:j + 1] - offsets[i]
         s, e, rows = A.word_spans(d, o)
         m = j - i
@@ -140,6 +141,7 @@ def measure(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 WIDTHS = {"chars_per_token": (6.0, 12.0, 0.02), "entropy": (3.0, 12.0, 0.05), "byte_share": (1e9, 12.0, 0.01)}
 STEP = 512.0                   # histogram cells per unit of a measure
 MIN_GROUP = 30                 # documents that a band needs
+MOST_BANDS = 50_000            # rows of bands that may be broadcast (a few hundred bytes each)
 
 
 def size_bin(n):
@@ -202,7 +204,9 @@ def verdict(measured: DataFrame, lang_col: str | None = "lang") -> DataFrame:
         return bad
 
     def joined(d, bands, p, key):
+        from murmura.session import sized_broadcast
         b = bands.select(*[F.col(c).alias(p + c) for c in bands.columns])
+        b = sized_broadcast(written(b, "quality-bands"), MOST_BANDS)   # beyond it a shuffle join
         return d.join(b, (key == F.col(f"{p}_g")) & (F.col("_b") == F.col(f"{p}_b")), "left")
 
     odd = F.coalesce(out_of("s"), F.lit(False))
@@ -219,6 +223,5 @@ def quality(docs: DataFrame, path: str, text_col: str = "text", lang_col: str |
             keep_text: bool = True) -> DataFrame:
     """Measures and verdict of every document.  The measured rows are written
     once to the shared folder, so no text is tokenised twice."""
-    from murmura.llm.tables import written
     m = measure(docs, path, text_col)
     return verdict(written(m if keep_text else m.drop(text_col), "quality"), lang_col)
