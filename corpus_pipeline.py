@@ -11,11 +11,11 @@ a row without doc_id is told apart by its text.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from murmura.llm.decontam import contamination
-from murmura.llm.mixing import mix
+from murmura.llm.mixing import mix, word_count
 from murmura.llm.ngram_join import keep_one
 from murmura.llm.quality import quality
 from murmura.llm.queries import table, vocabulary
@@ -23,7 +23,7 @@ from murmura.llm.sharding import shuffle_to_shards
 from murmura.llm.tables import written
 
 SHARDS = 24
-BLOCK_ROWS = 1 << 13           # whole texts pass through a block: tens of MB
+BLOCK_ROWS = 1 << 11           # whole texts pass through a block: some MB
 
 
 def columns(docs: DataFrame) -> list:
@@ -49,10 +49,18 @@ def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Every document as often as the mix of its source takes it (0 to 2 times)."""
-    mixed = mix(docs).where(F.col("copies") > 0)
-    return (mixed.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("copies"))))
-            .select(*columns(docs)))
+    """Every document as often as the mix of its source takes it (0 to 2 times).
+    Slim rows are mixed; texts only meet their number of copies.  Rows that
+    repeat id and text share their copies evenly, by the order of their hash."""
+    key = F.xxhash64("doc_id", "text")
+    slim = docs.select(key.alias("key"), "source", word_count(F.col("text")).alias("words"))
+    taken = mix(slim, size=F.col("words")).groupBy(F.col("key").alias("_key")).agg(
+        F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
+    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*columns(docs))))
+    full = docs.withColumn("_key", key).join(taken.where("_copies > 0"), "_key").withColumn("_nth", nth)
+    own = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_nth") <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
+    return (full.withColumn("_own", own.cast("int")).where("_own > 0")
+            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_own")))).select(*columns(docs)))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
