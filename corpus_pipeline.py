@@ -31,8 +31,12 @@ def columns(docs: DataFrame) -> list:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the base and fertility rules keep."""
-    return quality(docs, vocabulary()).where("kept").select(*columns(docs))
+    """Documents that the base and fertility rules keep.  Only slim measures are
+    written; the texts meet their verdict."""
+    key = F.xxhash64("doc_id", "text", "lang")
+    measured = quality(docs.select(key.alias("_key"), "text", "lang"), vocabulary(), keep_text=False)
+    kept = measured.where("kept").select("_key").distinct()
+    return docs.withColumn("_key", key).join(kept, "_key", "left_semi").select(*columns(docs))
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
