@@ -16,6 +16,10 @@ minimiser (the least hash of their MER-byte substrings), so:
 2. Slices: where a minimiser has several slices, one document of each sends the
    slice's bytes, packed, on the routes of the minimiser with half of the bytes
    that a match needs before or after it (equal windows agree in one of them).
+   A crowded minimiser (more than CROWD slices in a task step or MANY in all)
+   would load a route: its slices are sent as hashes of their windows instead,
+   each task step marks what a smaller document of the step has, and only the
+   smallest document of a window goes on, so a window meets one entry a step.
 3. In each bucket the distinct slices are one text, whose suffixes are sorted by
    the difference-cover algorithm (``suffix_array``): sort the sampled triples
    (positions 1 and 2 mod 3), recurse on their names, sort the rest by (byte,
@@ -47,6 +51,8 @@ LENGTH = 50
 MER = 20
 LONGEST = 64                # windows in a slice
 CROWD = 64                  # slices of one minimiser in a task step that make it crowded
+MANY = 1024                 # slices of one minimiser over all documents that make it crowded
+STEP = 1 << 18              # windows of crowded minimisers hashed and combined at once
 U = np.uint64
 SLAB = 1 << 16              # bytes hashed at once: the arrays stay in the cache
 
@@ -206,11 +212,15 @@ def slices_of(data: np.ndarray, offsets: np.ndarray, length: int, mer: int, buck
     return row, start, count, bucket, key, same >> U(8 * (8 - SLICE))
 
 
-def _ids(bucket, key, same, send) -> np.ndarray:
-    """What a document is told about a slice: its id, odd if the document is to
-    send the slice's bytes, even if a smaller document has the whole slice."""
+WHOLE, BYTES, WINDOWS = 0, 1, 3
+
+
+def _ids(bucket, key, same, told) -> np.ndarray:
+    """What a document is told about a slice: its id, the low two bits of which
+    say that a smaller document has the WHOLE slice, or that the document is to
+    send the slice's BYTES or, of a crowded minimiser, its WINDOWS."""
     h = A.mix(A.mix(bucket.astype(np.uint64) + U(1)) ^ key * U(0x9E3779B97F4A7C15) ^ A.mix(same))
-    return ((h & U(2 ** 64 - 2)) | U(1 if send else 0)).view(np.int64)
+    return ((h & U(2 ** 64 - 4)) | np.asarray(told, np.uint64)).view(np.int64)
 
 
 def _split(bucket):
@@ -223,10 +233,10 @@ def replies_of(d: DataFrame, length: int, mer: int, buckets: int) -> DataFrame:
     """(doc, id) for every slice that a smaller document has too, or whose
     minimiser another document has with other bytes around it.
 
-    A crowded minimiser (a phrase shorter than a match that many documents
+    A crowded minimiser (a phrase or the edge of a passage that many documents
     hold) would load its bucket: its entries are dealt by slice instead, and the
     bucket only learns that it is crowded, so the slices of calmer tasks are
-    sent too."""
+    sent too.  All its slices are told to go as windows."""
     def send(b):
         ids = A.id_array(b["_id"])
         data, offs = A.text_buffer(b["_text"])
@@ -234,7 +244,7 @@ def replies_of(d: DataFrame, length: int, mer: int, buckets: int) -> DataFrame:
         if not len(row):
             return
         doc = ids[row]
-        known = _ids(bucket, key, same, False)
+        known = _ids(bucket, key, same, WHOLE)
         order = np.argsort(known, kind="stable")
         doc, bucket, key, same, known = doc[order], bucket[order], key[order], same[order], known[order]
         new = np.concatenate([[True], known[1:] != known[:-1]])
@@ -277,7 +287,7 @@ def replies_of(d: DataFrame, length: int, mer: int, buckets: int) -> DataFrame:
             i, d_ = i[order], d_[order]
             new = np.concatenate([[True], i[1:] != i[:-1]])
             least = d_[new][np.cumsum(new) - 1]
-            out_i.append(np.where(d_ == least, i | 1, i))
+            out_i.append(np.where(d_ == least, i | WINDOWS, i))
             out_d.append(d_)
         ask = [(A.unplanes(k, KEY, np.uint64), A.unplanes(x, SLICE, np.uint64), A.unplanes(d_, 8)) for kind, k, x, d_ in rows if kind == KIND_ASK]
         if ask:
@@ -295,11 +305,12 @@ def replies_of(d: DataFrame, length: int, mer: int, buckets: int) -> DataFrame:
                 ns = nk | np.concatenate([[True], s_[1:] != s_[:-1]])
                 kf, of_k = np.flatnonzero(nk), np.cumsum(nk) - 1
                 least = d_[ns][np.cumsum(ns) - 1]
-                mixed = ((np.minimum.reduceat(d_, kf) != np.maximum.reduceat(d_, kf))
-                         & (np.add.reduceat(ns.astype(np.int64), kf) > 1))[of_k] | np.isin(k, crowd)
+                slices = np.add.reduceat(ns.astype(np.int64), kf)
+                crowded = (slices > MANY)[of_k] | np.isin(k, crowd)
+                mixed = ((np.minimum.reduceat(d_, kf) != np.maximum.reduceat(d_, kf)) & (slices > 1))[of_k] | crowded
                 where = np.full(len(k), bucket, np.int32)
-                for pick, odd in ((d_ > least, False), ((d_ == least) & mixed, True)):
-                    out_i.append(_ids(where[pick], k[pick], s_[pick], odd))
+                for pick, say in ((d_ > least, WHOLE), ((d_ == least) & mixed & ~crowded, BYTES), ((d_ == least) & mixed & crowded, WINDOWS)):
+                    out_i.append(_ids(where[pick], k[pick], s_[pick], say))
                     out_d.append(d_[pick])
         z = [np.empty(0, np.int64)]
         return pa.table({"doc": np.concatenate(out_d or z), "id": np.concatenate(out_i or z)})
@@ -311,14 +322,14 @@ def replies_of(d: DataFrame, length: int, mer: int, buckets: int) -> DataFrame:
 KIND_ASK, KIND_CROWDED, KIND_DEALT, KIND_TOLD = range(4)
 
 
-def _told(batch, bucket, key, same, row, send: bool) -> np.ndarray:
+def _told(batch, bucket, key, same, row, say: int) -> np.ndarray:
     """Which slices of the batch's rows were told so."""
     lists = batch["_told"]
     at, flat = lists.offsets.to_numpy(), lists.values.to_numpy()
     flat = flat[at[0]:at[-1]].view(np.uint64)
     owner = np.repeat(np.arange(len(at) - 1), np.diff(at)).astype(np.uint64)
     want = np.sort(A.mix(flat ^ A.mix(owner + U(1))))
-    have = A.mix(_ids(bucket, key, same, send).view(np.uint64) ^ A.mix(row.astype(np.uint64) + U(1)))
+    have = A.mix(_ids(bucket, key, same, say).view(np.uint64) ^ A.mix(row.astype(np.uint64) + U(1)))
     if not len(want):
         return np.zeros(len(have), bool)
     i = np.minimum(np.searchsorted(want, have), len(want) - 1)
@@ -363,41 +374,110 @@ def _laid(at: np.ndarray, size: np.ndarray, gap: int = 0) -> tuple[np.ndarray, n
     return np.repeat(at - put[:-1], size + gap) + np.arange(int(put[-1])), put
 
 
-def marks_of(some: DataFrame, text_col: str, length: int, mer: int, buckets: int) -> DataFrame:
-    """(doc, tk, start, n): runs of n windows that start in a smaller document
-    too, from the slices that had to be sent."""
-    schema = "bucket int, routes binary, docs binary, tks binary, starts binary, counts binary, texts binary"
+SLICES, ASKED, MARKED = range(3)
+
+
+def _packed(kind, where, cols, texts=None):
+    """Rows of ``sent``: the columns of one kind, packed by ``where``."""
+    groups = _split(where)
+    empty = [b""] * len(groups)
+    cols = [empty if c is None else [A.planes(c[g], 8) for g in groups] for c in cols]
+    return pa.RecordBatch.from_arrays(
+        [pa.array([int(where[g[0]]) for g in groups], pa.int32()), pa.array([kind] * len(groups), pa.int32())]
+        + [pa.array(c, pa.binary()) for c in (*cols, empty if texts is None else [texts(g) for g in groups])],
+        ["bucket", "kind", "routes", "docs", "tks", "starts", "counts", "texts"])
+
+
+def windows_of(text: np.ndarray, put: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(slice, offset, 64-bit hash) of every window of slices laid end to end."""
+    run = np.concatenate([np.zeros(1, np.uint64), _prefix(text)])
+    which = np.repeat(np.arange(len(count)), count)
+    offset = np.arange(len(which)) - np.repeat(np.cumsum(count) - count, count)
+    a = put[which] + offset
+    return which, offset, A.mix((run[a + length] - run[a]) * _inverse(a))
+
+
+def _smaller(h: np.ndarray, doc: np.ndarray) -> np.ndarray:
+    """Of every entry: does a smaller document have an entry of this hash?"""
+    order = np.lexsort((doc, h))
+    new = np.concatenate([[True], h[order][1:] != h[order][:-1]])
+    out = np.empty(len(h), bool)
+    out[order] = doc[order] > doc[order][new][np.cumsum(new) - 1]
+    return out
+
+
+def sent(some: DataFrame, text_col: str, length: int, mer: int, buckets: int) -> DataFrame:
+    """Packed rows per bucket: SLICES with their bytes by route; of crowded
+    minimisers the windows that no smaller document of the step has (ASKED, by
+    hash), and those that one has (MARKED, evenly)."""
+    schema = "bucket int, kind int, routes binary, docs binary, tks binary, starts binary, counts binary, texts binary"
     parts = buckets * SORTED
 
     def send(b):
         ids, tk = A.id_array(b["_id"]), b["_tk"].to_numpy()
         data, offs = A.text_buffer(b[text_col].cast(pa.string()))
         row, start, count, bucket, key, same = slices_of(data, offs, length, mer, buckets)
-        ok = _told(b, bucket, key, same, row, True)
-        row, start, count = row[ok], start[ok], count[ok]
         if not len(row):
             return
-        lo, size = offs[row] + start, count + length - 1
+        told = [_told(b, bucket, key, same, row, say) for say in (BYTES, WINDOWS)]
+        for x in range(2):
+            r, s, n = (v[told[x]] for v in (row, start, count))
+            if len(r):
+                yield from (by_route, by_window)[x](data, offs[r] + s, ids[r], tk[r], s, n)
+
+    def by_route(data, lo, doc, tk, start, count):
+        size = count + length - 1
         src, put = _laid(lo, size)
         who, route = sides(data[src], put, length, mer)
-        meta = [x[who] for x in (ids[row], tk[row], start, count)]
+        if not len(who):
+            return
         lo, size = lo[who], size[who]
-        raw, where = data.tobytes(), (route % U(parts)).astype(np.int32)
-        groups = _split(where)
-        yield pa.RecordBatch.from_arrays(
-            [pa.array([int(where[g[0]]) for g in groups], pa.int32())]
-            + [pa.array([A.planes(v[g], 8) for g in groups], pa.binary()) for v in (route, *meta)]
-            + [pa.array([b"".join(raw[x:x + y] for x, y in zip(lo[g].tolist(), size[g].tolist())) for g in groups], pa.binary())],
-            ["bucket", "routes", "docs", "tks", "starts", "counts", "texts"])
+        raw = data.tobytes()
+        yield _packed(SLICES, (route % U(parts)).astype(np.int32), [route] + [x[who] for x in (doc, tk, start, count)],
+                      lambda g: b"".join(raw[x:x + y] for x, y in zip(lo[g].tolist(), size[g].tolist())))
+
+    def by_window(data, lo, doc, tk, start, count):
+        piece = (np.cumsum(count) - 1) // STEP
+        for g in np.split(np.arange(len(count)), np.flatnonzero(np.diff(piece)) + 1):
+            src, put = _laid(lo[g], count[g] + length - 1)
+            which, offset, h = windows_of(data[src], put, count[g], length)
+            d, k, s = doc[g][which], tk[g][which], start[g][which] + offset
+            hit = _smaller(h, d)
+            ask = np.flatnonzero(~hit)
+            none = ask[d[ask] == A.NULL_ID]            # the smallest document: never marked, so one entry will do
+            if len(none):
+                ask = np.concatenate([ask[d[ask] != A.NULL_ID], none[np.unique(h[none], return_index=True)[1]]])
+            yield _packed(ASKED, (h[ask] % U(buckets)).astype(np.int32), [h[ask], d[ask], k[ask], s[ask], None])
+            p = np.flatnonzero(hit)
+            if len(p):
+                i = np.flatnonzero(np.concatenate([[True], (p[1:] != p[:-1] + 1) | (which[p[1:]] != which[p[:-1]])]))
+                n, p = np.diff(np.concatenate([i, [len(p)]])), p[i]
+                even = np.random.default_rng(len(p)).integers(0, parts, len(p) // 8192 + 1)
+                yield _packed(MARKED, even[np.arange(len(p)) // 8192].astype(np.int32), [None, d[p], k[p], s[p], n])
+
+    return A.map_arrow(some, send, schema, text_col)
 
-    def sort(t: pa.Table) -> pa.Table:
-        route, doc, tk, start, count = (np.concatenate([A.unplanes(x, 8) for x in t[c].to_pylist()])
-                                        for c in ("routes", "docs", "tks", "starts", "counts"))
-        raw = b"".join(x.as_py() for x in t["texts"])
-        d_, k_, s_, n_ = _bucket_marks(raw, route, doc, tk, start, count, length)
-        return pa.table({"doc": d_, "tk": k_, "start": s_, "n": n_})
 
-    return (A.map_arrow(some, send, schema, text_col)
+def marks_of(some: DataFrame, text_col: str, length: int, mer: int, buckets: int) -> DataFrame:
+    """(doc, tk, start, n): runs of n windows that start in a smaller document
+    too, from the slices that had to be sent."""
+    def sort(t: pa.Table) -> pa.Table:
+        kinds = t["kind"].to_numpy()
+        out = []
+        for kind in np.unique(kinds).tolist():
+            part = t.filter(pa.array(kinds == kind))
+            route, doc, tk, start, count = (np.concatenate([A.unplanes(x, 8) for x in part[c].to_pylist()])
+                                            for c in ("routes", "docs", "tks", "starts", "counts"))
+            if kind == SLICES:
+                out.append(_bucket_marks(b"".join(x.as_py() for x in part["texts"]), route, doc, tk, start, count, length))
+            elif kind == ASKED:
+                hit = _smaller(route, doc)
+                out.append((doc[hit], tk[hit], start[hit], np.ones(int(hit.sum()), np.int64)))
+            else:
+                out.append((doc, tk, start, count))
+        return pa.table(dict(zip(("doc", "tk", "start", "n"), map(np.concatenate, zip(*out)))))
+
+    return (sent(some, text_col, length, mer, buckets)
             .groupBy("bucket").applyInArrow(sort, "doc bigint, tk bigint, start bigint, n bigint"))
 
 
@@ -481,7 +561,7 @@ def dedup_substrings(df: DataFrame, length: int = LENGTH, mer: int = MER, id_col
         data, offs = A.text_buffer(b[text_col].cast(pa.string()))
         raw, tk = data.tobytes(), b["_tk"].to_numpy()
         row, start, count, bucket, key, same = slices_of(data, offs, length, mer, buckets)
-        whole = _told(b, bucket, key, same, row, False) if len(row) else np.zeros(0, bool)
+        whole = _told(b, bucket, key, same, row, WHOLE) if len(row) else np.zeros(0, bool)
         row, start, count = row[whole], start[whole], count[whole]
         lists = b["_cuts"]
         at, flat = lists.offsets.to_numpy(), lists.values

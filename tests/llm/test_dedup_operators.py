@@ -265,3 +265,33 @@ WORDS_A = "ka lo mi nu pe ro sa ti vu we zo ba de fi go hu".split()
 
 def items_text(rng, vocab):
     return " ".join(rng.choice(vocab) for _ in range(33))
+
+
+# ------------------------------------------------------ crowded minimisers
+
+def crowded_rows(n=1400):
+    """Unlike documents around one passage: the slices at its edges are all
+    different and share their route."""
+    rng = random.Random(21)
+    passage = prose(rng, 45)[:300]
+    own = lambda: "".join(rng.choice("abcdefghijklmnopqrstuvwxyz ") for _ in range(80))
+    return [row(k if k % 7 else None, own() + passage + own()) for k in range(n)] + [row(5, own() + passage)]
+
+
+def test_substrings_of_a_crowded_passage(spark, monkeypatch):
+    from murmura.llm import arrays as A
+    from murmura.llm import suffix_dedup as S
+    rows = crowded_rows()
+    seen = []
+    marks = S.marks_of
+    monkeypatch.setattr(S, "marks_of", lambda some, *a: seen.append((some, a)) or marks(some, *a))
+    got = S.dedup_substrings(documents(spark, rows)).collect()
+    assert sorted((NULL if r.doc_id is None else r.doc_id, r.n_bytes, r.n_removed, r.n_spans, hashlib.sha256(r.kept).hexdigest())
+                  for r in got) == brute_substrings(rows, 50)
+    some, args = seen[0]
+    found = S.sent(some, *args).collect()
+    routes = [A.unplanes(r.routes, 8) for r in found if r.kind == S.SLICES]
+    asked = [A.unplanes(r.routes, 8) for r in found if r.kind == S.ASKED]
+    most = max((np.unique(np.concatenate(routes), return_counts=True)[1].max() if routes else 0), 0)
+    assert most <= S.CROWD * 8                         # no route grows with the documents
+    assert np.unique(np.concatenate(asked), return_counts=True)[1].max() <= len(found)
