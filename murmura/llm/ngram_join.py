@@ -289,9 +289,10 @@ def _route(bucket, key) -> np.ndarray:
 # ------------------------------------------------------- 3: points, verifying
 
 def node_sets(d: DataFrame, reps: DataFrame, words: int) -> DataFrame:
-    """(node, n, point, set) of the routed nodes, from one document each.  A bit
-    table of the documents wanted thins the texts out where they are read, and
-    the chance survivors go by an exact join."""
+    """(node, n, point, set) of the routed nodes, one row each.  A bit table of
+    the documents wanted thins the texts out where they are read; the chance
+    survivors, copies of a wanted text among them, go by an exact join on the
+    document, and of rows that repeat it one stays."""
     place = F.pmod(F.xxhash64("_id", "_tk"), F.lit(1 << TABLE_BITS))
     wanted = reps.select(F.col("rep").alias("_id"), F.col("rep_tk").alias("_tk"))
     table = d.sparkSession.sparkContext.broadcast(bit_table(wanted.select(place.alias("bit"))).tobytes())
@@ -299,17 +300,25 @@ def node_sets(d: DataFrame, reps: DataFrame, words: int) -> DataFrame:
     def run(b):
         thin = in_table(np.frombuffer(table.value, np.uint8), b["_at"].to_numpy())
         b = b.filter(pa.array(thin))
-        node, n, vec, blob = [], [], [], []
-        for _, s in _sets(b, words) if b.num_rows else ():
-            if len(s):
+        node, n, vec, blob, at, seen = [], [], [], [], [], set()
+        own = b["_tk"].to_pylist()
+        for k, (i, s) in enumerate(_sets(b, words) if b.num_rows else ()):
+            if len(s) and (i, own[k]) not in seen:
+                seen.add((i, own[k]))
+                at.append((i, own[k]))
                 node.append(A.set_fingerprint(s))
                 n.append(len(s))
                 vec.append(pack_point(point(s)))
                 blob.append(A.pack(s))
         yield pa.RecordBatch.from_arrays([pa.array(node, pa.int64()), pa.array(n, pa.int64()), pa.array(vec, pa.binary()),
-                                          pa.array(blob, pa.binary())], ["node", "n", "point", "set"])
-    some = A.map_arrow(d.withColumn("_at", place), run, "node bigint, n bigint, point binary, set binary", "_text")
-    return some.join(reps.select("node"), "node", "left_semi")
+                                          pa.array(blob, pa.binary())]
+                                         + [pa.array([x[c] for x in at], pa.int64()) for c in (0, 1)],
+                                         ["node", "n", "point", "set", "_id", "_tk"])
+    some = A.map_arrow(d.withColumn("_at", place), run,
+                       "node bigint, n bigint, point binary, set binary, _id bigint, _tk bigint", "_text")
+    one = ["node", "_id", "_tk"]
+    exact = some.join(reps.select("node", F.col("rep").alias("_id"), F.col("rep_tk").alias("_tk")), one, "left_semi")
+    return exact.dropDuplicates(one).drop("_id", "_tk")
 
 
 def verify(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

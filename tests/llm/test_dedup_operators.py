@@ -295,3 +295,20 @@ def test_substrings_of_a_crowded_passage(spark, monkeypatch):
     most = max((np.unique(np.concatenate(routes), return_counts=True)[1].max() if routes else 0), 0)
     assert most <= S.CROWD * 8                         # no route grows with the documents
     assert np.unique(np.concatenate(asked), return_counts=True)[1].max() <= len(found)
+
+
+# ------------------------------------------------------------ sets of nodes
+
+def test_sets_hold_a_routed_node_once(spark, monkeypatch):
+    """Copies of a routed text that stand in the bit table by chance, and rows
+    that repeat id and text, add no rows."""
+    from pyspark.sql import functions as F
+    monkeypatch.setattr(J, "TABLE_BITS", 16)
+    rng = random.Random(31)
+    rows = [row(k, prose(rng, 12)) for k in range(400)]
+    rows += [row(1000 + k, rows[0][1]) for k in range(3000)] + [row(0, rows[0][1])] * 5
+    d = J._cols(documents(spark, rows), "doc_id", "text")
+    nodes = (J.scan_nodes(d, 5, 75, 8).where("doc is not null").groupBy("node")
+             .agg(F.min(F.struct("doc", "tk")).alias("r")).selectExpr("node", "r.doc as rep", "r.tk as rep_tk"))
+    got = [r.node for r in J.node_sets(d, nodes, 5).collect()]
+    assert len(got) == len(set(got)) == nodes.count() == 400
