@@ -14,8 +14,9 @@ and loops of one word move at least one of the three far out of its band.
   (token entropy over the entropy of as many draws from the group's own token
   use, see ``fit_bands``), and ``script``, the script of most letters.
 
-``fit_bands`` measures the centre and spread of each quantity over *all*
-documents of a group (language, else script) with a partial/final aggregate;
+``fit_bands`` measures the centre and spread of each quantity over the distinct
+texts of *all* documents of a group (language, else script) with a partial/final
+aggregate, so a group of copies weighs as one text;
 ``verdict`` rejects a document outside ``centre +- width * spread``.
 
 Null or empty text: all counts 0, base_failed (fewer than 10 words), rejected.
@@ -28,7 +29,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmura.llm import arrays as A
@@ -112,11 +113,12 @@ def fertility(path: str, texts: list[str], byte_ids: tuple[int, int] = (3, 258),
     return {"n_tokens": n, "n_fallback": fall, "entropy": ent}
 
 
+TEXT_KEY = "_text_key"
 COUNTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_tokens", "n_fallback", "entropy"]
 
 
 def measure(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
-    """``df`` with the base counts, fertility measures and ``script``."""
+    """``df`` with the base counts, fertility measures, ``script`` and a hash of the text."""
     kind = "struct<" + ",".join(f"{c}:{'double' if c == 'entropy' else 'bigint'}" for c in COUNTS) + ",script:string>"
 
     @F.arrow_udf(kind)
@@ -130,6 +132,7 @@ def measure(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 
     m = df.withColumn("_probe", probe(F.col(text_col).cast("string")))
     m = m.withColumns({c: F.col("_probe")[c] for c in COUNTS + ["script"]}).drop("_probe")
+    m = m.withColumn(TEXT_KEY, F.xxhash64(F.coalesce(F.col(text_col).cast("string"), F.lit(""))))
     return m.withColumns({
         "chars_per_token": F.when(F.col("n_tokens") > 0, F.col("word_chars") / F.col("n_tokens")).otherwise(F.lit(0.0)),
         "byte_share": F.when(F.col("n_tokens") > 0, F.col("n_fallback") / F.col("n_tokens")).otherwise(F.lit(0.0))})
@@ -157,7 +160,6 @@ def base_failed():
 def _middle(hist: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Weighted median of ``value`` (weights ``n``) per key; exact and
     independent of row order, on a histogram of bounded size."""
-    from pyspark.sql import Window
     w = Window.partitionBy(*keys)
     run = hist.withColumn("_run", F.sum("n").over(w.orderBy(value))).withColumn("_all", F.sum("n").over(w))
     return (run.where(2 * F.col("_run") >= F.col("_all")).groupBy(*keys)
@@ -166,12 +168,15 @@ def _middle(hist: DataFrame, keys: list[str], value: str) -> DataFrame:
 
 def fit_bands(measured: DataFrame, group) -> DataFrame:
     """Centre (median) and spread (scaled median deviation) of every measure
-    for each (group, size bin), over all documents that pass the base rules.
-    The documents shrink to a histogram map-side; nothing is collected."""
-    cells = measured.where(~base_failed()).select(
-        group.alias("_g"), size_bin(F.col("n_tokens")).alias("_b"),
-        F.explode(F.array(*[F.struct(F.lit(m).alias("m"), F.round(F.col(m) * STEP).cast("bigint").alias("q"))
-                            for m in WIDTHS])).alias("_c"))
+    for each (group, size bin), over the distinct texts of all documents that
+    pass the base rules.  Copies are combined map-side, and the texts shrink to
+    a histogram map-side; nothing is collected.  A bin's spread is at least the
+    smaller one of its two neighbours, for near copies."""
+    texts = measured.where(~base_failed()).select(
+        TEXT_KEY, group.alias("_g"), size_bin(F.col("n_tokens")).alias("_b"),
+        *[F.round(F.col(m) * STEP).cast("bigint").alias(f"_q_{m}") for m in WIDTHS]).distinct()
+    cells = texts.select("_g", "_b", F.explode(F.array(*[
+        F.struct(F.lit(m).alias("m"), F.col(f"_q_{m}").alias("q")) for m in WIDTHS])).alias("_c"))
     keys = ["_g", "_b", "m"]
     hist = cells.groupBy("_g", "_b", F.col("_c.m").alias("m"), F.col("_c.q").alias("q")).agg(F.count("*").alias("n"))
     mid = _middle(hist, keys, "q")
@@ -179,6 +184,10 @@ def fit_bands(measured: DataFrame, group) -> DataFrame:
            .groupBy(*keys, "d").agg(F.sum("n").alias("n")))
     spread = _middle(dev, keys, "d").select(*keys, F.col("_mid").alias("_dev"))
     bands = mid.join(spread, keys).where(F.col("_n") >= MIN_GROUP)
+    at = Window.partitionBy("_g", "m").orderBy("_b")
+    below_, above_ = (F.max("_dev").over(at.rangeBetween(k, k)) for k in (-1, 1))
+    bands = bands.withColumn("_near", F.when(below_.isNotNull() & above_.isNotNull(), F.least(below_, above_)))
+    bands = bands.withColumn("_dev", F.greatest("_dev", "_near"))
     lo, hi = F.lit(0.0), F.lit(0.0)
     for m, (below, above, least) in WIDTHS.items():
         s = F.greatest(F.col("_dev") / STEP * 1.4826, F.lit(least))
@@ -216,7 +225,7 @@ def verdict(measured: DataFrame, lang_col: str | None = "lang") -> DataFrame:
         odd = F.coalesce(out_of("l"), odd)
     names = measured.columns
     return d.withColumn("kept", ~F.col("base_failed") & ~odd).select(
-        *[F.col(f"`{c}`") for c in names if c not in ("base_failed", "kept")], "base_failed", "kept")
+        *[F.col(f"`{c}`") for c in names if c not in ("base_failed", "kept", TEXT_KEY)], "base_failed", "kept")
 
 
 def quality(docs: DataFrame, path: str, text_col: str = "text", lang_col: str | None = "lang",

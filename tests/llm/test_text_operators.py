@@ -180,3 +180,23 @@ def test_toxicity_without_a_class(spark):
     assert {r.score for r in X.score(df, none).select("score").collect()} == {0.5}
     clean = X.fit(df, spark.createDataFrame([(1, 0), (2, 0)], "doc_id bigint, toxic int"))
     assert all(r.score < 0.5 for r in X.score(df, clean).select("score").collect())
+
+
+# ---------------------------------------------------------- bands and copies
+
+def test_bands_do_not_follow_copies(spark):
+    rng = random.Random(13)
+    rows = [row(i, prose(rng, rng.randint(60, 120))) for i in range(200)]
+    copies = [row(5000 + i, rows[0][1]) for i in range(600)]
+    alone = {r.doc_id: r.kept for r in Q.quality(documents(spark, rows), MODEL).collect()}
+    among = Q.quality(documents(spark, rows + copies), MODEL)
+    assert Q.TEXT_KEY not in among.columns
+    got = {r.doc_id: r.kept for r in among.collect()}
+    assert {i: got[i] for i in alone} == alone and sum(alone.values()) >= 195
+
+
+def test_spread_of_a_bin_is_not_below_its_neighbours(spark):
+    rows = [(f"{b}-{i}", "en", 100, 0, 2 ** b, 4.0, 6.0 if b == 8 else 6.0 + i / 40, 0.0) for b in (7, 8, 9) for i in range(40)]
+    df = spark.createDataFrame(rows, "_t string, g string, n_words int, n_repeat_words int, n_tokens int, chars_per_token double, entropy double, byte_share double")
+    bands = {r._b: r for r in Q.fit_bands(df.selectExpr("*", f"xxhash64(_t) as {Q.TEXT_KEY}"), df.g).collect()}
+    assert bands[8]._hi_entropy - bands[8]._lo_entropy >= 0.99 * (bands[9]._hi_entropy - bands[9]._lo_entropy)
