@@ -7,7 +7,9 @@ sliding window of lines is the block distribution: the text starts at a surge
 (a window above the threshold whose lines go on) and ends at a dive (windows
 that have fallen to zero); the lines in between are kept, however short.  If no
 window reaches the threshold, the run with the most text is kept.  Where the
-page marks an <article> or <main>, lines outside it weigh nothing either.
+page marks an <article> or <main>, its lines are the text, all that are not apart
+whatever they weigh.  A class or id word does not set apart an element that holds
+the largest <article> or <main>, if what stands there else is less text.
 
 Per page: character references decoded, white space inside a block made one
 space, trimmed, blocks in page order joined by one line feed.  Null, empty or
@@ -54,15 +56,18 @@ APART_NAMES = re.compile(
 _TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)",
                     re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
+# has-sidebar, no-ads: a name that tells of the page, not of the element.
+_STATE = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|not|with|without)[_-]\S*", re.I)
 _SPACE = re.compile(r"\s+")
 
 
-def _apart(name: str, attrs: str) -> bool:
+def _apart(name: str, attrs: str, names: bool = True) -> bool:
+    """Is the element apart; without ``names``, by other things than a class or id word?"""
     if name in APART:
         return True
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
-        if key in ("class", "id") and APART_NAMES.search(value) and name not in ("body", "html", "article", "main"):
+        if names and key in ("class", "id") and APART_NAMES.search(_STATE.sub(" ", value)) and name not in ("body", "html", "article", "main"):
             return True
         if key == "role" and value.lower() in APART_ROLES:
             return True
@@ -75,6 +80,18 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
     """(text, characters in links, apart, article depth) of every block line.
     ``apart`` elements inside an article still count as apart; a <header> of an
     article holds its heading and stays."""
+    lines, arts = _lines(page, frozenset())
+    shown = sum(len(t) for t, _, apart, depth in lines if depth and not apart)
+    best = max((a for a in arts.values() if a[1]), default=(0, frozenset()), key=lambda a: a[0])
+    return _lines(page, best[1])[0] if best[0] > shown else lines
+
+
+def _lines(page: str, open_: frozenset) -> tuple[list[tuple[str, int, bool, int]], dict]:
+    """The lines, and the text and named holders of every article; the class
+    and id words of the elements ``open_`` do not count."""
+    arts: dict[int, tuple[int, frozenset]] = {}        # place of the tag: characters, places of its named holders
+    ids: list[tuple[int, int, int]] = []               # of the stack: place if named only, place if article, apart by other things
+    hard = 0
     out: list[tuple[str, int, bool, int]] = []
     stack: list[tuple[str, int, int, int]] = []       # name, and 1 for apart, article, link
     apart = inside = link = 0
@@ -95,12 +112,15 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
             t = _SPACE.sub(" ", html.unescape("".join(buf))).strip()
             if t:
                 out.append((t, min(in_link, len(t)), apart > 0, inside))
+                for k in [x[1] for x in ids if x[1] >= 0] if inside and not hard else ():
+                    arts[k] = arts[k][0] + len(t), arts[k][1]
             buf.clear()
         in_link = 0
 
     def pop():
-        nonlocal apart, inside, link
+        nonlocal apart, inside, link, hard
         _, a, i, k = stack.pop()
+        hard -= ids.pop()[2]
         apart, inside, link = apart - a, inside - i, link - k
 
     while True:
@@ -147,19 +167,29 @@ def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
         if name in VOID or m[3].rstrip().endswith("/") and name not in BLOCK and name != "a":
             continue
         art = int(name in ("article", "main"))
-        out_of_text = _apart(name, m[3]) and not (name == "header" and inside)
+        heading = name == "header" and inside
+        other = _apart(name, m[3], False) and not heading
+        out_of_text = _apart(name, m[3], m.start() not in open_) and not heading
+        if art:
+            arts[m.start()] = 0, frozenset(x[0] for x in ids if x[0] >= 0)
+        ids.append((m.start() if out_of_text and not other else -1, m.start() if art else -1, int(other)))
+        hard += int(other)
         stack.append((name, int(out_of_text), art, int(name == "a")))
         apart, inside, link = apart + int(out_of_text), inside + art, link + int(name == "a")
     flush()
-    return out
+    return out, arts
+
+
+def _marked(lines) -> bool:
+    return any(depth and not apart for _, _, apart, depth in lines)
 
 
 def weights(lines) -> np.ndarray:
     """Characters of each line that count as text."""
-    marked = any(depth and not apart for _, _, apart, depth in lines)
+    marked = _marked(lines)
     w = np.zeros(len(lines), np.int64)
     for i, (text, in_link, apart, depth) in enumerate(lines):
-        if not apart and (depth or not marked) and 2 * in_link <= len(text):
+        if not apart and (depth if marked else 2 * in_link <= len(text)):
             w[i] = len(text)
     return w
 
@@ -182,7 +212,8 @@ def main_text(page: str | None) -> str:
         return ""
     lines = lines_of(page)
     w = weights(lines)
-    return "\n".join(lines[i][0] for a, b in runs(w) for i in range(a, b) if w[i])
+    spans = [(0, len(w))] if _marked(lines) else runs(w)
+    return "\n".join(lines[i][0] for a, b in spans for i in range(a, b) if w[i])
 
 
 @F.arrow_udf(StringType())

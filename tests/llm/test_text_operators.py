@@ -200,3 +200,20 @@ def test_spread_of_a_bin_is_not_below_its_neighbours(spark):
     df = spark.createDataFrame(rows, "_t string, g string, n_words int, n_repeat_words int, n_tokens int, chars_per_token double, entropy double, byte_share double")
     bands = {r._b: r for r in Q.fit_bands(df.selectExpr("*", f"xxhash64(_t) as {Q.TEXT_KEY}"), df.g).collect()}
     assert bands[8]._hi_entropy - bands[8]._lo_entropy >= 0.99 * (bands[9]._hi_entropy - bands[9]._lo_entropy)
+
+
+# ------------------------------------------------- wrappers and whole articles
+
+LONG = "This paragraph is long enough to be a surge of text all by itself, and it goes on for a while longer."
+
+
+@pytest.mark.parametrize("page,text", [
+    (f"<div class='page has-sidebar'><article><p>{LONG}</p></article></div>", LONG),
+    (f"<div id='wrap' class='no-sidebar'><p>{LONG}</p></div>", LONG),
+    (f"<div class='widget'><article><p>{LONG}</p></article></div>", LONG),
+    (f"<main><p>Top</p><div class='widget'><article><p>{LONG}</p></article></div></main>", f"Top\n{LONG}"),
+    (f"<article><p>{LONG}</p></article><div id='comments'><article><p>I do not agree.</p></article></div>", LONG),
+    (f"<article><h1>Short title</h1><ul class='share'><li>a<li>b<li>c</ul><p>{LONG}</p><div class='ad'><p>x</p><p>y</p><p>z</p></div>"
+     "<p>Last.</p><p><a href='/'>All a link</a></p></article>", f"Short title\n{LONG}\nLast.\nAll a link")])
+def test_main_text_keeps_whole_articles(page, text):
+    assert H.main_text(page) == text
