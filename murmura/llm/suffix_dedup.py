@@ -32,8 +32,9 @@ Null or empty text has no bytes.  A null doc_id is smaller than all others.
 Rows that repeat a doc_id are one document for the comparison and are cut one by
 one.  Extra columns pass through; ``kept`` (binary), ``n_bytes``, ``n_removed``,
 ``n_spans`` replace such columns.  An empty table gives an empty result.
-Minimisers and slices are compared by 64-bit hashes (2**-64 a pair); windows in
-a bucket byte by byte.
+Minimisers are compared by 40 bits of their hash and the bucket, slices of one
+minimiser by 48 bits, what a document is told of a slice by 62, windows of
+crowded minimisers by 64; other windows in a bucket byte by byte.
 """
 
 from __future__ import annotations
