@@ -15,7 +15,8 @@ a reduction tree over the chunks.  A source's taken words thus miss its target
 by less than one document.  Draws are seeded by source and chunk: reruns agree.
 
 Null text has size 0 and takes nothing; null sources form one source; repeated
-rows are mixed one by one; an empty table gives an empty result.  Columns
+rows are mixed one by one (more equal rows than a chunk holds are dealt over
+chunks by their place in the scan); an empty table gives an empty result.  Columns
 ``size``, ``source_size``, ``target``, ``copies``, ``taken`` are added (replaced
 if present).
 """
@@ -73,9 +74,12 @@ def settle(x: np.ndarray, mass: np.ndarray, rng: np.random.Generator) -> np.ndar
     open_ = np.flatnonzero((x > 0) & (x < 1))
     if not len(open_):
         return x
-    i = int(open_[0])
     xs, a = x.tolist(), mass.tolist()
-    for j in open_[1:].tolist():
+    i = -1                                                 # the open fraction that meets the next one
+    for j in open_.tolist():
+        if i < 0:
+            i = j
+            continue
         up = min((1 - xs[i]) * a[i], xs[j] * a[j])         # words that can move to i
         down = min(xs[i] * a[i], (1 - xs[j]) * a[j])       # words that can move to j
         if u[j] * (up + down) < down:
@@ -86,11 +90,6 @@ def settle(x: np.ndarray, mass: np.ndarray, rng: np.random.Generator) -> np.ndar
             xs[i], xs[j] = (0.0 if i_empty else xs[i] - down / a[i]), (1.0 if j_full else xs[j] + down / a[j])
         if not 0 < xs[i] < 1:
             i = j if 0 < xs[j] < 1 else -1
-        if i < 0:
-            rest = open_[open_ > j]
-            if not len(rest):
-                break
-            return np.concatenate([np.array(xs[:j + 1]), settle(np.array(xs[j + 1:]), mass[j + 1:], rng)])
     return np.array(xs)
 
 
@@ -100,7 +99,7 @@ def _tree_level(d: DataFrame, level: int, seed: int, last: bool) -> DataFrame:
     def run(t: pa.Table) -> pa.Table:
         src, chunk = t["_sid"][0].as_py(), t["_chunk"][0].as_py()
         rng = np.random.default_rng([seed, level, src & (2 ** 63 - 1), chunk])
-        order = np.lexsort((t["_order"].to_numpy(),))
+        order = np.lexsort((t["_place"].to_numpy(), t["_order"].to_numpy()))
         t = t.take(pa.array(order))
         x = settle(t["_x"].to_numpy(), t["_mass"].to_numpy().astype(np.float64), rng)
         if last:
@@ -119,22 +118,25 @@ def mix(df: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 11, sou
     ``size`` is a column of word counts (default: words of ``text``)."""
     keep = [c for c in df.columns if c not in ADDED or c == source_col]
     size = word_count(F.col("text")) if size is None else size
-    d = df.withColumn("_size", size).select(*[F.col(f"`{c}`") for c in keep], F.col("_size"),
-                                            F.col(f"`{source_col}`").alias("_src"))
+    plain = [F.col(f"`{c}`") for c in keep]
+    # the caller's columns travel as one struct: no name of theirs can meet one of ours
+    d = df.select(F.struct(*plain).alias("_row"), size.alias("_size"), F.col(f"`{source_col}`").alias("_src"),
+                  F.xxhash64(F.lit(seed), *plain).alias("_order"))
     stats = d.groupBy("_src").agg(F.sum("_size").alias("source_size"), F.count("*").alias("n_docs"))
     goal = written(targets(stats.withColumnRenamed("_src", "source"), share, cap, weights), "mix-targets")
     g = goal.select(F.col("source").alias("_gs"), F.col("source_size").alias("_ssize"),
                     F.col("n_docs").alias("_nd"), F.col("target").alias("_target"))
     d = d.join(g, F.col("_src").eqNullSafe(F.col("_gs"))).drop("_gs")
     p = F.when(F.col("_ssize") > 0, F.least(F.col("_target") / F.col("_ssize"), F.lit(float(cap)))).otherwise(F.lit(0.0))
-    names = [F.col(f"`{c}`") for c in keep]
-    order = F.xxhash64(F.lit(seed), *names)
     chunks = F.ceil(F.col("_nd") / F.lit(chunk)).cast("bigint")
-    d = (d.withColumn("_whole", F.floor(p)).withColumn("_x", p - F.floor(p)).withColumn("_order", order)
-         .withColumn("_mass", F.col("_size"))
+    # equal rows share a hash; those too many for a chunk are told apart by their place in the scan
+    many = d.groupBy("_order").count().where(F.col("count") > chunk).select(F.col("_order").alias("_often"))
+    d = d.withColumn("_place", F.monotonically_increasing_id()).join(many, F.col("_order") == F.col("_often"), "left")
+    d = d.withColumn("_place", F.when(F.col("_often").isNull(), F.lit(-1)).otherwise(F.col("_place"))).drop("_often")
+    d = (d.withColumn("_whole", F.floor(p)).withColumn("_x", p - F.floor(p)).withColumn("_mass", F.col("_size"))
          .withColumn("_x", F.when(F.col("_mass") > 0, F.col("_x")).otherwise(F.lit(0.0)))
          .withColumn("_sid", F.coalesce(F.xxhash64("_src"), F.lit(0)))
-         .withColumn("_chunk", F.pmod(F.xxhash64("_order", F.lit(seed)), chunks)).drop("_src"))
+         .withColumn("_chunk", F.pmod(F.xxhash64("_order", "_place", F.lit(seed)), chunks)).drop("_src"))
     widest = (goal.agg(F.max(F.ceil(F.col("n_docs") / F.lit(chunk)))).first()[0]) or 1
     level, settled = 0, None
     while True:
@@ -147,6 +149,6 @@ def mix(df: DataFrame, share: float = 1.5, cap: float = 2.0, seed: int = 11, sou
         d = out.where((F.col("_x") > 0) & (F.col("_x") < 1)).withColumn("_chunk", F.floor(F.col("_chunk") / F.lit(chunk)))
         widest, level = -(-widest // chunk), level + 1
     copies = (F.col("_whole") + F.col("_x")).cast("int")
-    return settled.select(*names, F.col("_size").alias("size"), F.col("_ssize").alias("source_size"),
+    return settled.select(*[F.col(f"_row.`{c}`") for c in keep], F.col("_size").alias("size"), F.col("_ssize").alias("source_size"),
                           F.col("_target").alias("target"), copies.alias("copies"),
                           (copies * F.col("_size")).cast("bigint").alias("taken"))

@@ -48,6 +48,17 @@ def test_mix_meets_targets(spark, chunk):
     assert sorted(map(key, got)) == sorted(map(key, again))
 
 
+@pytest.mark.parametrize("kind", ["one size", "identical"])
+def test_mix_of_equal_rows(spark, kind):
+    """Pairs of equal mass and fraction settle both sides at once."""
+    n = 10000
+    df = spark.range(n).select((F.col("id") if kind == "one size" else F.lit(7).cast("long")).alias("doc_id"),
+                               F.lit("src0").alias("source"), F.lit("a b c").alias("text"), F.lit("x").alias("_size"),
+                               F.lit("y").alias("_order"), F.lit(1).alias("_row"), F.lit(2).alias("_place"))
+    got = M.mix(df).agg(F.count("*"), F.sum("taken"), F.max("copies"), F.min("copies"), F.max("_size"), F.max("_row")).first()
+    assert tuple(got) == (n, 3 * n * 3 // 2, 2, 1, "x", 1)
+
+
 def test_settle_keeps_mass_and_expectation():
     rng = np.random.default_rng(2)
     x, a = rng.random(40), rng.integers(1, 50, 40).astype(float)
