@@ -3,7 +3,7 @@
 
 import pytest
 
-from conftest import SF_SMALL
+from data_dirs import SF_SMALL
 from oracle_check import compare
 
 import __spark_entry__ as E

@@ -223,7 +223,7 @@ def test_given_settings_survive(tmp_path):
 
 def test_no_text_is_shuffled_for_a_few_hits(spark):
     import __spark_entry__ as E
-    from conftest import SF_SMALL
+    from data_dirs import SF_SMALL
     plan = E.queries()["retrieve_context"](spark, SF_SMALL)._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in plan
 

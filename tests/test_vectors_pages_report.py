@@ -6,7 +6,7 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from conftest import SF_SMALL
+from data_dirs import SF_SMALL
 from murmura.functions import constants as K
 from murmura.operators import extract as X
 from murmura.operators.report import report_lines, template_defaults
