@@ -157,3 +157,45 @@ def q_op11(spark, sf):
     rows = scaled(table(spark, sf, "embeddings").select("vec_id", "label", "embedding"))
     turned = F.when(F.col("vec_id") % 7 == 0, (F.col("label") + 1) % 10).otherwise(F.col("label"))
     return hard_negatives(rows.withColumn("label", turned), F.col("vec_id") % 100 == 0)
+
+
+OP12_SQL = """
+WITH d AS (
+  SELECT coalesce(lang, 'und') AS lang, row_number() OVER () AS id,
+         string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                            '[.,;:!?\\x0A-\\x0D]') AS pieces
+  FROM documents),
+p AS (SELECT lang, id, unnest(pieces) AS piece, generate_subscripts(pieces, 1) AS j FROM d),
+w AS (SELECT lang, id, j, regexp_extract_all(piece, '[^\\x20\\x09]+') AS ws FROM p),
+t AS (SELECT lang, id, j, unnest(ws) AS w1, generate_subscripts(ws, 1) AS i FROM w),
+s AS (
+  SELECT lang, w1, lead(w1) OVER o AS w2, lead(w1, 2) OVER o AS w3 FROM t WINDOW o AS (PARTITION BY id, j ORDER BY i)),
+f AS (
+  SELECT lang, w1 AS x, count(*) AS c, NULL AS y, NULL AS z FROM s GROUP BY ALL
+  UNION ALL SELECT lang, w1, count(*), w2, NULL FROM s WHERE w2 IS NOT NULL GROUP BY lang, w1, w2 HAVING count(*) >= 10
+  UNION ALL SELECT lang, w1, count(*), w2, w3 FROM s WHERE w3 IS NOT NULL GROUP BY lang, w1, w2, w3 HAVING count(*) >= 10),
+g AS (SELECT *, concat_ws(' ', x, y, z) AS phrase, lang || chr(10) || concat_ws(' ', x, y, z) AS key FROM f),
+cuts AS (
+  SELECT lang, phrase, c AS a, 1 AS k, lang || chr(10) || x AS lk, lang || chr(10) || concat_ws(' ', y, z) AS rk
+  FROM g WHERE y IS NOT NULL
+  UNION ALL SELECT lang, phrase, c, 2, lang || chr(10) || x || ' ' || y, lang || chr(10) || z FROM g WHERE z IS NOT NULL),
+scored AS (
+  SELECT u.lang, u.phrase, u.a, u.k, l.c AS l, r.c AS r, (1000000::HUGEINT * u.a * u.a) // (l.c::HUGEINT * r.c) AS score
+  FROM cuts u JOIN (SELECT key, c FROM g) l ON l.key = u.lk JOIN (SELECT key, c FROM g) r ON r.key = u.rk
+  QUALIFY row_number() OVER (PARTITION BY u.lang, u.phrase ORDER BY score, u.k) = 1),
+wider AS (
+  SELECT sub, max(c) AS c FROM (
+    SELECT lang || chr(10) || x || ' ' || y AS sub, c FROM g WHERE z IS NOT NULL
+    UNION ALL SELECT lang || chr(10) || y || ' ' || z, c FROM g WHERE z IS NOT NULL) GROUP BY ALL),
+n AS (SELECT lang, count(*) AS n FROM t GROUP BY lang)
+SELECT c.lang, (row_number() OVER (PARTITION BY c.lang ORDER BY score DESC, a DESC, phrase))::INTEGER AS rank, phrase, a, l, r, n,
+       score::BIGINT AS score
+FROM scored c JOIN n ON n.lang = c.lang LEFT JOIN wider v ON v.sub = c.lang || chr(10) || c.phrase
+WHERE v.c IS NULL OR 100 * v.c < 50 * a
+QUALIFY rank <= 2000"""
+
+
+@register("op12_collocations", OP12_SQL)
+def q_op12(spark, sf):
+    from murmura.llm.collocations import collocations
+    return collocations(table(spark, sf, "documents").select("text", "lang"))
