@@ -199,3 +199,10 @@ QUALIFY rank <= 2000"""
 def q_op12(spark, sf):
     from murmura.llm.collocations import collocations
     return collocations(table(spark, sf, "documents").select("text", "lang"))
+
+
+@register("op13_gru_likelihood")
+def q_op13(spark, sf):
+    from murmura.llm.language_model import document_scores
+    held_out = F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(5)) == 1
+    return document_scores(table(spark, sf, "documents").select("doc_id", "text"), held_out)
