@@ -3,7 +3,8 @@
 Exact k-nearest-neighbour search is O(queries x docs).  The query side is a
 small, size-checked set (question variants, cluster centroids); it is shipped
 to the executors once as a broadcast numpy matrix and the document side is
-streamed through ``mapInPandas`` in Arrow batches.  Each task keeps only a
+streamed through ``mapInPandas`` in Arrow batches (a larger set is joined over
+the pivot layout of ``operators.pivots``).  Each task keeps only a
 running top-k per query, so a partition emits at most ``k x queries`` rows and
 no (query, doc) pair is ever materialised as a row.  The final top-k per query
 is a window over those survivors.
@@ -12,7 +13,6 @@ is a window over those survivors.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from functools import reduce
 
 import numpy as np
 import pandas as pd
@@ -42,21 +42,6 @@ def _collect_bounded(df: DataFrame, vec: str, max_rows: int):
     return rows if len(rows) <= most else None
 
 
-def _chunks(df: DataFrame, keys: Sequence[str], vec: str, max_rows: int) -> list[list]:
-    """The distinct rows of a side too large for one broadcast, in runs that fit
-    one each.  Rows are dealt by a hash of key and vector, so a key that many
-    rows share is spread; a run that is still too long is halved as a list."""
-    d = df.dropDuplicates()
-    dim = d.where(F.col(vec).isNotNull()).select(F.size(vec).alias("n")).head()
-    most = max(1, min(max_rows, MAX_BYTES // (8 * max(1, dim["n"] if dim else 1))))
-    n = max(1, -(-d.count() // most) * 2)       # 2x headroom for hash imbalance
-    bucket = F.pmod(F.xxhash64(*keys, vec), F.lit(n))
-    for b in range(n):
-        rows = d.where(bucket == b).collect()
-        for i in range(0, len(rows), most):
-            yield rows[i:i + most]
-
-
 def _stack(series: pd.Series, dim: int | None = None) -> tuple[np.ndarray, np.ndarray]:
     """Arrow list column -> (mask of usable rows, float64 matrix).  A row that
     is null, holds a null or a NaN or infinity, or is of another length than the
@@ -140,11 +125,10 @@ def knn_topk(docs: DataFrame, queries: DataFrame, k: int, *,
     rows = _collect_bounded(side, query_vec, max_queries)
     names = dict(doc_id=doc_id, doc_vec=doc_vec, qid=qid, query_vec=query_vec, group_cols=group_cols)
     types = (queries.schema[qid].dataType, docs.schema[doc_id].dataType)
-    # beyond one broadcast: each run of queries is its own pass over the
-    # documents; the results are merged, a key in several runs included
-    parts = [rows] if rows is not None else _chunks(side, [qid, *group_cols], query_vec, max_queries)
-    found = [_survivors(docs, part, k, types, **names) for part in parts]
-    survivors = reduce(lambda a, b: a.unionByName(b), found)
+    if rows is None:                         # too many for one broadcast
+        from murmura.operators.pivots import pivot_knn
+        return pivot_knn(docs, side, k, **names)
+    survivors = _survivors(docs, rows, k, types, **names)
     # two merge levels: k rows of each salt, then k rows of the query
     salt = F.pmod(F.xxhash64(doc_id), F.lit(SALTS))
     order = [F.col("dist"), F.col(doc_id)]
@@ -257,12 +241,10 @@ def centroid_assign(vectors: DataFrame, centroids: DataFrame, *, id_col: str = "
     side = centroids.select(label, centroid)
     rows = _collect_bounded(side, centroid, max_centroids)
     if rows is None:
-        # nearest within each run of centroids, then the overall minimum per id
-        outs = [_assign(vectors, part, centroids.schema[label].dataType, id_col, vec, label, centroid)
-                for part in _chunks(side, [label], centroid, max_centroids)]
-        best = reduce(lambda a, b: a.unionByName(b), outs).groupBy(id_col).agg(
-            F.min(F.struct("dist", label)).alias("_m"))
-        return best.select(id_col, F.col("_m." + label).alias(label), F.col("_m.dist").alias("dist"))
+        from murmura.operators.pivots import pivot_knn
+        near = pivot_knn(side.where(F.col(centroid).isNotNull()), vectors.select(id_col, vec), 1, doc_id=label, doc_vec=centroid,
+                         qid=id_col, query_vec=vec)
+        return near.select(id_col, label, "dist")
     return _assign(vectors, rows, centroids.schema[label].dataType, id_col, vec, label, centroid)
 
 

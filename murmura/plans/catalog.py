@@ -540,6 +540,21 @@ def q_knn_top30(spark, sf):
     return _knn(spark, sf, 30)
 
 
+@register("knn_join", f"""WITH {EMB_SQL}
+SELECT qid, CAST(rank AS INTEGER) AS rank, vec_id, round(dist, 6) AS dist FROM (
+  SELECT q.vec_id AS qid, e.vec_id, list_distance(e.v, q.v) AS dist,
+         row_number() OVER (PARTITION BY q.vec_id ORDER BY list_distance(e.v, q.v), e.vec_id) AS rank
+  FROM e, e q) WHERE rank <= 5""")
+def q_knn_join(spark, sf):
+    """The 5 nearest vectors of every vector: queries as many as the vectors, so
+    both sides are shuffled to pivot cells."""
+    from murmura.operators.pivots import pivot_knn
+    e = embeddings(spark, sf)
+    r = pivot_knn(e, e.select(F.col("vec_id").alias("qid"), F.col("embedding").alias("q")), 5, doc_id="vec_id", doc_vec="embedding",
+                  qid="qid", query_vec="q", cell=64)
+    return r.select("qid", "rank", "vec_id", F.round("dist", 6).alias("dist"))
+
+
 @register("multi_query_topk", f"""WITH {EMB_SQL},
 vex AS (SELECT label, vec_id % 3 AS variant, i, avg(x) AS m FROM ex GROUP BY label, vec_id % 3, i),
 variants AS (SELECT label AS parent_qid, variant, list(m ORDER BY i) AS c FROM vex GROUP BY label, variant),
