@@ -2,17 +2,18 @@
 
 Layout below one root folder (a shared file system on a cluster):
 
-    {root}/posts_merged/user_id=/keyword=/run_id=    merged post records
-    {root}/posts_filtered/user_id=/keyword=/run_id=  relevant post records
-    {root}/store/user_id=/keyword=                   documents + vectors
+    {root}/posts_merged     merged post records, by user_id, keyword, run_id
+    {root}/posts_filtered   relevant post records, by user_id, keyword, run_id
+    {root}/store            documents + vectors, by user_id, keyword
     {root}/history/user_id=/keyword=                 chat messages
 
-Writes use dynamic partition overwrite, so a run or a store is replaced
-without touching the others.
+Runs and stores are tables with a commit log (``operators.commits``): replace,
+append, retention and delete each are one atomic commit.
 """
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Sequence
 from functools import reduce
 from urllib.parse import unquote
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame, Observation, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from murmura.operators.commits import CommitLog, file_system
 from murmura.schema import POST_COLUMNS, POST_SCHEMA, RUN_KEYS, RUN_SCHEMA, STORE_KEYS
 
 NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"   # Spark's folder name for a null partition value
@@ -28,11 +30,6 @@ NULL_FOLDER = "__HIVE_DEFAULT_PARTITION__"   # Spark's folder name for a null pa
 # ------------------------------------------------------- partitioned folders
 
 
-def _fs(spark: SparkSession, path: str):
-    p = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return p.getFileSystem(spark._jsc.hadoopConfiguration()), p
-
-
 def partition_folders(spark: SparkSession, base: str, **keys) -> list[tuple[dict, object]]:
     """(values, folder) of the partitions below ``base`` whose leading columns
     have the given values, in the order of ``keys``.  Folder names are compared
@@ -42,7 +39,7 @@ def partition_folders(spark: SparkSession, base: str, **keys) -> list[tuple[dict
     for col, want in keys.items():
         nxt = []
         for values, folder in found:
-            fs, p = _fs(spark, str(folder))
+            fs, p = file_system(spark, str(folder))
             if not fs.exists(p):
                 continue
             for st in fs.listStatus(p):
@@ -58,18 +55,19 @@ def partition_folders(spark: SparkSession, base: str, **keys) -> list[tuple[dict
 
 
 def remove_folder(spark: SparkSession, folder: str) -> None:
-    fs, p = _fs(spark, folder)
+    fs, p = file_system(spark, folder)
     fs.delete(p, True)
 
 
 def read_partitioned(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
-    """A partitioned table with declared types (no inference: the key ``007``
+    """A partitioned folder with declared types (no inference: the key ``007``
     stays text); an empty table if the folder does not exist."""
-    fs, p = _fs(spark, path)
+    fs, p = file_system(spark, path)
     if not fs.exists(p):
         return spark.createDataFrame([], schema)
     return spark.read.schema(schema).parquet(path)
 
+
 # ------------------------------------------------------------------ runs
 
 
@@ -85,14 +83,24 @@ def merge_sites(frames: Sequence[DataFrame], dedup: bool = False) -> DataFrame:
     return out
 
 
+def run_log(spark: SparkSession, path: str) -> CommitLog:
+    return CommitLog(spark, path, RUN_KEYS)
+
+
 def write_runs(df: DataFrame, path: str) -> None:
-    """Overwrite the (user, keyword, run) partitions present in ``df``.
+    """Replace the (user, keyword, run) partitions present in ``df``."""
+    log = run_log(df.sparkSession, path)
+    log.publish(log.written(log.write(df), "replace"))
+
 
-    A ``rebalance`` on the partition columns gives each run folder few,
-    well-sized files (instead of one file per task and run), and AQE splits
-    a run that holds a large share of the rows over several tasks."""
-    (df.hint("rebalance", *RUN_KEYS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-     .partitionBy(*RUN_KEYS).parquet(path))
+def replace_runs(df: DataFrame, path: str, runs: DataFrame) -> DataFrame:
+    """Replace all of the given runs by the rows of ``df`` in one commit; a run
+    that has no rows any more is dropped by it.  ``df`` is evaluated once; the
+    written rows are returned."""
+    log = run_log(df.sparkSession, path)
+    commit = log.write(df)
+    log.publish(log.drops(runs.select(*RUN_KEYS)), log.written(commit, "add"))
+    return log.of_commit(commit, df.schema)
 
 
 def land_run_csvs(spark: SparkSession, csv_glob: str, path: str, user_id: str, keyword: str,
@@ -124,7 +132,7 @@ def read_runs(spark: SparkSession, path: str, user_id: str | None = None,
               keyword: str | None = None, schema: StructType = RUN_SCHEMA) -> DataFrame:
     """Scan runs; the user / keyword predicates prune partitions.  A missing
     folder is a table without runs."""
-    df = read_partitioned(spark, path, schema)
+    df = run_log(spark, path).read(schema)
     if user_id is not None:
         df = df.where(F.col("user_id") == user_id)
     if keyword is not None:
@@ -154,26 +162,22 @@ def retain_latest_run(df: DataFrame) -> DataFrame:
 
 
 def drop_stale_runs(spark: SparkSession, path: str, stores: DataFrame) -> int:
-    """Delete every run folder but the latest of each given (user, keyword).
-
-    Retention is a metadata operation: run folders are listed and removed
-    on the (shared) file system, no data is rewritten.  ``stores`` holds the
-    pairs a job touched (a handful per run).  Returns folders removed."""
-    removed = 0
-    for r in stores.select(*STORE_KEYS).distinct().toLocalIterator():
-        runs = partition_folders(spark, path, user_id=r["user_id"], keyword=r["keyword"], run_id=...)
-        for _, folder in sorted(runs, key=lambda f: f[0]["run_id"] or "")[:-1]:
-            remove_folder(spark, folder)
-            removed += 1
-    return removed
-
-
-def clear_runs(spark: SparkSession, path: str, runs: DataFrame) -> None:
-    """Delete the folders of the (user, keyword, run) triples in ``runs``, so
-    that a run whose repetition yields nothing leaves no earlier rows."""
-    for r in runs.select(*RUN_KEYS).distinct().toLocalIterator():
-        for _, folder in partition_folders(spark, path, **{k: r[k] for k in RUN_KEYS}):
-            remove_folder(spark, folder)
+    """Drop every run but the latest of each given (user, keyword) in one commit.
+
+    Retention is a log entry: live keys are joined with the stores that a job
+    touched, however many, and no data is rewritten or listed.  Returns the
+    number of runs dropped."""
+    log = run_log(spark, path)
+    mine = log.keys_like(stores, STORE_KEYS)
+    newest = F.max(F.coalesce("run_id", F.lit(""))).over(Window.partitionBy(*STORE_KEYS))
+    stale = mine.withColumn("_newest", newest).where(F.coalesce("run_id", F.lit("")) < F.col("_newest")).select(*RUN_KEYS).persist()
+    try:
+        n = stale.count()
+        if n:
+            log.publish(log.drops(stale))
+    finally:
+        stale.unpersist()
+    return n
 
 
 # ----------------------------------------------------------------- store
@@ -216,7 +220,8 @@ def anti_by_url(new: DataFrame, store: DataFrame, group_cols: Sequence[str] = ST
 
 
 class VectorStore:
-    """Parquet document + vector store partitioned by (user_id, keyword)."""
+    """Parquet document + vector store partitioned by (user_id, keyword), with a
+    commit log: every change below is one atomic commit."""
 
     def __init__(self, spark: SparkSession, root: str, embedder=None):
         from murmura.operators.scoring import HashEmbedder
@@ -225,12 +230,13 @@ class VectorStore:
         self.path = f"{self.root}/store"
         self.history_path = f"{self.root}/history"
         self.embedder = embedder or HashEmbedder()
+        self.log = CommitLog(spark, self.path, STORE_KEYS)
 
     def read(self, user_id: str | None = None, keyword: str | None = None) -> DataFrame:
         """The stores (declared schema: no inference, and an emptied store
         folder still reads as an empty table)."""
         from murmura.schema import STORE_SCHEMA
-        df = read_partitioned(self.spark, self.path, STORE_SCHEMA)
+        df = self.log.read(STORE_SCHEMA)
         if user_id is not None:
             df = df.where(F.col("user_id") == user_id)
         if keyword is not None:
@@ -239,63 +245,80 @@ class VectorStore:
 
     def _prepare(self, df: DataFrame, text_col: str) -> DataFrame:
         """Rows to store, each with a vector and an id.  A row without ``doc_id``
-        gets one from its store, url and text and its number among equal rows,
-        so the same batch gets the same ids again."""
+        gets one from its store, url and text, so the same batch gets the same
+        ids again.  Equal rows (counted first) are told apart by their place in
+        the batch; a url of '' is no url and does not keep a row from being added
+        again, so its id holds the commit too."""
         cols = [c for c in POST_COLUMNS if c in df.columns]
         x = df.where(F.col(text_col).isNotNull())
         if "doc_id" not in x.columns:
             x = x.withColumn("doc_id", F.lit(None).cast("bigint"))
-        same = F.xxhash64(*STORE_KEYS, *[c for c in ("url", text_col) if c in x.columns])
+        parts = [*STORE_KEYS, *[c for c in ("url", text_col) if c in x.columns]]
+        if "url" in x.columns:
+            parts.append(F.when(F.col("url") == "", F.lit(uuid.uuid4().hex)))
         given, bare = x.where(F.col("doc_id").isNotNull()), x.where(F.col("doc_id").isNull())
-        nth = F.row_number().over(Window.partitionBy("_same").orderBy("_same"))
-        bare = (bare.withColumn("_same", same).withColumn("doc_id", F.xxhash64(F.col("_same"), nth)).drop("_same"))
-        x = given.unionByName(bare)
+        bare = bare.withColumn("_same", F.xxhash64(*parts)).withColumn("_part", F.spark_partition_id())
+        often = bare.groupBy("_same").count().where("count > 1").select(F.col("_same").alias("_often"))
+        bare = bare.join(often, F.col("_same") == F.col("_often"), "left")
+        single = bare.where(F.col("_often").isNull()).withColumn("doc_id", F.xxhash64("_same", F.lit(1)))
+        # equal rows are numbered within their scan partition, after those of the
+        # partitions before it, so no task gathers them all
+        mine = Window.partitionBy("_same", "_part").orderBy("_same")
+        several = bare.where(F.col("_often").isNotNull()).withColumn("_nth", F.row_number().over(mine))
+        before = Window.partitionBy("_s").orderBy("_p").rowsBetween(Window.unboundedPreceding, -1)
+        first = (several.groupBy(F.col("_same").alias("_s"), F.col("_part").alias("_p")).count()
+                 .withColumn("_first", F.coalesce(F.sum("count").over(before), F.lit(0))).drop("count"))
+        several = (several.join(first, (F.col("_same") == F.col("_s")) & (F.col("_part") == F.col("_p")))
+                   .withColumn("doc_id", F.xxhash64("_same", (F.col("_first") + F.col("_nth")).cast("int"))).drop("_s", "_p", "_first", "_nth"))
+        x = given
+        for part in (single, several):
+            x = x.unionByName(part.drop("_same", "_part", "_often"))
         x = x.withColumn("embedding", self.embedder.column(F.col(text_col)))
         return x.select("doc_id", *cols, "embedding", *STORE_KEYS)
 
+    def _commit(self, x: DataFrame, action: str) -> int:
+        obs = Observation("store_commit")
+        commit = self.log.write(x.observe(obs, F.count(F.lit(1)).alias("rows")))
+        n = observed_rows(obs)
+        if n:
+            self.log.publish(self.log.written(commit, action))
+        return n
+
     def overwrite(self, df: DataFrame, text_col: str = "document") -> int:
         """Replace the stores of the (user, keyword) pairs present in ``df``:
-        drop null text, embed everything, dynamic partition overwrite."""
-        obs = Observation("store_overwrite")
-        x = self._prepare(df, text_col).observe(obs, F.count(F.lit(1)).alias("rows"))
-        (x.hint("rebalance", *STORE_KEYS).write.mode("overwrite").option("partitionOverwriteMode", "dynamic")
-         .partitionBy(*STORE_KEYS).parquet(self.path))
-        return observed_rows(obs)
+        drop null text, embed everything, one commit."""
+        return self._commit(self._prepare(df, text_col), "replace")
 
     def append_new(self, df: DataFrame, text_col: str = "document") -> int:
         """Add the valid rows whose url is not yet stored; returns the count.
 
         A store that does not exist yet receives every valid row (the
         anti join against nothing keeps all).  Nothing new -> nothing is
-        written.  The count comes from an observation of the write itself,
-        so the anti join and the embedding run once.  ``df`` is read twice
-        (its store keys, its rows): pass a persisted batch (the scored
+        committed.  The count comes from an observation of the write itself,
+        so the embedding runs once.  ``df`` is read more than once (its store
+        keys, its equal rows, its rows): pass a written batch (the scored
         table), not a plan that calls a model."""
         from murmura.operators.filters import valid_posts
         batch = valid_posts(df, text_col)
         # only the stores this batch touches are read: a semi join on the
         # partition columns lets dynamic partition pruning skip the others
         touched = self.read().join(batch.select(*STORE_KEYS).distinct(), STORE_KEYS, "left_semi")
-        new = anti_by_url(batch, touched)
-        obs = Observation("store_append")
-        x = self._prepare(new, text_col).observe(obs, F.count(F.lit(1)).alias("rows"))
-        x.hint("rebalance", *STORE_KEYS).write.mode("append").partitionBy(*STORE_KEYS).parquet(self.path)
-        return observed_rows(obs)
+        return self._commit(self._prepare(anti_by_url(batch, touched), text_col), "add")
 
     def keywords(self) -> DataFrame:
-        """(user_id, keyword) pairs that have a store: a folder listing."""
-        found = partition_folders(self.spark, self.path, user_id=..., keyword=...)
-        rows = [(v["user_id"], v["keyword"]) for v, _ in found]
-        return self.spark.createDataFrame(rows, "user_id string, keyword string")
+        """(user_id, keyword) pairs that have a store: the log's live keys."""
+        return self.log.live().select(*STORE_KEYS).distinct()
 
     def delete(self, user_id: str, keyword: str) -> str:
-        """Remove store and history of one pair; both must exist."""
+        """Remove store and history of one pair; both must exist.  The store goes
+        in one commit, then the history's folder."""
         pair = dict(user_id=user_id, keyword=keyword)
-        store = partition_folders(self.spark, self.path, **pair)
+        asked = self.spark.createDataFrame([(user_id, keyword)], "user_id string, keyword string")
         history = partition_folders(self.spark, self.history_path, **pair)
-        if not (store and history):
+        if not history or self.log.keys_like(asked, STORE_KEYS).isEmpty():
             return "abnormal delete request"
-        for _, folder in store + history:
+        self.log.publish(self.log.drops(asked))
+        for _, folder in history:
             remove_folder(self.spark, folder)
         return "delete success"
 

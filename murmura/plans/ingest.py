@@ -18,10 +18,8 @@ from pyspark.sql import functions as F
 from murmura.functions.constants import EXCLUDE_CATEGORIES
 from murmura.operators.filters import exclude_categories, relevance_filter, valid_posts
 from murmura.operators.scoring import Scorer, score
-from murmura.operators.store import (VectorStore, anti_by_url, clear_runs, drop_stale_runs, observed_rows, read_runs,
-                                     write_runs)
-from murmura.schema import RUN_KEYS, STORE_KEYS
-from murmura.session import null_safe
+from murmura.operators.store import VectorStore, anti_by_url, drop_stale_runs, observed_rows, replace_runs
+from murmura.schema import STORE_KEYS
 
 
 def filter_relevant(df: DataFrame, scorer: Scorer, categories: Sequence[str] = tuple(EXCLUDE_CATEGORIES),
@@ -46,20 +44,19 @@ def run_ingest(spark: SparkSession, merged: DataFrame, root: str, scorer: Scorer
                categories: Sequence[str] = tuple(EXCLUDE_CATEGORIES), embedder=None) -> dict:
     """Ingest merged runs into the stores below ``root``.
 
-    1. clear these runs' earlier rows and write the relevant ones once
+    1. replace these runs by their relevant rows in one commit
        (posts_filtered); a run without any leaves nothing behind;
-    2. append the new ones to the store (the store commit comes first);
-    3. only then drop the runs other than the latest.
+    2. append the new ones to the store in one commit (before any run goes);
+    3. only then drop the runs other than the latest, in one commit.
+    A job that dies on the way leaves every table at its last commit, and
+    repeating it gives what an undisturbed job gives.
     Returns ``{'status', 'added', 'total_filtered'}``.
     """
     filtered_path = f"{root}/posts_filtered"
     obs = Observation("relevant")
     rel = filter_relevant(merged, scorer, categories).observe(obs, F.count(F.lit(1)).alias("rows"))
-    clear_runs(spark, filtered_path, merged)
-    write_runs(rel, filtered_path)                      # the scorer runs once, here
+    persisted = replace_runs(rel, filtered_path, merged)       # the scorer runs once, here
     total = observed_rows(obs)
-    persisted = null_safe(read_runs(spark, filtered_path, schema=rel.schema),
-                          merged.select(*RUN_KEYS).distinct(), RUN_KEYS, "left_semi")
     store = VectorStore(spark, root, embedder)
     added = store.append_new(persisted.drop("run_id", "relevance"))
     drop_stale_runs(spark, filtered_path, merged)
