@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StringType, StructField, StructType
 
 from murmura.llm import arrays as A
-from murmura.llm.tables import parts_of, written
+from murmura.llm.tables import own_names, parts_of, written
 
 MIN_CHARS, MIN_DOCS = 20, 3
 SHARD_KEYS = 1 << 18
@@ -66,8 +66,8 @@ class LineIndex:
         idx = cls(levels, cls._rank(levels), None, None, None)
         where = idx.slots(keys)
         n = len(keys)
-        idx.fps, idx.counts, idx.last = np.empty(n, np.uint32), np.empty(n, np.int64), np.empty(n, np.int64)
-        idx.fps[where], idx.counts[where], idx.last[where] = (keys >> U(32)).astype(np.uint32), counts, last
+        idx.fps, idx.counts, idx.last = np.empty(n, np.uint64), np.empty(n, np.int64), np.empty(n, np.int64)
+        idx.fps[where], idx.counts[where], idx.last[where] = keys, counts, last
         return idx
 
     @staticmethod
@@ -103,7 +103,7 @@ class LineIndex:
         if not len(self.fps):
             return np.zeros(len(keys), np.int64), np.zeros(len(keys), np.int64)
         s = self.slots(keys)
-        ok = (s >= 0) & (self.fps[s] == (keys >> U(32)).astype(np.uint32))
+        ok = (s >= 0) & (self.fps[s] == keys)
         return np.where(ok, self.counts[s], 0), np.where(ok, self.last[s], 0)
 
     def to_bytes(self) -> bytes:
@@ -121,9 +121,9 @@ class LineIndex:
             levels.append(np.unpackbits(np.frombuffer(raw, np.uint8, nb, at), count=int(m)).astype(bool))
             at += nb
         n = int(n)
-        fps = np.frombuffer(raw, np.uint32, n, at)
-        counts = np.frombuffer(raw, np.int64, n, at + 4 * n)
-        return cls(levels, cls._rank(levels), fps, counts, np.frombuffer(raw, np.int64, n, at + 12 * n))
+        fps = np.frombuffer(raw, np.uint64, n, at)
+        counts = np.frombuffer(raw, np.int64, n, at + 8 * n)
+        return cls(levels, cls._rank(levels), fps, counts, np.frombuffer(raw, np.int64, n, at + 16 * n))
 
 
 # ------------------------------------------------------------------- lines
@@ -221,6 +221,7 @@ def probe_shards(d: DataFrame, index: DataFrame, hot_keys, shards: int, min_char
     return packs.groupBy("shard").cogroup(index.groupBy("shard")).applyInArrow(answer, "doc bigint, h bigint")
 
 
+@own_names("id_col", "text_col")
 def dedup_lines(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
                 min_docs: int = MIN_DOCS, shard_keys: int = SHARD_KEYS) -> DataFrame:
     """``df`` with cleaned texts, ``n_lines`` (before) and ``n_dropped``."""
