@@ -31,6 +31,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import IntegerType, LongType, StructField, StructType
 
+from murmura.llm.tables import own_names
+
 BLOCK_ROWS = 1 << 16           # aim for the rows of a block and of a chunk
 
 
@@ -97,6 +99,7 @@ def layout(n: int, shards: int, block_rows: int) -> tuple[np.ndarray, np.ndarray
     return np.array(sizes, np.int64), np.array(owner, np.int64), np.array(first, np.int64)
 
 
+@own_names("key_cols")
 def shuffle_to_shards(df: DataFrame, shards: int, seed: int = 1, block_rows: int = BLOCK_ROWS,
                       key_cols: list[str] | None = None) -> DataFrame:
     """Every row of ``df`` with its ``shard`` and ``slot``.
