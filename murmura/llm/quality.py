@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from murmura.llm import arrays as A
-from murmura.llm.tables import written
+from murmura.llm.tables import own_names, written
 from murmura.llm.token_counts import encoded
 
 SYMBOLS = b"#*$%&|<>"
@@ -143,14 +143,15 @@ def measure(df: DataFrame, path: str, text_col: str = "text") -> DataFrame:
 #: measure -> (spreads allowed below and above the centre, least spread)
 WIDTHS = {"chars_per_token": (6.0, 12.0, 0.02), "entropy": (3.0, 12.0, 0.05), "byte_share": (1e9, 12.0, 0.01)}
 STEP = 512.0                   # histogram cells per unit of a measure
-MIN_GROUP = 30                 # documents that a band needs
+MIN_GROUP = 30                 # texts that a band needs; fewer: neighbouring bins, then the script, then the corpus
+BINS = (4, 14)                 # least and greatest size bin
 MOST_BANDS = 50_000            # rows of bands that may be broadcast (a few hundred bytes each)
 
 
 def size_bin(n):
     """Texts are compared with texts of about their own token count: entropy
     and the noise of every ratio depend on it."""
-    return F.least(F.greatest(F.floor(F.log2(F.greatest(n, F.lit(1)))), F.lit(4)), F.lit(14)).cast("int")
+    return F.least(F.greatest(F.floor(F.log2(F.greatest(n, F.lit(1)))), F.lit(BINS[0])), F.lit(BINS[1])).cast("int")
 
 
 def base_failed():
@@ -166,12 +167,14 @@ def _middle(hist: DataFrame, keys: list[str], value: str) -> DataFrame:
             .agg(F.min(value).alias("_mid"), F.first("_all").alias("_n")))
 
 
-def fit_bands(measured: DataFrame, group) -> DataFrame:
+def fit_bands(measured: DataFrame, group, least: int = MIN_GROUP) -> DataFrame:
     """Centre (median) and spread (scaled median deviation) of every measure
     for each (group, size bin), over the distinct texts of all documents that
-    pass the base rules.  Copies are combined map-side, and the texts shrink to
-    a histogram map-side; nothing is collected.  A bin's spread is at least the
-    smaller one of its two neighbours, for near copies."""
+    pass the base rules.  A bin with under ``least`` texts takes in the bins
+    around it, one more on either side until it has them; a group that has
+    fewer in all has no band.  Copies are combined map-side, and the texts
+    shrink to a histogram map-side; nothing is collected.  A bin's spread is at
+    least the smaller one of its two neighbours, for near copies."""
     texts = measured.where(~base_failed()).select(
         TEXT_KEY, group.alias("_g"), size_bin(F.col("n_tokens")).alias("_b"),
         *[F.round(F.col(m) * STEP).cast("bigint").alias(f"_q_{m}") for m in WIDTHS]).distinct()
@@ -179,11 +182,19 @@ def fit_bands(measured: DataFrame, group) -> DataFrame:
         F.struct(F.lit(m).alias("m"), F.col(f"_q_{m}").alias("q")) for m in WIDTHS])).alias("_c"))
     keys = ["_g", "_b", "m"]
     hist = cells.groupBy("_g", "_b", F.col("_c.m").alias("m"), F.col("_c.q").alias("q")).agg(F.count("*").alias("n"))
+    # how many bins on either side a bin needs: a few rows a group
+    counts = hist.where(F.col("m") == next(iter(WIDTHS))).groupBy("_g", "_b").agg(F.sum("n").alias("n"))
+    far = F.abs(F.col("_b") - F.col("_t"))
+    near = (counts.withColumn("_t", F.explode(F.sequence(F.lit(BINS[0]), F.lit(BINS[1])))).groupBy("_g", "_t", far.alias("_far"))
+            .agg(F.sum("n").alias("n")).withColumn("n", F.sum("n").over(Window.partitionBy("_g", "_t").orderBy("_far"))))
+    width = near.where(F.col("n") >= least).groupBy(F.col("_g").alias("_h"), "_t").agg(F.min("_far").alias("_wide"))
+    hist = (hist.join(width, F.col("_g") == F.col("_h")).where(far <= F.col("_wide"))
+            .groupBy("_g", F.col("_t").alias("_b"), "m", "q").agg(F.sum("n").alias("n")))
     mid = _middle(hist, keys, "q")
     dev = (hist.join(mid, keys).withColumn("d", F.abs(F.col("q") - F.col("_mid")))
            .groupBy(*keys, "d").agg(F.sum("n").alias("n")))
     spread = _middle(dev, keys, "d").select(*keys, F.col("_mid").alias("_dev"))
-    bands = mid.join(spread, keys).where(F.col("_n") >= MIN_GROUP)
+    bands = mid.join(spread, keys)
     at = Window.partitionBy("_g", "m").orderBy("_b")
     below_, above_ = (F.max("_dev").over(at.rangeBetween(k, k)) for k in (-1, 1))
     bands = bands.withColumn("_near", F.when(below_.isNotNull() & above_.isNotNull(), F.least(below_, above_)))
@@ -204,6 +215,7 @@ def verdict(measured: DataFrame, lang_col: str | None = "lang") -> DataFrame:
     lang = F.col(lang_col) if lang_col else F.lit(None).cast("string")
     by_lang = fit_bands(measured.where(lang.isNotNull()), lang) if lang_col else None
     by_script = fit_bands(measured, F.col("script"))
+    of_all = fit_bands(measured, F.lit("all"), 1)
     d = measured.withColumn("_b", size_bin(F.col("n_tokens"))).withColumn("base_failed", base_failed())
 
     def out_of(p):
@@ -218,8 +230,8 @@ def verdict(measured: DataFrame, lang_col: str | None = "lang") -> DataFrame:
         b = sized_broadcast(written(b, "quality-bands"), MOST_BANDS)   # beyond it a shuffle join
         return d.join(b, (key == F.col(f"{p}_g")) & (F.col("_b") == F.col(f"{p}_b")), "left")
 
-    odd = F.coalesce(out_of("s"), F.lit(False))
-    d = joined(d, by_script, "s", F.col("script"))
+    d = joined(joined(d, by_script, "s", F.col("script")), of_all, "a", F.lit("all"))
+    odd = F.coalesce(out_of("s"), out_of("a"), F.lit(False))
     if by_lang is not None:
         d = joined(d, by_lang, "l", lang)
         odd = F.coalesce(out_of("l"), odd)
@@ -228,6 +240,7 @@ def verdict(measured: DataFrame, lang_col: str | None = "lang") -> DataFrame:
         *[F.col(f"`{c}`") for c in names if c not in ("base_failed", "kept", TEXT_KEY)], "base_failed", "kept")
 
 
+@own_names("text_col", "lang_col")
 def quality(docs: DataFrame, path: str, text_col: str = "text", lang_col: str | None = "lang",
             keep_text: bool = True) -> DataFrame:
     """Measures and verdict of every document.  The measured rows are written
