@@ -26,17 +26,19 @@ SHARDS = 24
 BLOCK_ROWS = 1 << 11           # whole texts pass through a block: some MB
 
 
-def columns(docs: DataFrame) -> list:
-    return [F.col(f"`{c}`") for c in docs.columns]
+def keyed(docs: DataFrame, *of: str) -> DataFrame:
+    """(row, key): the columns of ``docs`` as one struct, so that no column of
+    theirs can meet a name used here, and a hash of the columns ``of``."""
+    return docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"), F.xxhash64(*of).alias("key"))
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the base and fertility rules keep.  Only slim measures are
     written; the texts meet their verdict."""
-    key = F.xxhash64("doc_id", "text", "lang")
-    measured = quality(docs.select(key.alias("_key"), "text", "lang"), vocabulary(), keep_text=False)
-    kept = measured.where("kept").select("_key").distinct()
-    return docs.withColumn("_key", key).join(kept, "_key", "left_semi").select(*columns(docs))
+    d = keyed(docs, "doc_id", "text", "lang")
+    measured = quality(d.select("key", "row.text", "row.lang"), vocabulary(), keep_text=False)
+    kept = measured.where("kept").select("key").distinct()
+    return d.join(kept, "key", "left_semi").select("row.*")
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,25 +48,23 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that hold no benchmark item, exact or edited."""
-    key = F.xxhash64("doc_id", "text")
-    found = contamination(docs.select(key.alias("key"), "text"), table(spark, sf_dir, "benchmark"), id_col="key")
-    keyed = docs.withColumn("_key", key)
-    return keyed.join(found.select(F.col("doc_id").alias("_key")).distinct(), "_key", "left_anti").select(*columns(docs))
+    d = keyed(docs, "doc_id", "text")
+    found = contamination(d.select("key", "row.text"), table(spark, sf_dir, "benchmark"), id_col="key")
+    return d.join(found.select(F.col("doc_id").alias("key")).distinct(), "key", "left_anti").select("row.*")
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every document as often as the mix of its source takes it (0 to 2 times).
     Slim rows are mixed; texts only meet their number of copies.  Rows that
     repeat id and text share their copies evenly, by the order of their hash."""
-    key = F.xxhash64("doc_id", "text")
-    slim = docs.select(key.alias("key"), "source", word_count(F.col("text")).alias("words"))
-    taken = mix(slim, size=F.col("words")).groupBy(F.col("key").alias("_key")).agg(
-        F.sum("copies").alias("_copies"), F.count("*").alias("_rows"))
-    nth = F.row_number().over(Window.partitionBy("_key").orderBy(F.xxhash64(*columns(docs))))
-    full = docs.withColumn("_key", key).join(taken.where("_copies > 0"), "_key").withColumn("_nth", nth)
-    own = F.floor(F.col("_copies") / F.col("_rows")) + F.when(F.col("_nth") <= F.col("_copies") % F.col("_rows"), 1).otherwise(0)
-    return (full.withColumn("_own", own.cast("int")).where("_own > 0")
-            .withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_own")))).select(*columns(docs)))
+    d = keyed(docs, "doc_id", "text")
+    slim = d.select("key", "row.source", word_count(F.col("row.text")).alias("words"))
+    taken = mix(slim, size=F.col("words")).groupBy("key").agg(F.sum("copies").alias("copies"), F.count("*").alias("rows"))
+    nth = F.row_number().over(Window.partitionBy("key").orderBy(F.xxhash64("row")))
+    full = d.join(taken.where("copies > 0"), "key").withColumn("nth", nth)
+    own = F.floor(F.col("copies") / F.col("rows")) + F.when(F.col("nth") <= F.col("copies") % F.col("rows"), 1).otherwise(0)
+    return (full.withColumn("own", own.cast("int")).where("own > 0")
+            .withColumn("copy", F.explode(F.sequence(F.lit(1), F.col("own")))).select("row.*"))
 
 
 def sharding(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
