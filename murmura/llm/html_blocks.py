@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import html
 import re
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -36,11 +37,12 @@ GAP = 2                        # empty lines that mark a dive
 
 # Fixed values of HTML: elements by their part in a page.
 SILENT = frozenset("script style noscript template svg math iframe object canvas head title select textarea".split())
-APART = frozenset("nav header footer aside form button dialog menu fieldset".split())
+APART = frozenset("nav header footer aside button dialog menu fieldset".split())       # and a form that is not most of the page
 VOID = frozenset("area base br col embed hr img input link meta source track wbr".split())
 BLOCK = frozenset(("address article aside blockquote body caption center dd details dialog dir div dl dt fieldset "
                    "figcaption figure footer form frameset h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav "
                    "ol optgroup option p pre search section summary table tbody td tfoot th thead tr ul").split())
+PROSE = frozenset("p h1 h2 h3 h4 h5 h6 blockquote pre".split())
 CLOSES = {"li": {"li"}, "p": {"p"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"},
           "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 APART_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alertdialog menu menubar".split())
@@ -53,12 +55,13 @@ APART_NAMES = re.compile(
     r"replies|respond|disqus|discussion|pagination|pager|toolbar|copyright|disclaimer|paywall|teaser|search)"
     r"(?=$|[\s_-]|\d)", re.I)
 
-_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)(>|\Z)",
+_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*(?=>|\Z)|[^>]*)(>|\Z)",
                     re.S)
 _ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+))?""", re.I)
 # has-sidebar, no-ads: a name that tells of the page, not of the element.
 _STATE = re.compile(r"(?:^|(?<=[\s_-]))(?:has|no|not|with|without)[_-]\S*", re.I)
 _SPACE = re.compile(r"\s+")
+_BODY = re.compile(r"<body(?=[\s/>]|\Z)", re.I)
 
 
 def _apart(name: str, attrs: str, names: bool = True) -> bool:
@@ -67,7 +70,7 @@ def _apart(name: str, attrs: str, names: bool = True) -> bool:
         return True
     for key, value in _ATTR.findall(attrs):
         key, value = key.lower(), value.strip("\"'")
-        if names and key in ("class", "id") and APART_NAMES.search(_STATE.sub(" ", value)) and name not in ("body", "html", "article", "main"):
+        if names and key in ("class", "id") and APART_NAMES.search(_STATE.sub(" ", value)) and name not in ("body", "html", "main"):
             return True
         if key == "role" and value.lower() in APART_ROLES:
             return True
@@ -76,28 +79,35 @@ def _apart(name: str, attrs: str, names: bool = True) -> bool:
     return False
 
 
-def lines_of(page: str) -> list[tuple[str, int, bool, int]]:
-    """(text, characters in links, apart, article depth) of every block line.
-    ``apart`` elements inside an article still count as apart; a <header> of an
-    article holds its heading and stays."""
-    lines, arts = _lines(page, frozenset())
-    shown = sum(len(t) for t, _, apart, depth in lines if depth and not apart)
-    best = max((a for a in arts.values() if a[1]), default=(0, frozenset()), key=lambda a: a[0])
-    return _lines(page, best[1])[0] if best[0] > shown else lines
-
-
-def _lines(page: str, open_: frozenset) -> tuple[list[tuple[str, int, bool, int]], dict]:
-    """The lines, and the text and named holders of every article; the class
-    and id words of the elements ``open_`` do not count."""
-    arts: dict[int, tuple[int, frozenset]] = {}        # place of the tag: characters, places of its named holders
-    ids: list[tuple[int, int, int]] = []               # of the stack: place if named only, place if article, apart by other things
-    hard = 0
-    out: list[tuple[str, int, bool, int]] = []
-    stack: list[tuple[str, int, int, int]] = []       # name, and 1 for apart, article, link
-    apart = inside = link = 0
+def lines_of(page: str) -> list[tuple[str, int, bool, int, bool]]:
+    """(text, characters in links, apart, article depth, in a paragraph or
+    heading) of every block line.  ``apart`` elements inside an article still
+    count as apart; a <header> of an article holds its heading and stays."""
+    lines, arts, forms, total = _lines(page, frozenset())
+    shown = sum(len(x[0]) for x in lines if x[3] and not x[2])
+    open_ = {k for k, n in forms.items() if 2 * n > total}                # a form around the page
+    held = [(n, k, h | (set() if shown else {k})) for k, (n, h) in arts.items()]
+    size, _, holders = max((x for x in held if x[2]), default=(0, 0, frozenset()), key=lambda x: (x[0], -x[1]))
+    if size > shown:                                                      # names around the largest article
+        open_ |= holders
+    return _lines(page, frozenset(open_))[0] if open_ else lines
+
+
+def _lines(page: str, open_: frozenset) -> tuple[list, dict, dict, int]:
+    """The lines; text and named holders of every article; text of every form;
+    all text.  The class and id words of the elements ``open_`` do not count,
+    nor that one is a form."""
+    arts: dict[int, tuple[int, frozenset]] = {}        # place of the tag: characters, places of its soft holders
+    forms: dict[int, int] = {}
+    out: list[tuple[str, int, bool, int, bool]] = []
+    # name; 1 for apart, by more than a name, article, link; place if softly apart; place; characters before it
+    stack: list[tuple] = []
+    opened: Counter = Counter()                        # names on the stack
+    apart = hard = inside = link = total = 0
+    block = ""
     buf: list[str] = []
     in_link = 0
-    at, low = 0, None
+    at = 0
 
     def add(s):
         nonlocal in_link
@@ -107,21 +117,24 @@ def _lines(page: str, open_: frozenset) -> tuple[list[tuple[str, int, bool, int]
                 in_link += len(s)
 
     def flush():
-        nonlocal in_link
+        nonlocal in_link, total
         if buf:
             t = _SPACE.sub(" ", html.unescape("".join(buf))).strip()
             if t:
-                out.append((t, min(in_link, len(t)), apart > 0, inside))
-                for k in [x[1] for x in ids if x[1] >= 0] if inside and not hard else ():
-                    arts[k] = arts[k][0] + len(t), arts[k][1]
+                out.append((t, min(in_link, len(t)), apart > 0, inside, block in PROSE))
+                total += 0 if hard else len(t)
             buf.clear()
         in_link = 0
 
     def pop():
-        nonlocal apart, inside, link, hard
-        _, a, i, k = stack.pop()
-        hard -= ids.pop()[2]
-        apart, inside, link = apart - a, inside - i, link - k
+        nonlocal apart, hard, inside, link
+        name, a, h, i, k, soft, place, before = stack.pop()
+        opened[name] -= 1
+        apart, hard, inside, link = apart - a, hard - h, inside - i, link - k
+        if i:
+            arts[place] = total - before, arts[place][1]
+        if name == "form":
+            forms[place] = total - before
 
     while True:
         m = _TOKEN.search(page, at)
@@ -143,22 +156,23 @@ def _lines(page: str, open_: frozenset) -> tuple[list[tuple[str, int, bool, int]
         if m[1]:
             if name in BLOCK:
                 flush()
-            if any(s[0] == name for s in stack):
+                block = ""
+            if opened[name]:
                 while stack[-1][0] != name:
                     pop()
                 pop()
             continue
         if name in SILENT:
             flush() if name in BLOCK else None
-            low = page.lower() if low is None else low
-            end = low.find(f"</{name}", at)
-            body = low.find("<body", at) if name == "head" else -1
-            if name == "head" and (end < 0 or 0 <= body < end):
+            end = re.compile(rf"</{name}(?=[\s/>]|\Z)", re.I).search(page, at)
+            body = _BODY.search(page, at) if name == "head" else None
+            if name == "head" and body and (end is None or body.start() < end.start()):
                 end = body
-            at = len(page) if end < 0 else end
+            at = len(page) if end is None else end.start()
             continue
         if name in BLOCK:
             flush()
+            block = name
             closes = CLOSES.get(name, ())
             if stack and stack[-1][0] in closes:
                 pop()
@@ -168,27 +182,30 @@ def _lines(page: str, open_: frozenset) -> tuple[list[tuple[str, int, bool, int]
             continue
         art = int(name in ("article", "main"))
         heading = name == "header" and inside
-        other = _apart(name, m[3], False) and not heading
-        out_of_text = _apart(name, m[3], m.start() not in open_) and not heading
+        other = int(_apart(name, m[3], False) and not heading)
+        free = m.start() in open_
+        out_of_text = int((_apart(name, m[3], not free) or name == "form" and not free) and not heading)
+        soft = m.start() if out_of_text and not other else -1
         if art:
-            arts[m.start()] = 0, frozenset(x[0] for x in ids if x[0] >= 0)
-        ids.append((m.start() if out_of_text and not other else -1, m.start() if art else -1, int(other)))
-        hard += int(other)
-        stack.append((name, int(out_of_text), art, int(name == "a")))
-        apart, inside, link = apart + int(out_of_text), inside + art, link + int(name == "a")
+            arts[m.start()] = 0, frozenset(x[5] for x in stack if x[5] >= 0)
+        stack.append((name, out_of_text, other, art, int(name == "a"), soft, m.start(), total))
+        opened[name] += 1
+        apart, hard, inside, link = apart + out_of_text, hard + other, inside + art, link + int(name == "a")
     flush()
-    return out, arts
+    while stack:
+        pop()
+    return out, arts, forms, total
 
 
 def _marked(lines) -> bool:
-    return any(depth and not apart for _, _, apart, depth in lines)
+    return any(depth and not apart for _, _, apart, depth, _ in lines)
 
 
 def weights(lines) -> np.ndarray:
     """Characters of each line that count as text."""
     marked = _marked(lines)
     w = np.zeros(len(lines), np.int64)
-    for i, (text, in_link, apart, depth) in enumerate(lines):
+    for i, (text, in_link, apart, depth, _) in enumerate(lines):
         if not apart and (depth if marked else 2 * in_link <= len(text)):
             w[i] = len(text)
     return w
@@ -206,14 +223,26 @@ def runs(w: np.ndarray, window: int = WINDOW, threshold: int = THRESHOLD, gap: i
     return good or [max(spans, key=lambda s: (int(w[s[0]:s[1]].sum()), -s[0]))]
 
 
+def chosen(lines) -> list[int]:
+    """The lines of the main text.  The line-block distribution gives the part
+    between the first surge and the last dive.  Inside it every line that counts
+    as text stays, and a paragraph that is one link; outside it paragraphs and
+    headings that count as text, and in a marked article every line of it."""
+    w = weights(lines)
+    spans = runs(w)
+    if not spans:
+        return []
+    marked, first, last = _marked(lines), spans[0][0], spans[-1][1]
+    return [i for i, (_, _, apart, _, prose) in enumerate(lines)
+            if w[i] and (marked or prose or first <= i < last) or prose and not apart and not marked and first <= i < last]
+
+
 def main_text(page: str | None) -> str:
     """The main text of one page."""
     if not page:
         return ""
     lines = lines_of(page)
-    w = weights(lines)
-    spans = [(0, len(w))] if _marked(lines) else runs(w)
-    return "\n".join(lines[i][0] for a, b in spans for i in range(a, b) if w[i])
+    return "\n".join(lines[i][0] for i in chosen(lines))
 
 
 @F.arrow_udf(StringType())
