@@ -127,17 +127,32 @@ def test_bands_keep_prose_and_reject_noise(spark):
 
 
 def test_bands_by_hand(spark):
-    """Median and spread of a group, worked out on the driver."""
+    """Median and spread of a group, worked out on the driver: bins with under
+    30 texts take in their neighbours, so every bin has a band."""
     rng = random.Random(4)
-    df = Q.measure(documents(spark, [row(i, prose(rng, 70)) for i in range(60)]), MODEL).cache()
+    df = Q.measure(documents(spark, [row(i, prose(rng, 70 if i < 60 else 30 * (i - 50))) for i in range(75)]), MODEL).cache()
     rows = df.where(~Q.base_failed()).collect()
     bands = {r._b: r for r in Q.fit_bands(df, df.lang).collect()}
+    assert sorted(bands) == list(range(4, 15))
+    bin_of = lambda r: min(max(int(math.log2(r.n_tokens)), 4), 14)
+    mids, devs = {}, {}
+    for b in bands:
+        wide = next(w for w in range(11) if sum(abs(bin_of(r) - b) <= w for r in rows) >= 30)
+        q = sorted(round(r.chars_per_token * Q.STEP) for r in rows if abs(bin_of(r) - b) <= wide)
+        mids[b] = q[(len(q) + 1) // 2 - 1]
+        devs[b] = sorted(abs(x - mids[b]) for x in q)[(len(q) + 1) // 2 - 1]
     for b, band in bands.items():
-        q = sorted(round(r.chars_per_token * Q.STEP) for r in rows if min(max(int(math.log2(r.n_tokens)), 4), 14) == b)
-        mid = q[(len(q) + 1) // 2 - 1]
-        dev = sorted(abs(x - mid) for x in q)[(len(q) + 1) // 2 - 1]
-        s = max(dev / Q.STEP * 1.4826, 0.02)
-        assert abs(band._lo_chars_per_token - (mid / Q.STEP - 6 * s)) < 1e-9
+        dev = max(devs[b], min(devs[b - 1], devs[b + 1])) if b - 1 in devs and b + 1 in devs else devs[b]
+        assert abs(band._lo_chars_per_token - (mids[b] / Q.STEP - 6 * max(dev / Q.STEP * 1.4826, 0.02))) < 1e-9
+
+
+def test_a_text_alone_in_its_bin_language_and_script_is_judged(spark):
+    """Junk is rejected though no other text has its size or language."""
+    rng = random.Random(5)
+    rows = [row(i, prose(rng, rng.randint(60, 90))) for i in range(80)]
+    junk = " ".join("".join(rng.choice("bcdfghjklmnpqrstvwxz0123456789") for _ in range(9)) for _ in range(3000))
+    got = {r.doc_id: r.kept for r in Q.quality(documents(spark, rows + [row(900, junk, lang="xx"), row(901, prose(rng, 4000), lang="yy")]), MODEL).collect()}
+    assert not got[900] and got[901] and sum(got[i] for i in range(80)) >= 78
 
 
 # ---------------------------------------------------------------- toxicity
@@ -217,3 +232,37 @@ LONG = "This paragraph is long enough to be a surge of text all by itself, and i
      "<p>Last.</p><p><a href='/'>All a link</a></p></article>", f"Short title\n{LONG}\nLast.\nAll a link")])
 def test_main_text_keeps_whole_articles(page, text):
     assert H.main_text(page) == text
+
+
+@pytest.mark.parametrize("page,text", [
+    ('<article><p>Text of it.</p><article class="comment"><p>a reader</p></article><article class="teaser related">more</article></article>', "Text of it."),
+    ('<article class="post share"><p>Only this one.</p></article>', "Only this one."),
+    ('<form id="aspnetForm"><div><p>' + "Long text here. " * 9 + '</p></div></form>', ("Long text here. " * 9).strip()),
+    ('<p>' + "Long text here. " * 9 + '</p><form><p>Name</p><input></form>', ("Long text here. " * 9).strip()),
+    ('<p>' + "\u0130" * 40 + '</p><script>x</script><p>after the script</p>', "\u0130" * 40 + "\nafter the script"),
+    ('<p>' + "Words of it. " * 12 + '</p><ul><li><a>a</a><li><a>b</a><li><a>c</a></ul><p>The last one.</p>', ("Words of it. " * 12).strip() + "\nThe last one."),
+    ('<p>' + "Words of it. " * 12 + '</p><p><a href="x">One link alone</a></p><p>' + "More of it. " * 12 + '</p>',
+     ("Words of it. " * 12).strip() + "\nOne link alone\n" + ("More of it. " * 12).strip()),
+    ('<article><p title="abc>broken</p><p>whole</p></article>', "broken\nwhole"),
+    ('<head><title>t</title><header><p>x</p></header><body><article>in the body</article>', "in the body"),
+])
+def test_main_text_loses_nothing_else(page, text):
+    assert H.main_text(page) == text
+
+
+def test_main_text_without_article_tags_is_the_same():
+    """The line blocks alone find what the article element marks, on pages whose
+    parts stand in paragraphs."""
+    rng = random.Random(9)
+    for _ in range(40):
+        body = "".join(f"<p>{prose(rng, rng.randint(12, 60))}</p>" for _ in range(rng.randint(1, 6)))
+        page = f"<html><body><nav><a>Home</a></nav>%s<h1>Of it</h1>{body}%s<footer>end</footer></body></html>"
+        assert H.main_text(page % ("<article>", "</article>")) == H.main_text(page % ("", "")) != ""
+
+
+def test_main_text_of_deep_pages_takes_linear_time():
+    import time
+    began = time.perf_counter()
+    H.main_text("<div>" * 20000 + "</span>" * 20000)
+    H.main_text("<article>" * 2000 + "<p>text</p>" * 20000)
+    assert time.perf_counter() - began < 6
