@@ -17,8 +17,10 @@ from pyspark.sql import types as T
 
 from murmura.functions.text import clean_str, strip_tags, ustrip, _c
 
-R_HREF = r"""(?i)<a\s[^>]*?href\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)"""
-R_ANCHOR_TEXT = r"""(?is)<a\s[^>]*?href\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+)[^>]*>(.*?)</a>"""
+# attributes before href are passed whole, so neither data-href nor a quoted "href=" is taken for it
+R_LINK = r"""<a(?:\s+(?!href\s*=)[^\s=>"']+(?:\s*=\s*(?:"[^"]*"|'[^']*'|[^\s"'>]+))?)*+\s+href\s*=\s*"""
+R_HREF = "(?i)" + R_LINK + r"""("[^"]*"|'[^']*'|[^\s"'>]+)"""
+R_ANCHOR_TEXT = "(?is)" + R_LINK + r"""(?:"[^"]*"|'[^']*'|[^\s"'>]+)[^>]*>(.*?)</a>"""
 R_ORIGIN = r"^([a-zA-Z][a-zA-Z0-9+.-]*://[^/?#]+)"
 R_SCHEME = r"^([a-zA-Z][a-zA-Z0-9+.-]*):"
 R_HOST = r"^[a-zA-Z][a-zA-Z0-9+.-]*://([^/?#:]+)"

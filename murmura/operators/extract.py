@@ -8,9 +8,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from murmura.functions import constants as K
-from murmura.functions.html import (R_ANCHOR_TEXT, absolute_url, extract_all, extract_field, first_match, get_clean,
-                                    host_of, hrefs, leaf_pattern, strings_of, text_joined, unescape_all)
-from murmura.functions.text import clean_board, clean_date, collapse_ws, strip_tags, ustrip
+from murmura.functions.elements import Step, first_text, inner_html
+from murmura.functions.html import (R_ANCHOR_TEXT, absolute_url, extract_all, extract_field, first_match, get_clean, host_of,
+                                    hrefs, leaf_pattern, strings_of, text_joined, unescape_all, unescape_entities)
+from murmura.functions.text import clean_board, clean_date, clean_str, collapse_ws, strip_tags, ustrip
 from murmura.schema import POST_COLUMNS
 
 P_PARAGRAPH = leaf_pattern("p")
@@ -129,7 +130,7 @@ def _cls(name: str) -> str:
 
 def clien_fields(html: Column, url: Column) -> dict[str, Column]:
     """Posts of www.clien.net."""
-    article = first_match(html, r'(?s)<div\b[^>]*class="post_article"[^>]*>(.*?)</div>')
+    article = inner_html(html, Step("div", "class", "post_article"))
     blank = lambda c: F.nullif(c, F.lit(""))
     return {
         "url": url, "site": F.lit("clien"), "document": blank(text_joined(article, P_PARAGRAPH, " ")),
@@ -142,14 +143,18 @@ def clien_fields(html: Column, url: Column) -> dict[str, Column]:
     }
 
 
-def quasarzone_fields(html: Column, url: Column) -> dict[str, Column]:
-    """Posts of quasarzone.com; the date stands in one of two places."""
+def quasarzone_fields(html: Column, url: Column, first_node: bool = False) -> dict[str, Column]:
+    """Posts of quasarzone.com; the date stands in one of two places.  The
+    document is the whole text of the contents, with ``first_node`` its first
+    text node alone."""
+    contents = inner_html(html, Step("*", "id", "org_contents"))
+    whole = clean_str(unescape_entities(strip_tags(first_text(contents) if first_node else contents, drop_blocks=False)))
     blank = lambda c: F.nullif(c, F.lit(""))
     right = get_clean(first_match(html, _inner("p", _cls("right"))), _inner("span", ""))
     plain = get_clean(first_match(html, _inner("span", _cls("date notranslate"))), _inner("em", ""))
     return {
         "url": url, "site": F.lit("quasarzone"),
-        "document": blank(get_clean(html, r"""(?s)<\w+\b[^>]*id=["']org_contents["'][^>]*>(.*?)</(?:div|textarea|td|section)>""")),
+        "document": blank(whole),
         "postdate": F.coalesce(blank(right), blank(plain)),
         "comment_cnt": blank(get_clean(html, _inner("em", _cls("reply")))),
         "views": blank(get_clean(html, _inner("em", _cls("view")))),
@@ -160,7 +165,8 @@ def quasarzone_fields(html: Column, url: Column) -> dict[str, Column]:
 def meeco_fields(html: Column, url: Column) -> dict[str, Column]:
     """Posts of meeco.kr: the second block of the article's first block."""
     blank = lambda c: F.nullif(c, F.lit(""))
-    body = get_clean(html, r'(?s)id="bBd".*?<article\b[^>]*>.*?<div\b[^>]*>\s*<div\b[^>]*>.*?</div>\s*<div\b[^>]*>(.*?)</div>')
+    block = inner_html(html, Step("*", "id", "bBd"), Step("article"), Step("div", nth=1, direct=True), Step("div", nth=2, direct=True))
+    body = clean_str(unescape_entities(strip_tags(F.regexp_replace(block, "<", " <"), drop_blocks=False)))
     head = first_match(html, r'(?s)id="bBd".*?<article\b[^>]*>.*?<header\b[^>]*>.*?<ul\b[^>]*>(.*?)</ul>')
     return {
         "url": url, "site": F.lit("meeco"), "document": blank(ustrip(collapse_ws(body))),

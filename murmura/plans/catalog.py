@@ -888,6 +888,33 @@ def q_pages_to_posts(spark, sf):
     return X.pages_to_posts(pages_df(spark, sf))   # no driver page is of a registered site: the article extractor
 
 
+# the posts as pages of two sites: blocks nested in the body's block
+SITE_LINES = "list_filter(list_transform(string_split(coalesce(text, ''), chr(10)), lambda x: " + sstrip("x") + "), lambda x: x <> '')"
+
+
+@register("site_posts", f"""SELECT doc_id AS page_id,
+  CASE WHEN doc_id % 2 = 0 THEN 'clien' ELSE 'meeco' END AS site,
+  nullif(CASE WHEN doc_id % 2 = 0 THEN array_to_string({SITE_LINES}, ' ')
+         ELSE {sstrip(f"regexp_replace(array_to_string({SITE_LINES}, ' '), '{WS}+', ' ', 'g')")} END, '') AS document,
+  CASE WHEN doc_id % 2 = 0 THEN CAST(n_chars AS VARCHAR) END AS views
+FROM documents""")
+def q_site_posts(spark, sf):
+    """Post records from pages with the markup of two sites, the body's blocks
+    nested in one another."""
+    escaped = F.regexp_replace(F.regexp_replace(F.regexp_replace(F.coalesce("text", F.lit("")), "&", "&amp;"), "<", "&lt;"), ">", "&gt;")
+    lines = F.split(escaped, "\n", -1)
+    wrapped = lambda a, z: F.array_join(F.transform(lines, lambda x: F.concat(F.lit(a), x, F.lit(z))), "")
+    clien = F.concat(F.lit('<span class="view_count"><strong>'), F.col("n_chars").cast("string"), F.lit('</strong></span><div class="post_article">'),
+                     wrapped('<div class="box"><div><img></div></div><p>', "</p>"), F.lit("</div><div><p>reply</p></div>"))
+    meeco = F.concat(F.lit('<div id="bBd"><article><header><p>h</p></header><div><div>by</div><div>'),
+                     wrapped('<div>', '<div></div></div>'), F.lit("</div><div>tail</div></div></article></div>"))
+    even = F.col("doc_id") % 2 == 0
+    pages = table(spark, sf, "documents").select(
+        F.col("doc_id").alias("page_id"), F.when(even, F.lit("https://www.clien.net/1")).otherwise(F.lit("https://meeco.kr/1")).alias("url"),
+        F.when(even, clien).otherwise(meeco).alias("html"))
+    return X.pages_to_posts(pages).select("page_id", "site", "document", "views")
+
+
 @register("html_files_scan", "SELECT page_id, html FROM pages")
 def q_html_files_scan(spark, sf):
     """Land pages as files (one page a file, files of many pages a folder), then
