@@ -12,10 +12,12 @@ the concurrency bound.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from hashlib import md5
 from typing import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -142,31 +144,31 @@ def score(df: DataFrame, scorer: Scorer, text_col: str, out_col: str,
 
 # ---------------------------------------------------------------- embedding
 
-def hash_buckets(text, dim: int) -> Column:
-    """Token -> bucket = first 28 bits of md5(token) mod dim (JVM side)."""
-    return F.transform(tokens(text),
-                       lambda t: F.pmod(F.conv(F.substring(F.md5(t), 1, 7), 16, 10).cast("bigint"),
-                                        F.lit(dim)).cast("int"))
+def _bucket_counts(words: pa.Array, dim: int) -> np.ndarray:
+    """Token lists -> bucket counts [rows, dim] (a null row counts nothing).  The
+    bucket is the first 28 bits of md5(token) mod ``dim``; Arrow numbers the
+    distinct tokens of the batch, so each is hashed once however often it stands."""
+    n = len(words)
+    coded = words.flatten().dictionary_encode()
+    bucket = np.fromiter((int(md5(w.encode()).hexdigest()[:7], 16) % dim for w in coded.dictionary.to_pylist()),
+                         np.int64, len(coded.dictionary))
+    rows = np.repeat(np.arange(n), words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+    at = rows * dim + bucket[coded.indices.to_numpy(zero_copy_only=False)]
+    return np.bincount(at, minlength=n * dim).reshape(n, dim)
 
 
-def _bincount_rows(s: pd.Series, dim: int) -> tuple[np.ndarray, np.ndarray]:
-    """Per-row bucket counts of a Series of int arrays, in one bincount over
-    (row * dim + bucket).  Returns (counts float64 [n, dim], non-null mask)."""
-    ok = s.notna().to_numpy()
-    arrs = [np.asarray(b, dtype=np.int64) if o else np.empty(0, dtype=np.int64) for b, o in zip(s, ok)]
-    lens = np.fromiter((len(a) for a in arrs), dtype=np.int64, count=len(arrs))
-    flat = np.concatenate(arrs) if arrs else np.empty(0, dtype=np.int64)
-    rows = np.repeat(np.arange(len(arrs), dtype=np.int64), lens)
-    m = np.bincount(rows * dim + flat, minlength=len(arrs) * dim).reshape(len(arrs), dim)
-    return m.astype(np.float64), ok
+def _lists(m: np.ndarray, like: pa.Array) -> pa.Array:
+    """Rows of a matrix as an Arrow list column, null where ``like`` is."""
+    n, dim = m.shape
+    ends = pa.array(np.arange(n + 1, dtype=np.int32) * dim)
+    return pa.ListArray.from_arrays(ends, pa.array(m.ravel()), mask=like.is_null() if like.null_count else None)
 
 
 class HashEmbedder:
     """Offline embedder: L2-normalised hashed bag of words.
 
-    Buckets are computed JVM-side; the count vector is a numpy ``bincount``
-    per row inside an Arrow batch (``O(tokens)`` instead of ``O(tokens x dim)``
-    for a pure higher-order-function version).
+    The JVM cuts the text into tokens; an Arrow function numbers them, hashes each
+    distinct one and counts buckets with one numpy ``bincount`` a batch.
     """
 
     def __init__(self, dim: int = 64):
@@ -176,26 +178,22 @@ class HashEmbedder:
         """Raw bucket counts ``ARRAY<INT>`` of length ``dim``."""
         dim = self.dim
 
-        @F.pandas_udf(T.ArrayType(T.IntegerType()))
-        def counts(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for s in it:
-                m, ok = _bincount_rows(s, dim)
-                yield pd.Series([row.astype(np.int32) if o else None for row, o in zip(m, ok)])
+        @F.arrow_udf(T.ArrayType(T.IntegerType()))
+        def counts(words: pa.Array) -> pa.Array:
+            return _lists(_bucket_counts(words, dim).astype(np.int32), words)
 
-        return counts(hash_buckets(text, dim))
+        return counts(tokens(text))
 
     def column(self, text: Column) -> Column:
         dim = self.dim
 
-        @F.pandas_udf(T.ArrayType(T.FloatType()))
-        def embed(it: Iterator[pd.Series]) -> Iterator[pd.Series]:
-            for s in it:
-                m, ok = _bincount_rows(s, dim)
-                norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
-                v = np.where(norm > 0, m / np.where(norm > 0, norm, 1.0), m).astype(np.float32)
-                yield pd.Series([row if o else None for row, o in zip(v, ok)])
+        @F.arrow_udf(T.ArrayType(T.FloatType()))
+        def embed(words: pa.Array) -> pa.Array:
+            m = _bucket_counts(words, dim).astype(np.float64)
+            norm = np.sqrt((m * m).sum(axis=1, keepdims=True))
+            return _lists((m / np.where(norm > 0, norm, 1.0)).astype(np.float32), words)
 
-        return embed(hash_buckets(text, dim))
+        return embed(tokens(text))
 
 
 def embed(df: DataFrame, text_col: str = "document", out_col: str = "embedding",

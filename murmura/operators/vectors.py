@@ -47,18 +47,18 @@ def _stack(series: pd.Series, dim: int | None = None) -> tuple[np.ndarray, np.nd
     is null, holds a null or a NaN or infinity, or is of another length than the
     others cannot be measured and is left out, alone."""
     ok = series.notna().to_numpy().copy()
-    out = []
-    for i in np.flatnonzero(ok):
-        v = np.asarray(series.iat[i], dtype=np.float64)
-        dim = len(v) if dim is None else dim
-        if len(v) == dim and np.isfinite(v).all():
-            out.append(v)
-        else:
-            ok[i] = False
-    return ok, (np.stack(out) if out else np.zeros((0, dim or 0)))
+    out = [np.asarray(v, dtype=np.float64) for v in series[ok]]
+    dim = len(out[0]) if out and dim is None else dim
+    fits = np.array([len(v) == dim for v in out], dtype=bool)
+    X = np.concatenate([v for v in out if len(v) == dim] or [np.zeros(0)]).reshape(int(fits.sum()), dim or 0)
+    finite = np.isfinite(X).all(axis=1)
+    fits[fits] = finite
+    ok[ok] = fits
+    return ok, X[finite]
 
 
 TILE = 256                   # queries measured at once
+PAIRS = 1 << 16              # near pairs re-measured at once
 MAX_BYTES = 256 << 20        # vectors that one broadcast may hold
 
 
@@ -75,7 +75,8 @@ def _exact_candidates(X: np.ndarray, Q: np.ndarray, k: int, ids: np.ndarray | No
     n = X.shape[0]
     kk = min(k, n)
     ids = np.arange(n) if ids is None else ids
-    by_id = np.argsort(np.argsort(ids, kind="stable"), kind="stable")
+    at_id = np.argsort(ids, kind="stable")
+    by_id = np.argsort(at_id, kind="stable")
     xx = np.einsum("ij,ij->i", X, X)
     cols, rows, dist = [], [], []
     for t in range(0, Q.shape[0], TILE):
@@ -85,16 +86,17 @@ def _exact_candidates(X: np.ndarray, Q: np.ndarray, k: int, ids: np.ndarray | No
         kth = np.partition(d2, kk - 1, axis=0)[kk - 1] if kk < n else d2.max(axis=0)
         # rounding error of the expansion is ~1e-16 of the magnitudes involved
         slack = 1e-9 * (1.0 + np.abs(kth) + qq + xx.max())
-        near = d2 <= (kth + slack)[None, :]
-        for j in range(q.shape[0]):
-            r = np.flatnonzero(near[:, j])
-            d = np.sqrt(((X[r] - q[j]) ** 2).sum(axis=1))
-            if len(r) > kk:
-                best = np.lexsort((by_id[r], d))[:kk]
-                r, d = r[best], d[best]
-            cols.append(np.full(len(r), t + j))
-            rows.append(r)
-            dist.append(d)
+        j, r = np.nonzero((d2 <= (kth + slack)[None, :]).T)
+        d = np.empty(len(r))
+        for a in range(0, len(r), PAIRS):                           # ties may be many: a bounded number at once
+            some = slice(a, a + PAIRS)
+            d[some] = np.sqrt(((X[r[some]] - q[j[some]]) ** 2).sum(axis=1))
+        if len(r) > kk * len(q):
+            best, place, d = _first_k(j, by_id[r], d, kk)
+            j, r = best, at_id[place]
+        cols.append(j + t)
+        rows.append(r)
+        dist.append(d)
     z = np.empty(0, np.int64)
     return np.concatenate(cols or [z]), np.concatenate(rows or [z]), np.concatenate(dist or [z.astype(float)])
 
@@ -288,14 +290,12 @@ def nearest_label(vec, centroids: DataFrame, label: str = "label", centroid: str
 
     @F.pandas_udf(centroids.schema[label].dataType)
     def nearest(s: pd.Series) -> pd.Series:
-        out = pd.Series([None] * len(s), dtype=object)
+        out = np.full(len(s), None, dtype=object)
         ok, X = _stack(s, C.shape[1] or None)
         if len(X) and labels:
             q, r, _ = _exact_candidates(C, X, 1)
-            at = np.flatnonzero(ok)
-            for i, j in zip(q.tolist(), r.tolist()):
-                out.iat[int(at[i])] = labels[j]
-        return out
+            out[np.flatnonzero(ok)[q]] = np.array(labels, dtype=object)[r]
+        return pd.Series(out)
     return nearest(_c(vec))
 
 

@@ -630,7 +630,10 @@ def q_retrieve_context(spark, sf):
     a question without documents gets an empty context."""
     from murmura.plans.retrieval import retrieve_context
     qs = label_centroids(spark, sf).select(F.col("label").alias("qid"), F.col("centroid").alias("embedding"))
-    return retrieve_context(qs, stored_posts(spark, sf).select("doc_id", "document", "postdate", "embedding"), k=4)
+    from murmura.operators.scoring import HashEmbedder
+    p = posts(spark, sf)            # one pass over vectors: nothing is written, the hits alone are fetched
+    store = p.select("doc_id", "document", "postdate", HashEmbedder(EMBED_DIM).column(F.col("document")).alias("embedding"))
+    return retrieve_context(qs, store, k=4)
 
 
 # ------------------------------------------------------------- 6. topics
