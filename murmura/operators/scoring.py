@@ -138,6 +138,8 @@ class ArrowScorer(Scorer):
 
 def score(df: DataFrame, scorer: Scorer, text_col: str, out_col: str,
           keyword_col: str | None = None) -> DataFrame:
+    if hasattr(scorer, "transform"):          # a fitted model works on the table
+        return scorer.transform(df, text_col, out_col)
     kw = F.col(keyword_col) if keyword_col else None
     return df.withColumn(out_col, scorer.column(F.col(text_col), kw))
 

@@ -1397,3 +1397,6 @@ def q_model_sentiment(spark, sf):
                      init=lambda: {True: K.NEGATIVE, False: K.POSITIVE}, concurrency=8, on_error="default")
     d = table(spark, sf, "documents").where(F.col("text").isNotNull())
     return d.select("doc_id", sc.column(F.col("text")).alias("label"))
+
+
+from murmura.plans import model_queries  # noqa: E402,F401  (they register theirs)
