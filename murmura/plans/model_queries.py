@@ -1,4 +1,5 @@
-"""Registered queries of the fitted scorers, query variants and the topic namer."""
+"""Registered queries of the fitted scorers, query variants, the topic namer and
+the reader of CSV files in ranges."""
 
 from __future__ import annotations
 
@@ -8,9 +9,10 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from murmura.functions import constants as K
-from murmura.plans.catalog import (CLUSTERED_SQL, EMB_SQL, LEX_NEG, LEX_POS, embeddings, label_centroids,
-                                   labeled, register, stored_posts)
+from murmura.plans.catalog import (CLUSTERED_SQL, EMB_SQL, POSTS, LEX_NEG, LEX_POS, embeddings, label_centroids,
+                                   labeled, register, posts, stored_posts)
 from murmura.plans.sqltext import q, s_render, sstrip
+from murmura.schema import POST_COLUMNS
 
 # ------------------------------------------------------- J8: query variants
 
@@ -128,3 +130,18 @@ def q_topic_naming(spark, sf):
     namer = ArrowScorer(lambda prompts, _: pd.Series([_commonest(p) for p in prompts]), concurrency=4)
     keys = ["user_id", "keyword", "cluster"]
     return naming_prompts(st).join(model_topic_names(st, namer), keys).select(*keys, "prompt", "topic")
+
+
+# ------------------------------------------------- A1: CSV in byte ranges
+
+@register("csv_split", f"""WITH {POSTS}
+SELECT url, site, document, documenttype, views, boardcategory, documentcategory FROM posts""")
+def q_csv_split(spark, sf):
+    """All posts exported as CSV and read back in byte ranges."""
+    from murmura.session import work_dir
+    from murmura.sources.posts import export_csv
+    from murmura.sources.split_csv import read_csv_split
+    path = work_dir(spark, "csv") + "/A_site"
+    export_csv(posts(spark, sf).select(*POST_COLUMNS), path)
+    back = read_csv_split(spark, path + "/*.csv")
+    return back.select("url", "site", "document", "documenttype", "views", "boardcategory", "documentcategory")
