@@ -324,18 +324,44 @@ def topic_cluster(df: DataFrame, k: int = 10, *, vec: str = "embedding", seed: i
     return model.transform(data).select(id_col, "cluster")
 
 
+def _weighted_starts(X: np.ndarray, w: np.ndarray, k: int, rng, steps: int = 10) -> np.ndarray:
+    """At most ``k`` centres of weighted points: k-means++ draws, then Lloyd steps."""
+    first = int(rng.choice(len(X), p=w / w.sum()))
+    chosen, d2 = [first], ((X - X[first]) ** 2).sum(axis=1)
+    while len(chosen) < k and (d2 * w).sum() > 0:
+        nxt = int(rng.choice(len(X), p=d2 * w / (d2 * w).sum()))
+        chosen.append(nxt)
+        d2 = np.minimum(d2, ((X - X[nxt]) ** 2).sum(axis=1))
+    C = X[chosen]
+    for _ in range(steps):
+        near = np.stack([((X - c) ** 2).sum(axis=1) for c in C]).argmin(axis=0)
+        moved = np.stack([np.average(X[near == j], axis=0, weights=w[near == j]) if (near == j).any() else C[j]
+                          for j in range(len(C))])
+        if np.array_equal(moved, C):
+            break
+        C = moved
+    return C
+
+
 def cluster_stores(df: DataFrame, k: int = 10, *, vec: str = "embedding", id_col: str = "doc_id",
                    group_cols: Sequence[str] = ("user_id", "keyword"), rounds: int = 8, seed: int = 42,
-                   with_centres: bool = False):
+                   with_centres: bool = False, draws: int = 3, tol: float = 1e-4):
     """Lloyd's k-means within every store, all stores in one job.
 
-    ``k = min(k, n)`` of each store.  The first centres are the vectors with the
-    lowest seeded hash.  A round joins each store's centres (one row a store)
-    to its documents, takes the nearest (ties: smallest cluster) and averages
-    vectors with a partial aggregate, so a store of any size is never gathered
-    in a task.  Vectors are L2-normalised; rows without a usable vector are left
-    out.  Returns ``group, id_col, cluster, dist``, with ``with_centres`` also the
-    centres ``group, cluster, c``.
+    At most ``min(k, distinct vectors)`` clusters a store.  First centres come by
+    k-means||: from one vector a store, ``draws`` passes take every vector with a
+    probability of 2k times its share of the store's squared distance (a seeded
+    hash of id and vector decides), some 2k candidates a pass; weighted k-means++
+    over the candidates, each with the number of vectors nearest to it, leaves k.
+    A round takes each vector's nearest centre (ties: smallest cluster) and
+    averages with a partial aggregate, so a store of any size is never gathered in
+    a task; rounds end when no centre of any store moves further than ``tol``, or
+    after ``rounds``.  Centres that fit one broadcast are measured in numpy over
+    Arrow batches, others meet their documents by a join.
+
+    Vectors are L2-normalised; rows without a usable vector, or whose vector is
+    shorter than the longest, are left out.  Returns ``group, id_col, cluster,
+    dist``, with ``with_centres`` also the centres ``group, cluster, c``.
     """
     from pyspark.ml.functions import array_to_vector, vector_to_array
     from pyspark.ml.stat import Summarizer
@@ -349,24 +375,71 @@ def cluster_stores(df: DataFrame, k: int = 10, *, vec: str = "embedding", id_col
         d.write.parquet(f"{path}/{name}")
         return spark.read.schema(d.schema).parquet(f"{path}/{name}")
 
-    usable = F.col(vec).isNotNull() & (F.size(vec) > 0) & F.forall(vec, lambda x: x.isNotNull() & ~F.isnan(x))
+    usable = F.col(vec).isNotNull() & (F.size(vec) > 0) & F.forall(
+        vec, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     d = keep(df.where(usable).select(*g, id_col, F.transform(l2_normalize(vec), lambda x: x.cast("double")).alias("v")), "vectors")
-    w = Window.partitionBy(*g).orderBy(F.xxhash64(F.lit(seed), id_col), id_col)
-    centres = (d.withColumn("cluster", F.row_number().over(w) - 1).where(F.col("cluster") < k)
-               .select(*g, "cluster", F.col("v").alias("c")))
-
-    def assigned(centres):
-        per = centres.groupBy(*g).agg(F.array_sort(F.collect_list(F.struct("cluster", "c"))).alias("cs"))   # k rows
-        far = F.transform("cs", lambda s: F.struct(
-            F.aggregate(F.zip_with(F.col("v"), s["c"], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x).alias("d2"),
-            s["cluster"].alias("cluster")))
-        return null_safe(d, per, g).withColumn("m", F.array_min(far))
-
+    d = d.where(F.size("v") == (d.agg(F.max(F.size("v"))).head()[0] or 0))
+    measured = T.StructType([*d.schema.fields, T.StructField("cluster", T.IntegerType()), T.StructField("d2", T.DoubleType())])
+
+    def nearest(centres):
+        """Every vector with its nearest centre and the squared distance to it."""
+        rows = _collect_bounded(centres, "c", DEFAULT_MAX_QUERIES)
+        if rows is None:
+            per = centres.groupBy(*g).agg(F.array_sort(F.collect_list(F.struct("cluster", "c"))).alias("cs"))
+            far = F.transform("cs", lambda s: F.struct(
+                F.aggregate(F.zip_with(F.col("v"), s["c"], lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x).alias("d2"),
+                s["cluster"].alias("cluster")))
+            return (null_safe(d, per, g).withColumn("m", F.array_min(far))
+                    .select(*d.columns, F.col("m.cluster").alias("cluster"), F.col("m.d2").alias("d2")))
+        of = {}
+        for r in sorted(rows, key=lambda r: r["cluster"]):
+            of.setdefault(tuple(r[c] for c in g), []).append((r["cluster"], r["c"]))
+        bc = spark.sparkContext.broadcast({s: (np.array([c for c, _ in m]), np.array([c for _, c in m])) for s, m in of.items()})
+
+        def kernel(batches):
+            for pdf in batches:
+                for at in pdf.groupby(g, sort=False, dropna=False).indices.values():
+                    part = pdf.iloc[at]
+                    store = tuple(None if pd.isna(x) else x for x in part[g].iloc[0])
+                    names, C = bc.value[store]
+                    X = np.stack(part["v"].to_list())
+                    d2 = np.stack([((X - c) ** 2).sum(axis=1) for c in C])
+                    best = d2.argmin(axis=0)
+                    yield part.assign(cluster=names[best].astype(np.int32), d2=d2[best, np.arange(len(X))])
+        return d.mapInPandas(kernel, measured)
+
+    def numbered(points):
+        """The candidates of a store, some tens of rows, numbered from 0."""
+        w = Window.partitionBy(*g).orderBy(F.xxhash64(F.lit(seed), "c"), "c")
+        return points.distinct().select(*g, (F.row_number().over(w) - 1).cast("int").alias("cluster"), "c")
+
+    points = keep(d.groupBy(*g).agg(F.min_by("v", F.struct(F.xxhash64(F.lit(seed), id_col, "v"), "v")).alias("c")), "first")
+    for r in range(draws):
+        near = nearest(numbered(points))
+        whole = near.groupBy(*g).agg(F.sum("d2").alias("whole"))
+        chance = (F.xxhash64(F.lit(seed + 1 + r), id_col, "v").bitwiseAND((1 << 53) - 1) / F.lit(float(1 << 53)))
+        more = null_safe(near, whole, g).where(chance * F.col("whole") < 2 * k * F.col("d2")).select(*g, F.col("v").alias("c"))
+        points = keep(points.unionByName(more), f"points-{r}")
+    points = keep(numbered(points), "points")
+    weight = nearest(points).groupBy(*g, "cluster").agg(F.count("*").alias("w"))
+    start = T.StructType([*[d.schema[c] for c in g], T.StructField("cluster", T.IntegerType()),
+                          T.StructField("c", T.ArrayType(T.DoubleType()))])
+
+    def reduced(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("cluster")
+        C = _weighted_starts(np.stack(pdf["c"].to_list()), pdf["w"].to_numpy(float), k, np.random.default_rng(seed))
+        out = pd.concat([pdf[g].iloc[:1]] * len(C), ignore_index=True)
+        return out.assign(cluster=np.arange(len(C), dtype=np.int32), c=list(C))
+
+    centres = keep(null_safe(points, weight, [*g, "cluster"]).groupBy(*g).applyInPandas(reduced, start), "centres-0")
     for r in range(rounds):
-        centres = keep(centres, f"centres-{r}")
-        mean = (assigned(centres).groupBy(*g, F.col("m.cluster").alias("cluster"))
-                .agg(Summarizer.mean(array_to_vector("v")).alias("c")))
-        centres = mean.select(*g, "cluster", vector_to_array("c").alias("c"))
-    centres = keep(centres, "centres")
-    out = assigned(centres).select(*g, id_col, F.col("m.cluster").alias("cluster"), F.sqrt("m.d2").alias("dist"))
+        mean = nearest(centres).groupBy(*g, "cluster").agg(Summarizer.mean(array_to_vector("v")).alias("m"))
+        moved = keep(mean.select(*g, "cluster", vector_to_array("m").alias("c")), f"centres-{r + 1}")
+        old = centres.withColumnRenamed("c", "o")
+        step = F.aggregate(F.zip_with("c", "o", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda a, x: a + x)
+        furthest = null_safe(moved, old, [*g, "cluster"]).agg(F.max(step)).head()[0]
+        centres = moved
+        if furthest is None or furthest <= tol * tol:
+            break
+    out = nearest(centres).select(*g, id_col, "cluster", F.sqrt("d2").alias("dist"))
     return (out, centres) if with_centres else out

@@ -1257,6 +1257,48 @@ def q_stream_dedup(spark, sf):
     return spark.read.parquet(f"{root}/out").select("url")
 
 
+_TTL, _DELAY_S = 86400, 7200
+_NEXT_VISIT = """
+SELECT c.url, min(s.ts) AS ts FROM {c} c JOIN {s} s ON s.url = c.url
+WHERE floor(epoch(s.ts)) >= floor(epoch(c.ts)) + {ttl} GROUP BY c.url, c.ts"""
+
+
+@register("stream_dedup_ttl", f"""WITH RECURSIVE
+req AS (SELECT 'https://site.test/u/' || user_id || '/' || event_type AS url, ts,
+               ts >= (SELECT min(ts) + (max(ts) - min(ts)) / 2 FROM events) OR event_id % 10 = 0 AS late
+        FROM events WHERE ts IS NOT NULL AND user_id IS NOT NULL AND event_type IS NOT NULL),
+one AS (SELECT * FROM req WHERE NOT late),
+two AS (SELECT * FROM req WHERE late AND ts > (SELECT max(ts) - INTERVAL {_DELAY_S} SECOND FROM one)),
+a AS (SELECT url, min(ts) AS ts FROM one GROUP BY url UNION ALL {_NEXT_VISIT.format(c="a", s="one", ttl=_TTL)}),
+last AS (SELECT url, max(ts) AS ts FROM a GROUP BY url),
+b AS (SELECT two.url, min(two.ts) AS ts FROM two LEFT JOIN last USING (url)
+      WHERE last.ts IS NULL OR floor(epoch(two.ts)) >= floor(epoch(last.ts)) + {_TTL} GROUP BY two.url
+      UNION ALL {_NEXT_VISIT.format(c="b", s="two", ttl=_TTL)})
+SELECT url, ts FROM a UNION ALL SELECT url, ts FROM b""")
+def q_stream_dedup_ttl(spark, sf):
+    """Visits to pages stream in; a page passes again a day after it last passed.
+    A first start takes the earlier half of the events, a second start from the
+    same checkpoint the later half and a tenth of the earlier, which is late:
+    what is more than two hours behind the newest is dropped."""
+    from murmura.session import work_dir
+    from murmura.streaming.dedup import stream_dedup_ttl
+    root = work_dir(spark, "dedup-ttl")
+    e = table(spark, sf, "events").withColumn("ts", F.col("ts").cast("timestamp"))
+    ends = e.agg(F.min("ts").alias("lo"), F.max("ts").alias("hi"))
+    half = ends.select(F.timestamp_micros(((F.unix_micros("lo") + F.unix_micros("hi")) / 2).cast("long"))).head()[0]
+    req = (e.where(F.col("ts").isNotNull() & F.col("user_id").isNotNull() & F.col("event_type").isNotNull())
+           .select(F.concat(F.lit("https://site.test/u/"), "user_id", F.lit("/"), "event_type").alias("url"), "ts",
+                   ((F.col("ts") >= F.lit(half)) | (F.col("event_id") % 10 == 0)).alias("late")))
+    schema = "url string, ts timestamp"
+    for late in (False, True):
+        req.where(F.col("late") == late).select("url", "ts").write.mode("append").parquet(f"{root}/landing")
+        src = spark.readStream.schema(schema).parquet(f"{root}/landing")
+        q = (stream_dedup_ttl(src, _TTL, delay=f"{_DELAY_S} seconds").writeStream.format("parquet").option("path", f"{root}/out")
+             .option("checkpointLocation", f"{root}/_ckpt").trigger(availableNow=True).start())
+        q.awaitTermination()
+    return spark.read.schema(schema).parquet(f"{root}/out")
+
+
 @register("ingest_run", f"""WITH {SCORED},
 relevant AS (SELECT * FROM scored WHERE {IS_YES_SQL}
   AND NOT {s_contains_any("coalesce(boardcategory, '')", INGEST_CATEGORIES)}

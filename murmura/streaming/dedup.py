@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 
 def stream_dedup(requests: DataFrame, key: str = "url", event_time: str | None = None,
@@ -13,3 +17,65 @@ def stream_dedup(requests: DataFrame, key: str = "url", event_time: str | None =
     if event_time:
         return requests.withWatermark(event_time, delay).dropDuplicatesWithinWatermark([key])
     return requests.dropDuplicates([key])
+
+
+def _earliest_per_second(at, tie, row):
+    """(second, row) of a key's earliest row in each second, in time order."""
+    order = np.lexsort((tie, at))
+    second = at[order] // 1_000_000
+    first = order[np.concatenate([[True], second[1:] != second[:-1]])] if len(order) else order
+    return at[first], tie[first], row[first]
+
+
+def stream_dedup_ttl(requests: DataFrame, ttl_seconds: int, key: str = "url", event_time: str = "ts",
+                     delay: str = "1 hour") -> DataFrame:
+    """A key again only ``ttl_seconds`` after its last row that passed.
+
+    The frontier of a crawl that visits a page anew after a while.  State is one
+    number a key, the second of its last row that passed, and goes when the
+    watermark (``delay`` behind the newest row) reaches the end of its time, so
+    state holds the keys of ``ttl_seconds + delay``, not every key ever seen.  It
+    lives in the session's state store and survives a restart with the same
+    checkpoint.
+
+    Times are compared by whole seconds.  Of a key's rows in one second only the
+    earliest can pass (ties: by a hash of the row), so of a hot key a task holds
+    one row a second of a batch.  Within a batch rows count in time order.  A row
+    behind the watermark is dropped, as is one without a time; one that is late
+    within ``delay`` passes only if it is ``ttl_seconds`` past the key's last.  A
+    null key is a key.  Returns the columns of ``requests``.
+    """
+    from pyspark.sql.streaming.state import GroupStateTimeout
+    # rows pass Python as JSON: pandas would turn a nullable bigint into a double
+    exact = {"ignoreNullFields": "false", "timestampFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSSXXX",
+             "timestampNTZFormat": "yyyy-MM-dd'T'HH:mm:ss.SSSSSS"}
+    rows = (requests.where(F.col(event_time).isNotNull()).withWatermark(event_time, delay)
+            .select(F.col(event_time).alias("at"), F.col(key).alias("key"), F.to_json(F.struct("*"), exact).alias("row"))
+            .withColumns({"micros": F.unix_micros("at"), "tie": F.xxhash64("row")}))
+    out = T.StructType([T.StructField("row", T.StringType())])
+
+    def passing(key, batches, state):
+        last = state.get[0] if state.exists else None
+        if state.hasTimedOut:
+            state.remove()
+            return
+        at, tie, row = np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, object)
+        for pdf in batches:
+            at, tie, row = _earliest_per_second(*[np.concatenate([have, pdf[c].to_numpy()])
+                                                  for have, c in ((at, "micros"), (tie, "tie"), (row, "row"))])
+        passed = []
+        for second, one in zip((at // 1_000_000).tolist(), row):
+            if last is None or second >= last + ttl_seconds:
+                last = second
+                passed.append(one)
+        end = (last + ttl_seconds) * 1000
+        if end > state.getCurrentWatermarkMs():
+            state.update((last,))
+            state.setTimeoutTimestamp(end)
+        elif state.exists:
+            state.remove()
+        if passed:
+            yield pd.DataFrame({"row": passed})
+
+    return (rows.groupBy("key").applyInPandasWithState(passing, out, "second long", "append", GroupStateTimeout.EventTimeTimeout)
+            .select(F.from_json("row", requests.schema, exact).alias("row")).select("row.*"))
