@@ -106,3 +106,24 @@ def conversation_json(pairs: DataFrame, group_cols: Sequence[str] = ("conv_id",)
                                                 s["question"].alias("question"),
                                                 s["answer"].alias("answer")))
     return agg.select(*g, "n", F.to_json(F.struct(F.col("n"), conv.alias("conversation"))).alias("json"))
+
+
+def conversation_segments(pairs: DataFrame, group_cols: Sequence[str] = ("conv_id",), pairs_each: int = 1024) -> DataFrame:
+    """The text of ``conversation_json`` in segments of ``pairs_each`` pairs.
+
+    A conversation's segments, joined in their order without anything between
+    them, are its JSON.  A task gathers the pairs of one segment, never those of a
+    conversation; only a count and the last pair of each conversation meet the
+    segments.  Null group values are a group.  Returns ``group, segment, n_pairs,
+    json``.
+    """
+    g = list(group_cols)
+    one = F.to_json(F.struct("history_id", "question", "answer"))
+    parts = (pairs.select(*g, "pair", one.alias("_one"))
+             .groupBy(*g, F.floor(F.col("pair") / pairs_each).cast("long").alias("segment"))
+             .agg(F.count("*").alias("n_pairs"), F.array_sort(F.collect_list(F.struct("pair", "_one"))).alias("_c")))
+    whole = pairs.groupBy(*g).agg(F.count("*").alias("_n"), F.floor(F.max("pair") / pairs_each).alias("_last"))
+    head = F.when(F.col("segment") == 0, F.concat(F.lit('{"n":'), F.col("_n").cast("string"), F.lit(',"conversation":['))).otherwise(",")
+    tail = F.when(F.col("segment") == F.col("_last"), "]}").otherwise("")
+    return (null_safe(parts, whole, g)
+            .select(*g, "segment", "n_pairs", F.concat(head, F.array_join("_c._one", ","), tail).alias("json")))

@@ -1002,6 +1002,26 @@ def q_conversation_json(spark, sf):
     return conversation_json(pair_turns(conversations(spark, sf), HIST_KEYS), HIST_KEYS)
 
 
+@register("conversation_segments", f"""WITH {MSG_SQL},
+pairs AS (SELECT user_id, keyword, conv_id, pair, pair // 2 AS segment,
+                 user_id || '_' || keyword || '_' || CAST(conv_id AS VARCHAR) || '_' || CAST(pair AS VARCHAR) AS history_id,
+                 question, answer
+          FROM (SELECT user_id, keyword, conv_id, pos // 2 AS pair, count(*) AS c,
+                       max(CASE WHEN pos % 2 = 0 THEN text END) AS question,
+                       max(CASE WHEN pos % 2 = 1 THEN text END) AS answer
+                FROM m GROUP BY ALL) WHERE c = 2),
+whole AS (SELECT user_id, keyword, conv_id, count(*) AS n, max(segment) AS final FROM pairs GROUP BY ALL)
+SELECT p.user_id, p.keyword, p.conv_id, p.segment, count(*) AS n_pairs,
+       CASE WHEN p.segment = 0 THEN '{{"n":' || any_value(w.n) || ',"conversation":[' ELSE ',' END
+       || string_agg(CAST(to_json(struct_pack(history_id := history_id, question := question, answer := answer)) AS VARCHAR), ',' ORDER BY pair)
+       || CASE WHEN p.segment = any_value(w.final) THEN ']}}' ELSE '' END AS json
+FROM pairs p JOIN whole w USING (user_id, keyword, conv_id) GROUP BY p.user_id, p.keyword, p.conv_id, p.segment""")
+def q_conversation_segments(spark, sf):
+    """The JSON of each history in segments of two pairs."""
+    from murmura.operators.history import conversation_segments, pair_turns
+    return conversation_segments(pair_turns(conversations(spark, sf), HIST_KEYS), HIST_KEYS, pairs_each=2)
+
+
 # ------------------------------------------------------------- 9. report
 
 def facts_df(store: DataFrame) -> DataFrame:

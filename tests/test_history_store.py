@@ -168,3 +168,17 @@ def test_sized_broadcast_bound(spark):
     big = sized_broadcast(df, 9)
     assert "broadcast" in small._jdf.queryExecution().logical().toString().lower() or small is not df
     assert big is df
+
+
+def test_segments_joined_are_the_whole_json(spark):
+    from murmura.operators.history import conversation_json, conversation_segments, pair_turns
+    rows = [(c, t, "user" if t % 2 == 0 else "assistant", f'{c} "q" {t}\n' if t % 5 else None)
+            for c, n in ((1, 41), (2, 2), (None, 9), (3, 1)) for t in range(n)]
+    pairs = pair_turns(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string"))
+    parts = conversation_segments(pairs, pairs_each=3).collect()
+    assert max(r.n_pairs for r in parts) == 3 and len(parts) == 7 + 1 + 2
+    joined = {}
+    for r in sorted(parts, key=lambda r: r.segment):
+        joined[r.conv_id] = joined.get(r.conv_id, "") + r.json
+    assert joined == {r.conv_id: r.json for r in conversation_json(pairs).collect()}
+    assert conversation_segments(pairs.limit(0)).count() == 0
