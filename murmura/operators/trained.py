@@ -22,6 +22,15 @@ def word_grams(text, pairs: bool = False):
                     .otherwise(F.array().cast("array<string>")))
 
 
+def _without_summary(model, spark):
+    """The fitted model written and read back.  The summary of a training with two
+    labels holds the session, which goes to no task while an observation is open."""
+    from murmura.session import work_dir
+    path = work_dir(spark, "scorer")
+    model.write().save(path)
+    return type(model).load(path)
+
+
 class TrainedScorer(Scorer):
     """Multinomial logistic regression over the presence of hashed words (and
     pairs of words), weighed by their rarity; words of under ``least`` training
@@ -64,7 +73,7 @@ class TrainedScorer(Scorer):
             rarity = IDF(inputCol="seen", outputCol="x", minDocFreq=least).fit(x)
             lr = LogisticRegression(featuresCol="x", labelCol="y", family="multinomial", regParam=reg,
                                     elasticNetParam=1.0, maxIter=max_iter, standardization=False)
-            scorer.model = (rarity, lr.fit(rarity.transform(x)))
+            scorer.model = (rarity, _without_summary(lr.fit(rarity.transform(x)), df.sparkSession))
         finally:
             x.unpersist()
         return scorer

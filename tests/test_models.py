@@ -87,3 +87,14 @@ def test_trained_scorer_cases(spark):
 def test_variant_queries_return_rows(spark):
     import __spark_entry__ as E
     assert E.queries()["expanded_topk"](spark, SF_SMALL).count() > 0
+
+
+def test_trained_scorer_goes_to_tasks_while_an_observation_is_open(spark):
+    from pyspark.sql import Observation
+    d = spark.createDataFrame([(f"good w{i % 7}" if i % 2 else f"bad w{i % 5}", "yes" if i % 2 else "no") for i in range(60)],
+                              "text string, label string")
+    watched = d.observe(Observation("open"), F.count("*").alias("n"))      # never run
+    m = TrainedScorer.fit(d, "text", "label")
+    assert not m.model[1].hasSummary
+    got = m.transform(d, "text", "told")
+    assert got.where("told <> label").count() == 0 and watched.columns == d.columns
