@@ -68,10 +68,14 @@ def report_check(drafts: DataFrame, draft_col: str = "draft", iteration_col: str
     d = F.col(draft_col)
 
     # every percentage of the draft, as whole numbers: 5.0% is not in 45.0%
-    told = F.regexp_extract_all(d, F.lit(r"(?<![0-9.,])([0-9]+(?:\.[0-9]+)?)%"), F.lit(1))
+    told_expr = F.regexp_extract_all(d, F.lit(r"(?<![0-9.,])([0-9]+(?:\.[0-9]+)?)%"), F.lit(1))
     topics = F.coalesce("topic_pcts", F.array().cast("array<double>"))
     shares = F.array(*[F.col(c).cast("string") for c in ("pos_pct", "neg_pct", "neu_pct")])
-    want = F.concat(shares, F.transform(topics, lambda p: p.cast("string")))
+    want_expr = F.concat(shares, F.transform(topics, lambda p: p.cast("string")))
+    # as columns they are made once a draft; an expression would be run for every fact
+    found, wanted = _unused(drafts, "told"), _unused(drafts, "want")
+    told, want = F.col(found), F.col(wanted)
+    full = drafts.withColumns({found: told_expr, wanted: want_expr})
 
     def times(values, x):
         return F.size(F.filter(values, lambda v: v == x))
@@ -94,9 +98,18 @@ def report_check(drafts: DataFrame, draft_col: str = "draft", iteration_col: str
         F.when(~has_pct(F.col("neu_pct")), F.lit("neutral share")),
         F.when(~F.coalesce(topics_ok, F.lit(False)), F.lit("topic ratios")),
         F.when(~F.coalesce(quoted, F.lit(False)), F.lit("quoted opinion"))))
-    status = (F.when((F.size(missing) == 0) | (F.col(iteration_col) >= max_iterations), F.lit("PASS"))
-              .otherwise(F.concat(F.lit("RETRY: missing "), F.array_join(missing, ", "))))
-    return drafts.withColumn("missing", missing).withColumn("status", status)
+    lacks = F.col("missing")
+    status = (F.when((F.size(lacks) == 0) | (F.col(iteration_col) >= max_iterations), F.lit("PASS"))
+              .otherwise(F.concat(F.lit("RETRY: missing "), F.array_join(lacks, ", "))))
+    return full.withColumn("missing", missing).withColumn("status", status).drop(found, wanted)
+
+
+def _unused(df: DataFrame, name: str) -> str:
+    """``name``, with underscores before it until ``df`` has no such column."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name = "_" + name
+    return name
 
 
 def convert_fences(c) -> Column:

@@ -181,3 +181,27 @@ def test_leaf_elements_with_attributes(spark):
     assert X.page_text(pages).first().text == "one two"
     assert X.page_fields(pages).first().title == "Tt"
     assert X.page_text_list(pages).first()["items"] == "i"
+
+
+def test_report_check_reads_a_draft_once_and_keeps_columns(spark):
+    """The numbers of a draft are one column, not an expression of every fact."""
+    from murmura.operators.report import report_check
+    d = spark.createDataFrame([("10.0% 20.0% 70.0% 50.0% fine words", 0, "a", "b")], "draft string, iteration int, told string, _want string").select(
+        "*", F.lit(10.0).alias("pos_pct"), F.lit(20.0).alias("neg_pct"), F.lit(70.0).alias("neu_pct"),
+        F.array(F.lit(50.0)).alias("topic_pcts"), F.array(F.lit("fine words")).alias("top_pos"), F.array().cast("array<string>").alias("top_neg"))
+    r = report_check(d)
+    assert r._jdf.queryExecution().optimizedPlan().toString().count("regexp_extract_all") == 1
+    got = r.collect()[0]
+    assert (got.status, got.told, got._want) == ("PASS", "a", "b") and r.columns == [*d.columns, "missing", "status"]
+
+
+def test_embedder_counts_runs_of_rows(monkeypatch):
+    """Memory follows AT_ONCE tokens, not the batch; counts do not depend on it."""
+    import pyarrow as pa
+    from murmura.operators import scoring as S
+    words = pa.array([["a", "b", "a"], None, [], ["c"] * 50, ["b"], ["a", "d"]], pa.list_(pa.string()))
+    whole, seen, run = S._bucket_counts(words, 16), [], S._run_counts
+    monkeypatch.setattr(S, "AT_ONCE", 4)
+    monkeypatch.setattr(S, "_run_counts", lambda w, dim: (seen.append(len(w.flatten())), run(w, dim))[1])
+    assert (S._bucket_counts(words, 16) == whole).all() and whole.sum() == 56
+    assert sum(seen) == 56 and sorted(seen)[-1] == 50 and sorted(seen)[-2] <= 4
