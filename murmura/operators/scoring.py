@@ -146,10 +146,27 @@ def score(df: DataFrame, scorer: Scorer, text_col: str, out_col: str,
 
 # ---------------------------------------------------------------- embedding
 
+AT_ONCE = 1 << 18            # tokens that are numbered at once: some tens of MB
+
+
 def _bucket_counts(words: pa.Array, dim: int) -> np.ndarray:
-    """Token lists -> bucket counts [rows, dim] (a null row counts nothing).  The
-    bucket is the first 28 bits of md5(token) mod ``dim``; Arrow numbers the
-    distinct tokens of the batch, so each is hashed once however often it stands."""
+    """Token lists -> bucket counts [rows, dim] (a null row counts nothing), by
+    runs of rows with at most AT_ONCE tokens (a longer row alone), so memory does
+    not follow the number of tokens in a batch."""
+    n = len(words)
+    upto = np.concatenate([[0], np.cumsum(words.value_lengths().fill_null(0).to_numpy(zero_copy_only=False), dtype=np.int64)])
+    out, a = np.zeros((n, dim), np.int64), 0
+    while a < n:
+        z = max(a + 1, int(np.searchsorted(upto, upto[a] + AT_ONCE, "right")) - 1)
+        out[a:z] = _run_counts(words.slice(a, z - a), dim)
+        a = z
+    return out
+
+
+def _run_counts(words: pa.Array, dim: int) -> np.ndarray:
+    """Bucket counts of some rows.  The bucket is the first 28 bits of md5(token)
+    mod ``dim``; Arrow numbers the distinct tokens, so each is hashed once however
+    often it stands."""
     n = len(words)
     coded = words.flatten().dictionary_encode()
     bucket = np.fromiter((int(md5(w.encode()).hexdigest()[:7], 16) % dim for w in coded.dictionary.to_pylist()),
