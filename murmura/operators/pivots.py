@@ -11,9 +11,11 @@ size and its least and greatest distance to the pivot.  Then
    each other cell a least distance to the query; the query is sent to the cells
    whose least distance is not beyond its bound, and to no other.
 
-Both visits are one shuffle each: cells and queries meet in a cogroup on (group,
-cell, split of the cell, part of its queries), so a large cell or many queries of
-one cell are many task steps of bounded size.  Queries of any number take one
+Both visits are one shuffle each.  Neighbouring cells stand in buckets of some
+SPLIT vectors, and a query goes once to a bucket, with the cells it visits there,
+so its vector is not copied for every cell.  Buckets and queries meet in a cogroup
+on (group, bucket, split of the bucket, part of its queries), so a large cell or
+many queries are many task steps of bounded size.  Queries of any number take one
 pass.  Pivots (at most PIVOTS vectors) are all that is broadcast.
 """
 
@@ -29,8 +31,10 @@ from pyspark.sql import types as T
 
 PIVOTS = 256                 # pivot vectors, and cells of a group at most
 CELL = 2048                  # vectors for which a group gets one more cell
-SPLIT = 1 << 15              # vectors of a cell in one task step
-QUERIES = 1 << 14            # queries of a cell in one task step
+SPLIT = 1 << 14              # vectors of a bucket in one task step
+QUERIES = 1 << 13            # queries of a bucket in one task step
+PLANNED = 1 << 8             # queries planned at once
+HELD = 1 << 19               # found pairs that a task step holds
 
 
 def matrix(col: pa.Array | pa.ChunkedArray, dim: int) -> np.ndarray:
@@ -84,9 +88,11 @@ def lay_out(docs: DataFrame, dim: int, pivots: np.ndarray, cell: int = CELL) ->
 
 
 def _cells(flat: list) -> tuple[np.ndarray, ...]:
-    """Cells of a group: number, size, least and greatest distance to the pivot."""
-    m = np.array(flat, np.float64).reshape(-1, 4)
-    return m[:, 0].astype(np.int64), m[:, 1].astype(np.int64), m[:, 2], m[:, 3]
+    """Cells of a group: number, size, least and greatest distance to the pivot,
+    bucket and its splits."""
+    m = np.array(flat, np.float64).reshape(-1, 6)
+    number, size, bucket, splits = (m[:, i].astype(np.int64) for i in (0, 1, 4, 5))
+    return number, size, m[:, 2], m[:, 3], bucket, splits
 
 
 def least_distance(to: np.ndarray, between: np.ndarray, cell: np.ndarray, low: np.ndarray, high: np.ndarray) -> np.ndarray:
@@ -101,44 +107,47 @@ def least_distance(to: np.ndarray, between: np.ndarray, cell: np.ndarray, low: n
 
 
 def _planner(shared, dim: int, k: int, first: bool):
-    """Queries -> one row for each cell to visit: the nearest cells that hold k
-    vectors together, or (with a bound) the others that the bound can't exclude."""
+    """Queries -> one row for each bucket to visit, with the cells wanted there:
+    the nearest cells that hold k vectors together, or (with a bound) the others
+    that the bound can't exclude."""
     def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         p = shared.value
-        for b in batches:
-            if not b.num_rows:
-                continue
+        for b in (whole.slice(i, PLANNED) for whole in batches for i in range(0, whole.num_rows, PLANNED)):
             q = matrix(b["_v"], dim)
             to, off = distances(q, p), slack(q, p)
-            own, cells, splits = [], [], []
+            own, buckets, splits, want = [], [], [], []
             known = {}
             for i, g in enumerate(b["_g"].to_pylist()):
                 if g not in known:
                     c = _cells(b["_cells"][i].as_py())
                     known[g] = (*c, distances(p[c[0]], p[c[0]]))
-                cell, n, low, high, between = known[g]
+                cell, n, low, high, bucket, cuts, between = known[g]
                 order = np.argsort(to[i][cell], kind="stable")
                 near = np.zeros(len(cell), bool)
                 near[order[:int(np.searchsorted(np.cumsum(n[order]), k)) + 1]] = True
                 if not first:
                     theta = b["_theta"][i].as_py()
                     near = ~near & (least_distance(to[i], between, cell, low, high) <= (np.inf if theta is None else theta) + off)
-                hit = np.flatnonzero(near)
-                own.append(np.full(len(hit), i))
-                cells.append(cell[hit])
-                splits.append(-(-n[hit] // SPLIT))
-            own = np.concatenate(own)
+                hit = np.flatnonzero(near)                       # cells, and so buckets, stand in order
+                first_of = np.flatnonzero(np.diff(bucket[hit], prepend=-1))
+                own += [i] * len(first_of)
+                buckets += bucket[hit][first_of].tolist()
+                splits += cuts[hit][first_of].tolist()
+                want += np.split(cell[hit].astype(np.int32), first_of[1:]) if len(hit) else []
             keep = [c for c in b.schema.names if c != "_cells"]
+            at = pa.array(own, pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [b[c].take(pa.array(own)) for c in keep]
-                + [pa.array(np.concatenate(x).astype(np.int32)) for x in (cells, splits)], names=[*keep, "_cell", "_splits"])
+                [b[c].take(at) for c in keep]
+                + [pa.array(x, pa.int32()) for x in (buckets, splits)] + [pa.array(want, pa.list_(pa.int32()))],
+                names=[*keep, "_bucket", "_splits", "_want"])
     return plan
 
 
 def _kernel(dim: int, k: int, doc_id: str, kind: pa.Schema):
-    """Top k of one split of a cell for the queries of one part."""
+    """Top k of one split of a bucket for the queries of one part, each in the
+    cells it wants."""
     def run(d: pa.Table, q: pa.Table) -> pa.Table:
-        from murmura.operators.vectors import _exact_candidates
+        from murmura.operators.vectors import _exact_candidates, _first_k
         if not d.num_rows or not q.num_rows:
             return kind.empty_table()
         x, m = matrix(d["_v"], dim), matrix(q["_v"], dim)
@@ -147,21 +156,29 @@ def _kernel(dim: int, k: int, doc_id: str, kind: pa.Schema):
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
         theta = q["_theta"].combine_chunks().fill_null(np.inf).to_numpy(zero_copy_only=False)
-        own, row, dist = [], [], []
-        for i in range(0, len(m), 512):
-            for j in range(0, len(x), 8192):
-                a, b, far = _exact_candidates(x[j:j + 8192], m[i:i + 512], k, place[j:j + 8192])
-                good = far <= theta[i:i + 512][a]
-                own.append(a[good] + i)
-                row.append(b[good] + j)
-                dist.append(far[good])
-        own, row, dist = np.concatenate(own), np.concatenate(row), np.concatenate(dist)
-        first = np.lexsort((place[row], dist, own))
-        o = own[first]
-        start = np.flatnonzero(np.concatenate([[True], o[1:] != o[:-1]])) if len(o) else np.empty(0, np.int64)
-        nth = np.arange(len(o)) - np.repeat(start, np.diff(np.append(start, len(o))))
-        first = first[nth < k]
-        return pa.Table.from_arrays([q["_q"].take(pa.array(own[first])), ids.take(pa.array(row[first])), pa.array(dist[first])], schema=kind)
+        cell = d["_cell"].combine_chunks().to_numpy()
+        wanted = q["_want"].combine_chunks()
+        asks = np.repeat(np.arange(len(m)), wanted.value_lengths().to_numpy())
+        asked = wanted.flatten().to_numpy()
+        by_cell, by_want = np.argsort(cell, kind="stable"), np.argsort(asked, kind="stable")
+        found, held = [], 0
+        for c in np.unique(cell):
+            rows = by_cell[np.searchsorted(cell, c, "left", by_cell):np.searchsorted(cell, c, "right", by_cell)]
+            mine = asks[by_want[np.searchsorted(asked, c, "left", by_want):np.searchsorted(asked, c, "right", by_want)]]
+            for i in range(0, len(mine), 512):
+                for j in range(0, len(rows), 8192):
+                    r, s = rows[j:j + 8192], mine[i:i + 512]
+                    a, b, far = _exact_candidates(x[r], m[s], k, place[r])
+                    good = far <= theta[s][a]
+                    found.append((s[a[good]], place[r[b[good]]], far[good]))
+                    held += len(found[-1][0])
+                    if held > HELD:
+                        found = [_first_k(*(np.concatenate(f) for f in zip(*found)), k)]
+                        held = -(-len(found[0][0]) // 2)        # what stays counts half: room is left to go on
+        if not held:
+            return kind.empty_table()
+        own, at, dist = _first_k(*(np.concatenate(f) for f in zip(*found)), k)
+        return pa.Table.from_arrays([q["_q"].take(pa.array(own)), ids.take(pa.array(order[at])), pa.array(dist)], schema=kind)
     return run
 
 
@@ -169,15 +186,15 @@ def _visit(cells: DataFrame, plan: DataFrame, k: int, dim: int, doc_id: str, doc
     """(_q, doc id, _dist): what the planned queries find in their cells."""
     out = T.StructType([T.StructField("_q", T.LongType()), T.StructField(doc_id, doc_type), T.StructField("_dist", T.DoubleType())])
     from pyspark.sql.pandas.types import to_arrow_schema
-    parts = plan.groupBy("_g", "_cell").agg(F.count("*").alias("_m"))
-    parts = parts.select(F.col("_g").alias("_h"), F.col("_cell").alias("_c"), F.ceil(F.col("_m") / F.lit(QUERIES)).cast("int").alias("_parts"))
-    here = (F.col("_g") == F.col("_h")) & (F.col("_cell") == F.col("_c"))
+    parts = plan.groupBy("_g", "_bucket").agg(F.count("*").alias("_m"))
+    parts = parts.select(F.col("_g").alias("_h"), F.col("_bucket").alias("_c"), F.ceil(F.col("_m") / F.lit(QUERIES)).cast("int").alias("_parts"))
+    here = (F.col("_g") == F.col("_h")) & (F.col("_bucket") == F.col("_c"))
     q = plan.join(parts, here).drop("_h", "_c").withColumn("_part", F.pmod(F.xxhash64("_q"), F.col("_parts")).cast("int")).drop("_parts")
     q = q.withColumn("_split", F.explode(F.sequence(F.lit(0), F.col("_splits") - 1)))
     d = cells.join(parts, here).drop("_h", "_c").withColumn("_part", F.explode(F.sequence(F.lit(0), F.col("_parts") - 1))).drop("_parts")
-    keys = ["_g", "_cell", "_split", "_part"]
-    return (d.select(*keys, doc_id, "_v").groupBy(*keys)
-            .cogroup(q.select(*keys, "_q", "_v", "_theta").groupBy(*keys))
+    keys = ["_g", "_bucket", "_split", "_part"]
+    return (d.select(*keys, doc_id, "_cell", "_v").groupBy(*keys)
+            .cogroup(q.select(*keys, "_q", "_v", "_theta", "_want").groupBy(*keys))
             .applyInArrow(_kernel(dim, k, doc_id, to_arrow_schema(out)), out))
 
 
@@ -208,16 +225,22 @@ def pivot_knn(docs: DataFrame, queries: DataFrame, k: int, *, doc_id: str, doc_v
     shared = spark.sparkContext.broadcast(p)
     cells = keep(lay_out(d, dim, p, cell), "cells")
     stats = cells.groupBy("_g", "_cell").agg(F.count("*").alias("n"), F.min("_r").alias("low"), F.max("_r").alias("high"))
-    listed = F.flatten(F.collect_list(F.array(F.col("_cell").cast("double"), F.col("n").cast("double"), "low", "high")))    # at most PIVOTS
-    of_group = keep(stats.groupBy(F.col("_g").alias("_h")).agg(listed.alias("_cells")), "groups")
-    split = F.pmod(F.xxhash64(doc_id), F.ceil(F.col("n") / F.lit(SPLIT))).cast("int")
-    own = stats.select(F.col("_g").alias("_h"), F.col("_cell").alias("_c"), "n")
-    cells = cells.join(own, (F.col("_g") == F.col("_h")) & (F.col("_cell") == F.col("_c"))).withColumn("_split", split).drop("_h", "_c", "n", "_r")
+    before = F.sum("n").over(Window.partitionBy("_g").orderBy("_cell")) - F.col("n")
+    stats = stats.withColumn("_bucket", F.floor(before / F.lit(SPLIT)).cast("int"))
+    together = F.sum("n").over(Window.partitionBy("_g", "_bucket"))
+    stats = keep(stats.withColumn("_splits", F.ceil(together / F.lit(SPLIT)).cast("int")), "stats")
+    listed = F.array_sort(F.collect_list(F.array(*[F.col(c).cast("double") for c in ("_cell", "n", "low", "high", "_bucket", "_splits")])))
+    of_group = keep(stats.groupBy(F.col("_g").alias("_h")).agg(F.flatten(listed).alias("_cells")), "groups")      # at most PIVOTS cells
+    split = F.pmod(F.xxhash64(doc_id), F.col("_splits")).cast("int")
+    own = stats.select(F.col("_g").alias("_h"), F.col("_cell").alias("_c"), "_bucket", "_splits")
+    cells = (cells.join(own, (F.col("_g") == F.col("_h")) & (F.col("_cell") == F.col("_c"))).withColumn("_split", split)
+             .drop("_h", "_c", "_splits", "_r"))
     q = keep(queries.where(usable(query_vec, dim)).select(group.alias("_g"), F.col(qid).alias("_qid"), F.col(f"`{query_vec}`").cast("array<double>").alias("_v"))
              .withColumn("_q", F.monotonically_increasing_id()), "queries")
     asked = q.drop("_qid").join(of_group, F.col("_g") == F.col("_h")).drop("_h")
     kind = T.StructType([T.StructField("_g", T.StringType()), T.StructField("_v", T.ArrayType(T.DoubleType())), T.StructField("_q", T.LongType()),
-                         T.StructField("_theta", T.DoubleType()), T.StructField("_cell", T.IntegerType()), T.StructField("_splits", T.IntegerType())])
+                         T.StructField("_theta", T.DoubleType()), T.StructField("_bucket", T.IntegerType()), T.StructField("_splits", T.IntegerType()),
+                         T.StructField("_want", T.ArrayType(T.IntegerType()))])
     cols = ["_g", "_v", "_q", "_theta", "_cells"]
     found = []
     w = Window.partitionBy("_q").orderBy("_dist", doc_id)

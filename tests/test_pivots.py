@@ -104,3 +104,22 @@ def test_large_sides_take_the_pivot_way(spark):
     a = centroid_assign(docs, cents, id_col="doc_id")
     b = centroid_assign(docs, cents, id_col="doc_id", max_centroids=10)
     assert a.columns == b.columns and rounded(a) == rounded(b)
+
+
+def test_plan_sends_vectors_once_a_bucket_in_small_batches():
+    """10,000 queries that no bound keeps from 200 cells: 4 rows each, not 200."""
+    import pyarrow as pa
+    rng = np.random.default_rng(5)
+    p, q = rng.normal(size=(200, 4)), rng.normal(size=(10_000, 4))
+    cells = [[float(i), 64.0, 0.0, 9.0, float(i // 50), 1.0] for i in range(200)]
+    flat = pa.array([[x for c in cells for x in c]], pa.list_(pa.float64())).take(pa.array(np.zeros(10_000, np.int64)))
+    asked = pa.RecordBatch.from_pydict({"_g": pa.array([""] * 10_000), "_v": pa.array(list(q), pa.list_(pa.float64())),
+                                        "_q": pa.array(np.arange(10_000)), "_theta": pa.nulls(10_000, pa.float64()), "_cells": flat})
+
+    class Shared:
+        value = p
+
+    batches = list(P._planner(Shared, 4, 5, False)([asked]))
+    assert max(b.num_rows for b in batches) <= 4 * P.PLANNED and sum(b.num_rows for b in batches) == 40_000
+    want = pa.concat_arrays([b["_want"] for b in batches])
+    assert len(want.flatten()) == 10_000 * 199                  # all cells but the nearest, which the first visit saw
