@@ -7,7 +7,8 @@ languages never meet.
 1. Words are counted (combined per text piece, then by Spark).  Words under the
    least count cannot stand in a phrase: a bit table of the others, of fixed
    size, goes to every task (a chance hit only lets a suffix live longer).
-2. Suffixes are routed globally by their two leading words.  Equal suffixes of a
+2. Suffixes are routed globally by their two leading words, over so many routes
+   that one holds some ROUTE positions whatever the corpus.  Equal suffixes of a
    task step go as one pointer with a weight, so a very frequent pair sends its
    distinct continuations, not its occurrences.
 3. A task sorts the pointers of its routes by multikey three-way quicksort: each
@@ -44,6 +45,7 @@ from murmura.llm.arrays import U, map_arrow, mix, pack, span_hashes, text_buffer
 from murmura.llm.tables import parts_of, written
 
 LEAST, LONGEST, COVER, TOP = 10, 3, 50, 2000
+ROUTE = 1 << 20                # word positions of a route, on average: some 200 MB while they are sorted
 BITS = 26                      # log2 of the bits of a membership table (8 MB)
 
 _GAP, _HARD = 1, 2             # space and tab; marks that end a piece
@@ -215,10 +217,15 @@ def _phrases(t: pa.Table, depth: int, least: int) -> pa.Table:
     return pa.concat_tables(out)
 
 
+def routes(positions: int | None, least: int) -> int:
+    """Routes for a corpus of so many words: what a task sorts at once is bounded."""
+    return max(least, -(-int(positions or 0) // ROUTE))
+
+
 def phrase_counts(docs: DataFrame, words: DataFrame, least: int, longest: int) -> DataFrame:
     """(words array, a): all phrases of 2 to ``longest`` words with a >= least."""
     table = docs.sparkSession.sparkContext.broadcast(bit_table(words.where(F.col("n") >= least), "word"))
-    parts = parts_of(docs.sparkSession)
+    parts = routes(words.agg(F.sum("n")).first()[0], parts_of(docs.sparkSession))
 
     def send(batch):
         yield from suffixes(batch, np.frombuffer(table.value, np.uint8), longest, parts)

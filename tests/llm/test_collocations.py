@@ -95,3 +95,12 @@ def test_bit_table_holds_every_hash(spark):
     assert len(bits) == 1 << (C.BITS - 3) and C.in_table(np.frombuffer(bits, np.uint8), h.view(np.uint64)).all()
     other = rng.integers(0, 2 ** 63, 20000).astype(np.uint64)
     assert C.in_table(np.frombuffer(bits, np.uint8), other).mean() < 0.001
+
+
+def test_routes_grow_with_the_corpus(spark, monkeypatch):
+    """What a task sorts at once follows ROUTE, not the size of the corpus."""
+    assert C.routes(None, 8) == 8 and C.routes(100 * C.ROUTE + 1, 8) == 101
+    rows = [row(i, " ".join(f"w{(i * j) % 7}" for j in range(30))) for i in range(40)]
+    few = sorted(map(tuple, C.collocations(documents(spark, rows)).collect()))
+    monkeypatch.setattr(C, "ROUTE", 20)                      # 60 routes
+    assert sorted(map(tuple, C.collocations(documents(spark, rows)).collect())) == few and few
