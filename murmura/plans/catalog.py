@@ -923,10 +923,10 @@ def q_html_files_scan(spark, sf):
     """Land pages as files (one page a file, files of many pages a folder), then
     list and read them; the first line of a file names its page."""
     from murmura.session import work_dir
-    from murmura.sources.html_files import read_html_files
+    from murmura.sources.html_files import land_files, read_html_files
     root = work_dir(spark, "html")
     named = F.concat(F.lit("<!-- page "), F.col("page_id").cast("string"), F.lit(" -->\n"), F.coalesce("html", F.lit("")))
-    pages_df(spark, sf).select(named.alias("value")).write.option("maxRecordsPerFile", 1).text(root)
+    land_files(pages_df(spark, sf).select(named.alias("value")), root)
     f = read_html_files(spark, root, ext=".txt")
     return f.select(F.regexp_extract("html", r"^<!-- page ([0-9]+) -->", 1).cast("long").alias("page_id"),
                     F.regexp_replace("html", r"(?s)^<!-- page [0-9]+ -->\n|\n\z", "").alias("html"))
