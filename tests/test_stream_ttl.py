@@ -46,6 +46,27 @@ def test_state_holds_only_the_keys_of_the_time_to_live(spark, tmp_path):
     assert held[-1] <= 200, held                   # 600 keys were seen
 
 
+def test_keys_of_a_bucket_share_a_state_row(spark, tmp_path, monkeypatch):
+    """Many keys a bucket, and more rows than stand in it at once; each key keeps its own time."""
+    monkeypatch.setattr(stream_dedup_ttl, "__defaults__", stream_dedup_ttl.__defaults__[:-1] + (3,))
+    _land(spark, tmp_path, [(f"u{i % 400}", i % 7 + i // 400 * 1800, i) for i in range(1600)])
+    got, progress = _run(spark, tmp_path, delay="2 hours")
+    assert progress[-1].stateOperators[0].numRowsTotal <= 3          # 400 keys are held
+    want = []
+    for k in range(400):
+        last = None
+        for i in range(k, 1600, 400):
+            s = i % 7 + i // 400 * 1800
+            if last is None or s >= last + 3600:
+                last = s
+                want.append((f"u{k}", s, i))
+    assert got == sorted(want)
+    _land(spark, tmp_path, [(f"u{k}", 9000 + k % 5, k) for k in range(400)])
+    again, _ = _run(spark, tmp_path, delay="2 hours")
+    last = {u: s for u, s, _ in sorted(want, key=lambda r: r[1])}
+    assert sorted(set(again) - set(got)) == sorted((f"u{k}", 9000 + k % 5, k) for k in range(400) if 9000 + k % 5 >= last[f"u{k}"] + 3600)
+
+
 def test_hot_key_rows_in_one_second_pass_once(spark, tmp_path):
     _land(spark, tmp_path, [("hot", 10 + i / 50_000, i) for i in range(25_000)] + [("hot", 3700.5, -1), ("hot", 3700.2, -2)])
     got, _ = _run(spark, tmp_path)
